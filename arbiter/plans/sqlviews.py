@@ -1,0 +1,35 @@
+"""The fixture derivations of ``arbiter.sources.fixtures`` as DuckDB CTEs.
+
+Each constant is one ``name AS (...)`` item; ``with_views`` joins the ones a
+query needs into a WITH clause.
+"""
+
+from __future__ import annotations
+
+V_GOLD = """v_gold AS (
+  SELECT l_orderkey % 50 AS question_id,
+         row_number() OVER (PARTITION BY l_orderkey % 50
+                            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_pos,
+         l_partkey AS c0, l_returnflag AS c1, l_extendedprice AS c2
+  FROM lineitem)"""
+
+V_GOLD_Q = """v_gold_q AS (
+  SELECT DISTINCT question_id, question_id % 3 = 0 AS order_significant FROM v_gold)"""
+
+V_CAND = """v_cand AS (
+  SELECT g.question_id,
+         CASE WHEN g.question_id % 5 = 2 THEN g.row_pos + 1
+              WHEN g.question_id % 5 = 3 THEN s.n + 1 - g.row_pos
+              WHEN g.question_id % 5 = 4 THEN g.row_pos - 1
+              ELSE g.row_pos END AS row_pos,
+         g.c0, g.c1,
+         CASE WHEN g.question_id % 5 = 1 THEN g.c2 + 1e-9 ELSE g.c2 END AS c2
+  FROM v_gold g JOIN (SELECT question_id, count(*) AS n FROM v_gold GROUP BY question_id) s
+    ON g.question_id = s.question_id
+  WHERE g.question_id % 5 <> 4 OR g.row_pos > 1
+  UNION ALL
+  SELECT question_id, row_pos, c0, c1, c2 FROM v_gold WHERE question_id % 5 = 2 AND row_pos = 1)"""
+
+
+def with_views(*views: str) -> str:
+    return "WITH " + ",\n".join(views) + "\n"

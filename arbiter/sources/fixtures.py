@@ -1,0 +1,63 @@
+"""Test-data bindings: question/answer/run tables derived from the star schema.
+
+The test data has no answer tables, so these views derive them by fixed rules
+from the given tables (every rule uses every row: modulo arithmetic only picks
+a variant, never drops rows).  ``arbiter.plans.sqlviews`` repeats the same
+derivations as SQL for the DuckDB oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from arbiter.operators.order import dense_position
+from arbiter.sources.tables import Tables
+
+# Fixed values of the derivations.
+N_GOLD_QUESTIONS = 50
+MODELS = ("p/alpha", "beta", "openrouter/x/gamma")
+
+
+def v_gold(t: Tables) -> DataFrame:
+    """Gold result rows: 50 questions over lineitem, positioned by a total order."""
+    li = t.lineitem.select(
+        (F.col("l_orderkey") % N_GOLD_QUESTIONS).alias("question_id"),
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_partkey").alias("c0"),
+        F.col("l_returnflag").alias("c1"),
+        F.col("l_extendedprice").alias("c2"),
+        "l_suppkey",
+    )
+    pos = dense_position(li, ["question_id"], ["l_orderkey", "l_linenumber", "c0", "l_suppkey", "c2"])
+    return pos.select("question_id", "row_pos", "c0", "c1", "c2")
+
+
+def v_gold_questions(gold: DataFrame) -> DataFrame:
+    """One row per gold question; every third declares its order significant."""
+    return gold.select("question_id").distinct().withColumn("order_significant", F.col("question_id") % 3 == 0)
+
+
+def v_cand(gold: DataFrame) -> DataFrame:
+    """Candidate result rows by question_id % 5.
+
+    0 identical; 1 c2 + 1e-9 (precision noise); 2 first row duplicated in front;
+    3 rows in reverse order; 4 first row missing.
+    """
+    v = F.col("question_id") % 5
+    sizes = gold.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n"))
+    base = gold.join(sizes, "question_id")
+    kept = base.filter((v != 4) | (F.col("row_pos") > 1)).select(
+        "question_id",
+        F.when(v == 2, F.col("row_pos") + 1)
+        .when(v == 3, F.col("_n") + 1 - F.col("row_pos"))
+        .when(v == 4, F.col("row_pos") - 1)
+        .otherwise(F.col("row_pos"))
+        .alias("row_pos"),
+        "c0",
+        "c1",
+        F.when(v == 1, F.col("c2") + F.lit(1e-9)).otherwise(F.col("c2")).alias("c2"),
+    )
+    dup = gold.filter((v == 2) & (F.col("row_pos") == 1)).select("question_id", "row_pos", "c0", "c1", "c2")
+    return kept.unionByName(dup)
