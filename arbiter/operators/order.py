@@ -38,8 +38,16 @@ def dense_position(
     name: str = "row_pos",
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Add ``name`` = 1-based position of each row inside its group, by ``order_cols``."""
-    keys = _sort_cols(list(group_cols)) + _sort_cols(order_cols)
+    """Add ``name`` = 1-based position of each row inside its group, by ``order_cols``.
+
+    After the range sort a group spans a run of consecutive partitions, so the
+    table of (partition, group) row counts has at most partitions + groups rows.
+    From it, two small windows give each (partition, group) the rows of the
+    same group in earlier partitions and the in-partition index where the
+    group starts; one join brings both back to the rows.
+    """
+    groups = list(group_cols)
+    keys = _sort_cols(groups) + _sort_cols(order_cols)
     ranged = (
         df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     ).sortWithinPartitions(*keys)
@@ -48,22 +56,18 @@ def dense_position(
         F.spark_partition_id().alias("_pid"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS)).alias("_local"),
     )
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    offsets = (
-        tagged.groupBy("_pid")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            "_pid",
-            (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-        )
-        .fillna(0, subset=["_off"])
+    if not groups:
+        tagged = tagged.withColumn("_grp", F.lit(0))
+        groups_k = ["_grp"]
+    else:
+        groups_k = groups
+    blocks = tagged.groupBy("_pid", *groups_k).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_lstart"))
+    before = Window.partitionBy(*groups_k).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(
+        "_pid", *groups_k, "_lstart", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    indexed = tagged.join(F.broadcast(offsets), "_pid").withColumn("_gidx", F.col("_off") + F.col("_local"))
-    if not group_cols:
-        return indexed.withColumn(name, F.col("_gidx") + 1).drop("_pid", "_local", "_off", "_gidx")
-    starts = indexed.groupBy(*group_cols).agg(F.min("_gidx").alias("_start"))
-    return (
-        indexed.join(starts, list(group_cols))
-        .withColumn(name, F.col("_gidx") - F.col("_start") + 1)
-        .drop("_pid", "_local", "_off", "_gidx", "_start")
+    out = tagged.join(offsets, ["_pid", *groups_k]).withColumn(
+        name, F.col("_before") + F.col("_local") - F.col("_lstart") + 1
     )
+    drop = ["_pid", "_local", "_lstart", "_before"] + (["_grp"] if not groups else [])
+    return out.drop(*drop)

@@ -14,7 +14,7 @@ OUT = ["question_id", "correct", "reason", "applied_rules", "n_gold_rows", "n_ca
 
 def _inputs(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    gold = fx.v_gold(t)
+    gold = fx.v_gold_stable(t)
     return gold, fx.v_cand(gold), fx.v_gold_questions(gold)
 
 

@@ -33,3 +33,40 @@ V_CAND = """v_cand AS (
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+V_CAND_ROWS = """cand_rows AS (
+  SELECT question_id, 0 AS idx, row_pos, c0, c1, c2 FROM v_gold
+  UNION ALL SELECT question_id, 1 AS idx, row_pos, c0, c1, c2 FROM v_gold
+  UNION ALL SELECT question_id, 2 AS idx, row_pos, c0, c1, c2 FROM v_cand
+  UNION ALL SELECT question_id, 3 AS idx, row_pos - 1, c0, c1, c2 FROM v_gold
+            WHERE row_pos > 1 AND question_id % 6 <> 0)"""
+
+V_CANDS = """cands AS (
+  SELECT question_id, idx, (idx = 3 AND question_id % 6 = 0) AS errored
+  FROM (SELECT question_id, unnest([0, 1, 2, 3]) AS idx FROM v_gold_q))"""
+
+V_VOTE = """fp AS (
+  SELECT c.question_id, c.idx, c.errored,
+         coalesce(md5(string_agg(r.c0::VARCHAR || '|' || r.c1 || '|' || round_even(r.c2, 6)::VARCHAR, '#'
+                      ORDER BY r.c0, r.c1, round_even(r.c2, 6))), '') AS fp
+  FROM cands c LEFT JOIN cand_rows r ON r.question_id = c.question_id AND r.idx = c.idx
+  GROUP BY c.question_id, c.idx, c.errored),
+classes AS (
+  SELECT question_id, fp, count(*) AS size, min(idx) AS first_idx FROM fp WHERE NOT errored GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY size DESC, first_idx) AS rk,
+         max(size) OVER (PARTITION BY question_id) AS top,
+         count(*) OVER (PARTITION BY question_id) AS n_groups
+  FROM classes),
+outcome AS (
+  SELECT n.question_id,
+         coalesce(p.selected_index, 0)::BIGINT AS selected_index,
+         coalesce(p.agreement, 0)::BIGINT AS agreement,
+         n.n_candidates::BIGINT AS n_candidates, n.n_votable::BIGINT AS n_votable,
+         coalesce(p.n_groups, 0)::BIGINT AS n_groups, coalesce(p.tie, false) AS tie
+  FROM (SELECT question_id, count(*) AS n_candidates, count(*) FILTER (WHERE NOT errored) AS n_votable
+        FROM fp GROUP BY 1) n
+  LEFT JOIN (SELECT question_id, max(CASE WHEN rk = 1 THEN first_idx END) AS selected_index,
+                    max(top) AS agreement, max(n_groups) AS n_groups,
+                    count(*) FILTER (WHERE size = top) > 1 AS tie
+             FROM ranked GROUP BY 1) p ON p.question_id = n.question_id)"""

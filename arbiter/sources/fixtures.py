@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.operators.order import dense_position
+from arbiter.session import ensure_checkpoint_dir
 from arbiter.sources.tables import Tables
 
 # Fixed values of the derivations.
@@ -34,6 +35,21 @@ def v_gold(t: Tables) -> DataFrame:
     return pos.select("question_id", "row_pos", "c0", "c1", "c2")
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """Materialize once into the cluster checkpoint folder and cut the lineage.
+
+    Used for a derived table that several branches of one plan read: the
+    range sort behind its positions runs once, and a lost executor re-reads the
+    checkpoint instead of recomputing positions.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def v_gold_stable(t: Tables) -> DataFrame:
+    return stable(v_gold(t))
+
+
 def v_gold_questions(gold: DataFrame) -> DataFrame:
     """One row per gold question; every third declares its order significant."""
     return gold.select("question_id").distinct().withColumn("order_significant", F.col("question_id") % 3 == 0)
@@ -61,3 +77,28 @@ def v_cand(gold: DataFrame) -> DataFrame:
     )
     dup = gold.filter((v == 2) & (F.col("row_pos") == 1)).select("question_id", "row_pos", "c0", "c1", "c2")
     return kept.unionByName(dup)
+
+
+def v_candidate_rows(gold: DataFrame, cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Four candidates per gold question: (candidates, rows).
+
+    idx 0 and 1 repeat the gold rows, idx 2 is ``v_cand``, idx 3 drops the
+    first gold row and is errored (no result) when question_id % 6 = 0.
+    """
+    cols = ["question_id", "idx", "row_pos", "c0", "c1", "c2"]
+    g0 = gold.withColumn("idx", F.lit(0)).select(cols)
+    g1 = gold.withColumn("idx", F.lit(1)).select(cols)
+    c2 = cand.withColumn("idx", F.lit(2)).select(cols)
+    g3 = (
+        gold.filter((F.col("row_pos") > 1) & (F.col("question_id") % 6 != 0))
+        .withColumn("idx", F.lit(3))
+        .withColumn("row_pos", F.col("row_pos") - 1)
+        .select(cols)
+    )
+    rows = g0.unionByName(g1).unionByName(c2).unionByName(g3)
+    candidates = (
+        v_gold_questions(gold)
+        .select("question_id", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("idx"))
+        .withColumn("errored", (F.col("idx") == 3) & (F.col("question_id") % 6 == 0))
+    )
+    return candidates, rows
