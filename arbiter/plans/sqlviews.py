@@ -70,3 +70,57 @@ outcome AS (
                     max(top) AS agreement, max(n_groups) AS n_groups,
                     count(*) FILTER (WHERE size = top) > 1 AS tie
              FROM ranked GROUP BY 1) p ON p.question_id = n.question_id)"""
+
+V_RUNS = """v_runs AS (
+  SELECT o_orderkey AS case_id,
+         'db' || CAST(o_custkey % 7 AS VARCHAR) AS db_id,
+         CASE o_orderkey % 3 WHEN 0 THEN 'anthropic/claude-sonnet-4-6' WHEN 1 THEN 'beta'
+              ELSE 'openrouter/x/gamma' END AS model,
+         CASE WHEN o_orderkey % 13 <> 0 THEN o_orderpriority END AS difficulty,
+         CAST(o_orderkey % 3 + 1 AS BIGINT) AS attempts,
+         o_orderkey % 17 = 0 AS guard_rejected,
+         CASE WHEN o_orderkey % 41 = 0 THEN 'provider_error: timeout'
+              WHEN o_orderstatus = 'O' AND o_orderkey % 5 = 0 THEN 'no such table: ghost' END AS error,
+         o_orderstatus = 'F' AS matches_gold,
+         CAST(floor(o_totalprice) AS BIGINT) % 4000 AS input_tokens,
+         CAST(floor(o_totalprice) AS BIGINT) % 700 AS output_tokens,
+         CAST(CAST(floor(o_totalprice) AS BIGINT) % 10000 AS DOUBLE) AS latency_ms,
+         CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 4 <> 0
+              THEN CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS DOUBLE) / 4 END AS provider_cost_usd,
+         CASE WHEN o_orderkey % 11 = 0 THEN NULL
+              WHEN o_orderkey % 3 = 0 THEN ['ORDERS', 'nation']
+              WHEN o_orderkey % 3 = 1 THEN ['lineitem', 'Customer', 'orders']
+              ELSE CAST([] AS VARCHAR[]) END AS retrieved_tables,
+         CASE WHEN o_orderkey % 2 = 0 THEN ['orders', 'customer']
+              WHEN o_orderkey % 7 = 0 THEN CAST([] AS VARCHAR[])
+              ELSE ['lineitem'] END AS gold_tables,
+         o_orderdate AS started_at
+  FROM orders)"""
+
+V_RESULTS = """v_results AS (
+  SELECT *,
+         CASE WHEN guard_rejected THEN 'guardrail_rejected'
+              WHEN error IS NOT NULL AND attempts > 1 THEN 'retry_exhausted'
+              WHEN error IS NOT NULL THEN 'execution_error_final'
+              WHEN NOT matches_gold THEN 'wrong_answer' ELSE 'success' END AS terminal_state,
+         (NOT guard_rejected AND error IS NULL AND matches_gold) AS correct,
+         CASE WHEN retrieved_tables IS NOT NULL
+                   AND len(list_distinct(list_transform(gold_tables, lambda x: lower(x)))) > 0
+              THEN len(list_intersect(list_distinct(list_transform(gold_tables, lambda x: lower(x))),
+                                      list_distinct(list_transform(retrieved_tables, lambda x: lower(x)))))
+                   / len(list_distinct(list_transform(gold_tables, lambda x: lower(x)))) END AS retrieval_recall
+  FROM v_runs)"""
+
+V_PASS1 = """v_pass1 AS (
+  SELECT case_id, model, db_id, difficulty, error,
+         correct AND attempts = 1 AS correct,
+         CASE WHEN correct AND attempts = 1 THEN 'success'
+              WHEN attempts > 1 THEN 'execution_error_final' ELSE terminal_state END AS terminal_state,
+         CAST(1 AS BIGINT) AS attempts,
+         input_tokens // attempts AS input_tokens, output_tokens // attempts AS output_tokens,
+         latency_ms / attempts AS latency_ms
+  FROM v_results)"""
+
+PRICES_SQL = """prices(price_model, input_per_mtok, output_per_mtok) AS (
+  VALUES ('claude-sonnet-4-6', 3.0::DOUBLE, 15.0::DOUBLE), ('claude-haiku-4-5', 1.0, 5.0),
+         ('claude-opus-4-8', 5.0, 25.0), ('claude-opus-4-7', 5.0, 25.0), ('claude-opus-4-6', 5.0, 25.0))"""

@@ -102,3 +102,46 @@ def v_candidate_rows(gold: DataFrame, cand: DataFrame) -> tuple[DataFrame, DataF
         .withColumn("errored", (F.col("idx") == 3) & (F.col("question_id") % 6 == 0))
     )
     return candidates, rows
+
+
+def v_runs(t: Tables) -> DataFrame:
+    """One scored run per order (case_id = o_orderkey); see ``sqlviews.V_RUNS``."""
+    o = t.orders
+    k = F.col("o_orderkey")
+    price = F.floor(F.col("o_totalprice")).cast("long")
+    return o.select(
+        k.alias("case_id"),
+        F.concat(F.lit("db"), (F.col("o_custkey") % 7).cast("string")).alias("db_id"),
+        F.when(k % 3 == 0, F.lit("anthropic/claude-sonnet-4-6"))
+        .when(k % 3 == 1, F.lit("beta"))
+        .otherwise(F.lit("openrouter/x/gamma"))
+        .alias("model"),
+        F.when(k % 13 != 0, F.col("o_orderpriority")).alias("difficulty"),
+        (k % 3 + 1).cast("long").alias("attempts"),
+        (k % 17 == 0).alias("guard_rejected"),
+        F.when(k % 41 == 0, F.lit("provider_error: timeout"))
+        .when((F.col("o_orderstatus") == "O") & (k % 5 == 0), F.lit("no such table: ghost"))
+        .alias("error"),
+        (F.col("o_orderstatus") == "F").alias("matches_gold"),
+        (price % 4000).alias("input_tokens"),
+        (price % 700).alias("output_tokens"),
+        (price % 10000).cast("double").alias("latency_ms"),
+        F.when((k % 3 == 2) & (k % 4 != 0), (price % 1000).cast("double") / 4).alias("provider_cost_usd"),
+        F.when(k % 11 == 0, F.lit(None).cast("array<string>"))
+        .when(k % 3 == 0, F.array(F.lit("ORDERS"), F.lit("nation")))
+        .when(k % 3 == 1, F.array(F.lit("lineitem"), F.lit("Customer"), F.lit("orders")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("retrieved_tables"),
+        F.when(k % 2 == 0, F.array(F.lit("orders"), F.lit("customer")))
+        .when(k % 7 == 0, F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("lineitem")))
+        .alias("gold_tables"),
+        F.col("o_orderdate").alias("started_at"),
+    )
+
+
+def v_head(runs: DataFrame) -> DataFrame:
+    """A second batch on the same cases: the verdict flips where case_id % 29 = 0."""
+    return runs.withColumn(
+        "matches_gold", F.when(F.col("case_id") % 29 == 0, ~F.col("matches_gold")).otherwise(F.col("matches_gold"))
+    )
