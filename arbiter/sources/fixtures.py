@@ -145,3 +145,29 @@ def v_head(runs: DataFrame) -> DataFrame:
     return runs.withColumn(
         "matches_gold", F.when(F.col("case_id") % 29 == 0, ~F.col("matches_gold")).otherwise(F.col("matches_gold"))
     )
+
+
+def v_bindings(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Literal bindings of one query per customer: (bindings, aliases, query_tables).
+
+    column = c_name when key % 3 = 0 else c_mktsegment, qualified by alias ``c``
+    when key is even; literal = 'nowhere' when key % 7 = 0, else the customer's
+    segment (lower-cased when key % 4 = 0); orders joins in when key % 5 = 0.
+    """
+    c = t.customer
+    k = F.col("c_custkey")
+    bindings = c.select(
+        k.alias("query_id"),
+        F.lit(1).alias("binding_id"),
+        F.when(k % 2 == 0, F.lit("c")).alias("qualifier"),
+        F.when(k % 3 == 0, F.lit("c_name")).otherwise(F.lit("c_mktsegment")).alias("column_name"),
+        F.when(k % 7 == 0, F.lit("nowhere"))
+        .when(k % 4 == 0, F.lower(F.col("c_mktsegment")))
+        .otherwise(F.col("c_mktsegment"))
+        .alias("literal"),
+    )
+    aliases = c.filter(k % 2 == 0).select(k.alias("query_id"), F.lit("c").alias("alias"), F.lit("customer").alias("table_name"))
+    tables = c.select(k.alias("query_id"), F.lit("customer").alias("table_name")).unionByName(
+        c.filter(k % 5 == 0).select(k.alias("query_id"), F.lit("orders").alias("table_name"))
+    )
+    return bindings, aliases, tables
