@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbiter.operators.profile import top_n_per_group, unpivot_values
+from arbiter.operators.profile import distinct_values, top_n_per_group
 
 # Fixed values.
 DEFAULT_SAMPLE_VALUES = 5
@@ -54,15 +54,7 @@ def catalog_from_frames(spark, db_id: str, frames: dict[str, DataFrame]) -> Data
 
 def sample_values(db_id: str, frames: dict[str, DataFrame], limit: int = DEFAULT_SAMPLE_VALUES) -> DataFrame:
     """Up to ``limit`` distinct values per column, none over 40 chars, smallest first."""
-    parts = []
-    for name, df in frames.items():
-        vals = unpivot_values(df, name).filter(F.length("value") <= MAX_SAMPLE_LEN).select(
-            "table_name", "column_name", "value"
-        ).distinct()
-        parts.append(vals)
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
+    allv = distinct_values(frames, max_len=MAX_SAMPLE_LEN).select("table_name", "column_name", "value")
     top = top_n_per_group(allv, ["table_name", "column_name"], [F.asc("value")], limit, bucket_key=F.xxhash64("value"))
     return top.select(F.lit(db_id).alias("db_id"), "table_name", "column_name", F.col("rank").cast("int").alias("rank"), "value")
 

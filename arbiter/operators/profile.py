@@ -138,6 +138,52 @@ def unpivot_values(df: DataFrame, table_name: str) -> DataFrame:
     )
 
 
+def _order_keys(c: Column, dt: T.DataType) -> tuple[Column, Column]:
+    if isinstance(dt, _NUMERIC):
+        return c.cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double"), F.lit(None).cast("string")
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
+    return F.lit(None).cast("double"), c.cast("string")
+
+
+def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None = None,
+                    max_len: int | None = None) -> DataFrame:
+    """(table_name, column_name, value, num_key, str_key): each column's distinct non-null values.
+
+    Columns of the same exact type (across all given tables) are unpivoted
+    together in their native type and de-duplicated by one hash aggregate with
+    map-side combine; only distinct values are then formatted as text.  One
+    shuffle per type, not per column.
+    """
+    from functools import reduce
+
+    frames = df if isinstance(df, dict) else {table_name: df}
+    by_type: dict[str, list[DataFrame]] = {}
+    types: dict[str, T.DataType] = {}
+    for name, frame in frames.items():
+        fields = [f for f in frame.schema.fields if _is_scalar(f.dataType)]
+        groups: dict[str, list[str]] = {}
+        for f in fields:
+            key = f.dataType.simpleString()
+            groups.setdefault(key, []).append(f.name)
+            types[key] = f.dataType
+        for key, cols in groups.items():
+            cells = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
+                                       F.col(f"`{c}`").alias("_v")) for c in cols])
+            by_type.setdefault(key, []).append(frame.select(F.inline(cells)).where(F.col("_v").isNotNull()))
+    parts = []
+    for key, frs in by_type.items():
+        d = reduce(DataFrame.unionByName, frs).distinct()
+        num, s = _order_keys(F.col("_v"), types[key])
+        part = d.select("table_name", "column_name", _text(F.col("_v")).alias("value"), num.alias("num_key"), s.alias("str_key"))
+        if max_len is not None:
+            part = part.where(F.length("value") <= max_len)
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def value_counts(df: DataFrame, table_name: str) -> DataFrame:
     """(table_name, column_name, value, num_key, str_key, n): one shuffle keyed by value."""
     return unpivot_values(df, table_name).groupBy("table_name", "column_name", "value", "num_key", "str_key").agg(
@@ -201,7 +247,7 @@ def profile_top_values(df: DataFrame, table_name: str, k: int = DEFAULT_TOP_K, r
 
 def distinct_sample(df: DataFrame, table_name: str, limit: int = DEFAULT_SAMPLE_LIMIT) -> DataFrame:
     """Up to ``limit`` distinct non-null values per column, smallest first (deterministic)."""
-    vals = unpivot_values(df, table_name).select("table_name", "column_name", "value", "num_key", "str_key").distinct()
+    vals = distinct_values(df, table_name)
     order = [F.asc_nulls_last("num_key"), F.asc_nulls_last("str_key"), F.asc("value")]
     top = top_n_per_group(vals, ["table_name", "column_name"], order, limit, bucket_key=F.xxhash64("value"))
     return top.select("table_name", "column_name", F.col("rank").cast("int").alias("rank"), "value")

@@ -81,6 +81,8 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def batch_metrics(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """M2, M3, M5, M7: accuracy, attempts, tokens, latency, provider cost, recall."""
+    if "retrieval_recall" not in results.columns:  # retrieval did not run: recall undefined
+        results = results.withColumn("retrieval_recall", F.lit(None).cast("double"))
     g = results.groupBy(*by) if by else results.groupBy()
     agg = g.agg(
         F.count(F.lit(1)).alias("total"),

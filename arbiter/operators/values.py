@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.operators.profile import top_n_per_group, unpivot_values
+from arbiter.operators.profile import distinct_values, top_n_per_group
 
 # Fixed values.
 DEFAULT_VALUE_SAMPLE = 1000
@@ -43,17 +43,14 @@ def build_value_index(
     """
     hidden = {r.casefold() for r in redact}
     spark = next(iter(frames.values())).sparkSession
-    keys, parts = [], []
+    keys, kept = [], {}
     for name in sorted(frames):
         df = frames[name]
         cols = [f.name for f in df.schema.fields if f"{name}.{f.name}".casefold() not in hidden]
         keys += [(f"{name}.{c}".casefold(),) for c in cols]
         if cols:
-            parts.append(unpivot_values(df.select(*[F.col(f"`{c}`") for c in cols]), name)
-                         .select("table_name", "column_name", "value").distinct())
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionByName(p)
+            kept[name] = df.select(*[F.col(f"`{c}`") for c in cols])
+    vals = distinct_values(kept).select("table_name", "column_name", "value")
     sampled = top_n_per_group(vals, ["table_name", "column_name"], [F.asc("value")], sample,
                               bucket_key=F.xxhash64("value"))
     index = sampled.filter(F.length("value") <= max_len).select(

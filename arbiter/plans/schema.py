@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import catalog as C
 from arbiter.operators import voting as V
+from arbiter.sources.fixtures import stable
 from arbiter.sources.tables import TABLES, Tables
 
 DB = "tpch"
@@ -83,7 +84,9 @@ def questions(spark, sf_dir):
 def _index(spark, sf_dir):
     frames = _frames(spark, sf_dir)
     catalog = C.catalog_from_frames(spark, DB, frames)
-    samples = C.sample_values(DB, frames)
+    # The sample index is small (<= 5 values per column) and read by several
+    # branches of every retrieval plan: materialize it once (memoized index).
+    samples = stable(C.sample_values(DB, frames))
     return catalog, samples, _fks(spark)
 
 
