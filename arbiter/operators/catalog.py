@@ -207,3 +207,20 @@ def selection_text(selected: DataFrame, blocks: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_ordinal", "block"))), lambda s: s["block"]), "\n\n").alias("schema_text"),
         F.count(F.lit(1)).alias("n_tables"),
     ).withColumn("tokens", estimate_tokens(F.col("schema_text")))
+
+
+def link_tables(refs: DataFrame, catalog: DataFrame, fallback: DataFrame) -> DataFrame:
+    """C17: union of the tables named across a question's variants, kept only when they are
+    catalog tables (case-insensitive), in declaration order; no linked table -> the fallback selection.
+
+    ``refs``: (question_id, db_id, variant, table_name) harvested references;
+    ``fallback``: (question_id, table_name, table_ordinal), e.g. ``relevant_tables``.
+    """
+    tables = catalog_tables(catalog).select("db_id", F.lower("table_name").alias("_t"), "table_name", "table_ordinal")
+    linked = (
+        refs.select("question_id", "db_id", F.lower("table_name").alias("_t")).distinct()
+        .join(F.broadcast(tables), ["db_id", "_t"])
+        .select("question_id", "table_name", "table_ordinal", F.lit("link").alias("source"))
+    )
+    missing = fallback.join(linked.select("question_id").distinct(), "question_id", "left_anti")
+    return linked.unionByName(missing.select("question_id", "table_name", "table_ordinal", F.lit("fallback").alias("source")))

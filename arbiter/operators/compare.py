@@ -313,3 +313,17 @@ def verify_gold(
         F.col("correct").alias("rows_match"),
         (F.lit(labels_ok) & F.col("correct")).alias("verified"),
     )
+
+
+def score_runs(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Per run, the question's verdict when the run produced a result; NULL when it
+    errored or was rejected (never scored), plus its terminal state."""
+    from arbiter.operators.runs import terminal_state
+
+    j = runs.join(verdicts.select("question_id", F.col("correct").alias("_v"), F.col("reason").alias("_r")), "question_id", "left")
+    scored = ~F.coalesce(F.col("guard_rejected"), F.lit(False)) & F.col("error").isNull()
+    correct = F.when(scored, F.coalesce(F.col("_v"), F.lit(False)))
+    return j.select(
+        "case_id", "question_id", correct.alias("correct"), F.when(scored, F.col("_r")).alias("reason"),
+        terminal_state(F.col("guard_rejected"), F.col("error"), F.col("attempts"), correct).alias("terminal_state"),
+    )

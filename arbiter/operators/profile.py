@@ -301,3 +301,11 @@ def render_column_english(profile: DataFrame, top: DataFrame | None = None) -> D
         .otherwise(F.concat_ws(" ", head, body))
     )
     return p.select("table_name", "column_name", "ordinal", text.alias("english"))
+
+
+def profile_db(frames: dict[str, DataFrame], redact: Iterable[str] = ()) -> DataFrame:
+    """Every column of every table, tables in name order (one scan per table, stacked)."""
+    from functools import reduce
+
+    parts = [profile_table(frames[name], name, redact) for name in sorted(frames)]
+    return reduce(DataFrame.unionByName, parts)

@@ -75,7 +75,20 @@ def cmp_pair_ordered(spark, sf_dir):
     )
 
 
+def cmp_score_runs(spark, sf_dir):
+    """One run per gold question; rejected (q % 13 = 0) and errored (q % 11 = 0) runs stay unscored."""
+    gold, cand, q = _inputs(spark, sf_dir)
+    runs = q.select(
+        F.col("question_id").alias("case_id"), "question_id",
+        (F.col("question_id") % 13 == 0).alias("guard_rejected"),
+        F.when(F.col("question_id") % 11 == 0, F.lit("no such table: x")).alias("error"),
+        (F.col("question_id") % 2 + 1).alias("attempts"),
+    )
+    return R.score_runs(runs, R.compare_results(gold, cand, q, R.DEFAULT_RULES))
+
+
 QUERIES = {
+    "cmp_score_runs": cmp_score_runs,
     "cmp_strict": cmp_strict,
     "cmp_lenient": cmp_lenient,
     "cmp_ordered": cmp_ordered,
@@ -170,7 +183,19 @@ SELECT NOT mis AS correct,
        (SELECT count(*) FROM g) AS n_gold_rows, (SELECT count(*) FROM c) AS n_cand_rows
 FROM m"""
 
+_SCORE_RUNS = f"""
+WITH s AS ({_STRICT})
+SELECT question_id AS case_id, question_id,
+  CASE WHEN question_id % 13 <> 0 AND question_id % 11 <> 0 THEN correct END AS correct,
+  CASE WHEN question_id % 13 <> 0 AND question_id % 11 <> 0 THEN reason END AS reason,
+  CASE WHEN question_id % 13 = 0 THEN 'guardrail_rejected'
+       WHEN question_id % 11 = 0 AND question_id % 2 + 1 > 1 THEN 'retry_exhausted'
+       WHEN question_id % 11 = 0 THEN 'execution_error_final'
+       WHEN NOT correct THEN 'wrong_answer' ELSE 'success' END AS terminal_state
+FROM s"""
+
 ORACLES = {
+    "cmp_score_runs": _SCORE_RUNS,
     "cmp_strict": _STRICT,
     "cmp_lenient": _LENIENT,
     "cmp_ordered": _ORDERED,

@@ -15,6 +15,7 @@ PROFILED = {
                ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")],
     "part": [("p_partkey", "bigint"), ("p_name", "string"), ("p_brand", "string"), ("p_type", "string"), ("p_size", "int")],
     "nation": [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")],
+    "region": [("r_regionkey", "int"), ("r_name", "string")],
 }
 PII = ("customer.c_name",)
 
@@ -48,7 +49,12 @@ def profile_english_customer(spark, sf_dir):
     return P.render_column_english(prof, top)
 
 
+def profile_db_small(spark, sf_dir):
+    return P.profile_db({t: _frame(spark, sf_dir, t) for t in ("nation", "region", "part")})
+
+
 QUERIES = {
+    "profile_db_small": profile_db_small,
     "profile_customer": _profile("customer"),
     "profile_orders": _profile("orders"),
     "profile_part": _profile("part"),
@@ -124,6 +130,7 @@ SELECT table_name, column_name, rank::INT AS rank, value FROM (
 
 
 ORACLES = {
+    "profile_db_small": _profile_sql("nation") + "\nUNION ALL" + _profile_sql("region") + "\nUNION ALL" + _profile_sql("part"),
     "profile_customer": _profile_sql("customer"),
     "profile_orders": _profile_sql("orders"),
     "profile_part": _profile_sql("part"),

@@ -209,7 +209,21 @@ def schema_field_order(spark, sf_dir):
     return V.shuffle_field_order(catalog, 7).select("table_name", "column_name", "ordinal", "shuffled_ordinal")
 
 
+def link_refs(spark, sf_dir):
+    """Harvested references: every token of every sentence (variant) of a question."""
+    q = questions(spark, sf_dir)
+    v = q.select("question_id", "db_id", F.posexplode(F.split("question", r"[.?!]")).alias("variant", "sentence"))
+    return v.select("question_id", "db_id", "variant", F.explode(C.tokens(F.col("sentence"))).alias("table_name"))
+
+
+def schema_link(spark, sf_dir):
+    scores, catalog, _, fks = _scores(spark, sf_dir)
+    fallback = C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, 0)
+    return C.link_tables(link_refs(spark, sf_dir), catalog, fallback)
+
+
 QUERIES = {
+    "schema_link": schema_link,
     "schema_question_tokens": schema_question_tokens,
     "schema_samples": schema_samples,
     "schema_scores": schema_scores,
@@ -306,6 +320,10 @@ _BASE = "WITH " + ",\n".join([
 
 
 def _relevant_sql(floor: int) -> str:
+    return _relevant_ctes(floor) + "\nSELECT question_id, table_name, table_ordinal FROM rel"
+
+
+def _relevant_ctes(floor: int) -> str:
     return f""",
 hits_r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, table_name) AS rk FROM scores WHERE score > 0),
 picks AS (SELECT question_id, db_id, table_name, CAST(rk AS DOUBLE) AS prio FROM hits_r WHERE rk <= {MAX_TABLES}),
@@ -324,9 +342,9 @@ rest AS (SELECT s.question_id, s.table_name, row_number() OVER (PARTITION BY s.q
          FROM scores s WHERE NOT EXISTS (SELECT 1 FROM sel x WHERE x.question_id = s.question_id AND x.table_name = s.table_name)),
 padded AS (SELECT r.question_id, r.table_name FROM rest r JOIN nsel n ON n.question_id = r.question_id
            WHERE (n.n_sel = 0 AND {floor} <= 0) OR r.pad_rank <= {floor} - n.n_sel),
-chosen AS (SELECT question_id, table_name FROM sel UNION ALL SELECT question_id, table_name FROM padded)
-SELECT c.question_id, c.table_name, s.table_ordinal FROM chosen c
-JOIN scores s ON s.question_id = c.question_id AND s.table_name = c.table_name"""
+chosen AS (SELECT question_id, table_name FROM sel UNION ALL SELECT question_id, table_name FROM padded),
+rel AS (SELECT c.question_id, c.table_name, s.table_ordinal FROM chosen c
+        JOIN scores s ON s.question_id = c.question_id AND s.table_name = c.table_name)"""
 
 
 def _fit_sql(order_col: str, budget: str, key: str = "question_id") -> str:
@@ -363,6 +381,15 @@ div AS (SELECT rs.budget, count(*) FILTER (WHERE rs.s <> ns.s) / count(*) AS div
 """
 
 ORACLES = {
+    "schema_link": _BASE.rstrip() + _relevant_ctes(0) + f""",
+lv AS (SELECT question_id, db_id, unnest(string_split_regex(question, '[.?!]')) AS sentence FROM v_questions),
+lt AS (SELECT DISTINCT question_id, db_id, unnest({tok_sql('sentence')}) AS t FROM lv),
+linked AS (SELECT DISTINCT lt.question_id, ct.table_name, ct.table_ordinal FROM lt
+           JOIN ctables ct ON ct.db_id = lt.db_id AND lower(ct.table_name) = lt.t)
+SELECT question_id, table_name, table_ordinal, 'link' AS source FROM linked
+UNION ALL
+SELECT question_id, table_name, table_ordinal, 'fallback' FROM rel
+WHERE question_id NOT IN (SELECT question_id FROM linked)""",
     "schema_question_tokens": _BASE + "SELECT question_id, token FROM qt",
     "schema_samples": _BASE + "SELECT table_name, column_name, rank, value FROM samples",
     "schema_scores": _BASE + "SELECT question_id, table_name, score FROM scores",

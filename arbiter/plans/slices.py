@@ -118,7 +118,13 @@ def slice_changed_gold(spark, sf_dir):
                  F.count_if(F.col("sql_a") != F.col("sql_b")).cast("long").alias("n_changed"))
 
 
+def slice_adopted_whole(spark, sf_dir):
+    """K7: the adopted-whole preset -- every question id, sorted (no sampling)."""
+    return questions(spark, sf_dir).select("question_id").orderBy("question_id")
+
+
 QUERIES = {
+    "slice_adopted_whole": slice_adopted_whole,
     "slice_table_counts": table_counts,
     "slice_largest_remainder": slice_largest_remainder,
     "slice_small": slice_small,
@@ -173,6 +179,7 @@ wide AS (SELECT question_id, difficulty FROM small UNION ALL SELECT question_id,
 _HEAD = f"WITH {_Q}, {_TC},\n"
 
 ORACLES = {
+    "slice_adopted_whole": "SELECT o_orderkey AS question_id FROM orders ORDER BY 1",
     "slice_table_counts": f"WITH {_TC} SELECT db_id, table_count FROM tc",
     "slice_largest_remainder": _HEAD + f"""pool AS {_elig(0, 5)},
 sizes AS (SELECT difficulty AS stratum, count(*) AS size FROM pool GROUP BY 1),
