@@ -129,15 +129,62 @@ def apply_rules(side: Side, rules: Sequence[str]) -> Side:
     return side
 
 
-def _cells(side: Side) -> DataFrame:
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def _kind(dt: T.DataType) -> str:
+    if isinstance(dt, _INTEGRAL):
+        return "long"
+    if isinstance(dt, _FRACTIONAL):
+        return "double"
+    return dt.simpleString()
+
+
+def _unify(a: str, b: str) -> str:
+    """Common comparison type of one position: numbers compare by value, else same type or text."""
+    if a == b:
+        return a
+    if {a, b} <= {"long", "double"}:
+        return "double"
+    return "text"
+
+
+def _cells(side: Side, targets: Sequence[str] | None = None) -> DataFrame:
+    """(question_id, row_pos, cells, dedupe) with ``cells`` a typed struct (``f0..fn``).
+
+    Grouping on typed values keeps NULL equal only to NULL and avoids
+    formatting every cell; a position whose sides disagree in type compares
+    as canonical text (numbers printed so that 1 and 1.0 agree).
+    """
     types = {f.name: f.dataType for f in side.df.schema.fields}
-    texts = [cell_text(F.col(c), types[c], float_tolerance=False) for c in side.values]
-    if side.tagged_nulls:
-        texts = [tagged(t) for t in texts]
+    targets = list(targets) if targets is not None else [_kind(types[c]) for c in side.values]
+    fields = []
+    for i, (c, target) in enumerate(zip(side.values, targets, strict=True)):
+        col = F.col(c)
+        if target == "text":
+            # Values of different kinds never compare equal ('1' is not 1); NULL stays NULL.
+            kind = "num" if _kind(types[c]) in ("long", "double") else _kind(types[c])
+            e = F.concat(F.lit(kind + ":"), cell_text(col, types[c], float_tolerance=False))
+        elif target in ("long", "double"):
+            e = col.cast(target)
+        else:
+            e = col
+        fields.append(e.alias(f"f{i}"))
     return side.df.select(
         "question_id",
         F.col("row_pos").cast("long").alias("row_pos"),
-        F.array(*texts).alias("cells"),
+        F.struct(*fields).alias("cells"),
+        F.lit(side.dedupe).alias("dedupe"),
+    )
+
+
+def _text_cells(side: Side) -> DataFrame:
+    """Fallback for sides of different width: cells as an array of tagged canonical text."""
+    types = {f.name: f.dataType for f in side.df.schema.fields}
+    texts = [tagged(cell_text(F.col(c), types[c], float_tolerance=False)) for c in side.values]
+    return side.df.select(
+        "question_id", F.col("row_pos").cast("long").alias("row_pos"), F.array(*texts).alias("cells"),
         F.lit(side.dedupe).alias("dedupe"),
     )
 
@@ -194,8 +241,15 @@ def compare_results(
     needs_flag = "order_insensitive" in rules
     g = apply_rules(_prepare(gold, gold_values, questions, question_col, pos_col, needs_flag), rules)
     c = apply_rules(_prepare(cand, cand_values, questions, question_col, pos_col, needs_flag), rules)
-    long = _cells(g).withColumn("side_g", F.lit(1)).withColumn("side_c", F.lit(0)).unionByName(
-        _cells(c).withColumn("side_g", F.lit(0)).withColumn("side_c", F.lit(1))
+    if len(g.values) == len(c.values):
+        gt = {f.name: f.dataType for f in g.df.schema.fields}
+        ct = {f.name: f.dataType for f in c.df.schema.fields}
+        targets = [_unify(_kind(gt[a]), _kind(ct[b])) for a, b in zip(g.values, c.values, strict=True)]
+        gc, cc = _cells(g, targets), _cells(c, targets)
+    else:  # different widths never match; compare as text arrays of different sizes
+        gc, cc = _text_cells(g), _text_cells(c)
+    long = gc.withColumn("side_g", F.lit(1)).withColumn("side_c", F.lit(0)).unionByName(
+        cc.withColumn("side_g", F.lit(0)).withColumn("side_c", F.lit(1))
     )
     per_row = long.groupBy("question_id", "row_pos", "cells").agg(
         F.sum("side_g").alias("ng"), F.sum("side_c").alias("nc"), F.max("dedupe").alias("dedupe")

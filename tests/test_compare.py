@@ -108,3 +108,8 @@ def test_partition_count_invariance(spark):
         out.append(sorted((r["question_id"], r["correct"]) for r in R.compare_results(g.repartition(n), c, q).collect()))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_text_never_equals_number(spark):
+    assert not verdict(spark, [("1",)], [(1,)], "x string", "x long")[0]
+    assert verdict(spark, [(None,)], [(None,)], "x string", "x long")[0]
