@@ -108,50 +108,49 @@ def relevant_tables(
     expand_fks: bool = True,
     floor: Column | int = 0,
 ) -> DataFrame:
-    """(question_id, table_name, table_ordinal) selected, with its selection priority.
+    """(question_id, table_name, table_ordinal) selected for each question.
 
     Top ``max_tables`` with score > 0 (ties by name), then outgoing FK
     neighbours of the picks in pick order, cut to ``max_tables``, then padded
     to ``floor`` in declaration order.  No hit and floor <= 0: every table.
+
+    A question's candidates are the tables of its own schema (a bounded
+    list), so they are gathered into one array per question and the whole
+    selection runs as higher-order functions: one shuffle, no self-joins.
     """
     floor_col = floor if isinstance(floor, Column) else F.lit(floor)
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.asc("table_name"))
-    hits = scores.filter(F.col("score") > 0).withColumn("rank", F.row_number().over(w))
-    picks = hits.filter(F.col("rank") <= max_tables).select(
-        "question_id", "db_id", "table_name", F.col("rank").cast("double").alias("prio")
-    )
-    sel = picks
-    if expand_fks:
-        nb = (
-            picks.join(fks, ["db_id", "table_name"])
-            .select("question_id", "db_id", F.col("referred_table").alias("table_name"),
-                    (F.col("prio") * 1000 + F.col("fk_ordinal")).alias("nprio"))
-            .join(catalog_tables(catalog).select("db_id", "table_name"), ["db_id", "table_name"], "left_semi")
-            .join(picks.select("question_id", "table_name"), ["question_id", "table_name"], "left_anti")
-            .groupBy("question_id", "db_id", "table_name").agg(F.min("nprio").alias("nprio"))
-            .select("question_id", "db_id", "table_name", (F.lit(max_tables + 1) + F.col("nprio") / 1e6).alias("prio"))
-        )
-        sel = picks.unionByName(nb)
-    wsel = Window.partitionBy("question_id").orderBy("prio")
-    sel = sel.withColumn("pos", F.row_number().over(wsel)).filter(F.col("pos") <= max_tables)
-    n_sel = sel.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sel"))
-    qs = scores.select("question_id", "db_id").distinct().join(n_sel, "question_id", "left").withColumn(
-        "n_sel", F.coalesce("n_sel", F.lit(0))
-    ).withColumn("floor", floor_col)
-    # Candidates for padding: every not-yet-selected table, in declaration order.
-    rest = (
-        scores.select("question_id", "table_name", "table_ordinal")
-        .join(sel.select("question_id", "table_name"), ["question_id", "table_name"], "left_anti")
-        .join(qs, "question_id")
-        .withColumn("pad_rank", F.row_number().over(Window.partitionBy("question_id").orderBy("table_ordinal")))
+    outgoing = fks.groupBy("db_id", "table_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("fk_ordinal", "referred_table"))), lambda x: x["referred_table"]).alias("fkl")
     )
-    all_tables = (F.col("n_sel") == 0) & (F.col("floor") <= 0)
-    padded = rest.filter(all_tables | (F.col("pad_rank") <= F.col("floor") - F.col("n_sel"))).select(
-        "question_id", "table_name", (F.lit(10_000) + F.col("pad_rank")).cast("double").alias("prio")
+    rows = scores.join(outgoing, ["db_id", "table_name"], "left").select(
+        "question_id", F.struct(
+            (-F.col("score")).alias("neg"), "table_name", "table_ordinal",
+            F.coalesce(F.col("fkl"), F.array().cast("array<string>")).alias("fkl"),
+        ).alias("t"),
     )
-    chosen = sel.select("question_id", "table_name", "prio").unionByName(padded)
-    return chosen.join(scores.select("question_id", "table_name", "table_ordinal"), ["question_id", "table_name"]).select(
-        "question_id", "table_name", "table_ordinal", "prio"
+    per_q = rows.groupBy("question_id").agg(F.collect_list("t").alias("ts")).withColumn("floor", floor_col)
+    ranked = F.sort_array(F.filter("ts", lambda x: x["neg"] < 0))  # score desc, then name
+    picks = F.transform(F.slice(ranked, 1, max_tables), lambda x: x["table_name"])
+    names = F.transform("ts", lambda x: x["table_name"])
+    if expand_fks:
+        nbrs = F.array_distinct(F.filter(
+            F.flatten(F.transform(F.slice(ranked, 1, max_tables), lambda x: x["fkl"])),
+            lambda n: F.array_contains(names, n) & ~F.array_contains(picks, n),
+        ))
+        selected = F.slice(F.concat(picks, nbrs), 1, max_tables)
+    else:
+        selected = picks
+    by_ord = F.transform(F.sort_array(F.transform("ts", lambda x: F.struct(x["table_ordinal"], x["table_name"]))),
+                         lambda x: x["table_name"])
+    step = per_q.select("question_id", "ts", "floor", selected.alias("sel"), by_ord.alias("by_ord"), F.size(picks).alias("n_hits"))
+    rest = F.filter("by_ord", lambda n: ~F.array_contains(F.col("sel"), n))
+    pad_n = F.greatest(F.col("floor") - F.size("sel"), F.lit(0))
+    final = F.when((F.col("n_hits") == 0) & (F.col("floor") <= 0), F.col("by_ord")).otherwise(
+        F.concat("sel", F.slice(rest, 1, pad_n)))
+    chosen = step.select("question_id", "ts", F.explode(final).alias("table_name"))
+    return chosen.select(
+        "question_id", "table_name",
+        F.element_at(F.filter("ts", lambda x: x["table_name"] == F.col("table_name")), 1)["table_ordinal"].alias("table_ordinal"),
     )
 
 
