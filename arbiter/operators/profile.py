@@ -170,8 +170,14 @@ def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None
             groups.setdefault(key, []).append(f.name)
             types[key] = f.dataType
         for key, cols in groups.items():
+            def value(c: str, dt: T.DataType = types[key]) -> Column:
+                v = F.col(f"`{c}`")
+                # Text longer than the limit can never qualify: drop it before the shuffle.
+                if max_len is not None and isinstance(dt, T.StringType):
+                    v = F.when(F.length(v) <= max_len, v)
+                return v
             cells = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"),
-                                       F.col(f"`{c}`").alias("_v")) for c in cols])
+                                       value(c).alias("_v")) for c in cols])
             by_type.setdefault(key, []).append(frame.select(F.inline(cells)).where(F.col("_v").isNotNull()))
     parts = []
     for key, frs in by_type.items():

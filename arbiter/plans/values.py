@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import values as L
 from arbiter.sources import fixtures as fx
+from arbiter.sources.fixtures import stable
 from arbiter.sources.tables import Tables
 
 INDEXED = ("customer", "orders", "part", "nation")
@@ -20,9 +21,17 @@ COLUMNS = {
 }
 
 
+_INDEX: dict = {}
+
+
 def _index(spark, sf_dir, redact=()):
-    t = Tables(spark, sf_dir)
-    return L.build_value_index({n: getattr(t, n) for n in INDEXED}, redact=redact)
+    """The value index, built once per (application, data folder, policy) into the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(redact))
+    if key not in _INDEX:
+        t = Tables(spark, sf_dir)
+        idx, indexed = L.build_value_index({n: getattr(t, n) for n in INDEXED}, redact=redact)
+        _INDEX[key] = (stable(idx), indexed)
+    return _INDEX[key]
 
 
 def value_index(spark, sf_dir):
