@@ -222,7 +222,7 @@ def twin_report(pass1: DataFrame, passk: DataFrame, model: str) -> DataFrame:
         F.round(pk - p1, 9).alias("gap"),
         _ratio(F.col("recovered"), F.col("failed_1")).alias("recovery_rate"),
         (F.col("attempts_k") - F.col("attempts_1")).cast("long").alias("added_attempts"),
-        (F.col("latency_k") - F.col("latency_1")).alias("added_latency_ms"),
+        F.round(F.col("latency_k") - F.col("latency_1"), 6).alias("added_latency_ms"),
         F.round(cost_k - cost_1, 9).alias("added_cost_usd"),
     )
 

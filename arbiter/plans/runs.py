@@ -211,7 +211,7 @@ FROM v_results GROUP BY difficulty""",
 SELECT n1::BIGINT AS total, c1::BIGINT AS n_correct_1, ck::BIGINT AS n_correct_k,
        c1 / n1 AS pass_at_1, ck / n1 AS pass_at_k, round(ck / n1 - c1 / n1, 9) AS gap,
        CASE WHEN failed_1 > 0 THEN recovered / failed_1 ELSE 0.0 END AS recovery_rate,
-       (ak - a1)::BIGINT AS added_attempts, lk - l1 AS added_latency_ms,
+       (ak - a1)::BIGINT AS added_attempts, round(lk - l1, 6) AS added_latency_ms,
        round((ik * 3.0 + ok * 15.0) / 1000000 - (i1 * 3.0 + o1 * 15.0) / 1000000, 9) AS added_cost_usd
 FROM a""",
     "runs_eligible_errors": _W
