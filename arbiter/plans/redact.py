@@ -31,7 +31,17 @@ def ddl_lines(spark, sf_dir):
 
 
 def redact_policy(spark, sf_dir):
-    return D.policy_from_ddl(ddl_lines(spark, sf_dir))
+    """D1 + D3: PII columns from the annotated DDL, with how many values masking covers in each."""
+    pol = D.policy_from_ddl(ddl_lines(spark, sf_dir))
+    t = Tables(spark, sf_dir)
+    counts = []
+    for name in TABLES:
+        df = getattr(t, name)
+        counts += [df.agg(F.lit(c.lower()).alias("pii_column"), F.count(F.col(c)).alias("n")) for c in df.columns]
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    n = reduce(DataFrame.unionByName, counts).groupBy("pii_column").agg(F.sum("n").cast("long").alias("n_masked"))
+    return pol.join(n, "pii_column", "left").select("db_id", "pii_column", F.coalesce("n_masked", F.lit(0)).cast("long").alias("n_masked"))
 
 
 def _policy(spark, sf_dir) -> set[str]:
@@ -71,10 +81,13 @@ def _ddl_sql() -> str:
 
 
 ORACLES = {
-    "redact_policy": "WITH " + _ddl_sql() + """
-SELECT DISTINCT db_id, lower(regexp_extract(split_part(line, '--', 1), '^\\s*(\\S+)', 1)) AS pii_column
-FROM ddl WHERE contains(line, '--')
-  AND regexp_matches(substr(line, strpos(line, '--') + 2), '(?i)\\bPII\\b([^-]|$)')""",
+    "redact_policy": "WITH " + _ddl_sql() + """,
+pol AS (SELECT DISTINCT db_id, lower(regexp_extract(split_part(line, '--', 1), '^\\s*(\\S+)', 1)) AS pii_column
+        FROM ddl WHERE contains(line, '--')
+          AND regexp_matches(substr(line, strpos(line, '--') + 2), '(?i)\\bPII\\b([^-]|$)'))
+SELECT db_id, pii_column, (CASE pii_column WHEN 'c_name' THEN (SELECT count(c_name) FROM customer)
+                                          WHEN 's_name' THEN (SELECT count(s_name) FROM supplier) ELSE 0 END)::BIGINT AS n_masked
+FROM pol""",
     "redact_customer": """SELECT c_custkey, CASE WHEN c_name IS NOT NULL THEN '‹redacted›' END AS c_name, c_nationkey,
        c_acctbal, c_mktsegment FROM customer""",
     "redact_supplier": """SELECT s_suppkey, CASE WHEN s_name IS NOT NULL THEN '‹redacted›' END AS s_name, s_nationkey,

@@ -215,8 +215,12 @@ def schema_convergence(spark, sf_dir):
 
 
 def schema_field_order(spark, sf_dir):
-    catalog = C.catalog_from_frames(spark, DB, _frames(spark, sf_dir)).withColumnRenamed("column_ordinal", "ordinal")
-    return V.shuffle_field_order(catalog, 7).select("table_name", "column_name", "ordinal", "shuffled_ordinal")
+    """V6 over the profiled catalog of the star tables (one stats scan per table)."""
+    from arbiter.operators import profile as P
+    from arbiter.plans.profile import PROFILED, _frame
+    prof = P.profile_db({t: _frame(spark, sf_dir, t) for t in PROFILED})
+    catalog = prof.select(F.lit(DB).alias("db_id"), "table_name", "column_name", "ordinal", "distinct_count")
+    return V.shuffle_field_order(catalog, 7).select("table_name", "column_name", "ordinal", "shuffled_ordinal", "distinct_count")
 
 
 def link_refs(spark, sf_dir):
@@ -390,6 +394,18 @@ div AS (SELECT rs.budget, count(*) FILTER (WHERE rs.s <> ns.s) / count(*) AS div
         FROM rs JOIN ns ON ns.question_id = rs.question_id AND ns.budget = rs.budget GROUP BY rs.budget)
 """
 
+def _field_order_sql() -> str:
+    from arbiter.plans.profile import PROFILED
+    parts = []
+    for t, cols in PROFILED.items():
+        for i, (c, _) in enumerate(cols, start=1):
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, "
+                         f"(SELECT count(DISTINCT {c}) FROM {t})::BIGINT AS distinct_count")
+    return ("WITH cat AS (" + " UNION ALL ".join(parts) + ")\nSELECT table_name, column_name, ordinal, "
+            "row_number() OVER (PARTITION BY table_name ORDER BY md5('7' || '|' || table_name || '|' || column_name), ordinal) "
+            "AS shuffled_ordinal, distinct_count FROM cat")
+
+
 ORACLES = {
     "schema_link": _BASE.rstrip() + _relevant_ctes(0) + f""",
 lv AS (SELECT question_id, db_id, unnest(string_split_regex(question, '[.?!]')) AS sentence FROM v_questions),
@@ -419,8 +435,5 @@ FROM (SELECT 'naive' AS mode, tokens FROM naive UNION ALL SELECT 'always', token
     "schema_divergence": _BASE.rstrip() + _DIVERGENCE + "SELECT budget, divergence FROM div",
     "schema_convergence": _BASE.rstrip() + _DIVERGENCE
     + "SELECT min(budget) FILTER (WHERE divergence = 0) AS convergence_budget, arg_max(budget, (divergence, -budget)) AS peak_budget FROM div",
-    "schema_field_order": "WITH " + _catalog_values() + """
-SELECT table_name, column_name, column_ordinal AS ordinal,
-       row_number() OVER (PARTITION BY db_id, table_name ORDER BY md5('7' || '|' || table_name || '|' || column_name), column_ordinal)
-         AS shuffled_ordinal FROM catalog""",
+    "schema_field_order": _field_order_sql(),
 }

@@ -41,6 +41,17 @@ def table_counts(spark, sf_dir):
     return db_tables(spark, sf_dir).groupBy("db_id").agg(F.countDistinct("table_name").cast("long").alias("table_count"))
 
 
+def slice_db_sizes(spark, sf_dir):
+    """S4 with sizes: tables and total rows per db (one count per table, joined to the db map)."""
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    t = Tables(spark, sf_dir)
+    rows = reduce(DataFrame.unionByName, [getattr(t, n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n"))
+                                          for n in TABLES])
+    return db_tables(spark, sf_dir).join(rows, "table_name").groupBy("db_id").agg(
+        F.countDistinct("table_name").cast("long").alias("table_count"), F.sum("n").cast("long").alias("n_rows"))
+
+
 def _slice(spark, sf_dir, name):
     lo, hi, n, seed = PRESET[name]
     return K.select_slice(questions(spark, sf_dir), table_counts(spark, sf_dir), lo, hi, n, seed)
@@ -125,7 +136,7 @@ def slice_adopted_whole(spark, sf_dir):
 
 QUERIES = {
     "slice_adopted_whole": slice_adopted_whole,
-    "slice_table_counts": table_counts,
+    "slice_table_counts": slice_db_sizes,
     "slice_largest_remainder": slice_largest_remainder,
     "slice_small": slice_small,
     "slice_large": slice_large,
@@ -180,7 +191,10 @@ _HEAD = f"WITH {_Q}, {_TC},\n"
 
 ORACLES = {
     "slice_adopted_whole": "SELECT o_orderkey AS question_id FROM orders ORDER BY 1",
-    "slice_table_counts": f"WITH {_TC} SELECT db_id, table_count FROM tc",
+    "slice_table_counts": "WITH sizes AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, {i} AS ord, count(*) AS n FROM {t}" for i, t in enumerate(sorted(STAR_SCHEMA), start=1))
+    + ") SELECT 'db' || CAST(k AS VARCHAR) AS db_id, count(*)::BIGINT AS table_count, sum(n)::BIGINT AS n_rows "
+    "FROM sizes, range(0, 7) r(k) WHERE ord <= 4 + k GROUP BY k",
     "slice_largest_remainder": _HEAD + f"""pool AS {_elig(0, 5)},
 sizes AS (SELECT difficulty AS stratum, count(*) AS size FROM pool GROUP BY 1),
 raw AS (SELECT stratum, size, 50 * size / sum(size) OVER () AS raw FROM sizes)

@@ -92,9 +92,19 @@ def _supplied(spark, sf_dir):
                     F.col("comment").alias("short"), F.concat(F.col("comment"), F.lit(" column")).alias("long"))
 
 
+def _profiled_descriptions(spark, sf_dir):
+    """Descriptions drawn from the column profiles: short = char class, long = distinct count."""
+    from arbiter.operators import profile as P
+    from arbiter.plans.profile import PROFILED, _frame
+    prof = P.profile_db({t: _frame(spark, sf_dir, t) for t in PROFILED})
+    return prof.select(F.lit(DB).alias("db_id"), F.concat(F.col("table_name"), F.lit("."), F.col("column_name")).alias("column_key"),
+                       F.col("char_class").alias("short"),
+                       F.concat(F.col("distinct_count").cast("string"), F.lit(" distinct values")).alias("long"))
+
+
 def src_descriptions_roundtrip(spark, sf_dir):
-    """Descriptions saved per db (keys sorted) and loaded back."""
-    path = FS.save_field_descriptions(_supplied(spark, sf_dir), FS.scratch_path(spark, "fields"), "ddl-comments")
+    """Profile descriptions saved per db (keys sorted) and loaded back."""
+    path = FS.save_field_descriptions(_profiled_descriptions(spark, sf_dir), FS.scratch_path(spark, "fields"), "profiling")
     return FS.load_field_descriptions(spark, path)
 
 
@@ -240,6 +250,13 @@ _REPORT = with_views(V_RUNS) + """SELECT 'v3' AS prompt_version, 'fp-base' AS pr
   count(*) FILTER (WHERE NOT guard_rejected AND error IS NULL AND matches_gold)::BIGINT AS n_correct_k
 FROM v_runs"""
 
+def _descriptions_sql() -> str:
+    from arbiter.plans.profile import PROFILED, _profile_sql
+    prof = "\nUNION ALL".join(_profile_sql(t) for t in PROFILED)
+    return (f"SELECT '{DB}' AS db_id, table_name || '.' || column_name AS column_key, char_class AS short, "
+            f"CAST(distinct_count AS VARCHAR) || ' distinct values' AS long FROM ({prof})")
+
+
 ORACLES = {
     "src_questions": f"WITH {S.QUESTIONS_SQL} SELECT question_id, db_id, question, '' AS evidence FROM v_questions",
     "src_slice_filter": "WITH " + KS._Q + ", " + KS._TC + ",\n" + KS._slice_sql("small")
@@ -256,7 +273,7 @@ SELECT '{DB}' AS db_id, '-- Foreign-key relationships (join paths):' || chr(10)
   || chr(10) || chr(10) || '-- Sample rows (value formats):' || chr(10)
   || (SELECT string_agg(t, chr(10) ORDER BY table_name) FROM pt) AS text""",
     "src_schema_text": S._BASE + "SELECT db_id, string_agg(block, chr(10) || chr(10) ORDER BY table_ordinal) AS schema_text FROM blocks GROUP BY db_id",
-    "src_descriptions_roundtrip": f"WITH {_SUPPLIED} SELECT db_id, column_key, short, long FROM sup",
+    "src_descriptions_roundtrip": _descriptions_sql(),
     "src_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*)::BIGINT AS n_rows FROM {t}" for t in TABLES),
     "src_seed_join": """SELECT l_orderkey, l_linenumber, o_orderstatus, c_mktsegment, l_extendedprice
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey

@@ -44,7 +44,10 @@ def value_index_redacted(spark, sf_dir):
 
 
 def value_indexed_columns(spark, sf_dir):
-    return _index(spark, sf_dir)[1]
+    """Every indexed column key with the number of normalized values its sample contributed."""
+    idx, indexed = _index(spark, sf_dir)
+    n = idx.groupBy("column_key").agg(F.count(F.lit(1)).alias("n_values"))
+    return indexed.join(n, "column_key", "left").select("column_key", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"))
 
 
 def value_lookup(spark, sf_dir):
@@ -144,7 +147,8 @@ _W = "WITH " + _keys_sql() + ",\n" + _idx_sql() + ",\n"
 ORACLES = {
     "value_index": _W.rstrip().rstrip(",") + "\nSELECT value_norm, column_key FROM idx",
     "value_index_redacted": "WITH " + _idx_sql(PII) + "\nSELECT column_key, count(*)::BIGINT AS n_values FROM idx GROUP BY 1",
-    "value_indexed_columns": "WITH " + _keys_sql() + " SELECT column_key FROM indexed",
+    "value_indexed_columns": _W + """n AS (SELECT column_key, count(*) AS n FROM idx GROUP BY 1)
+SELECT i.column_key, coalesce(n.n, 0)::BIGINT AS n_values FROM indexed i LEFT JOIN n ON n.column_key = i.column_key""",
     "value_lookup": _W + """holders AS (SELECT value_norm, list_sort(list(DISTINCT column_key)) AS holders FROM idx GROUP BY 1)
 SELECT n.n_nationkey, n.n_name AS value, array_to_string(coalesce(h.holders, []), ',') AS holders
 FROM nation n LEFT JOIN holders h ON h.value_norm = lower(regexp_replace(n.n_name, '^\\s+|\\s+$', '', 'g'))""",
