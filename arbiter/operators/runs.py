@@ -227,10 +227,51 @@ def twin_report(pass1: DataFrame, passk: DataFrame, model: str) -> DataFrame:
     )
 
 
+def twin_from_passk(passk: DataFrame, model: str) -> DataFrame:
+    """M11 + M12 in one pass: the twin report of a pass@k run against its own derived pass@1 view.
+
+    The derived view is a per-row function of the same rows (first-attempt
+    correctness, per-attempt token and latency shares), so one aggregation
+    replaces the join of the run with itself.
+    """
+    share = F.when(F.col("attempts") > 0, F.col("attempts")).otherwise(F.lit(1)).cast("long")
+    c1 = F.col("correct") & (F.col("attempts") == 1)
+    agg = passk.agg(
+        F.count(F.lit(1)).alias("n1"), F.count_if(c1).alias("n_correct_1"), F.count_if(F.col("correct")).alias("n_correct_k"),
+        F.count_if(~c1).alias("failed_1"), F.count_if(~c1 & F.col("correct")).alias("recovered"),
+        F.count(F.lit(1)).alias("attempts_1"), F.sum("attempts").alias("attempts_k"),
+        F.sum(F.col("latency_ms") / share).alias("latency_1"), F.sum("latency_ms").alias("latency_k"),
+        F.sum(F.floor(F.col("input_tokens") / share)).alias("in_1"), F.sum(F.floor(F.col("output_tokens") / share)).alias("out_1"),
+        F.sum("input_tokens").alias("in_k"), F.sum("output_tokens").alias("out_k"),
+    )
+    return _twin_select(agg, model)
+
+
+def _twin_select(agg: DataFrame, model: str) -> DataFrame:
+    price = price_of(model)
+    pi, po = (F.lit(price[0]), F.lit(price[1])) if price else (F.lit(None).cast("double"),) * 2
+    cost_k = (F.col("in_k") * pi + F.col("out_k") * po) / F.lit(TOKENS_PER_MILLION)
+    cost_1 = (F.col("in_1") * pi + F.col("out_1") * po) / F.lit(TOKENS_PER_MILLION)
+    p1 = _ratio(F.col("n_correct_1"), F.col("n1"))
+    pk = _ratio(F.col("n_correct_k"), F.col("n1"))
+    return agg.select(
+        F.col("n1").cast("long").alias("total"),
+        F.col("n_correct_1").cast("long").alias("n_correct_1"),
+        F.col("n_correct_k").cast("long").alias("n_correct_k"),
+        p1.alias("pass_at_1"),
+        pk.alias("pass_at_k"),
+        F.round(pk - p1, 9).alias("gap"),
+        _ratio(F.col("recovered"), F.col("failed_1")).alias("recovery_rate"),
+        (F.col("attempts_k") - F.col("attempts_1")).cast("long").alias("added_attempts"),
+        F.round(F.col("latency_k") - F.col("latency_1"), 6).alias("added_latency_ms"),
+        F.round(cost_k - cost_1, 9).alias("added_cost_usd"),
+    )
+
+
 def provider_table(results: DataFrame, prices: DataFrame) -> DataFrame:
     """One row per model: pass@1 (derived), pass@k, cost on its basis, latency, provider errors."""
-    d1 = derive_pass1(results).select("case_id", "model", F.col("correct").alias("correct_1"))
-    base = results.join(d1, ["case_id", "model"])
+    # pass@1 is a per-row function of the pass@k run: no self-join needed.
+    base = results.withColumn("correct_1", F.col("correct") & (F.col("attempts") == 1))
     agg = base.groupBy("model").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("correct_1")).alias("n_correct_1"),
@@ -270,8 +311,7 @@ def best_model(table: DataFrame) -> DataFrame:
 
 def run_report(results: DataFrame, version: Column, fingerprint: Column, slice_name: str, k: int) -> DataFrame:
     """A run report pinned to a prompt: total, n_correct_1 (derived) and n_correct_k."""
-    d1 = derive_pass1(results).select("case_id", F.col("correct").alias("c1"))
-    return results.join(d1, "case_id").agg(
+    return results.withColumn("c1", F.col("correct") & (F.col("attempts") == 1)).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("c1")).alias("n_correct_1"),
         F.count_if(F.col("correct")).alias("n_correct_k"),

@@ -75,8 +75,7 @@ def runs_pass1_derived(spark, sf_dir):
 
 
 def runs_twin(spark, sf_dir):
-    r = _results(spark, sf_dir)
-    return M.twin_report(M.derive_pass1(r), r, TWIN_MODEL)
+    return M.twin_from_passk(_results(spark, sf_dir), TWIN_MODEL)
 
 
 def runs_eligible_errors(spark, sf_dir):
