@@ -4,9 +4,10 @@
   counts, typed extremes, length range, char-class flags and the min/max text
   (whose common prefix is the prefix of every value).  All partial
   aggregates: map-side combine, no skew.
-* ``value_counts`` -- the table unpivoted to (column, value) and counted: one
-  shuffle keyed by the value itself, which spreads a hot value's column over
-  the cluster.  Distinct counts and top-k come from it.
+* ``value_counts`` -- columns of one type unpivoted together in their native
+  type and counted: one shuffle per type keyed by the value itself, which
+  spreads a hot column over the cluster; only distinct values are formatted
+  as text.  Distinct counts and top-k come from it.
 * ``top_n_per_group`` -- exact top-n in two stages (per hash bucket, then per
   group over at most n x buckets survivors), so no group's values meet in one
   task.
@@ -113,31 +114,6 @@ def column_stats(df: DataFrame, table_name: str, redact: Iterable[str] = ()) ->
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
-def unpivot_values(df: DataFrame, table_name: str) -> DataFrame:
-    """(table_name, column_name, value, num_key, str_key) for every non-null scalar cell.
-
-    ``num_key``/``str_key`` keep the native order of the value for tie-breaks
-    (numbers and times order numerically, text by text).
-    """
-    parts = []
-    for f in df.schema.fields:
-        if not _is_scalar(f.dataType):
-            continue
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, _NUMERIC):
-            num, s = c.cast("double"), F.lit(None).cast("string")
-        elif isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            num, s = F.unix_micros(c.cast("timestamp")).cast("double") if not isinstance(f.dataType, T.DateType) else F.unix_date(c).cast("double"), F.lit(None).cast("string")
-        else:
-            num, s = F.lit(None).cast("double"), c.cast("string")
-        parts.append(F.struct(F.lit(f.name).alias("column_name"), _text(c).alias("value"), num.alias("num_key"), s.alias("str_key")))
-    return (
-        df.select(F.explode(F.array(*parts)).alias("u"))
-        .select(F.lit(table_name).alias("table_name"), "u.*")
-        .filter(F.col("value").isNotNull())
-    )
-
-
 def _order_keys(c: Column, dt: T.DataType) -> tuple[Column, Column]:
     if isinstance(dt, _NUMERIC):
         return c.cast("double"), F.lit(None).cast("string")
@@ -149,7 +125,7 @@ def _order_keys(c: Column, dt: T.DataType) -> tuple[Column, Column]:
 
 
 def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None = None,
-                    max_len: int | None = None) -> DataFrame:
+                    max_len: int | None = None, counts: bool = False) -> DataFrame:
     """(table_name, column_name, value, num_key, str_key): each column's distinct non-null values.
 
     Columns of the same exact type (across all given tables) are unpivoted
@@ -181,9 +157,15 @@ def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None
             by_type.setdefault(key, []).append(frame.select(F.inline(cells)).where(F.col("_v").isNotNull()))
     parts = []
     for key, frs in by_type.items():
-        d = reduce(DataFrame.unionByName, frs).distinct()
+        u = reduce(DataFrame.unionByName, frs)
+        if counts:
+            d = u.groupBy("table_name", "column_name", "_v").agg(F.count(F.lit(1)).alias("n"))
+        else:
+            d = u.distinct()
         num, s = _order_keys(F.col("_v"), types[key])
-        part = d.select("table_name", "column_name", _text(F.col("_v")).alias("value"), num.alias("num_key"), s.alias("str_key"))
+        extra = [F.col("n")] if counts else []
+        part = d.select("table_name", "column_name", _text(F.col("_v")).alias("value"), num.alias("num_key"), s.alias("str_key"),
+                        *extra)
         if max_len is not None:
             part = part.where(F.length("value") <= max_len)
         parts.append(part)
@@ -191,10 +173,8 @@ def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None
 
 
 def value_counts(df: DataFrame, table_name: str) -> DataFrame:
-    """(table_name, column_name, value, num_key, str_key, n): one shuffle keyed by value."""
-    return unpivot_values(df, table_name).groupBy("table_name", "column_name", "value", "num_key", "str_key").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    """(table_name, column_name, value, num_key, str_key, n): counted per native value, one shuffle per type."""
+    return distinct_values(df, table_name, counts=True)
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
