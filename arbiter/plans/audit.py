@@ -75,12 +75,10 @@ def _features(spark, sf_dir):
 
 
 def _union(spark, sf_dir, items, out_col):
+    """One scan of orders: every rule that holds contributes one (query_id, value) row."""
     o = Tables(spark, sf_dir).orders
-    parts = [o.where(cond).selectExpr("o_orderkey AS query_id", f"{e} AS {out_col}") for e, cond in items]
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df
+    vals = F.array(*[F.when(F.expr(cond), F.expr(e)) for e, cond in items])
+    return o.select(F.col("o_orderkey").alias("query_id"), F.explode(F.filter(vals, lambda x: x.isNotNull())).alias(out_col))
 
 
 def _allowed(spark, sf_dir):
@@ -154,9 +152,11 @@ def _shapes(spark, sf_dir, side):
 def _tags(spark, sf_dir):
     o = Tables(spark, sf_dir).orders
     # The query's db comes from the data (customer % 7); every db declares the same FK edges.
-    parts = [o.where(cond).selectExpr("o_orderkey AS query_id", "concat('db', CAST(o_custkey % 7 AS STRING)) AS db_id",
-                                      f"{a} AS a", f"{b} AS b") for a, b, cond in PAIRS]
-    pairs = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    pair_vals = F.array(*[F.when(F.expr(cond), F.struct(F.expr(a).alias("a"), F.expr(b).alias("b"))) for a, b, cond in PAIRS])
+    pairs = o.select(
+        F.col("o_orderkey").alias("query_id"), F.concat(F.lit("db"), (F.col("o_custkey") % 7).cast("string")).alias("db_id"),
+        F.inline(F.filter(pair_vals, lambda x: x.isNotNull())),
+    )
     edges = spark.createDataFrame([(f"db{k}", a, d) for k in range(7) for a, _, _, d in FKS], "db_id string, a string, b string")
     spurious = G.spurious_joins(pairs, edges)
     return G.categorize(_shapes(spark, sf_dir, "g"), _shapes(spark, sf_dir, "c"), spurious)

@@ -37,7 +37,10 @@ def redact_policy(spark, sf_dir):
     counts = []
     for name in TABLES:
         df = getattr(t, name)
-        counts += [df.agg(F.lit(c.lower()).alias("pii_column"), F.count(F.col(c)).alias("n")) for c in df.columns]
+        # One aggregate per table counts every column; the row is then stacked per column.
+        agg = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        counts.append(agg.select(F.inline(F.array(*[
+            F.struct(F.lit(c.lower()).alias("pii_column"), F.col(f"n{i}").alias("n")) for i, c in enumerate(df.columns)]))))
     from functools import reduce
     from pyspark.sql import DataFrame
     n = reduce(DataFrame.unionByName, counts).groupBy("pii_column").agg(F.sum("n").cast("long").alias("n_masked"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -48,8 +47,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="arbiter-ckpt-")
     sc.setCheckpointDir(path)
     return path
-
-
-def scratch_dir(prefix: str = "arbiter-") -> str:
-    """A fresh folder for test outputs (never reused, never cleared)."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("ARBITER_SCRATCH", "/tmp"))
