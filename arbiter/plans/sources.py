@@ -230,7 +230,7 @@ def _sample_sql() -> str:
         cells = " || ', ' || ".join(
             f"coalesce(CASE WHEN length(CAST({c} AS VARCHAR)) <= 40 THEN CAST({c} AS VARCHAR) "
             f"ELSE substr(CAST({c} AS VARCHAR), 1, 40) || '…' END, 'None')" for c in cols)
-        order = ", ".join(f"{c} ASC NULLS FIRST" for c in cols[:2])
+        order = ", ".join(f"{c} ASC NULLS FIRST" for c in cols)
         parts.append(f"(SELECT '{t}' AS table_name, '{', '.join(cols)}' AS columns, "
                      f"row_number() OVER (ORDER BY {order}) AS row_no, '(' || {cells} || ')' AS row_text "
                      f"FROM {t} ORDER BY {order} LIMIT 3)")

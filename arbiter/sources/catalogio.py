@@ -60,10 +60,10 @@ def truncate_cell(c) -> F.Column:
 
 
 def sample_rows(frames: dict[str, DataFrame], n: int = SAMPLE_ROWS) -> DataFrame:
-    """First ``n`` rows per table (ordered by its leading columns), long cells cut at 40 chars + '…'."""
+    """First ``n`` rows per table (ordered by all its columns, left to right), long cells cut at 40 chars + '…'."""
     parts = []
     for name, df in frames.items():
-        order = [F.col(c).asc_nulls_first() for c in df.columns[:2]]
+        order = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns]
         cells = F.array(*[F.coalesce(truncate_cell(F.col(f"`{c}`")), F.lit("None")) for c in df.columns])
         top = df.orderBy(*order).limit(n)
         # The window spans at most n rows (after the limit).
