@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from arbiter.operators import profile as P
 from arbiter.sources.tables import Tables

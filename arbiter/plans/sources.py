@@ -237,13 +237,6 @@ def _sample_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-_SUPPLIED = "sup AS (" + " UNION ALL ".join(
-    f"SELECT '{DB}' AS db_id, '{t}.{c}' AS column_key, '{cm}' AS short, '{cm} column' AS long"
-    for t in sorted(S.STAR_SCHEMA) for c, _ in S.STAR_SCHEMA[t]
-    for cm in [("PII" if t in ("customer", "supplier") and c.endswith("_name") else
-                "PII-adjacent" if c.endswith("_acctbal") else "identifier" if c.endswith("key") else "")]
-    if cm) + ")"
-
 _REPORT = with_views(V_RUNS) + """SELECT 'v3' AS prompt_version, 'fp-base' AS prompt_fingerprint, min(model) AS model,
   'orders' AS slice_name, 3::BIGINT AS k, count(*)::BIGINT AS total,
   count(*) FILTER (WHERE NOT guard_rejected AND error IS NULL AND matches_gold AND attempts = 1)::BIGINT AS n_correct_1,
