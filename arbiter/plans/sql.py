@@ -66,7 +66,8 @@ SQL = {
         "rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rk FROM customer) WHERE rk <= 3", _SAME),
     "sql_q08_case_iif_cast": (
         "SELECT CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size, count(*) AS n, "
-        "sum(if(o_orderstatus = 'F', 1, 0)) AS finished, sum(try_cast(o_orderpriority AS INT)) AS bad_casts "
+        "CAST(sum(if(o_orderstatus = 'F', 1, 0)) AS BIGINT) AS finished, "
+        "CAST(sum(try_cast(o_orderpriority AS INT)) AS BIGINT) AS bad_casts "
         "FROM orders GROUP BY 1", _SAME),
     "sql_q09_strings": (
         "SELECT p_partkey, substr(p_name, 1, 5) AS head, instr(p_name, 'gear') AS pos, p_brand || '/' || p_type AS bt, "
