@@ -150,7 +150,7 @@ def relevant_tables(
     chosen = step.select("question_id", "ts", F.explode(final).alias("table_name"))
     return chosen.select(
         "question_id", "table_name",
-        F.element_at(F.filter("ts", lambda x: x["table_name"] == F.col("table_name")), 1)["table_ordinal"].alias("table_ordinal"),
+        F.try_element_at(F.filter("ts", lambda x: x["table_name"] == F.col("table_name")), F.lit(1))["table_ordinal"].alias("table_ordinal"),
     )
 
 

@@ -55,7 +55,7 @@ def common_prefix(a: Column, b: Column) -> Column:
     diffs = F.filter(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, 1) != F.substring(b, i, 1)
     )
-    first = F.when(n == 0, F.lit(1)).otherwise(F.coalesce(F.element_at(diffs, 1), n + 1))
+    first = F.when(n == 0, F.lit(1)).otherwise(F.coalesce(F.try_element_at(diffs, F.lit(1)), n + 1))
     return F.when(a.isNull() | b.isNull(), F.lit("")).otherwise(a.substr(F.lit(1), first - 1))
 
 
@@ -265,7 +265,7 @@ def render_column_english(profile: DataFrame, top: DataFrame | None = None) -> D
         ", ",
         F.when(F.col("is_constant_length"), F.format_string("exactly %d characters long", F.col("min_len")))
         .when(F.col("min_len").isNotNull(), F.format_string("%d–%d characters long", F.col("min_len"), F.col("max_len"))),
-        F.element_at(F.create_map(*[x for kv in _CLASS_PHRASE.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]), F.col("char_class")),
+        F.try_element_at(F.create_map(*[x for kv in _CLASS_PHRASE.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]), F.col("char_class")),
         F.when(F.col("common_prefix") != "", F.concat(F.lit("always beginning with "), q(F.col("common_prefix")))),
     )
     body = F.concat_ws(

@@ -48,11 +48,19 @@ def profile_english_customer(spark, sf_dir):
     return P.render_column_english(prof, top)
 
 
+def profile_db_all(spark, sf_dir):
+    """P9 over every column of every table (doubles and arrays included; rows-only: engines print doubles differently)."""
+    from arbiter.sources.tables import TABLES
+    t = Tables(spark, sf_dir)
+    return P.profile_db({n: getattr(t, n) for n in TABLES})
+
+
 def profile_db_small(spark, sf_dir):
     return P.profile_db({t: _frame(spark, sf_dir, t) for t in ("nation", "region", "part")})
 
 
 QUERIES = {
+    "profile_db_all": profile_db_all,
     "profile_db_small": profile_db_small,
     "profile_customer": _profile("customer"),
     "profile_orders": _profile("orders"),

@@ -94,3 +94,11 @@ def test_redact_masks_non_null_only(spark):
     assert got == [D.MASK, None]
     pol = spark.createDataFrame([("db", "  email TEXT, -- PII"), ("db", "  brand TEXT, -- PII-adjacent")], "db_id string, line string")
     assert [r["pii_column"] for r in D.policy_from_ddl(pol).collect()] == ["email"]
+
+
+def test_prefix_when_one_extreme_prefixes_the_other(spark):
+    df = spark.createDataFrame([("ab",), ("abc",), ("",)], "v string")
+    p = P.profile_table(df.filter("v <> ''"), "t").collect()[0]
+    assert p["common_prefix"] == "ab" and p["char_class"] == "alpha"
+    q = P.profile_table(df, "t").collect()[0]
+    assert q["common_prefix"] == "" and q["char_class"] == "mixed"
