@@ -59,3 +59,15 @@ def test_oracle_matches(spark, name):
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == sorted(sdf.columns)
     assert _norm(srows, sdf.columns) == _norm(cur.fetchall(), dcols)
+
+
+@pytest.mark.parametrize("name,schema,pushed", [
+    ("sql_pq09_filtered_sum", "struct<l_extendedprice:double,l_returnflag:string>", "EqualTo(l_returnflag,R)"),
+    ("audit_guard", "struct<o_orderkey:bigint,o_orderstatus:string>", None),
+])
+def test_scans_are_pruned_and_filtered(spark, name, schema, pushed):
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    assert scans and all(f"ReadSchema: {schema}" in line for line in scans)
+    if pushed:
+        assert all(pushed in line for line in scans)
