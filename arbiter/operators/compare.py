@@ -196,6 +196,7 @@ def _prepare(
     question_col: str,
     pos_col: str,
     needs_order_flag: bool,
+    order_flag: bool | None = None,
 ) -> Side:
     values = tuple(values) if values is not None else tuple(c for c in df.columns if c not in (question_col, pos_col))
     out = df.select(
@@ -204,7 +205,9 @@ def _prepare(
         *[F.col(c) for c in values],
     )
     if needs_order_flag:
-        if questions is not None and "order_significant" in questions.columns:
+        if order_flag is not None:  # one flag for every question: no join
+            out = out.withColumn("order_significant", F.lit(order_flag))
+        elif questions is not None and "order_significant" in questions.columns:
             # One row per question: AQE broadcasts it when its runtime size is
             # small and falls back to a skew-aware sort-merge join otherwise.
             flags = questions.select(
@@ -216,6 +219,42 @@ def _prepare(
     return Side(out, values)
 
 
+def _per_row(g: Side, c: Side) -> DataFrame:
+    """(question_id, row_pos, cells, ng, nc, dedupe): side counts per canonical row."""
+    if len(g.values) == len(c.values):
+        gt = {f.name: f.dataType for f in g.df.schema.fields}
+        ct = {f.name: f.dataType for f in c.df.schema.fields}
+        targets = [_unify(_kind(gt[a]), _kind(ct[b])) for a, b in zip(g.values, c.values, strict=True)]
+        gc, cc = _cells(g, targets), _cells(c, targets)
+    else:  # different widths never match; compare as text arrays of different sizes
+        gc, cc = _text_cells(g), _text_cells(c)
+    long = gc.withColumn("side_g", F.lit(1)).withColumn("side_c", F.lit(0)).unionByName(
+        cc.withColumn("side_g", F.lit(0)).withColumn("side_c", F.lit(1))
+    )
+    return long.groupBy("question_id", "row_pos", "cells").agg(
+        F.sum("side_g").alias("ng"), F.sum("side_c").alias("nc"), F.max("dedupe").alias("dedupe")
+    )
+
+
+def _mismatch():
+    """Per canonical row: presence differs (set rule) or counts differ (multiset/ordered)."""
+    return F.when(F.col("dedupe"), (F.col("ng") > 0) != (F.col("nc") > 0)).otherwise(F.col("ng") != F.col("nc"))
+
+
+def _verdict_columns(rules: Sequence[str]) -> list:
+    correct = ~F.coalesce(F.col("_mis"), F.lit(False))
+    return [
+        correct.alias("correct"),
+        F.when(correct & (F.coalesce(F.col("n_gold_rows"), F.lit(0)) == 0), F.lit(REASON_EMPTY))
+        .when(correct, F.lit(REASON_MATCH))
+        .otherwise(F.lit(REASON_DIFFER))
+        .alias("reason"),
+        F.lit(",".join(rules)).alias("applied_rules"),
+        F.coalesce(F.col("n_gold_rows"), F.lit(0)).cast("long").alias("n_gold_rows"),
+        F.coalesce(F.col("n_cand_rows"), F.lit(0)).cast("long").alias("n_cand_rows"),
+    ]
+
+
 def compare_results(
     gold: DataFrame,
     cand: DataFrame,
@@ -241,39 +280,10 @@ def compare_results(
     needs_flag = "order_insensitive" in rules
     g = apply_rules(_prepare(gold, gold_values, questions, question_col, pos_col, needs_flag), rules)
     c = apply_rules(_prepare(cand, cand_values, questions, question_col, pos_col, needs_flag), rules)
-    if len(g.values) == len(c.values):
-        gt = {f.name: f.dataType for f in g.df.schema.fields}
-        ct = {f.name: f.dataType for f in c.df.schema.fields}
-        targets = [_unify(_kind(gt[a]), _kind(ct[b])) for a, b in zip(g.values, c.values, strict=True)]
-        gc, cc = _cells(g, targets), _cells(c, targets)
-    else:  # different widths never match; compare as text arrays of different sizes
-        gc, cc = _text_cells(g), _text_cells(c)
-    long = gc.withColumn("side_g", F.lit(1)).withColumn("side_c", F.lit(0)).unionByName(
-        cc.withColumn("side_g", F.lit(0)).withColumn("side_c", F.lit(1))
-    )
-    per_row = long.groupBy("question_id", "row_pos", "cells").agg(
-        F.sum("side_g").alias("ng"), F.sum("side_c").alias("nc"), F.max("dedupe").alias("dedupe")
-    )
-    mismatch = F.when(F.col("dedupe"), (F.col("ng") > 0) != (F.col("nc") > 0)).otherwise(F.col("ng") != F.col("nc"))
-    per_q = per_row.groupBy("question_id").agg(
-        F.max(mismatch).alias("_mis"), F.sum("ng").alias("n_gold_rows"), F.sum("nc").alias("n_cand_rows")
-    )
-    correct = ~F.coalesce(F.col("_mis"), F.lit(False))
-    return (
-        questions.select("question_id")
-        .join(per_q, "question_id", "left")
-        .select(
-            "question_id",
-            correct.alias("correct"),
-            F.when(correct & (F.coalesce(F.col("n_gold_rows"), F.lit(0)) == 0), F.lit(REASON_EMPTY))
-            .when(correct, F.lit(REASON_MATCH))
-            .otherwise(F.lit(REASON_DIFFER))
-            .alias("reason"),
-            F.lit(",".join(rules)).alias("applied_rules"),
-            F.coalesce(F.col("n_gold_rows"), F.lit(0)).cast("long").alias("n_gold_rows"),
-            F.coalesce(F.col("n_cand_rows"), F.lit(0)).cast("long").alias("n_cand_rows"),
-        )
+    per_q = _per_row(g, c).groupBy("question_id").agg(
+        F.max(_mismatch()).alias("_mis"), F.sum("ng").alias("n_gold_rows"), F.sum("nc").alias("n_cand_rows")
     )
+    return questions.select("question_id").join(per_q, "question_id", "left").select("question_id", *_verdict_columns(rules))
 
 
 def compare_frames(
@@ -291,8 +301,6 @@ def compare_frames(
     significant, ``gold_order``/``cand_order`` give each side's ORDER BY and
     rows are positioned by a distributed range sort.
     """
-    spark = gold.sparkSession
-
     def positioned(df: DataFrame, order: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
         values = [f"_v{i}" for i in range(len(df.columns))]
         renamed = df.toDF(*values)
@@ -305,10 +313,18 @@ def compare_frames(
 
     g, gv = positioned(gold, gold_order)
     c, cv = positioned(cand, cand_order)
-    questions = spark.range(1).select(
-        F.col("id").alias("question_id"), F.lit(order_significant).alias("order_significant")
+    rules = tuple(rules)
+    for name in rules:
+        if name not in _RULES:
+            raise ValueError(f"unknown canonicalization rule: {name!r}")
+    needs_flag = "order_insensitive" in rules
+    gs = apply_rules(_prepare(g, gv, None, "question_id", "row_pos", needs_flag, order_significant), rules)
+    cs = apply_rules(_prepare(c, cv, None, "question_id", "row_pos", needs_flag, order_significant), rules)
+    # A global aggregate always yields exactly one row, also for two empty inputs.
+    agg = _per_row(gs, cs).agg(
+        F.max(_mismatch()).alias("_mis"), F.sum("ng").alias("n_gold_rows"), F.sum("nc").alias("n_cand_rows")
     )
-    return compare_results(g, c, questions, rules, gold_values=gv, cand_values=cv).drop("question_id")
+    return agg.select(*_verdict_columns(rules))
 
 
 def rescore(strict: DataFrame, lenient: DataFrame, scored: DataFrame | None = None) -> DataFrame:

@@ -325,10 +325,15 @@ def run_report(results: DataFrame, version: Column, fingerprint: Column, slice_n
 
 
 def report_delta(base: DataFrame, head: DataFrame) -> DataFrame:
-    """Δpass@1, Δpass@k, verdict, same-fingerprint noise flag and grain (1/n)."""
-    b = base.select([F.col(c).alias(f"b_{c}") for c in base.columns])
-    h = head.select([F.col(c).alias(f"h_{c}") for c in head.columns])
-    j = b.join(h, F.col("b_slice_name") == F.col("h_slice_name"))
+    """Δpass@1, Δpass@k, verdict, same-fingerprint noise flag and grain (1/n).
+
+    Both reports are one row each: tagged, stacked and folded by one global
+    aggregate (no join).
+    """
+    cols = ["prompt_fingerprint", "total", "n_correct_1", "n_correct_k"]
+    both = base.select(F.lit("b").alias("_s"), *cols).unionByName(head.select(F.lit("h").alias("_s"), *cols))
+    pick = lambda side, c: F.max(F.when(F.col("_s") == side, F.col(c))).alias(f"{side}_{c}")
+    j = both.agg(*[pick(side, c) for side in ("b", "h") for c in cols])
     p = lambda n, t: _ratio(F.col(n), F.col(t))
     d1 = p("h_n_correct_1", "h_total") - p("b_n_correct_1", "b_total")
     dk = p("h_n_correct_k", "h_total") - p("b_n_correct_k", "b_total")

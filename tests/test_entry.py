@@ -25,7 +25,8 @@ def test_every_query_has_an_oracle_or_is_declared_rows_only():
 
 
 @pytest.mark.parametrize("name", ["cmp_strict", "vote_outcome", "schema_relevant", "value_findings", "audit_taxonomy",
-                                  "profile_top_orders", "slice_wide"])
+                                  "profile_top_orders", "slice_wide", "cmp_pair_multiset", "cmp_pair_ordered",
+                                  "runs_prompt_delta"])
 def test_plans_have_no_python_udf_or_cartesian(spark, name):
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     for bad in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
