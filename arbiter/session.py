@@ -33,10 +33,11 @@ def local_session(
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only when unset.
+    """Return the cluster's checkpoint folder; a scratch one only in a local session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is always
-    respected.  Only a bare local session (tests) gets a fresh scratch folder.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver and
+    all executors share; without it this raises.  Only a ``local`` session
+    (tests, bench), which has no other machines, gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="arbiter-ckpt-")
     sc.setCheckpointDir(path)
     return path
