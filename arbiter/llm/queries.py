@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from arbiter.llm import mixing, pii, url_filter
+from arbiter.llm import jaccard_join, mixing, pii, quality_rules, token_count, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_token_counts": token_count.op4_token_counts,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
+    "op2_quality_rules": quality_rules.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
 }
