@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbiter.llm import jaccard_join, mixing, pii, quality_rules, token_count, url_filter
+from arbiter.llm import jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": token_count.op4_token_counts,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_pii": pii.op10_pii,
 }
 
