@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from arbiter.llm import jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_count, url_filter
+from arbiter.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_count.op4_token_counts,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
