@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbiter.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, suffix_dedup, token_count, url_filter
+from arbiter.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, quote_threads, suffix_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_quote_threads": quote_threads.op9_quote_threads,
     "op10_pii": pii.op10_pii,
 }
 
@@ -19,4 +20,5 @@ ORACLES = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op9_quote_threads": quote_threads.ORACLE,
 }
