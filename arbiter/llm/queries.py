@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbiter.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, quote_threads, suffix_dedup, token_count, url_filter
+from arbiter.llm import decontaminate, jaccard_join, line_crf, mixing, pii, quality_rules, quote_threads, suffix_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": token_count.op4_token_counts,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
+    "op7_line_crf": line_crf.op7_line_crf,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quote_threads": quote_threads.op9_quote_threads,
     "op10_pii": pii.op10_pii,
