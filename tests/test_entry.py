@@ -18,7 +18,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    qs, orc = E.queries(), E.oracle_sql()
+    from arbiter.plans import all_oracles, all_queries
+
+    qs, orc = all_queries(), all_oracles()
     rows_only = set(qs) - set(orc)
     assert rows_only <= {"profile_english_customer", "log_stage_latency", "src_descriptions_fused", "profile_db_all"}
     assert set(orc) <= set(qs)
