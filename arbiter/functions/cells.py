@@ -2,10 +2,11 @@
 
 The rules mirror how a Python comparator sees driver values:
 
-* numbers compare by value across types (``1 == 1.0 == Decimal(1)``), so every
-  numeric cell becomes a DOUBLE first; whole values print as integers;
+* numbers compare by value across types (``1 == 1.0 == Decimal(1)``): every
+  numeric cell prints as its exact decimal value without trailing zeros, so no
+  digit of a long or a decimal is lost on the way through a double;
 * ``float_tolerance`` rounds float/double/decimal cells half-even to 6 places
-  (``bround``); integer cells are untouched;
+  (``bround``, decimals as decimals); integer cells are untouched;
 * NULL becomes a tag distinct from every value (``null_sentinel``): values are
   prefixed ``V`` and NULL is ``N``.
 """
@@ -23,13 +24,74 @@ VALUE_TAG = "V"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
-_LONG_LIMIT = 9.2e18
+# Doubles in between have a plain decimal form of at most 38 digits.
+_LEAST_PLAIN, _MOST_PLAIN = 1e-6, 1e19
+_EXACT = T.DecimalType(38, 18)
+#: One cell of a result of any width: a kind and one slot per way to compare.
+CELL_FIELDS = ("kind", "dec", "dbl", "txt")
 
 
-def _number_text(x: Column) -> Column:
-    """Text of a DOUBLE that prints whole numbers as integers (1.0 -> '1')."""
-    whole = (x == F.floor(x)) & (F.abs(x) < F.lit(_LONG_LIMIT))
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+def is_cells(dtype: T.DataType) -> bool:
+    """Whether a column holds rows as ``result_cells`` writes them."""
+    return isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType) and tuple(dtype.elementType.names) == CELL_FIELDS
+
+
+def _stripped(text: Column) -> Column:
+    """Plain decimal text without trailing zeros of its fraction."""
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def number_text(c: Column, dtype: T.DataType) -> Column:
+    """The exact value of a number as text: equal for 1, 1.0 and Decimal('1.00'), different for numbers that differ in any digit."""
+    if isinstance(dtype, _INTEGRAL):
+        return c.cast("string")
+    if isinstance(dtype, T.DecimalType):
+        return _stripped(c.cast("string"))
+    x = c.cast("double")
+    size = F.abs(x)
+    whole = (x == F.rint(x)) & (size < F.lit(1e38))
+    plain = F.when(whole & (size < F.lit(_MOST_PLAIN)), x.cast("decimal(38,0)").cast("string"))
+    plain = plain.when((size >= F.lit(_LEAST_PLAIN)) & (size < F.lit(_MOST_PLAIN)), _stripped(x.cast("string").try_cast(_EXACT).cast("string")))
+    return F.coalesce(plain, x.cast("string"))
+
+
+def rounded(c: Column, dtype: T.DataType) -> Column:
+    """``float_tolerance`` of one cell; decimals stay decimals."""
+    if isinstance(dtype, T.DecimalType):
+        return F.bround(c, FLOAT_DECIMALS) if dtype.scale > FLOAT_DECIMALS else c
+    if isinstance(dtype, _FRACTIONAL):
+        return F.bround(c.cast("double"), FLOAT_DECIMALS)
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, _FRACTIONAL):
+        return F.transform(c, lambda x: rounded(x, dtype.elementType))
+    if is_cells(dtype):
+        return F.transform(c, lambda x: x.withField("dec", F.bround(x["dec"], FLOAT_DECIMALS).cast(_EXACT)).withField("dbl", F.bround(x["dbl"], FLOAT_DECIMALS)))
+    return c
+
+
+def result_cells(df: DataFrame, value_cols: list[str]) -> Column:
+    """The row as ``ARRAY<STRUCT<kind, dec, dbl, txt>>``: results of any width and types fit in one column of a batch."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+
+    def cell(c: str) -> Column:
+        dt, v = types[c], F.col(f"`{c}`")
+        none = {"dec": F.lit(None).cast(_EXACT), "dbl": F.lit(None).cast("double"), "txt": F.lit(None).cast("string")}
+        if isinstance(dt, _INTEGRAL) or (isinstance(dt, T.DecimalType) and dt.scale <= 18 and dt.precision - dt.scale <= 20):
+            kind, none["dec"] = "num", v.cast(_EXACT)
+        elif isinstance(dt, (T.FloatType, T.DoubleType)):
+            kind, none["dbl"] = "num", v.cast("double")
+        elif isinstance(dt, T.DecimalType):
+            kind, none["txt"] = "num", number_text(v, dt)
+        else:
+            kind, none["txt"] = dt.simpleString(), cell_text(v, dt, float_tolerance=False)
+        return F.struct(F.when(v.isNotNull(), F.lit(kind)).alias("kind"), *(none[k].alias(k) for k in ("dec", "dbl", "txt")))
+
+    return F.array(*[cell(c) for c in value_cols])
+
+
+def comparable_cells(cells: Column) -> Column:
+    """``ARRAY<STRING>`` of a ``result_cells`` array: kind and exact value, NULL apart from every value."""
+    value = lambda x: F.coalesce(number_text(x["dec"], _EXACT), number_text(x["dbl"], T.DoubleType()), x["txt"])
+    return F.transform(cells, lambda x: F.when(x["kind"].isNull(), F.lit(NULL_TAG)).otherwise(F.concat(F.lit(VALUE_TAG), x["kind"], F.lit(":"), value(x))))
 
 
 def cell_text(c: Column, dtype: T.DataType, float_tolerance: bool = True) -> Column:
@@ -37,10 +99,7 @@ def cell_text(c: Column, dtype: T.DataType, float_tolerance: bool = True) -> Col
     if isinstance(dtype, _INTEGRAL):
         return c.cast("string")
     if isinstance(dtype, _FRACTIONAL):
-        x = c.cast("double")
-        if float_tolerance:
-            x = F.bround(x, FLOAT_DECIMALS)
-        return _number_text(x)
+        return number_text(rounded(c, dtype) if float_tolerance else c, dtype)
     if isinstance(dtype, T.BinaryType):
         return F.hex(c)
     if isinstance(dtype, (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -52,8 +111,3 @@ def tagged(text: Column) -> Column:
     """``null_sentinel``: NULL equals only NULL, never '', 0 or 'None'."""
     return F.when(text.isNull(), F.lit(NULL_TAG)).otherwise(F.concat(F.lit(VALUE_TAG), text))
 
-
-def cells_column(df: DataFrame, value_cols: list[str], float_tolerance: bool = True) -> Column:
-    """``ARRAY<STRING>`` of canonical cells, in column position order (labels dropped)."""
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    return F.array(*[tagged(cell_text(F.col(c), fields[c], float_tolerance)) for c in value_cols])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbiter.functions.cells import FLOAT_DECIMALS, cell_text, tagged
+from arbiter.functions.cells import cell_text, comparable_cells, is_cells, number_text, rounded, tagged
 from arbiter.operators.order import dense_position
 
 # Reasons and rule presets (fixed values).
@@ -48,7 +48,6 @@ class Side:
 
     df: DataFrame
     values: tuple[str, ...]
-    tagged_nulls: bool = False
     dedupe: bool = False
 
 
@@ -84,24 +83,23 @@ def _column_position(side: Side) -> Side:
     for old, new in zip(side.values, renamed, strict=True):
         if old != new:
             df = df.withColumnRenamed(old, new)
-    return Side(df, renamed, side.tagged_nulls, side.dedupe)
+    return Side(df, renamed, side.dedupe)
 
 
 @register_rule("null_sentinel")
 def _null_sentinel(side: Side) -> Side:
-    """All NULLs equal each other and nothing else (applied when cells are built)."""
-    return Side(side.df, side.values, True, side.dedupe)
+    """All NULLs equal each other and nothing else: grouping on typed cells does so, and text cells tag NULL."""
+    return side
 
 
 @register_rule("float_tolerance")
 def _float_tolerance(side: Side) -> Side:
-    """Round float/double/decimal cells half-even to 6 places; others untouched."""
+    """Round float/double/decimal cells half-even to 6 places, also inside arrays; others untouched."""
     types = {f.name: f.dataType for f in side.df.schema.fields}
     df = side.df
     for c in side.values:
-        if isinstance(types[c], (T.FloatType, T.DoubleType, T.DecimalType)):
-            df = df.withColumn(c, F.bround(F.col(c).cast("double"), FLOAT_DECIMALS))
-    return Side(df, side.values, side.tagged_nulls, side.dedupe)
+        df = df.withColumn(c, rounded(F.col(c), types[c]))
+    return Side(df, side.values, side.dedupe)
 
 
 @register_rule("order_insensitive")
@@ -110,13 +108,13 @@ def _order_insensitive(side: Side) -> Side:
     df = side.df.withColumn(
         "row_pos", F.when(F.coalesce(F.col("order_significant"), F.lit(False)), F.col("row_pos"))
     )
-    return Side(df, side.values, side.tagged_nulls, side.dedupe)
+    return Side(df, side.values, side.dedupe)
 
 
 @register_rule("set")
 def _set(side: Side) -> Side:
     """Duplicates collapse and order is ignored (always)."""
-    return Side(side.df.withColumn("row_pos", F.lit(None).cast("long")), side.values, side.tagged_nulls, True)
+    return Side(side.df.withColumn("row_pos", F.lit(None).cast("long")), side.values, True)
 
 
 def apply_rules(side: Side, rules: Sequence[str]) -> Side:
@@ -136,17 +134,21 @@ _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 def _kind(dt: T.DataType) -> str:
     if isinstance(dt, _INTEGRAL):
         return "long"
-    if isinstance(dt, _FRACTIONAL):
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         return "double"
     return dt.simpleString()
 
 
+def _numeric(kind: str) -> bool:
+    return kind in ("long", "double") or kind.startswith("decimal")
+
+
 def _unify(a: str, b: str) -> str:
-    """Common comparison type of one position: numbers compare by value, else same type or text."""
+    """Common comparison type of one position: numbers of different types compare by exact value, else same type or text."""
     if a == b:
         return a
-    if {a, b} <= {"long", "double"}:
-        return "double"
+    if _numeric(a) and _numeric(b):
+        return "number"
     return "text"
 
 
@@ -162,9 +164,13 @@ def _cells(side: Side, targets: Sequence[str] | None = None) -> DataFrame:
     fields = []
     for i, (c, target) in enumerate(zip(side.values, targets, strict=True)):
         col = F.col(c)
-        if target == "text":
+        if is_cells(types[c]):
+            e = comparable_cells(col)
+        elif target == "number":
+            e = number_text(col, types[c])
+        elif target == "text":
             # Values of different kinds never compare equal ('1' is not 1); NULL stays NULL.
-            kind = "num" if _kind(types[c]) in ("long", "double") else _kind(types[c])
+            kind = "num" if _numeric(_kind(types[c])) else _kind(types[c])
             e = F.concat(F.lit(kind + ":"), cell_text(col, types[c], float_tolerance=False))
         elif target in ("long", "double"):
             e = col.cast(target)
@@ -362,20 +368,10 @@ def verify_gold(
 ) -> DataFrame:
     """Gold verification (R12): labels and ordered rows must equal the stored gold.
 
-    Whole decimals are normalized to integers on both sides before the ordered
-    compare; labels come from the two schemas.
+    Numbers compare by exact value whatever their types, so whole decimals
+    equal integers; labels come from the two schemas.
     """
-
-    def norm(df: DataFrame) -> DataFrame:
-        types = {f.name: f.dataType for f in df.schema.fields}
-        for v in values:
-            if isinstance(types[v], T.DecimalType):
-                df = df.withColumn(
-                    v, F.when(F.col(v) == F.floor(F.col(v)), F.col(v).cast("bigint").cast("double")).otherwise(F.col(v).cast("double"))
-                )
-        return df
-
-    rows = compare_results(norm(expected), norm(actual), questions, ("column_position", "exact"), gold_values=values, cand_values=values)
+    rows = compare_results(expected, actual, questions, ("column_position", "exact"), gold_values=values, cand_values=values)
     labels_ok = list(expected_labels) == list(actual_labels)
     return rows.select(
         "question_id",

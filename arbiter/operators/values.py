@@ -1,9 +1,9 @@
 """Value index and literal steering.
 
-The index maps each normalized value to the ``table.column`` keys whose
-bounded sample holds it.  Each column contributes at most ``sample`` distinct
-values (the smallest, for determinism), so the whole index has a proven size
-bound of columns x sample rows and can be broadcast into the literal checks.
+The index maps each normalized value to the ``table.column`` keys that hold
+it: every distinct value of every column, since a literal that is not in the
+index is taken not to occur.  It grows with the data, so the literal checks
+meet it in equi-joins on the value, and adaptive execution picks their kind.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.operators.profile import distinct_values, top_n_per_group
+from arbiter.operators.profile import distinct_values
 
 # Fixed values.
-DEFAULT_VALUE_SAMPLE = 1000
-MAX_VALUE_LEN = 120
 WHITESPACE_EDGES = r"^\s+|\s+$"
 
 
@@ -32,14 +30,12 @@ def column_key(table: Column, column: Column) -> Column:
 
 def build_value_index(
     frames: dict[str, DataFrame],
-    sample: int = DEFAULT_VALUE_SAMPLE,
-    max_len: int = MAX_VALUE_LEN,
     redact: Iterable[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """L2: (value_index(value_norm, column_key), indexed_columns(column_key)).
 
-    Up to ``sample`` distinct non-null values per column, values longer than
-    ``max_len`` dropped after sampling, PII columns skipped entirely (D4).
+    All distinct non-null values of each column; PII columns are skipped
+    entirely (D4).
     """
     hidden = {r.casefold() for r in redact}
     spark = next(iter(frames.values())).sparkSession
@@ -51,9 +47,7 @@ def build_value_index(
         if cols:
             kept[name] = df.select(*[F.col(f"`{c}`") for c in cols])
     vals = distinct_values(kept).select("table_name", "column_name", "value")
-    sampled = top_n_per_group(vals, ["table_name", "column_name"], [F.asc("value")], sample,
-                              bucket_key=F.xxhash64("value"))
-    index = sampled.filter(F.length("value") <= max_len).select(
+    index = vals.select(
         normalize_value(F.col("value")).alias("value_norm"),
         column_key(F.col("table_name"), F.col("column_name")).alias("column_key"),
     ).distinct()
@@ -62,10 +56,12 @@ def build_value_index(
 
 
 def columns_containing(index: DataFrame, lookups: DataFrame, value_col: str = "value") -> DataFrame:
-    """L3: for each lookup row, the sorted keys of columns whose sample holds the value."""
+    """L3: for each lookup row, the sorted keys of the columns that hold the value."""
     probe = lookups.withColumn("_v", normalize_value(F.col(value_col)))
-    holders = index.groupBy("value_norm").agg(F.array_sort(F.collect_set("column_key")).alias("holders"))
-    return probe.join(F.broadcast(holders), probe["_v"] == holders["value_norm"], "left").drop("_v", "value_norm").withColumn(
+    # Only the values looked up are gathered; a value has at most one key per column.
+    wanted = index.join(probe.select(F.col("_v").alias("value_norm")).distinct(), "value_norm", "left_semi")
+    holders = wanted.groupBy("value_norm").agg(F.array_sort(F.collect_set("column_key")).alias("holders"))
+    return probe.join(holders, probe["_v"] == holders["value_norm"], "left").drop("_v", "value_norm").withColumn(
         "holders", F.coalesce(F.col("holders"), F.array().cast("array<string>"))
     )
 
@@ -75,7 +71,7 @@ def resolve_bindings(bindings: DataFrame, aliases: DataFrame, query_tables: Data
 
     A qualified column resolves its qualifier through the query's alias map
     (unknown qualifier = a table name); a bare column maps to every table of
-    the query.  Keys the index never sampled are dropped (unknown, never steered).
+    the query.  Keys that are not indexed are dropped (unknown, never steered).
     """
     b = bindings.withColumn("_q", F.lower(F.col("qualifier"))).withColumn("_c", F.lower(F.col("column_name")))
     a = aliases.select("query_id", F.lower("alias").alias("_q"), F.lower("table_name").alias("_t"))
@@ -93,7 +89,7 @@ def resolve_bindings(bindings: DataFrame, aliases: DataFrame, query_tables: Data
     )
     written = F.when(F.col("_q").isNotNull() & (F.col("_q") != ""), F.concat(F.col("qualifier"), F.lit("."), F.col("column_name"))).otherwise(F.col("column_name"))
     both = qualified.unionByName(bare).withColumn("written", written)
-    return both.join(F.broadcast(indexed), both["key"] == indexed["column_key"], "left_semi").select(
+    return both.join(indexed, both["key"] == indexed["column_key"], "left_semi").select(
         "query_id", "binding_id", "written", "literal", "key"
     )
 
@@ -101,18 +97,19 @@ def resolve_bindings(bindings: DataFrame, aliases: DataFrame, query_tables: Data
 def check_literals(resolved: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, literal, constrained_column, candidate_columns) for off-column literals.
 
-    Fires iff the bound column was sampled, none of its keys holds the literal,
+    Fires iff the bound column is indexed, none of its keys holds the literal,
     and another column does; deduplicated on (query, written column, literal).
     """
     r = resolved.withColumn("_v", normalize_value(F.col("literal")))
-    idx = F.broadcast(index)
-    on_key = r.join(idx, (r["_v"] == idx["value_norm"]) & (r["key"] == idx["column_key"]), "left_semi").select(
+    on_key = r.join(index, (r["_v"] == index["value_norm"]) & (r["key"] == index["column_key"]), "left_semi").select(
         "query_id", "binding_id"
     ).distinct()
     keys = r.groupBy("query_id", "binding_id", "written", "literal", "_v").agg(F.collect_set("key").alias("keys"))
     off = keys.join(on_key, ["query_id", "binding_id"], "left_anti")
-    holders = index.groupBy("value_norm").agg(F.collect_set("column_key").alias("holders"))
-    j = off.join(F.broadcast(holders), off["_v"] == holders["value_norm"])
+    # A literal that many queries share meets its holders once, before the queries are joined back.
+    wanted = index.join(off.select(F.col("_v").alias("value_norm")).distinct(), "value_norm", "left_semi")
+    holders = wanted.groupBy("value_norm").agg(F.collect_set("column_key").alias("holders"))
+    j = off.join(holders, off["_v"] == holders["value_norm"])
     cands = F.array_sort(F.array_except(F.col("holders"), F.col("keys")))
     found = j.select(
         "query_id", "binding_id", "literal", F.col("written").alias("constrained_column"), cands.alias("candidate_columns")

@@ -35,8 +35,11 @@ def candidate_fingerprints(
         tuple(values),
     )
     cells = _cells(apply_rules(side, rules))
-    h1 = F.xxhash64("cells").cast("decimal(38,0)")
-    h2 = F.xxhash64(F.lit("arbiter-fp"), "cells").cast("decimal(38,0)")
+    # xxhash64 passes over NULL, so each field is hashed with a flag: (1, NULL) and (NULL, 1) stay apart.
+    fields = [F.col(f"cells.{f.name}") for f in cells.schema["cells"].dataType.fields]
+    flagged = [x for f in fields for x in (f.isNull(), f)]
+    h1 = F.xxhash64(F.lit(len(fields)), *flagged).cast("decimal(38,0)")
+    h2 = F.xxhash64(F.lit("arbiter-fp"), *flagged).cast("decimal(38,0)")
     per = cells.groupBy("question_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(h1).alias("s1"), F.sum(h2).alias("s2")
     ).select(

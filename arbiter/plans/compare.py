@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbiter.functions.cells import result_cells
 from arbiter.operators import compare as R
 from arbiter.plans.sqlviews import V_CAND, V_GOLD, V_GOLD_Q, with_views
 from arbiter.sources import fixtures as fx
@@ -46,6 +47,47 @@ def cmp_gold_verify(spark, sf_dir):
     return R.verify_gold(gold, actual, q, gold.columns[2:], actual.columns[2:], ["c0", "c1", "c2"])
 
 
+def cmp_gold_verify_changed(spark, sf_dir):
+    """Every third question's stored flags come back in other case: these rows must not verify."""
+    gold, _, q = _inputs(spark, sf_dir)
+    actual = gold.withColumn("c1", F.when(F.col("question_id") % 3 == 0, F.lower("c1")).otherwise(F.col("c1")))
+    return R.verify_gold(gold, actual, q, gold.columns[2:], actual.columns[2:], ["c0", "c1", "c2"])
+
+
+def cmp_gold_verify_renamed(spark, sf_dir):
+    """Equal rows under another label: nothing verifies."""
+    gold, _, q = _inputs(spark, sf_dir)
+    return R.verify_gold(gold, gold, q, gold.columns[2:], ["c0", "c1", "price"], ["c0", "c1", "c2"])
+
+
+def _mixed(spark, sf_dir):
+    """Six questions of one to two columns and different types: (gold, candidate) in one batch of cell arrays."""
+    t = Tables(spark, sf_dir)
+    high = F.lit("12345678901234567890.12").cast("decimal(22,2)")
+    shown = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey"))
+    pairs = [
+        (t.nation.select("n_name"), t.nation.select("n_name")),
+        (t.customer.select("c_custkey", "c_acctbal"), t.customer.select("c_custkey", F.col("c_acctbal").cast("decimal(18,2)"))),
+        (t.orders.select((F.col("o_orderkey") + 9007199254740992).alias("k")), t.orders.select((F.col("o_orderkey") + 9007199254740993).cast("decimal(20,0)").alias("k"))),
+        (t.part.select("p_partkey", shown.alias("s")), t.part.select(shown.alias("s"), "p_partkey")),
+        (t.supplier.select((high + F.col("s_suppkey")).alias("v")), t.supplier.select((high + F.col("s_suppkey") + F.lit("0.05").cast("decimal(3,2)")).alias("v"))),
+        (t.region.select("r_regionkey", (F.lit(0.1) + F.lit(0.2)).alias("x")), t.region.select("r_regionkey", F.lit(0.3).alias("x"))),
+    ]
+    sides = []
+    for side in (0, 1):
+        frames = [p[side].select(F.lit(i + 1).cast("long").alias("question_id"), F.lit(None).cast("long").alias("row_pos"), result_cells(p[side], p[side].columns).alias("cells")) for i, p in enumerate(pairs)]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f)
+        sides.append(out)
+    return sides[0], sides[1], spark.range(1, len(pairs) + 1).select(F.col("id").alias("question_id"))
+
+
+def cmp_mixed_width(spark, sf_dir):
+    gold, cand, q = _mixed(spark, sf_dir)
+    return R.compare_results(gold, cand, q, R.DEFAULT_RULES, gold_values=["cells"], cand_values=["cells"]).select(OUT)
+
+
 def _segment_frames(spark, sf_dir):
     t = Tables(spark, sf_dir)
     gold = (
@@ -53,11 +95,10 @@ def _segment_frames(spark, sf_dir):
         .groupBy("c_mktsegment")
         .agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"))
     )
-    t.orders.createOrReplaceTempView("_cmp_orders")
-    t.customer.createOrReplaceTempView("_cmp_customer")
     cand = spark.sql(
         "SELECT c.c_mktsegment AS segment, sum(o.o_totalprice) + 1e-9 AS value, count(*) AS orders "
-        "FROM _cmp_customer c JOIN _cmp_orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment"
+        "FROM {customer} c JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_mktsegment",
+        customer=t.customer, orders=t.orders,
     )
     return gold, cand
 
@@ -94,6 +135,9 @@ QUERIES = {
     "cmp_ordered": cmp_ordered,
     "cmp_rescore": cmp_rescore,
     "cmp_gold_verify": cmp_gold_verify,
+    "cmp_gold_verify_changed": cmp_gold_verify_changed,
+    "cmp_gold_verify_renamed": cmp_gold_verify_renamed,
+    "cmp_mixed_width": cmp_mixed_width,
     "cmp_pair_multiset": cmp_pair_multiset,
     "cmp_pair_ordered": cmp_pair_ordered,
 }
@@ -154,6 +198,35 @@ _GOLD_VERIFY = (
     + """SELECT question_id, true AS labels_match, true AS rows_match, true AS verified FROM v_gold_q"""
 )
 
+_GOLD_VERIFY_CHANGED = (
+    _VIEWS
+    + """SELECT question_id, true AS labels_match,
+  NOT EXISTS (SELECT 1 FROM v_gold g WHERE g.question_id = q.question_id AND q.question_id % 3 = 0 AND lower(c1) <> c1) AS rows_match,
+  NOT EXISTS (SELECT 1 FROM v_gold g WHERE g.question_id = q.question_id AND q.question_id % 3 = 0 AND lower(c1) <> c1) AS verified
+FROM v_gold_q q"""
+)
+_GOLD_VERIFY_RENAMED = _VIEWS + "SELECT question_id, false AS labels_match, true AS rows_match, false AS verified FROM v_gold_q"
+
+
+def _differ(a: str, b: str) -> str:
+    return f"((SELECT count(*) FROM ({a} EXCEPT ALL {b})) + (SELECT count(*) FROM ({b} EXCEPT ALL {a})) > 0)"
+
+
+_MIXED_SIDES = [
+    ("nation", "SELECT n_name FROM nation", "SELECT n_name FROM nation"),
+    ("customer", "SELECT c_custkey, round_even(c_acctbal, 6) FROM customer", "SELECT c_custkey, c_acctbal::DECIMAL(18,2)::DOUBLE FROM customer"),
+    ("orders", "SELECT o_orderkey + 9007199254740992 FROM orders", "SELECT o_orderkey + 9007199254740993 FROM orders"),
+    ("part", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey END FROM part", "SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey END, p_partkey FROM part"),
+    ("supplier", "SELECT 12345678901234567890.12::DECIMAL(38,2) + s_suppkey FROM supplier", "SELECT 12345678901234567890.17::DECIMAL(38,2) + s_suppkey FROM supplier"),
+    ("region", "SELECT r_regionkey, round_even(0.1::DOUBLE + 0.2::DOUBLE, 6) FROM region", "SELECT r_regionkey, 0.3::DOUBLE FROM region"),
+]
+_MIXED = "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT {i + 1}::BIGINT AS question_id, NOT {_differ(a, b)} AS correct, (SELECT count(*) FROM {t}) AS n_gold_rows, (SELECT count(*) FROM {t}) AS n_cand_rows"
+    for i, (t, a, b) in enumerate(_MIXED_SIDES)
+) + """)
+SELECT question_id, correct, CASE WHEN correct THEN 'result sets match' ELSE 'result sets differ' END AS reason,
+       'column_position,null_sentinel,float_tolerance,order_insensitive,exact' AS applied_rules, n_gold_rows, n_cand_rows FROM v"""
+
 _SEG = """
 g AS (SELECT c_mktsegment AS k, round_even(sum(o_totalprice), 6) AS total, count(*) AS n
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment),
@@ -201,6 +274,9 @@ ORACLES = {
     "cmp_ordered": _ORDERED,
     "cmp_rescore": _RESCORE,
     "cmp_gold_verify": _GOLD_VERIFY,
+    "cmp_gold_verify_changed": _GOLD_VERIFY_CHANGED,
+    "cmp_gold_verify_renamed": _GOLD_VERIFY_RENAMED,
+    "cmp_mixed_width": _MIXED,
     "cmp_pair_multiset": _PAIR_MULTISET,
     "cmp_pair_ordered": _PAIR_ORDERED,
 }

@@ -1,4 +1,4 @@
-"""value_*: value index over customer/orders/part/nation and literal steering."""
+"""value_*: value index over the star tables and literal steering."""
 
 from __future__ import annotations
 
@@ -9,15 +9,18 @@ from arbiter.sources import fixtures as fx
 from arbiter.sources.fixtures import stable
 from arbiter.sources.tables import Tables
 
-INDEXED = ("customer", "orders", "part", "nation")
+INDEXED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 PII = ("customer.c_name",)
 
 # Spark -> DuckDB column lists for the oracle (all columns of the indexed tables).
 COLUMNS = {
     "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "nation": ["n_nationkey", "n_name", "n_regionkey"],
     "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
     "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "region": ["r_regionkey", "r_name"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
 }
 
 
@@ -44,7 +47,7 @@ def value_index_redacted(spark, sf_dir):
 
 
 def value_indexed_columns(spark, sf_dir):
-    """Every indexed column key with the number of normalized values its sample contributed."""
+    """Every indexed column key with the number of normalized values it contributed."""
     idx, indexed = _index(spark, sf_dir)
     n = idx.groupBy("column_key").agg(F.count(F.lit(1)).alias("n_values"))
     return indexed.join(n, "column_key", "left").select("column_key", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"))
@@ -103,8 +106,7 @@ def _vals_sql(redact=()) -> str:
 def _idx_sql(redact=()) -> str:
     return f"""idx AS (
   SELECT DISTINCT lower(regexp_replace(v, '^\\s+|\\s+$', '', 'g')) AS value_norm, lower(t) || '.' || lower(c) AS column_key
-  FROM (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY v) AS rn FROM ({_vals_sql(redact)}))
-  WHERE rn <= 1000 AND length(v) <= 120)"""
+  FROM ({_vals_sql(redact)}))"""
 
 
 def _keys_sql(redact=()) -> str:
@@ -118,12 +120,13 @@ _BINDINGS = """b AS (
          CASE WHEN c_custkey % 3 = 0 THEN 'c_name' ELSE 'c_mktsegment' END AS column_name,
          CASE WHEN c_custkey % 7 = 0 THEN 'nowhere' WHEN c_custkey % 4 = 0 THEN lower(c_mktsegment)
               ELSE c_mktsegment END AS literal
-  FROM customer),
+  FROM customer
+  UNION ALL SELECT c_custkey, 2, 'orders', 'o_custkey', CAST(c_custkey AS VARCHAR) FROM customer),
 qt AS (SELECT c_custkey AS query_id, 'customer' AS table_name FROM customer
        UNION ALL SELECT c_custkey, 'orders' FROM customer WHERE c_custkey % 5 = 0),
 res0 AS (
   SELECT query_id, binding_id, qualifier || '.' || column_name AS written, literal,
-         'customer' || '.' || lower(column_name) AS key FROM b WHERE qualifier IS NOT NULL
+         CASE qualifier WHEN 'c' THEN 'customer' ELSE qualifier END || '.' || lower(column_name) AS key FROM b WHERE qualifier IS NOT NULL
   UNION ALL
   SELECT b.query_id, b.binding_id, b.column_name, b.literal, qt.table_name || '.' || lower(b.column_name)
   FROM b JOIN qt ON qt.query_id = b.query_id WHERE b.qualifier IS NULL),

@@ -43,7 +43,21 @@ def vote_k(spark, sf_dir):
     return V.check_k(cands).select("question_id", F.col("k").cast("long").alias("k"), "valid")
 
 
+def vote_null_places(spark, sf_dir):
+    """Per nation four candidates that differ only in where the NULL stands; one has no result and may not vote."""
+    n = Tables(spark, sf_dir).nation.select(F.col("n_nationkey").cast("long").alias("question_id"))
+    runs = n.select("question_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("idx"))
+    failed = (F.col("idx") == 0) & (F.col("question_id") % 2 == 0)
+    runs = runs.withColumn("error", F.when(failed, F.lit("timeout"))).withColumn("has_result", F.col("idx") != 3)
+    key = F.col("question_id") + 1
+    rows = runs.where(F.col("error").isNull() & F.col("has_result")).select(
+        "question_id", "idx", F.lit(None).cast("long").alias("row_pos"), F.when(F.col("idx") != 1, key).alias("c0"), F.when(F.col("idx") == 1, key).alias("c1")
+    )
+    return V.majority_vote(V.candidate_fingerprints(rows, V.votable(runs), ["c0", "c1"]))
+
+
 QUERIES = {
+    "vote_null_places": vote_null_places,
     "vote_outcome": vote_outcome,
     "vote_distribution": vote_distribution,
     "vote_selected_score": vote_selected_score,
@@ -53,6 +67,13 @@ QUERIES = {
 _BASE = with_views(V_GOLD, V_GOLD_Q, V_CAND, V_CAND_ROWS, V_CANDS, V_VOTE)
 
 ORACLES = {
+    "vote_null_places": """
+SELECT n_nationkey::BIGINT AS question_id,
+  -- even questions: candidate 0 failed, so 1 and 2 are one class each; odd: 0 and 2 agree
+  CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS selected_index,
+  CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END::BIGINT AS agreement, 4::BIGINT AS n_candidates,
+  CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n_votable, 2::BIGINT AS n_groups, n_nationkey % 2 = 0 AS tie
+FROM nation""",
     "vote_outcome": _BASE + "SELECT * FROM outcome",
     "vote_distribution": _BASE
     + """, b AS (

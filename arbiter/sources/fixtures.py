@@ -160,6 +160,8 @@ def v_bindings(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     column = c_name when key % 3 = 0 else c_mktsegment, qualified by alias ``c``
     when key is even; literal = 'nowhere' when key % 7 = 0, else the customer's
     segment (lower-cased when key % 4 = 0); orders joins in when key % 5 = 0.
+    A second binding asks for the customer's own key in ``orders.o_custkey``,
+    so it is off-column exactly for customers without orders.
     """
     c = t.customer
     k = F.col("c_custkey")
@@ -172,6 +174,11 @@ def v_bindings(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
         .when(k % 4 == 0, F.lower(F.col("c_mktsegment")))
         .otherwise(F.col("c_mktsegment"))
         .alias("literal"),
+    ).unionByName(
+        c.select(
+            k.alias("query_id"), F.lit(2).alias("binding_id"), F.lit("orders").alias("qualifier"), F.lit("o_custkey").alias("column_name"),
+            k.cast("string").alias("literal"),
+        )
     )
     aliases = c.filter(k % 2 == 0).select(k.alias("query_id"), F.lit("c").alias("alias"), F.lit("customer").alias("table_name"))
     tables = c.select(k.alias("query_id"), F.lit("customer").alias("table_name")).unionByName(
