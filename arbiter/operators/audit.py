@@ -7,12 +7,15 @@ cascade is one CASE chain per row; set logic over references is anti-joins.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
 MAX_JOINS = 4
 JOIN_TAGS = ("table_mismatch", "join_mismatch")
+FLAT_LOSS = 0.02
 ELIGIBLE_STATES = ("execution_error_final", "retry_exhausted")
 
 
@@ -20,8 +23,8 @@ def _fmt(template: str, *cols: Column) -> Column:
     return F.format_string(template, *cols)
 
 
-def guard(features: DataFrame) -> DataFrame:
-    """G1: (query_id, decision, rule, reason), first violated rule wins."""
+def guard(features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """G1: (query_id, decision, rule, reason), first violated rule wins; ``keep`` names features to carry along."""
     f = F.col
     rules = [
         (f("sql_empty"), None, None),
@@ -46,20 +49,26 @@ def guard(features: DataFrame) -> DataFrame:
         decision = F.when(cond, F.lit("reject" if name else "allow")).otherwise(decision)
         rule = F.when(cond, F.lit(name).cast("string")).otherwise(rule)
         reason = F.when(cond, why if why is not None else F.lit(None).cast("string")).otherwise(reason)
-    return features.select("query_id", decision.alias("decision"), rule.alias("rule"), reason.alias("reason"))
+    return features.select("query_id", decision.alias("decision"), rule.alias("rule"), reason.alias("reason"), *keep)
 
 
 def references_minus_ctes(refs: DataFrame, ctes: DataFrame) -> DataFrame:
     """Referenced table names that are not the query's own CTEs (case-insensitive)."""
-    r = refs.select("query_id", F.lower("table_name").alias("table_name"))
+    db = [c for c in ("db_id",) if c in refs.columns]
+    r = refs.select("query_id", *db, F.lower("table_name").alias("table_name"))
     c = ctes.select("query_id", F.lower("cte_name").alias("table_name"))
     return r.join(c, ["query_id", "table_name"], "left_anti").distinct()
 
 
 def table_scope(refs: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(query_id, out_of_scope, reason) for queries touching tables outside the allowed set."""
-    a = F.broadcast(allowed.select(F.lower("table_name").alias("table_name")).distinct())
-    out = refs.join(a, "table_name", "left_anti")
+    """(query_id, out_of_scope, reason) for queries touching tables outside their own db's tables.
+
+    ``refs`` and ``allowed`` carry ``db_id``; without it (one database) the
+    allowed set holds for every query.
+    """
+    keys = [c for c in ("db_id",) if c in allowed.columns]
+    a = allowed.select(*keys, F.lower("table_name").alias("table_name")).distinct()
+    out = refs.join(a, [*keys, "table_name"], "left_anti")
     return out.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("table_name")), ", ").alias("out_of_scope")).withColumn(
         "reason", F.concat(F.lit("references table(s) outside this db's scope: "), F.col("out_of_scope"))
     )
@@ -68,11 +77,10 @@ def table_scope(refs: DataFrame, allowed: DataFrame) -> DataFrame:
 def guard_with_scope(features: DataFrame, scope: DataFrame) -> DataFrame:
     """G1 then G2: a query the rules allow is still rejected when it leaves the db's tables."""
     g = (
-        guard(features)
+        guard(features, ["sql_empty"])
         .join(scope.select("query_id", "out_of_scope", F.col("reason").alias("scope_reason")), "query_id", "left")
-        .join(features.select("query_id", F.col("sql_empty").alias("_empty")), "query_id")
     )
-    scoped = (F.col("decision") == "allow") & F.col("out_of_scope").isNotNull() & ~F.col("_empty")
+    scoped = (F.col("decision") == "allow") & F.col("out_of_scope").isNotNull() & ~F.col("sql_empty")
     return g.select(
         "query_id",
         F.when(scoped, F.lit("reject")).otherwise(F.col("decision")).alias("decision"),
@@ -81,8 +89,8 @@ def guard_with_scope(features: DataFrame, scope: DataFrame) -> DataFrame:
     )
 
 
-def soundness(features: DataFrame) -> DataFrame:
-    """(query_id, flagged, rule, reason): first of null_ordering, minmax_subquery, field_catenation."""
+def soundness(features: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(query_id, flagged, rule, reason): first of null_ordering, minmax_subquery, field_catenation; ``keep`` as in ``guard``."""
     f = F.col
     checks = [
         (f("min_col").isNotNull() & ~f("min_guarded"), "null_ordering",
@@ -103,7 +111,7 @@ def soundness(features: DataFrame) -> DataFrame:
     for cond, name, why in reversed(checks):
         rule = F.when(cond, F.lit(name)).otherwise(rule)
         reason = F.when(cond, why).otherwise(reason)
-    return features.select("query_id", rule.isNotNull().alias("flagged"), rule.alias("rule"), reason.alias("reason"))
+    return features.select("query_id", rule.isNotNull().alias("flagged"), rule.alias("rule"), reason.alias("reason"), *keep)
 
 
 def null_order_hazard(df: DataFrame, table_name: str) -> DataFrame:
@@ -193,10 +201,51 @@ def tag_counts(tags: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def join_fanout(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
-    """Exact output rows of an equi-join before running it: sum over keys of n_left * n_right."""
+    """Exact output rows of an equi-join before running it: sum over keys of n_left * n_right.
+
+    The products are decimals: they leave the range of a long just when the join is dangerous.
+    """
     l_ = left.groupBy(F.col(lkey).alias("_k")).agg(F.count(F.lit(1)).alias("_nl"))
     r_ = right.groupBy(F.col(rkey).alias("_k")).agg(F.count(F.lit(1)).alias("_nr"))
-    return l_.join(r_, "_k").agg(F.sum(F.col("_nl") * F.col("_nr")).cast("long").alias("join_rows"))
+    return l_.join(r_, "_k").agg(
+        F.coalesce(F.sum(F.col("_nl").cast("decimal(19,0)") * F.col("_nr").cast("decimal(19,0)")), F.lit(0)).cast("decimal(38,0)").alias("join_rows")
+    )
+
+
+def detector_mismatches(outcomes: DataFrame) -> DataFrame:
+    """The outcomes whose verdict or rule is not the expected one, with the side that failed."""
+    vmatch = F.col("actual_verdict") == F.col("expected_verdict")
+    rmatch = F.col("expected_rule").isNull() | F.col("expected_rule").eqNullSafe(F.col("actual_rule"))
+    return outcomes.where(~(vmatch & rmatch)).withColumn("mismatch", F.when(~vmatch, F.lit("verdict")).otherwise(F.lit("rule")))
+
+
+def ab_lift(base: DataFrame, head: DataFrame) -> DataFrame:
+    """Accuracy lift of ``head`` over ``base`` and the change of the join bucket; one row, whatever the batch sizes.
+
+    Both sides are (correct, tags) per case; the two batches are stacked and
+    folded by one global aggregate.  An empty batch has accuracy 0.
+    """
+    both = base.select(F.lit("a").alias("p"), "correct", "tags").unionByName(head.select(F.lit("b").alias("p"), "correct", "tags"))
+    join_tags = F.array(*[F.lit(x) for x in JOIN_TAGS])
+    counts = []
+    for p in ("a", "b"):
+        own = F.col("p") == p
+        counts += [
+            F.count_if(own).alias(f"{p}_total"), F.count_if(own & F.col("correct")).alias(f"{p}_correct"),
+            F.count_if(own & ~F.col("correct") & F.arrays_overlap(F.col("tags"), join_tags)).alias(f"{p}_join_bucket"),
+        ]
+
+    def rate(p: str) -> Column:
+        return F.when(F.col(f"{p}_total") > 0, F.col(f"{p}_correct") / F.col(f"{p}_total")).otherwise(F.lit(0.0))
+
+    lift = rate("b") - rate("a")
+    return both.agg(*counts).select(
+        "a_correct", "b_correct", F.round(lift, 9).alias("lift"),
+        F.when(lift > 0, F.lit("lift")).when(lift >= -FLAT_LOSS, F.lit("flat")).otherwise(F.lit("regression")).alias("verdict"),
+        "a_join_bucket", "b_join_bucket",
+        F.when(F.col("b_join_bucket") < F.col("a_join_bucket"), F.lit("shrank"))
+        .when(F.col("b_join_bucket") > F.col("a_join_bucket"), F.lit("grew")).otherwise(F.lit("held")).alias("bucket"),
+    )
 
 
 def detector_report(outcomes: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from arbiter.plans.sqlviews import V_RESULTS, V_RUNS, with_views
 from arbiter.sources import fixtures as fx
 from arbiter.sources.tables import TABLES, Tables
 
+N_DBS = 7
 # Fixed derivation rules: (column, SQL expression over orders).
 FEATURES = [
     ("query_id", "o_orderkey"),
@@ -78,12 +79,20 @@ def _union(spark, sf_dir, items, out_col):
     """One scan of orders: every rule that holds contributes one (query_id, value) row."""
     o = Tables(spark, sf_dir).orders
     vals = F.array(*[F.when(F.expr(cond), F.expr(e)) for e, cond in items])
-    return o.select(F.col("o_orderkey").alias("query_id"), F.explode(F.filter(vals, lambda x: x.isNotNull())).alias(out_col))
+    return o.select(F.col("o_orderkey").alias("query_id"), _db().alias("db_id"), F.explode(F.filter(vals, lambda x: x.isNotNull())).alias(out_col))
+
+
+def _db():
+    """The query's db comes from the data: seven databases that share table names."""
+    return F.concat(F.lit("db"), (F.col("o_custkey") % N_DBS).cast("string"))
 
 
 def _allowed(spark, sf_dir):
+    """Every db has the catalog's tables, but the odd ones lack ``customer``."""
     t = Tables(spark, sf_dir)
-    return C.catalog_tables(C.catalog_from_frames(spark, DB, {n: getattr(t, n) for n in TABLES})).select("table_name")
+    tables = C.catalog_tables(C.catalog_from_frames(spark, DB, {n: getattr(t, n) for n in TABLES})).select("table_name")
+    dbs = F.explode(F.array(*[F.struct(F.lit(f"db{k}").alias("db_id"), F.lit(k % 2 == 1).alias("odd")) for k in range(N_DBS)]))
+    return tables.select("table_name", dbs.alias("d")).where("NOT (d.odd AND table_name = 'customer')").select("d.db_id", "table_name")
 
 
 def _refs(spark, sf_dir):
@@ -95,7 +104,7 @@ def audit_guard(spark, sf_dir):
 
 
 def audit_refs(spark, sf_dir):
-    return _refs(spark, sf_dir)
+    return _refs(spark, sf_dir).select("query_id", "table_name")
 
 
 def audit_scope(spark, sf_dir):
@@ -151,13 +160,13 @@ def _shapes(spark, sf_dir, side):
 
 def _tags(spark, sf_dir):
     o = Tables(spark, sf_dir).orders
-    # The query's db comes from the data (customer % 7); every db declares the same FK edges.
+    # Every db declares the same FK edges.
     pair_vals = F.array(*[F.when(F.expr(cond), F.struct(F.expr(a).alias("a"), F.expr(b).alias("b"))) for a, b, cond in PAIRS])
     pairs = o.select(
-        F.col("o_orderkey").alias("query_id"), F.concat(F.lit("db"), (F.col("o_custkey") % 7).cast("string")).alias("db_id"),
+        F.col("o_orderkey").alias("query_id"), _db().alias("db_id"),
         F.inline(F.filter(pair_vals, lambda x: x.isNotNull())),
     )
-    edges = spark.createDataFrame([(f"db{k}", a, d) for k in range(7) for a, _, _, d in FKS], "db_id string, a string, b string")
+    edges = spark.createDataFrame([(f"db{k}", a, d) for k in range(N_DBS) for a, _, _, d in FKS], "db_id string, a string, b string")
     spurious = G.spurious_joins(pairs, edges)
     return G.categorize(_shapes(spark, sf_dir, "g"), _shapes(spark, sf_dir, "c"), spurious)
 
@@ -197,17 +206,22 @@ def audit_fanout(spark, sf_dir):
     return u.select("join_name", "join_rows", (F.col("join_rows") > 1_000_000).alias("over_budget"))
 
 
-def audit_redteam(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    out = G.guard(f).join(f.select("query_id", "expected_verdict", "expected_rule"), "query_id").select(
+def _detected(spark, sf_dir):
+    return G.guard(_features(spark, sf_dir), ["expected_verdict", "expected_rule"]).select(
         "query_id", "expected_verdict", "expected_rule", F.col("decision").alias("actual_verdict"),
         F.col("rule").alias("actual_rule"))
-    return G.detector_report(out)
+
+
+def audit_redteam(spark, sf_dir):
+    return G.detector_report(_detected(spark, sf_dir))
+
+
+def audit_redteam_mismatches(spark, sf_dir):
+    return G.detector_mismatches(_detected(spark, sf_dir))
 
 
 def audit_false_positive(spark, sf_dir):
-    f = _features(spark, sf_dir)
-    s = G.soundness(f).join(f.select("query_id", "expected_sound"), "query_id")
+    s = G.soundness(_features(spark, sf_dir), ["expected_sound"])
     return s.agg(
         F.count_if((F.col("expected_sound") == "flag") & F.col("flagged")).cast("long").alias("caught"),
         F.count_if(F.col("expected_sound") == "flag").cast("long").alias("n_flag"),
@@ -216,31 +230,24 @@ def audit_false_positive(spark, sf_dir):
     ).withColumn("fp_rate", F.when(F.col("n_pass") > 0, F.col("false_positives") / F.col("n_pass")).otherwise(F.lit(0.0)))
 
 
-def audit_ab_lift(spark, sf_dir):
+def _lift_sides(spark, sf_dir):
     runs = fx.v_runs(Tables(spark, sf_dir))
     tags = _tags(spark, sf_dir)
-    base = M.case_results(runs)
-    head = M.case_results(fx.v_head(runs))
-
-    def side(r, p):
-        j = r.select(F.col("case_id").alias("question_id"), "correct").join(tags, "question_id", "left")
-        return j.agg(
-            F.count(F.lit(1)).alias(f"{p}_total"), F.count_if(F.col("correct")).alias(f"{p}_correct"),
-            F.count_if(~F.col("correct") & F.arrays_overlap(F.col("tags"), F.array(*[F.lit(x) for x in G.JOIN_TAGS])))
-            .alias(f"{p}_join_bucket"),
-        )
-
-    a, b = side(base, "a"), side(head, "b")
-    j = a.join(b, F.col("a_total") == F.col("b_total"))
-    lift = F.col("b_correct") / F.col("b_total") - F.col("a_correct") / F.col("a_total")
-    return j.select(
-        F.col("a_correct").cast("long").alias("a_correct"), F.col("b_correct").cast("long").alias("b_correct"),
-        F.round(lift, 9).alias("lift"),
-        F.when(lift > 0, F.lit("lift")).when(lift >= -0.02, F.lit("flat")).otherwise(F.lit("regression")).alias("verdict"),
-        F.col("a_join_bucket").cast("long").alias("a_join_bucket"), F.col("b_join_bucket").cast("long").alias("b_join_bucket"),
-        F.when(F.col("b_join_bucket") < F.col("a_join_bucket"), F.lit("shrank"))
-        .when(F.col("b_join_bucket") > F.col("a_join_bucket"), F.lit("grew")).otherwise(F.lit("held")).alias("bucket"),
-    )
+
+    def side(r):
+        return r.select(F.col("case_id").alias("question_id"), "correct").join(tags, "question_id", "left")
+
+    return side(M.case_results(runs)), side(M.case_results(fx.v_head(runs)))
+
+
+def audit_ab_lift(spark, sf_dir):
+    return G.ab_lift(*_lift_sides(spark, sf_dir))
+
+
+def audit_ab_lift_uneven(spark, sf_dir):
+    """The second batch lacks every tenth case: totals differ."""
+    base, head = _lift_sides(spark, sf_dir)
+    return G.ab_lift(base, head.where("question_id % 10 <> 0"))
 
 
 QUERIES = {
@@ -260,6 +267,8 @@ QUERIES = {
     "audit_top_tags": audit_top_tags,
     "audit_fanout": audit_fanout,
     "audit_redteam": audit_redteam,
+    "audit_redteam_mismatches": audit_redteam_mismatches,
+    "audit_ab_lift_uneven": audit_ab_lift_uneven,
     "audit_false_positive": audit_false_positive,
     "audit_ab_lift": audit_ab_lift,
 }
@@ -293,10 +302,12 @@ _REFS_SQL = "refs AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(
 ) + ") r WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = r.query_id AND " + " AND ".join(
     f"({c}) AND lower({e}) = r.table_name" for e, c in CTES) + "))"
 
-_ALLOWED = "allowed(table_name) AS (VALUES " + ", ".join(f"('{t}')" for t in sorted(STAR_SCHEMA)) + ")"
+_ALLOWED = "allowed(db_id, table_name) AS (VALUES " + ", ".join(
+    f"('db{k}', '{t}')" for k in range(N_DBS) for t in sorted(STAR_SCHEMA) if not (k % 2 == 1 and t == "customer")) + ")"
 
-_SCOPE = """scope AS (SELECT query_id, string_agg(DISTINCT table_name, ', ' ORDER BY table_name) AS out_of_scope
-  FROM refs WHERE table_name NOT IN (SELECT table_name FROM allowed) GROUP BY query_id)"""
+_SCOPE = f"""scope AS (SELECT query_id, string_agg(DISTINCT table_name, ', ' ORDER BY table_name) AS out_of_scope
+  FROM refs JOIN orders ON o_orderkey = query_id
+  WHERE ('db' || (o_custkey % {N_DBS}), table_name) NOT IN (SELECT db_id, table_name FROM allowed) GROUP BY query_id)"""
 
 _SOUND = """s AS (SELECT query_id,
   CASE WHEN min_col IS NOT NULL AND NOT min_guarded THEN 'null_ordering'
@@ -354,19 +365,32 @@ fails AS (SELECT r.case_id AS question_id, r.db_id, r.difficulty, r.terminal_sta
           FROM v_results r JOIN tags t ON t.question_id = r.case_id WHERE NOT r.correct)
 """
 
-_FANOUT = """SELECT join_name, join_rows, join_rows > 1000000 AS over_budget FROM (
+_FANOUT = """SELECT join_name, join_rows, join_rows > 1000000 AS over_budget FROM (SELECT join_name, join_rows::DECIMAL(38,0) AS join_rows FROM (
   SELECT 'lineitem-orders' AS join_name, (SELECT sum(a.n * b.n) FROM (SELECT l_orderkey k, count(*) n FROM lineitem GROUP BY 1) a
      JOIN (SELECT o_orderkey k, count(*) n FROM orders GROUP BY 1) b ON a.k = b.k)::BIGINT AS join_rows
   UNION ALL SELECT 'orders-customer', (SELECT sum(a.n * b.n) FROM (SELECT o_custkey k, count(*) n FROM orders GROUP BY 1) a
      JOIN (SELECT c_custkey k, count(*) n FROM customer GROUP BY 1) b ON a.k = b.k)::BIGINT
-  UNION ALL SELECT 'lineitem-self-part', (SELECT sum(a.n * a.n) FROM (SELECT l_partkey k, count(*) n FROM lineitem GROUP BY 1) a)::BIGINT)"""
+  UNION ALL SELECT 'lineitem-self-part', (SELECT sum(a.n * a.n) FROM (SELECT l_partkey k, count(*) n FROM lineitem GROUP BY 1) a)::BIGINT))"""
 
 _LIFT_SIDE = """(SELECT count(*) AS total, count(*) FILTER (WHERE correct) AS correct,
    count(*) FILTER (WHERE NOT correct AND (contains(',' || t.tags || ',', ',table_mismatch,')
                                           OR contains(',' || t.tags || ',', ',join_mismatch,'))) AS jb
- FROM (SELECT case_id, NOT guard_rejected AND error IS NULL AND {mg} AS correct FROM v_runs) r
+ FROM (SELECT case_id, NOT guard_rejected AND error IS NULL AND {mg} AS correct FROM v_runs WHERE {of}) r
  LEFT JOIN tags t ON t.question_id = r.case_id)"""
 
+def _lift_sql(head: str) -> str:
+    return with_views(V_RUNS).rstrip() + ",\n" + _TAX + f""",
+a AS {_LIFT_SIDE.format(mg="matches_gold", of="true")},
+b AS {_LIFT_SIDE.format(mg="CASE WHEN case_id % 29 = 0 THEN NOT matches_gold ELSE matches_gold END", of=head)}
+SELECT a.correct::BIGINT AS a_correct, b.correct::BIGINT AS b_correct,
+       round(b.correct / b.total - a.correct / a.total, 9) AS lift,
+       CASE WHEN b.correct / b.total - a.correct / a.total > 0 THEN 'lift'
+            WHEN b.correct / b.total - a.correct / a.total >= -0.02 THEN 'flat' ELSE 'regression' END AS verdict,
+       a.jb::BIGINT AS a_join_bucket, b.jb::BIGINT AS b_join_bucket,
+       CASE WHEN b.jb < a.jb THEN 'shrank' WHEN b.jb > a.jb THEN 'grew' ELSE 'held' END AS bucket
+FROM a, b"""
+
+
 ORACLES = {
     "audit_guard": f"WITH {_F}, {_GUARD} SELECT * FROM g",
     "audit_refs": f"WITH {_REFS_SQL} SELECT query_id, table_name FROM refs",
@@ -407,6 +431,11 @@ SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE expected_verdict = 'rej
        bool_and(decision = expected_verdict) AS all_verdicts_match,
        bool_and(expected_rule IS NULL OR expected_rule IS NOT DISTINCT FROM rule) AS all_rules_match
 FROM g JOIN f ON f.query_id = g.query_id""",
+    "audit_redteam_mismatches": f"""WITH {_F}, {_GUARD}
+SELECT query_id, expected_verdict, expected_rule, decision AS actual_verdict, rule AS actual_rule,
+       CASE WHEN decision <> expected_verdict THEN 'verdict' ELSE 'rule' END AS mismatch
+FROM g JOIN f USING (query_id)
+WHERE NOT (decision = expected_verdict AND (expected_rule IS NULL OR expected_rule IS NOT DISTINCT FROM rule))""",
     "audit_false_positive": f"""WITH {_F}, {_SOUND}
 SELECT count(*) FILTER (WHERE expected_sound = 'flag' AND rule IS NOT NULL)::BIGINT AS caught,
        count(*) FILTER (WHERE expected_sound = 'flag')::BIGINT AS n_flag,
@@ -416,14 +445,6 @@ SELECT count(*) FILTER (WHERE expected_sound = 'flag' AND rule IS NOT NULL)::BIG
             THEN count(*) FILTER (WHERE expected_sound = 'pass' AND rule IS NOT NULL) / count(*) FILTER (WHERE expected_sound = 'pass')
             ELSE 0.0 END AS fp_rate
 FROM s""",
-    "audit_ab_lift": with_views(V_RUNS).rstrip() + ",\n" + _TAX + f""",
-a AS {_LIFT_SIDE.format(mg="matches_gold")},
-b AS {_LIFT_SIDE.format(mg="CASE WHEN case_id % 29 = 0 THEN NOT matches_gold ELSE matches_gold END")}
-SELECT a.correct::BIGINT AS a_correct, b.correct::BIGINT AS b_correct,
-       round(b.correct / b.total - a.correct / a.total, 9) AS lift,
-       CASE WHEN b.correct / b.total - a.correct / a.total > 0 THEN 'lift'
-            WHEN b.correct / b.total - a.correct / a.total >= -0.02 THEN 'flat' ELSE 'regression' END AS verdict,
-       a.jb::BIGINT AS a_join_bucket, b.jb::BIGINT AS b_join_bucket,
-       CASE WHEN b.jb < a.jb THEN 'shrank' WHEN b.jb > a.jb THEN 'grew' ELSE 'held' END AS bucket
-FROM a, b""",
+    "audit_ab_lift": _lift_sql("true"),
+    "audit_ab_lift_uneven": _lift_sql("case_id % 10 <> 0"),
 }
