@@ -223,7 +223,7 @@ def _phone(m: Column, key: str, decrypt: bool) -> Column:
     national = F.when(plus & F.startswith(m, F.lit("+1")), F.substring(digits, F.lit(2), F.length(digits))).when(~plus, digits)
     plan = F.coalesce(F.length(national) == 10, F.lit(False))
     plan_ok = plan & F.substring(national, 1, 1).between("2", "9") & F.substring(national, 4, 1).between("2", "9")
-    # The country code stays; area and exchange of a ten-digit plan begin with 2..9.
+    # The country code stays; in a ten-digit plan area and exchange begin with 2..9, and where they do not they never will.
     code = F.when(plus & plan, F.lit(1)).when(plus, F.least(F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1)), F.lit(2))).otherwise(F.lit(0))
 
     def alphabet(s: Column) -> Callable[[Column, Column], Column]:
@@ -231,14 +231,14 @@ def _phone(m: Column, key: str, decrypt: bool) -> Column:
             place = F.length(_digits(F.substring(m, F.lit(1), i))) - s["code"]
             return (
                 F.when(~c.between("0", "9") | (place < 0), "")
-                .when(s["plan"] & ((place == 0) | (place == 3)), F.lit("23456789"))
+                .when(s["plan"] & ((place == 0) | (place == 3)), F.when(c >= "2", "23456789").otherwise("01"))
                 .otherwise(DIGITS)
             )
 
         return of
 
-    out = let(F.struct(code.alias("code"), plan_ok.alias("plan")), lambda s: permute_chars(m, alphabet(s), "phone", key, decrypt))
-    return F.when(plan_ok | (plus & ~plan & F.length(digits).between(8, 15)), out)
+    out = let(F.struct(code.alias("code"), plan.alias("plan")), lambda s: permute_chars(m, alphabet(s), "phone", key, decrypt))
+    return F.when(plan_ok | (plus & F.length(digits).between(8, 15)), out)
 
 
 def _email(m: Column, key: str, decrypt: bool) -> Column:
