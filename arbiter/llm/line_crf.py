@@ -34,6 +34,8 @@ TRAIN_DOCUMENTS, TRAIN_LINES = 4000, 5000
 FOLDS = 5
 PASS_SCORE = 0.3
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
+#: Words of a line that count as its length, and different words that a long line of prose has at least.
+LONG_LINE, DIFFERENT = 200, 60
 #: Documents whose chains are worked off side by side.
 CHAINS = 512
 
@@ -76,9 +78,9 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     w = np.maximum(words, 1)
     letters = np.maximum(count[:, 1] + count[:, 2], 1)
     own = np.column_stack([
-        np.log1p(words) / 5, words < 6, np.minimum((count[:, 1:].sum(axis=1)) / w / 10, 3), count[:, 1] / letters, count[:, 3] / np.maximum(count[:, 1:].sum(axis=1), 1),
+        np.log1p(np.minimum(words, LONG_LINE)) / 5, words < 6, np.minimum((count[:, 1:].sum(axis=1)) / w / 10, 3), count[:, 1] / letters, count[:, 3] / np.maximum(count[:, 1:].sum(axis=1), 1),
         np.minimum(count[:, 4] / w, 2), np.minimum(count[:, 5] / w, 2), np.minimum(count[:, 6] / w, 2), np.minimum(count[:, 7] / w, 2),
-        _ENDS[raw[last]], 1 - different / w, doubled / w, seen,
+        _ENDS[raw[last]], 1 - np.minimum(different / np.minimum(w, DIFFERENT), 1), doubled / w, seen,
     ])
     keep = words > 0
     own, words, document = own[keep], words[keep], document[keep]

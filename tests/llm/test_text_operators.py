@@ -41,7 +41,7 @@ def test_quality_counts_and_verdicts(spark):
 
 
 @pytest.mark.parametrize("line, rule", [
-    ("Home | News | Sport", "navigation"), ("A!! B!! C!!", "punctuation"), ("no end", "punctuation"), ("Click here to read.", "boilerplate"),
+    ("Home | News | Sport | Contact", "navigation"), ("A!! B!! C!!", "punctuation"), ("no end", "punctuation"), ("Click here to read.", "boilerplate"),
     ("A plain sentence of prose.", None), ("a long line of many words that has no end mark", None),
 ])
 def test_line_rules(line, rule):
@@ -107,7 +107,7 @@ def test_quality_is_learned_and_held_out(spark):
 
 
 def test_scores_of_odd_texts(spark):
-    model = line_crf.train(spark.createDataFrame([(prose(i, 60), 1) for i in range(20)] + [("### !! " * 40, 0)] * 9, "text string, label int"))
+    model = line_crf.train(spark.createDataFrame([(prose(i, 20 + 30 * i), 1) for i in range(20)] + [("### !! " * 40, 0)] * 9, "text string, label int"))
     got = {r.row.doc_id: r.score for r in line_crf.score_documents(frame(spark), model).collect()}
     assert got[4] == got[5] == got[6] == 0.0 and all(0 <= s <= 1 for s in got.values()) and got[8] > 0.5
     assert line_crf.train(spark.createDataFrame([], "text string, label int")) is None
