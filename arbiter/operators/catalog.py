@@ -189,19 +189,67 @@ def render_blocks(catalog: DataFrame, fks: DataFrame, samples: DataFrame) -> Dat
 def fit_budget(ordered: DataFrame, blocks: DataFrame, budget: Column | int) -> DataFrame:
     """Greedy priority prefix within the budget; the first table is always kept.
 
-    ``ordered``: (question_id, table_name, priority).  Costs are >= 0 so the
-    running sum is monotone and ``rn = 1 or running <= budget`` is the prefix.
+    ``ordered``: (question_id, db_id, table_name, priority); without ``db_id``
+    all questions are of one database.  Costs are >= 0 so the running sum is
+    monotone and ``rn = 1 or running <= budget`` is the prefix.
     """
     b = budget if isinstance(budget, Column) else F.lit(budget)
     w = Window.partitionBy("question_id").orderBy("priority").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = ordered.join(blocks.select("table_name", "cost", "table_ordinal"), "table_name")
+    keys = _table_keys(ordered)
+    j = ordered.join(blocks.select(*keys, "cost", "table_ordinal"), keys)
     run = j.withColumn("_run", F.sum("cost").over(w)).withColumn("_rn", F.row_number().over(Window.partitionBy("question_id").orderBy("priority")))
     return run.filter((F.col("_rn") == 1) | (F.col("_run") <= b)).drop("_run", "_rn")
 
 
+def _table_keys(rows: DataFrame) -> list[str]:
+    """What names a table: its database too, where the rows carry one."""
+    return [c for c in ("db_id", "table_name") if c in rows.columns]
+
+
+def _rendered_tokens() -> Column:
+    """C9 of blocks joined by a blank line, from their lengths alone."""
+    return F.ceil((F.sum(F.length("block")) + 2 * (F.count(F.lit(1)) - 1)) / F.lit(CHARS_PER_TOKEN)).cast("long").alias("tokens")
+
+
+def selection_cost(selected: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(question_id, n_tables, tokens) of the rendered selection; no text leaves the blocks."""
+    keys = _table_keys(selected)
+    sizes = blocks.select(*keys, "block")
+    return selected.select("question_id", *keys).join(sizes, keys).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tables"), _rendered_tokens())
+
+
+def whole_schemas(blocks: DataFrame) -> DataFrame:
+    """(db_id, all_tables, all_tokens): the cost of each database's whole schema."""
+    return blocks.groupBy("db_id").agg(F.count(F.lit(1)).alias("all_tables"), _rendered_tokens().alias("all_tokens"))
+
+
+def gate(questions: DataFrame, blocks: DataFrame, ranked: DataFrame, budget: int) -> DataFrame:
+    """C11: (question_id, mode, n_tables, tokens): the question's own whole schema when it fits the budget, else ranked and fitted."""
+    own = questions.select("question_id", "db_id").join(whole_schemas(blocks), "db_id")
+    fits = F.col("all_tokens") <= budget
+    narrow = own.where(~fits).select("question_id", "db_id")
+    picked = selection_cost(fit_budget(ranked.select("question_id", "db_id", "table_name", "priority").join(narrow, ["question_id", "db_id"], "left_semi"), blocks, budget), blocks)
+    return own.join(picked, "question_id", "left").select(
+        "question_id", F.when(fits, F.lit("full")).otherwise(F.lit("rag")).alias("mode"),
+        F.when(fits, F.col("all_tables")).otherwise(F.coalesce("n_tables", F.lit(0))).cast("long").alias("n_tables"),
+        F.when(fits, F.col("all_tokens")).otherwise(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"),
+    )
+
+
+def budget_convergence(per_budget: DataFrame) -> DataFrame:
+    """From (budget, divergence, ranked_accuracy, naive_accuracy): the least budget without divergence, and the budget of the largest accuracy gap."""
+    gap = F.col("ranked_accuracy") - F.col("naive_accuracy")
+    return per_budget.agg(
+        F.min(F.when(F.col("divergence") == 0, F.col("budget"))).alias("convergence_budget"),
+        F.max_by("budget", F.struct(gap, -F.col("budget"))).alias("peak_budget"),
+        F.round(F.max(gap), 9).alias("peak_gap"),
+    )
+
+
 def selection_text(selected: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rendered schema per question: blocks of the selected tables in declaration order, blank-line joined."""
-    j = selected.select("question_id", "table_name").join(blocks.select("table_name", "table_ordinal", "block", "cost"), "table_name")
+    keys = _table_keys(selected)
+    j = selected.select("question_id", *keys).join(blocks.select(*keys, "table_ordinal", "block", "cost"), keys)
     return j.groupBy("question_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_ordinal", "block"))), lambda s: s["block"]), "\n\n").alias("schema_text"),
         F.count(F.lit(1)).alias("n_tables"),
@@ -218,7 +266,7 @@ def link_tables(refs: DataFrame, catalog: DataFrame, fallback: DataFrame) -> Dat
     tables = catalog_tables(catalog).select("db_id", F.lower("table_name").alias("_t"), "table_name", "table_ordinal")
     linked = (
         refs.select("question_id", "db_id", F.lower("table_name").alias("_t")).distinct()
-        .join(F.broadcast(tables), ["db_id", "_t"])
+        .join(tables, ["db_id", "_t"])
         .select("question_id", "table_name", "table_ordinal", F.lit("link").alias("source"))
     )
     missing = fallback.join(linked.select("question_id").distinct(), "question_id", "left_anti")

@@ -114,19 +114,27 @@ def column_stats(df: DataFrame, table_name: str, redact: Iterable[str] = ()) ->
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
-def _order_keys(c: Column, dt: T.DataType) -> tuple[Column, Column]:
+def _order_keys(c: Column, dt: T.DataType) -> tuple[Column, Column, Column]:
+    """(double, exact decimal, text): native order; the decimal parts numbers that one double stands for."""
+    exact, text = F.lit(None).cast("decimal(38,18)"), F.lit(None).cast("string")
     if isinstance(dt, _NUMERIC):
-        return c.cast("double"), F.lit(None).cast("string")
+        own = exact if isinstance(dt, (T.FloatType, T.DoubleType)) else c.try_cast("decimal(38,18)")
+        return c.cast("double"), own, text
     if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double"), F.lit(None).cast("string")
+        return F.unix_date(c).cast("double"), exact, text
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
-    return F.lit(None).cast("double"), c.cast("string")
+        micros = F.unix_micros(c.cast("timestamp"))
+        return micros.cast("double"), micros.cast("decimal(38,18)"), text
+    return F.lit(None).cast("double"), exact, c.cast("string")
+
+
+_VALUES = "table_name string, column_name string, value string, num_key double, exact_key decimal(38,18), str_key string"
+_NATIVE_ORDER = ("num_key", "exact_key", "str_key")
 
 
 def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None = None,
                     max_len: int | None = None, counts: bool = False) -> DataFrame:
-    """(table_name, column_name, value, num_key, str_key): each column's distinct non-null values.
+    """(table_name, column_name, value, num_key, exact_key, str_key): each column's distinct non-null values.
 
     Columns of the same exact type (across all given tables) are unpivoted
     together in their native type and de-duplicated by one hash aggregate with
@@ -162,18 +170,22 @@ def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None
             d = u.groupBy("table_name", "column_name", "_v").agg(F.count(F.lit(1)).alias("n"))
         else:
             d = u.distinct()
-        num, s = _order_keys(F.col("_v"), types[key])
+        num, exact, s = _order_keys(F.col("_v"), types[key])
         extra = [F.col("n")] if counts else []
-        part = d.select("table_name", "column_name", _text(F.col("_v")).alias("value"), num.alias("num_key"), s.alias("str_key"),
+        part = d.select("table_name", "column_name", _text(F.col("_v")).alias("value"), num.alias("num_key"),
+                        exact.alias("exact_key"), s.alias("str_key"),
                         *extra)
         if max_len is not None:
             part = part.where(F.length("value") <= max_len)
         parts.append(part)
+    if not parts:  # no scalar column at all
+        spark = next(iter(frames.values())).sparkSession
+        return spark.createDataFrame([], _VALUES + (", n long" if counts else ""))
     return reduce(DataFrame.unionByName, parts)
 
 
 def value_counts(df: DataFrame, table_name: str) -> DataFrame:
-    """(table_name, column_name, value, num_key, str_key, n): counted per native value, one shuffle per type."""
+    """(table_name, column_name, value, num_key, exact_key, str_key, n): counted per native value, one shuffle per type."""
     return distinct_values(df, table_name, counts=True)
 
 
@@ -196,7 +208,7 @@ def top_n_per_group(
 
 def top_values(counts: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
     """(table_name, column_name, rank, value, n): count desc, native value asc."""
-    order = [F.desc("n"), F.asc_nulls_last("num_key"), F.asc_nulls_last("str_key"), F.asc("value")]
+    order = [F.desc("n"), *(F.asc_nulls_last(k) for k in _NATIVE_ORDER), F.asc("value")]
     top = top_n_per_group(counts, ["table_name", "column_name"], order, k,
                           bucket_key=F.xxhash64("value"))
     return top.select("table_name", "column_name", F.col("rank").cast("int").alias("rank"), "value", F.col("n").cast("long").alias("n"))
@@ -206,9 +218,11 @@ def profile_table(df: DataFrame, table_name: str, redact: Iterable[str] = ()) ->
     """Scalar profile per column plus exact distinct counts and derived flags."""
     stats = column_stats(df, table_name, redact)
     dist = distinct_counts(value_counts(df, table_name))
+    # Columns that are not scalar are counted, not compared: what is not computed is NULL.
+    scalar = F.col("column_name").isin([f.name for f in df.schema.fields if _is_scalar(f.dataType)])
     j = stats.join(dist, ["table_name", "column_name"], "left").withColumn(
-        "distinct_count", F.coalesce(F.col("distinct_count"), F.lit(0)).cast("long")
-    )
+        "distinct_count", F.when(scalar, F.coalesce(F.col("distinct_count"), F.lit(0))).cast("long")
+    ).withColumn("char_class", F.when(scalar, F.col("char_class")))
     null_count = F.col("row_count") - F.col("non_null_count")
     return j.select(
         "table_name", "column_name", "ordinal", "declared_type",
@@ -234,7 +248,7 @@ def profile_top_values(df: DataFrame, table_name: str, k: int = DEFAULT_TOP_K, r
 def distinct_sample(df: DataFrame, table_name: str, limit: int = DEFAULT_SAMPLE_LIMIT) -> DataFrame:
     """Up to ``limit`` distinct non-null values per column, smallest first (deterministic)."""
     vals = distinct_values(df, table_name)
-    order = [F.asc_nulls_last("num_key"), F.asc_nulls_last("str_key"), F.asc("value")]
+    order = [*(F.asc_nulls_last(k) for k in _NATIVE_ORDER), F.asc("value")]
     top = top_n_per_group(vals, ["table_name", "column_name"], order, limit, bucket_key=F.xxhash64("value"))
     return top.select("table_name", "column_name", F.col("rank").cast("int").alias("rank"), "value")
 

@@ -18,6 +18,7 @@ DB = "tpch"
 MAX_TABLES = 8
 BUDGET = 512
 BUDGETS = (256, 512, 1024, 2048, 4096)
+GATE_BUDGET = 2048
 
 # The declared foreign keys of the test-data schema (child table, column -> parent).
 FKS = (
@@ -133,39 +134,29 @@ def schema_blocks(spark, sf_dir):
     return C.render_blocks(catalog, fks, samples).select("table_name", "table_ordinal", "cost", "block")
 
 
-def _fit(scores, blocks, budget):
-    return C.fit_budget(C.ranked_names(scores).select("question_id", "table_name", "priority"), blocks, budget)
+def _ranked(scores):
+    return C.ranked_names(scores).select("question_id", "db_id", "table_name", "priority")
 
 
 def schema_fit_budget(spark, sf_dir):
     scores, catalog, samples, fks = _scores(spark, sf_dir)
     blocks = C.render_blocks(catalog, fks, samples)
-    return _fit(scores, blocks, BUDGET).select("question_id", "table_name")
+    return C.fit_budget(_ranked(scores), blocks, BUDGET).select("question_id", "table_name")
 
 
 def _gate(spark, sf_dir, budget):
-    """C11: whole schema fits the budget -> full dump, else ranked + budget fit.
-
-    The schema's total cost is a scalar subquery: one value, no join.
-    """
     scores, catalog, samples, fks = _scores(spark, sf_dir)
     blocks = C.render_blocks(catalog, fks, samples)
-    fits = blocks.agg(F.sum("cost")).scalar() <= F.lit(budget)
-    rag = _fit(scores, blocks, budget).select("question_id", "table_name")
-    naive = C.selection_text(scores.select("question_id", "table_name"), blocks).withColumn("mode", F.lit("naive"))
-    always = C.selection_text(rag, blocks).withColumn("mode", F.lit("always"))
-    adaptive = naive.filter(fits).unionByName(always.filter(~fits)).withColumn("mode", F.lit("adaptive"))
-    return naive, always, adaptive
+    return C.gate(questions(spark, sf_dir), blocks, _ranked(scores), budget)
 
 
 def schema_gate(spark, sf_dir):
-    naive, _, adaptive = _gate(spark, sf_dir, 2048)
-    return adaptive.join(naive.select("question_id", F.col("n_tables").alias("all_n")), "question_id").select(
-        "question_id",
-        F.when(F.col("n_tables") == F.col("all_n"), F.lit("full")).otherwise(F.lit("rag")).alias("mode"),
-        F.col("n_tables").cast("long").alias("n_tables"),
-        "tokens",
-    )
+    return _gate(spark, sf_dir, GATE_BUDGET)
+
+
+def schema_gate_roomy(spark, sf_dir):
+    """A budget that the whole schema fits: every question gets all of it."""
+    return _gate(spark, sf_dir, 1_000_000)
 
 
 def schema_gate_decisions(spark, sf_dir):
@@ -175,43 +166,61 @@ def schema_gate_decisions(spark, sf_dir):
 
 
 def schema_footprint(spark, sf_dir):
-    naive, always, adaptive = _gate(spark, sf_dir, 2048)
-    u = naive.unionByName(always).unionByName(adaptive)
-    return u.groupBy("mode").agg(
+    """C14: tokens of the whole schema, of always retrieving (C6) and of the adaptive gate."""
+    scores, catalog, samples, fks = _scores(spark, sf_dir)
+    blocks = C.render_blocks(catalog, fks, samples)
+    q = questions(spark, sf_dir)
+    naive = q.join(C.whole_schemas(blocks), "db_id").select(F.lit("naive").alias("mode"), F.col("all_tokens").alias("tokens"))
+    relevant = C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, 0).join(q.select("question_id", "db_id"), "question_id")
+    always = C.selection_cost(relevant, blocks).select(F.lit("always").alias("mode"), "tokens")
+    adaptive = C.gate(q, blocks, _ranked(scores), GATE_BUDGET).select(F.lit("adaptive").alias("mode"), "tokens")
+    return naive.unionByName(always).unionByName(adaptive).groupBy("mode").agg(
         F.bround(F.avg("tokens"), 0).cast("long").alias("mean_tokens"),
         F.max("tokens").alias("max_tokens"),
         F.sum("tokens").cast("long").alias("total_tokens"),
     )
 
 
-def _divergence(spark, sf_dir):
+def _budgets(spark, sf_dir):
+    """(budget, divergence, ranked_accuracy, naive_accuracy) per budget.
+
+    A question is answered when the tables it names are all in its selection;
+    questions that name none are not judged.
+    """
     scores, catalog, samples, fks = _scores(spark, sf_dir)
     blocks = C.render_blocks(catalog, fks, samples)
-    ranked = C.ranked_names(scores)
-    per_budget = ranked.select("question_id", "table_name", "table_ordinal", "priority",
-                               F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
-    keyed = per_budget.withColumn("question_id", F.struct("question_id", "budget"))
-    r = C.fit_budget(keyed.select("question_id", "table_name", "priority"), blocks, F.col("question_id.budget"))
-    n = C.fit_budget(keyed.select("question_id", "table_name", F.col("table_ordinal").alias("priority")), blocks,
-                     F.col("question_id.budget"))
-    rs = r.groupBy("question_id").agg(F.sort_array(F.collect_set("table_name")).alias("rset"))
-    ns = n.groupBy("question_id").agg(F.sort_array(F.collect_set("table_name")).alias("nset"))
-    j = rs.join(ns, "question_id")
+    per_budget = C.ranked_names(scores).select("question_id", "db_id", "table_name", "table_ordinal", "priority",
+                                               F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
+    named = link_refs(spark, sf_dir).select("question_id", F.lower("table_name").alias("t")).distinct()
+    keyed = per_budget.join(named, (per_budget["question_id"] == named["question_id"]) & (F.lower(per_budget["table_name"]) == named["t"]), "left").select(
+        F.struct(per_budget["question_id"], "budget").alias("question_id"), "db_id", "table_name", "table_ordinal", "priority", F.col("t").isNotNull().alias("gold"))
+    sides = []
+    for p, order in (("ranked", "priority"), ("naive", "table_ordinal")):
+        fitted = C.fit_budget(keyed.select("question_id", "db_id", "table_name", "gold", F.col(order).alias("priority")), blocks, F.col("question_id.budget"))
+        sides.append(fitted.groupBy("question_id").agg(F.sort_array(F.collect_set("table_name")).alias(f"{p}_set"), F.count_if("gold").alias(f"{p}_gold")))
+    wanted = keyed.groupBy("question_id").agg(F.count_if("gold").alias("n_gold"))
+    j = sides[0].join(sides[1], "question_id").join(wanted, "question_id")
+    judged = F.col("n_gold") > 0
+
+    def accuracy(p):
+        hit = F.count_if(judged & (F.col(f"{p}_gold") == F.col("n_gold"))) / F.when(F.count_if(judged) > 0, F.count_if(judged))
+        return F.coalesce(hit, F.lit(0.0)).alias(f"{p}_accuracy")
+
     return j.groupBy(F.col("question_id.budget").alias("budget")).agg(
-        (F.count_if(F.col("rset") != F.col("nset")) / F.count(F.lit(1))).alias("divergence")
+        (F.count_if(F.col("ranked_set") != F.col("naive_set")) / F.count(F.lit(1))).alias("divergence"), accuracy("ranked"), accuracy("naive"),
     )
 
 
 def schema_divergence(spark, sf_dir):
-    return _divergence(spark, sf_dir)
+    return _budgets(spark, sf_dir).select("budget", "divergence")
+
+
+def schema_accuracy(spark, sf_dir):
+    return _budgets(spark, sf_dir).select("budget", "ranked_accuracy", "naive_accuracy")
 
 
 def schema_convergence(spark, sf_dir):
-    d = _divergence(spark, sf_dir)
-    return d.agg(
-        F.min(F.when(F.col("divergence") == 0, F.col("budget"))).alias("convergence_budget"),
-        F.max_by("budget", F.struct(F.col("divergence"), -F.col("budget"))).alias("peak_budget"),
-    )
+    return C.budget_convergence(_budgets(spark, sf_dir))
 
 
 def schema_field_order(spark, sf_dir):
@@ -247,6 +256,8 @@ QUERIES = {
     "schema_blocks": schema_blocks,
     "schema_fit_budget": schema_fit_budget,
     "schema_gate": schema_gate,
+    "schema_gate_roomy": schema_gate_roomy,
+    "schema_accuracy": schema_accuracy,
     "schema_gate_decisions": schema_gate_decisions,
     "schema_footprint": schema_footprint,
     "schema_divergence": schema_divergence,
@@ -373,25 +384,36 @@ _SEL_TOKENS = """SELECT question_id, count(*) AS n_tables,
        CAST(ceil((sum(len) + 2 * (count(*) - 1)) / 4) AS BIGINT) AS tokens
 FROM ({src}) x JOIN costs c ON c.table_name = x.table_name GROUP BY question_id"""
 
-_GATE = f""",
+def _gate_sql(budget: int) -> str:
+    return f""",
 rb AS (SELECT question_id, table_name, priority FROM ranked),
-rag AS {_fit_sql("priority", "2048")},
+rag AS {_fit_sql("priority", str(budget))},
 naive AS ({_SEL_TOKENS.format(src="SELECT question_id, table_name FROM scores")}),
-always AS ({_SEL_TOKENS.format(src="SELECT question_id, table_name FROM rag")}),
-fits AS (SELECT sum(cost) <= 2048 AS fits FROM costs),
-adaptive AS (SELECT n.* FROM naive n, fits WHERE fits.fits UNION ALL SELECT a.* FROM always a, fits WHERE NOT fits.fits),
-gate AS (SELECT a.question_id, CASE WHEN a.n_tables = n.n_tables THEN 'full' ELSE 'rag' END AS mode, a.n_tables, a.tokens
-         FROM adaptive a JOIN naive n ON n.question_id = a.question_id)
+narrow AS ({_SEL_TOKENS.format(src="SELECT question_id, table_name FROM rag")}),
+gate AS (SELECT n.question_id, CASE WHEN n.tokens <= {budget} THEN 'full' ELSE 'rag' END AS mode,
+           CASE WHEN n.tokens <= {budget} THEN n.n_tables ELSE a.n_tables END AS n_tables,
+           CASE WHEN n.tokens <= {budget} THEN n.tokens ELSE a.tokens END AS tokens
+         FROM naive n JOIN narrow a ON n.question_id = a.question_id)
 """
 
+
+_GATE = _gate_sql(GATE_BUDGET)
+
 _DIVERGENCE = f""",
-rb AS (SELECT question_id, table_name, priority, table_ordinal, unnest([{", ".join(map(str, BUDGETS))}]) AS budget FROM ranked),
+lv AS (SELECT question_id, unnest(string_split_regex(question, '[.?!]')) AS sentence FROM v_questions),
+named AS (SELECT DISTINCT question_id, unnest({tok_sql('sentence')}) AS t FROM lv),
+rb AS (SELECT k.question_id, k.table_name, k.priority, k.table_ordinal, m.t IS NOT NULL AS gold, unnest([{", ".join(map(str, BUDGETS))}]) AS budget
+       FROM ranked k LEFT JOIN named m ON m.question_id = k.question_id AND m.t = lower(k.table_name)),
+wanted AS (SELECT question_id, budget, count(*) FILTER (WHERE gold) AS n_gold FROM rb GROUP BY ALL),
 r AS {_fit_sql("priority", "budget", "question_id, budget")},
 n AS {_fit_sql("r.table_ordinal", "budget", "question_id, budget")},
-rs AS (SELECT question_id, budget, string_agg(table_name, ',' ORDER BY table_name) AS s FROM r GROUP BY ALL),
-ns AS (SELECT question_id, budget, string_agg(table_name, ',' ORDER BY table_name) AS s FROM n GROUP BY ALL),
-div AS (SELECT rs.budget, count(*) FILTER (WHERE rs.s <> ns.s) / count(*) AS divergence
-        FROM rs JOIN ns ON ns.question_id = rs.question_id AND ns.budget = rs.budget GROUP BY rs.budget)
+rs AS (SELECT question_id, budget, string_agg(table_name, ',' ORDER BY table_name) AS s, count(*) FILTER (WHERE gold) AS g FROM r GROUP BY ALL),
+ns AS (SELECT question_id, budget, string_agg(table_name, ',' ORDER BY table_name) AS s, count(*) FILTER (WHERE gold) AS g FROM n GROUP BY ALL),
+div AS (SELECT rs.budget, count(*) FILTER (WHERE rs.s <> ns.s) / count(*) AS divergence,
+          coalesce(count(*) FILTER (WHERE n_gold > 0 AND rs.g = n_gold) / nullif(count(*) FILTER (WHERE n_gold > 0), 0), 0.0) AS ranked_accuracy,
+          coalesce(count(*) FILTER (WHERE n_gold > 0 AND ns.g = n_gold) / nullif(count(*) FILTER (WHERE n_gold > 0), 0), 0.0) AS naive_accuracy
+        FROM rs JOIN ns ON ns.question_id = rs.question_id AND ns.budget = rs.budget
+        JOIN wanted w ON w.question_id = rs.question_id AND w.budget = rs.budget GROUP BY rs.budget)
 """
 
 def _field_order_sql() -> str:
@@ -428,12 +450,16 @@ WHERE question_id NOT IN (SELECT question_id FROM linked)""",
     "schema_gate": _BASE.rstrip() + _GATE + "SELECT * FROM gate",
     "schema_gate_decisions": _BASE.rstrip() + _GATE
     + "SELECT count(*) FILTER (WHERE mode = 'full')::BIGINT AS full, count(*) FILTER (WHERE mode = 'rag')::BIGINT AS rag FROM gate",
-    "schema_footprint": _BASE.rstrip() + _GATE + """
+    "schema_gate_roomy": _BASE.rstrip() + _gate_sql(1_000_000) + "SELECT * FROM gate",
+    "schema_accuracy": _BASE.rstrip() + _DIVERGENCE + "SELECT budget, ranked_accuracy, naive_accuracy FROM div",
+    "schema_footprint": _BASE.rstrip() + _relevant_ctes(0) + _GATE.rstrip() + f""",
+always AS ({_SEL_TOKENS.format(src="SELECT question_id, table_name FROM rel")})
 SELECT mode, CAST(round_even(avg(tokens), 0) AS BIGINT) AS mean_tokens, max(tokens) AS max_tokens, sum(tokens)::BIGINT AS total_tokens
 FROM (SELECT 'naive' AS mode, tokens FROM naive UNION ALL SELECT 'always', tokens FROM always
-      UNION ALL SELECT 'adaptive', tokens FROM adaptive) GROUP BY mode""",
+      UNION ALL SELECT 'adaptive', tokens FROM gate) GROUP BY mode""",
     "schema_divergence": _BASE.rstrip() + _DIVERGENCE + "SELECT budget, divergence FROM div",
     "schema_convergence": _BASE.rstrip() + _DIVERGENCE
-    + "SELECT min(budget) FILTER (WHERE divergence = 0) AS convergence_budget, arg_max(budget, (divergence, -budget)) AS peak_budget FROM div",
+    + "SELECT min(budget) FILTER (WHERE divergence = 0) AS convergence_budget, arg_max(budget, (ranked_accuracy - naive_accuracy, -budget)) AS peak_budget, "
+    + "round(max(ranked_accuracy - naive_accuracy), 9) AS peak_gap FROM div",
     "schema_field_order": _field_order_sql(),
 }

@@ -144,7 +144,7 @@ def src_fixture_cases(spark, sf_dir):
     grouped = f.groupBy(F.coalesce("expected_rule", F.lit("none")).alias("cat"), (F.col("query_id") / 100).cast("long").alias("blk")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("query_id").cast("string").alias("id"), "sql", "expected_verdict",
                                              "expected_rule"))).alias("cases"))
-    path = FS.write_json(grouped.select("cases").repartition(4), FS.scratch_path(spark, "fixtures"))
+    path = FS.write_json(grouped.select("cases"), FS.scratch_path(spark, "fixtures"))
     return FS.load_fixture_cases(spark, path).select("id", "sql", "expected_verdict", "expected_rule")
 
 

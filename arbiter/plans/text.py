@@ -72,7 +72,7 @@ def text_summary_parse(spark, sf_dir):
     """Parse JSON replies derived from conversation turns; malformed ones fall back."""
     c = Tables(spark, sf_dir).conversations
     k = F.col("conv_id") % 4
-    obj = F.to_json(F.struct(F.substring("role", 1, 40).alias("short"), F.col("text").alias("long")))
+    obj = F.to_json(F.struct(F.col("role").alias("short"), F.col("text").alias("long")))
     reply = (
         F.when(k == 0, F.concat(F.lit("```json" + NL), obj, F.lit(NL + "```")))
         .when(k == 1, F.concat(F.lit("Here you go: "), obj, F.lit(" -- done")))
@@ -251,7 +251,7 @@ FROM conversations GROUP BY conv_id""",
     "text_summary_parse": f"""WITH c AS (SELECT conv_id, turn, role, text,
   CASE conv_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'x' WHEN 2 THEN 'bad' ELSE 'plain' END AS kind FROM conversations)
 SELECT conv_id, turn,
-  CASE WHEN kind = 'x' THEN {_strip("substr(role, 1, 40)")} ELSE '' END AS short,
+  CASE WHEN kind = 'x' THEN {_strip("role")} ELSE '' END AS short,
   CASE WHEN kind = 'x' AND {_strip("text")} <> '' THEN {_strip("text")}
        ELSE 'Turn ' || CAST(turn AS VARCHAR) || ' by ' || role || '.' END AS long
 FROM c""",

@@ -53,11 +53,16 @@ def run_stream(spark: SparkSession, events_path: str, window: str = "1 hour") ->
     )
     agg = windowed_stage_counts(stream, window)
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def write(batch: DataFrame, epoch: int) -> None:
+        # A replayed epoch writes its own folder again; nothing else is touched.
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
 
-    q = agg.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(write).trigger(
+    q = agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).foreachBatch(write).trigger(
         availableNow=True
     ).start()
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    # Update mode: only changed windows are written, and state behind the watermark is dropped; the last epoch of a window holds.
+    keys = ["window_start", "window_end", "stage"]
+    table = spark.read.parquet(out_path)
+    rest = [c for c in table.columns if c not in (*keys, "epoch")]
+    return table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last")).select(*keys, "last.*")
