@@ -10,6 +10,8 @@ engine reproduces; ``md5`` ordering is deterministic and portable.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ PRESETS = (
 )
 
 
+#: (name, least tables, most tables, questions, seed).
+Preset = tuple[str, int, int, int, int]
+
+
 def seeded_key(seed: Column | int, qid: Column) -> Column:
     s = seed if isinstance(seed, Column) else F.lit(str(seed))
     return F.md5(F.concat_ws("|", s.cast("string"), qid.cast("string")))
@@ -46,7 +52,7 @@ def largest_remainder(sizes: DataFrame, n: Column | int, key: str = "stratum", b
 
 def eligible(questions: DataFrame, table_counts: DataFrame, min_tables: int, max_tables: int) -> DataFrame:
     tc = table_counts.filter((F.col("table_count") >= min_tables) & (F.col("table_count") <= max_tables))
-    return questions.join(F.broadcast(tc.select("db_id")), "db_id", "left_semi")
+    return questions.join(tc.select("db_id"), "db_id", "left_semi")
 
 
 def stratified_draw(pool: DataFrame, n: int | Column, seed: int, n_max: int | None = None) -> DataFrame:
@@ -70,28 +76,74 @@ def select_slice(questions: DataFrame, table_counts: DataFrame, min_tables: int,
     return stratified_draw(eligible(questions, table_counts, min_tables, max_tables), n, seed)
 
 
-def superset_slice(questions, table_counts, base: DataFrame, exclude: DataFrame | None, min_tables, max_tables, n, seed):
-    """K3: base kept verbatim, topped up from eligible - base - exclude, stratified."""
-    elig = eligible(questions, table_counts, min_tables, max_tables)
-    pool = elig.join(base.select("question_id"), "question_id", "left_anti")
-    if exclude is not None:
-        pool = pool.join(exclude.select("question_id"), "question_id", "left_anti")
-    remaining = F.lit(n) - base.agg(F.count(F.lit(1))).scalar()
-    top_up = stratified_draw(pool, remaining, seed, n)
-    kept = base.select("question_id").join(questions.select("question_id", "difficulty"), "question_id", "left")
-    return kept.unionByName(top_up)
+def preset_candidates(questions: DataFrame, table_counts: DataFrame, presets: Sequence[Preset], slack: int = 0) -> DataFrame:
+    """K7: one job for all presets: (preset, difficulty, size, table_count, question_id, rank).
+
+    Every question is dealt to the presets that its database is eligible for;
+    per preset and difficulty the pool size and the first ``n + slack``
+    questions in seeded order stay.  The result is bounded by presets x
+    difficulties x n, so draws that depend on each other (hold-out, superset)
+    work on it alone; ``slack`` is the most that other draws can take away.
+    """
+    rules = F.array(*[F.struct(F.lit(p[0]).alias("preset"), F.lit(p[1]).alias("lo"), F.lit(p[2]).alias("hi"), F.lit(p[4]).alias("seed")) for p in presets])
+    known = questions.join(table_counts.select("db_id", "table_count"), "db_id")
+    fits = F.filter(rules, lambda p: (F.col("table_count") >= p["lo"]) & (F.col("table_count") <= p["hi"]))
+    dealt = known.select("question_id", "difficulty", "table_count", F.explode(fits).alias("p")).select(
+        "question_id", "difficulty", "table_count", F.col("p.preset").alias("preset"), seeded_key(F.col("p.seed"), F.col("question_id")).alias("_k")
+    )
+    sizes = dealt.groupBy("preset", "difficulty").agg(F.count(F.lit(1)).alias("size"))
+    most = max(p[3] for p in presets) + slack
+    top = top_n_per_group(dealt, ["preset", "difficulty"], [F.asc("_k"), F.asc("question_id")], most,
+                          bucket_key=F.xxhash64("question_id"), rank_name="rank")
+    return top.join(sizes, ["preset", "difficulty"]).select("preset", "difficulty", "size", "table_count", "question_id", "rank")
+
+
+def draw_preset(candidates: DataFrame, preset: Preset, excluded: DataFrame | None = None, taken: Column | int = 0) -> DataFrame:
+    """K2, K3, K6: (question_id, difficulty, table_count) of one preset, from ``preset_candidates``.
+
+    ``excluded`` (question_id, difficulty, table_count) leaves the pool first;
+    ``taken`` counts ids that the slice already has.
+    """
+    name, lo, hi, n, _ = preset
+    own = candidates.where(F.col("preset") == name)
+    sizes = own.groupBy(F.col("difficulty").alias("stratum")).agg(F.max("size").alias("size"))
+    if excluded is not None:
+        inside = excluded.where((F.col("table_count") >= lo) & (F.col("table_count") <= hi)).dropDuplicates(["question_id"])
+        gone = inside.groupBy(F.col("difficulty").alias("stratum")).agg(F.count(F.lit(1)).alias("gone"))
+        sizes = sizes.join(gone, "stratum", "left").select("stratum", (F.col("size") - F.coalesce("gone", F.lit(0))).alias("size"))
+        own = own.join(inside.select("question_id"), "question_id", "left_anti")
+    taken = taken if isinstance(taken, Column) else F.lit(taken)
+    wanted = F.greatest(F.least(F.lit(n) - taken, F.sum("size").over(Window.partitionBy())), F.lit(0))
+    alloc = largest_remainder(sizes, wanted).select(F.col("stratum").alias("difficulty"), "alloc")
+    place = F.row_number().over(Window.partitionBy("difficulty").orderBy("rank"))
+    return own.withColumn("_r", place).join(alloc, "difficulty").where("_r <= alloc").select("question_id", "difficulty", "table_count")
+
+
+def superset_draw(candidates: DataFrame, preset: Preset, base: DataFrame, exclude: DataFrame) -> DataFrame:
+    """K3: ``base`` kept verbatim, topped up from the preset's pool without base and ``exclude``."""
+    size = base.agg(F.count(F.lit(1))).scalar()
+    return base.unionByName(draw_preset(candidates, preset, base.unionByName(exclude), size))
 
 
 def ineligible_base(base: DataFrame, questions: DataFrame, table_counts: DataFrame, min_tables, max_tables) -> DataFrame:
-    """K3 guard: base ids that are not eligible (the reference raises on any)."""
+    """K3 guard: base ids that are not eligible."""
     return base.join(eligible(questions, table_counts, min_tables, max_tables), "question_id", "left_anti").select("question_id")
 
 
+def require_eligible(base: DataFrame, questions: DataFrame, table_counts: DataFrame, min_tables, max_tables) -> DataFrame:
+    """K3 guard: (n_base) of an eligible base; running it fails when any base id is not eligible."""
+    known = eligible(questions, table_counts, min_tables, max_tables).select("question_id", F.lit(True).alias("_ok"))
+    n_bad = F.count_if(F.col("_ok").isNull())
+    message = F.concat(n_bad.cast("string"), F.lit(" base question(s) are not eligible"))
+    return base.select("question_id").join(known, "question_id", "left").agg(
+        F.when(n_bad > 0, F.raise_error(message).cast("long")).otherwise(F.count(F.lit(1))).cast("long").alias("n_base")
+    )
+
+
 def mix_counts(slice_df: DataFrame, questions: DataFrame) -> DataFrame:
     """K5: counts per difficulty and per db in one GROUPING SETS pass."""
     j = slice_df.select("question_id").join(questions.select("question_id", "db_id", "difficulty"), "question_id")
-    j.createOrReplaceTempView("_arbiter_slice")
     return j.sparkSession.sql("""
         SELECT CASE WHEN grouping(difficulty) = 0 THEN 'difficulty' ELSE 'db_id' END AS cut,
                coalesce(difficulty, db_id) AS key, count(*) AS n
-        FROM _arbiter_slice GROUP BY GROUPING SETS ((difficulty), (db_id))""")
+        FROM {slice} GROUP BY GROUPING SETS ((difficulty), (db_id))""", slice=j)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import catalog as C
 from arbiter.operators import slices as K
 from arbiter.plans.schema import STAR_SCHEMA
+from arbiter.sources.fixtures import stable
 from arbiter.sources.tables import TABLES, Tables
 
 N_DBS = 7
@@ -76,36 +77,51 @@ def slice_ci(spark, sf_dir):
     return _slice(spark, sf_dir, "ci")
 
 
+#: Presets drawn together: the hold-out leaves out the small and CI slices, the wide one the hold-out.
+_TOGETHER = ("small", "ci", "holdout", "wide")
+
+
+def _drawn(spark, sf_dir):
+    """(small, ci, holdout, wide) from one bounded candidate table: the questions are scanned in one job."""
+    presets = [(name, *PRESET[name]) for name in _TOGETHER]
+    by = {p[0]: p for p in presets}
+    slack = sum(p[3] for p in presets if p[0] != "wide")
+    cands = stable(K.preset_candidates(questions(spark, sf_dir), table_counts(spark, sf_dir), presets, slack))
+    small, ci = K.draw_preset(cands, by["small"]), K.draw_preset(cands, by["ci"])
+    hold = stable(K.draw_preset(cands, by["holdout"], small.unionByName(ci)))
+    return small, ci, hold, K.superset_draw(cands, by["wide"], small, hold)
+
+
 def slice_holdout(spark, sf_dir):
     """K6: dev (small) and CI ids are removed before sampling."""
-    lo, hi, n, seed = PRESET["holdout"]
-    excluded = _slice(spark, sf_dir, "small").unionByName(_slice(spark, sf_dir, "ci")).select("question_id")
-    pool = K.eligible(questions(spark, sf_dir), table_counts(spark, sf_dir), lo, hi).join(excluded, "question_id", "left_anti")
-    return K.stratified_draw(pool, n, seed)
+    return _drawn(spark, sf_dir)[2].select("question_id", "difficulty")
 
 
 def slice_wide(spark, sf_dir):
     """K3: superset of the small slice, never meeting the hold-out."""
-    lo, hi, n, seed = PRESET["wide"]
-    return K.superset_slice(questions(spark, sf_dir), table_counts(spark, sf_dir), _slice(spark, sf_dir, "small"),
-                            slice_holdout(spark, sf_dir), lo, hi, n, seed)
+    return _drawn(spark, sf_dir)[3].select("question_id", "difficulty")
+
+
+def slice_base_guard(spark, sf_dir):
+    """K3 guard over the small slice as the base of the wide one: its size, or an error."""
+    lo, hi, _, _ = PRESET["wide"]
+    return K.require_eligible(_slice(spark, sf_dir, "small"), questions(spark, sf_dir), table_counts(spark, sf_dir), lo, hi)
 
 
 def slice_checks(spark, sf_dir):
-    """K4: base within the superset; superset and hold-out disjoint; CI overlap unchanged."""
-    small, wide, hold, ci = (_slice(spark, sf_dir, "small"), slice_wide(spark, sf_dir), slice_holdout(spark, sf_dir),
-                             _slice(spark, sf_dir, "ci"))
-    ids = lambda d: d.select("question_id")
-    n_missing = ids(small).join(ids(wide), "question_id", "left_anti").agg(F.count(F.lit(1))).scalar()
-    n_overlap = ids(wide).join(ids(hold), "question_id", "left_semi").agg(F.count(F.lit(1))).scalar()
-    ci_wide = ids(wide).join(ids(ci), "question_id", "left_semi").agg(F.count(F.lit(1))).scalar()
-    ci_small = ids(small).join(ids(ci), "question_id", "left_semi").agg(F.count(F.lit(1))).scalar()
-    n_wide = wide.agg(F.count(F.lit(1)).alias("n_wide"))
-    return n_wide.select(
-        F.col("n_wide").cast("long"),
-        n_missing.cast("long").alias("base_missing"),
-        n_overlap.cast("long").alias("holdout_overlap"),
-        (ci_wide == ci_small).alias("ci_overlap_unchanged"),
+    """K4: base within the superset; superset and hold-out disjoint; CI overlap unchanged; conditional counts over the slices of each id."""
+    small, ci, hold, wide = _drawn(spark, sf_dir)
+    tagged = None
+    for name, part in (("small", small), ("ci", ci), ("holdout", hold), ("wide", wide)):
+        rows = part.select("question_id", F.lit(name).alias("s"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    has = {n: F.max(F.col("s") == n).alias(n) for n in _TOGETHER}
+    per_id = tagged.groupBy("question_id").agg(*has.values())
+    return per_id.agg(
+        F.count_if("wide").cast("long").alias("n_wide"),
+        F.count_if(F.col("small") & ~F.col("wide")).cast("long").alias("base_missing"),
+        F.count_if(F.col("wide") & F.col("holdout")).cast("long").alias("holdout_overlap"),
+        (F.count_if(F.col("wide") & F.col("ci")) == F.count_if(F.col("small") & F.col("ci"))).alias("ci_overlap_unchanged"),
     )
 
 
@@ -135,6 +151,7 @@ def slice_adopted_whole(spark, sf_dir):
 
 
 QUERIES = {
+    "slice_base_guard": slice_base_guard,
     "slice_adopted_whole": slice_adopted_whole,
     "slice_table_counts": slice_db_sizes,
     "slice_largest_remainder": slice_largest_remainder,
@@ -190,6 +207,9 @@ wide AS (SELECT question_id, difficulty FROM small UNION ALL SELECT question_id,
 _HEAD = f"WITH {_Q}, {_TC},\n"
 
 ORACLES = {
+    "slice_base_guard": _HEAD + _slice_sql("small") + f""",
+base AS (SELECT count(*)::BIGINT AS n_base FROM small)
+SELECT n_base FROM base""",
     "slice_adopted_whole": "SELECT o_orderkey AS question_id FROM orders ORDER BY 1",
     "slice_table_counts": "WITH sizes AS (" + " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, {i} AS ord, count(*) AS n FROM {t}" for i, t in enumerate(sorted(STAR_SCHEMA), start=1))
