@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "\x20\t\n\x0b\x0c\r"
 #: Text bytes that one Python batch handles at once; a longer single text is a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Hash buckets of keys that a broadcast may hold.
+KEY_BUCKETS = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +38,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_by_keys(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(maybe, never): the rows whose ``key`` may be among ``keys``, and those whose key cannot be, without a shuffle of rows.
+
+    Only the distinct hash buckets of the keys are broadcast, ``KEY_BUCKETS`` at
+    most whatever the data; some other rows share a bucket, so ``maybe`` still
+    has to be joined.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS))
+    few = F.broadcast(keys.select(bucket.alias("__bucket")).distinct())
+    dealt = rows.withColumn("__bucket", bucket)
+    return tuple(dealt.join(few, "__bucket", how).drop("__bucket") for how in ("left_semi", "left_anti"))
+
+
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not among ``keys``; only rows that may be are shuffled."""
+    maybe, never = split_by_keys(rows, keys, key)
+    return never.union(maybe.join(keys.select(key), key, "left_anti").select(rows.columns))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -46,12 +67,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a record batch so that each part holds about ``BATCH_BYTES`` of ``column``."""
+def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a record batch so that each part holds about ``most`` bytes of ``column``."""
     if batch.num_rows == 0:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = np.flatnonzero(np.diff(ends // BATCH_BYTES, prepend=0)) + 1
+    cuts = np.flatnonzero(np.diff(ends // most, prepend=0)) + 1
     start = 0
     for stop in [*cuts.tolist(), batch.num_rows]:
         if stop > start:

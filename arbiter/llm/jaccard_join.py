@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import shuffle_width, slices, written
+from arbiter.llm.common import shuffle_width, slices, split_by_keys, written
 from arbiter.llm.shingles import connected, mix64, shingle_sets
 
 THRESHOLD = 0.8
@@ -218,7 +218,7 @@ def _signature_rows(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
-def candidate_forest(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+def candidate_forest(classes: DataFrame, threshold: float, tolerance: float, block: int = BLOCK) -> DataFrame:
     """(u, v): keys linked through pairs that pruning keeps inside some bucket; a forest per block, not the pairs."""
     banded = classes.where("n_shingles > 0").select("key", F.explode("bands").alias("bucket"))
     # Buckets with the same members are one: similar texts share most of their bands.
@@ -226,7 +226,7 @@ def candidate_forest(classes: DataFrame, threshold: float, tolerance: float) ->
     live = banded.groupBy("bucket").agg(*same).where("n > 1").groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = banded.join(live, "bucket").groupBy("key").agg(F.collect_list("bucket").alias("buckets"))
     members = members.join(classes.select("key", "sig"), "key").select("key", "sig", F.explode("buckets").alias("bucket"))
-    dealt = in_blocks(members, "bucket", F.lit(1)).select("bucket", "left", "right", "block", "key", "sig")
+    dealt = in_blocks(members, "bucket", F.lit(1), block).select("bucket", "left", "right", "block", "key", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in block_groups(batches, ["bucket", "left", "right"]):
@@ -242,11 +242,12 @@ def candidate_forest(classes: DataFrame, threshold: float, tolerance: float) ->
     return dealt.mapInArrow(run, "u binary, v binary").distinct()
 
 
-def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text_col: str, threshold: float, tolerance: float) -> DataFrame:
+def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, text_col: str, threshold: float, tolerance: float, block: int = BLOCK) -> DataFrame:
     """(key, root, links, texts): per text the linked documents and texts found by exact comparison, and a tree edge of each block's links."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(text.alias("text"), _key(text).alias("key"))
-    some = rows.join(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")), "key")
+    members = clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    some = split_by_keys(rows, members, "key")[0].join(members, "key")
     texts = some.groupBy("key").agg(F.first("cluster").alias("cluster"), F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, tex
 
     found = texts.mapInArrow(sets, "key binary, cluster binary, sig binary, shingles binary")
     members = written(found.join(classes.select("key", "n_docs"), "key"), "jaccard-sets")
-    dealt = in_blocks(members, "cluster", F.length("shingles") / 8).select("cluster", "left", "right", "block", "key", "sig", "shingles", "n_docs")
+    dealt = in_blocks(members, "cluster", F.length("shingles") / 8, block).select("cluster", "left", "right", "block", "key", "sig", "shingles", "n_docs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in block_groups(batches, ["cluster", "left", "right"]):
@@ -289,7 +290,9 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, tex
     return dealt.mapInArrow(run, "key binary, root binary, links long, texts long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK
+) -> DataFrame:
     """One row per different text: (key, class_id, n_docs, n_links, n_linked_texts, group_key, group_id).
 
     ``key`` is the MD5 of the text (null as empty).  ``n_links`` counts the other
@@ -298,8 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least id.
     """
     classes = written(classes_of(docs, id_col, text_col), "jaccard-classes")
-    clusters = written(connected(candidate_forest(classes, threshold, tolerance), "jaccard-candidates"), "jaccard-clusters")
-    links = written(verified_links(docs, classes, clusters, text_col, threshold, tolerance), "jaccard-links")
+    clusters = written(connected(candidate_forest(classes, threshold, tolerance, block), "jaccard-candidates"), "jaccard-clusters")
+    links = written(verified_links(docs, classes, clusters, text_col, threshold, tolerance, block), "jaccard-links")
     groups = connected(links.select(F.col("key").alias("u"), F.col("root").alias("v")), "jaccard-groups")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     out = (
@@ -319,25 +322,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each near-duplicate group: the first by id, of the text with the least id in its group.
 
-    Rows whose text has no words belong to no group and all stay.
+    Rows whose text has no words belong to no group and all stay.  Texts that
+    occur once and stay for their group are not shuffled.
     """
-    found = near_duplicates(docs, id_col, text_col, threshold)
+    found = written(near_duplicates(docs, id_col, text_col, threshold), "jaccard-found")
     # The text that stays for a group is the one with the least (class id, key).
     chosen = found.groupBy("group_key").agg(F.min(F.struct("class_id", "key")).alias("c")).select(F.col("c.key").alias("__key"))
+    several = found.where("n_docs > 1").select(F.col("key").alias("__key")).union(found.select(F.col("key").alias("__key")).join(chosen, "__key", "left_anti"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     rows = docs.select(row.alias("row"), _key(text).alias("__key"), F.col(f"`{id_col}`").alias("__id"), text.rlike(r"[^\x20\x09-\x0D]").alias("__has"))
     wordless = rows.where("not __has").select("row.*")
     first = F.struct(F.col("__id").isNull(), F.col("__id"), F.xxhash64("row"))
-    kept = rows.where("__has").join(chosen, "__key", "left_semi").groupBy("__key").agg(F.min_by("row", first).alias("row")).select("row.*")
-    return kept.union(wordless)
+    maybe, single = split_by_keys(rows.where("__has"), several, "__key")
+    kept = maybe.join(chosen, "__key", "left_semi").groupBy("__key").agg(F.min_by("row", first).alias("row")).select("row.*")
+    return single.select("row.*").union(kept).union(wordless)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Per document its class (the least id of its group of linked documents), its links, and the least id of its equal texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs)
     return (
         docs.select("doc_id", _key(F.col("text")).alias("key"))
         .join(found, "key")
-        .select("doc_id", "class_id", "n_docs", "n_links", "n_linked_texts", "group_id")
+        .select("doc_id", F.col("group_id").alias("class_id"), "n_links", F.col("class_id").alias("text_id"), "n_docs", "n_linked_texts")
     )
