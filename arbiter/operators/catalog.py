@@ -154,6 +154,19 @@ def relevant_tables(
     )
 
 
+def widened_questions(attempts: DataFrame) -> DataFrame:
+    """The query of a re-retrieval is the question and the name that was missing, if any.
+
+    ``attempts``: (question_id, db_id, question, n_retries, missing).
+    """
+    return attempts.select("question_id", "db_id", F.concat_ws(" ", "question", "missing").alias("question"), "n_retries")
+
+
+def widening_floor(n_retries: Column, max_tables: int = DEFAULT_MAX_TABLES) -> Column:
+    """At the n-th re-retrieval at least ``max_tables * 2^n`` tables are shown."""
+    return (F.lit(max_tables) * F.pow(F.lit(2), n_retries)).cast("int")
+
+
 def render_blocks(catalog: DataFrame, fks: DataFrame, samples: DataFrame) -> DataFrame:
     """Prompt-ready text block per table (columns with glosses, FK lines, samples) and C9 cost."""
     col_line = F.concat(

@@ -129,6 +129,15 @@ def _relevant(floor):
     return q
 
 
+def schema_widening(spark, sf_dir):
+    """0 to 2 re-retrievals per question; every fifth question missed the name ``nation``.  Re-retrievals always go by C6."""
+    catalog, samples, fks = _index(spark, sf_dir)
+    retries = F.col("question_id") % 3
+    attempts = questions(spark, sf_dir).withColumn("n_retries", retries).withColumn("missing", F.when(F.col("question_id") % 5 == 0, F.lit("nation")))
+    scores = C.score(C.widened_questions(attempts), catalog, samples)
+    return C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, C.widening_floor(retries, MAX_TABLES)).select("question_id", "table_name", "table_ordinal")
+
+
 def schema_blocks(spark, sf_dir):
     catalog, samples, fks = _index(spark, sf_dir)
     return C.render_blocks(catalog, fks, samples).select("table_name", "table_ordinal", "cost", "block")
@@ -254,6 +263,7 @@ QUERIES = {
     "schema_relevant": _relevant(0),
     "schema_relevant_widened": _relevant(MAX_TABLES * 2),
     "schema_blocks": schema_blocks,
+    "schema_widening": schema_widening,
     "schema_fit_budget": schema_fit_budget,
     "schema_gate": schema_gate,
     "schema_gate_roomy": schema_gate_roomy,
@@ -344,11 +354,11 @@ _BASE = "WITH " + ",\n".join([
 ]) + "\n"
 
 
-def _relevant_sql(floor: int) -> str:
+def _relevant_sql(floor: int | str) -> str:
     return _relevant_ctes(floor) + "\nSELECT question_id, table_name, table_ordinal FROM rel"
 
 
-def _relevant_ctes(floor: int) -> str:
+def _relevant_ctes(floor: int | str) -> str:
     return f""",
 hits_r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, table_name) AS rk FROM scores WHERE score > 0),
 picks AS (SELECT question_id, db_id, table_name, CAST(rk AS DOUBLE) AS prio FROM hits_r WHERE rk <= {MAX_TABLES}),
@@ -444,6 +454,8 @@ WHERE question_id NOT IN (SELECT question_id FROM linked)""",
     "schema_ranked": _BASE + "SELECT question_id, table_name, priority::INT AS priority FROM ranked",
     "schema_relevant": _BASE.rstrip() + _relevant_sql(0),
     "schema_relevant_widened": _BASE.rstrip() + _relevant_sql(MAX_TABLES * 2),
+    "schema_widening": _BASE.replace(tok_sql("question"), tok_sql("question || CASE WHEN question_id % 5 = 0 THEN ' nation' ELSE '' END")).rstrip()
+    + _relevant_sql(f"({MAX_TABLES} * (1 << CAST(n.question_id % 3 AS INT)))"),
     "schema_blocks": _BASE + "SELECT b.table_name, b.table_ordinal, c.cost, b.block FROM blocks b JOIN costs c ON c.table_name = b.table_name",
     "schema_fit_budget": _BASE.rstrip() + ",\nrb AS (SELECT question_id, table_name, priority FROM ranked)\n"
     + f"SELECT question_id, table_name FROM {_fit_sql('priority', str(BUDGET))}",
