@@ -119,6 +119,13 @@ def src_descriptions_fused(spark, sf_dir):
     return IO.merge_descriptions(sup, prof, "fused")
 
 
+def _merged(source):
+    def q(spark, sf_dir):
+        prof = _profiled_descriptions(spark, sf_dir).select("column_key", F.col("long").alias("text"))
+        return IO.merge_descriptions(_supplied(spark, sf_dir).select("column_key", F.col("long").alias("text")), prof, source)
+    return q
+
+
 def src_row_counts(spark, sf_dir):
     """Row count of every table."""
     t = Tables(spark, sf_dir)
@@ -193,6 +200,9 @@ QUERIES = {
     "src_schema_text": src_schema_text,
     "src_descriptions_roundtrip": src_descriptions_roundtrip,
     "src_descriptions_fused": src_descriptions_fused,
+    "src_descriptions_supplied": _merged("supplied"),
+    "src_descriptions_profiling": _merged("profiling"),
+    "src_descriptions_merged": _merged("fused"),
     "src_row_counts": src_row_counts,
     "src_seed_join": src_seed_join,
     "src_fixture_cases": src_fixture_cases,
@@ -243,6 +253,16 @@ _REPORT = with_views(V_RUNS) + """SELECT 'v3' AS prompt_version, 'fp-base' AS pr
   count(*) FILTER (WHERE NOT guard_rejected AND error IS NULL AND matches_gold)::BIGINT AS n_correct_k
 FROM v_runs"""
 
+def _supplied_sql() -> str:
+    rows = []
+    for table, cols in sorted(S.STAR_SCHEMA.items()):
+        for col, _ in cols:
+            name = "PII" if table in ("customer", "supplier") and col.endswith("_name") else "PII-adjacent" if col.endswith("_acctbal") else "identifier" if col.endswith("key") else None
+            if name:
+                rows.append(f"('{table}.{col}', '{name} column')")
+    return "WITH sup(column_key, s) AS (VALUES " + ", ".join(rows) + ") "
+
+
 def _descriptions_sql() -> str:
     from arbiter.plans.profile import PROFILED, _profile_sql
     prof = "\nUNION ALL".join(_profile_sql(t) for t in PROFILED)
@@ -267,6 +287,11 @@ SELECT '{DB}' AS db_id, '-- Foreign-key relationships (join paths):' || chr(10)
   || (SELECT string_agg(t, chr(10) ORDER BY table_name) FROM pt) AS text""",
     "src_schema_text": S._BASE + "SELECT db_id, string_agg(block, chr(10) || chr(10) ORDER BY table_ordinal) AS schema_text FROM blocks GROUP BY db_id",
     "src_descriptions_roundtrip": _descriptions_sql(),
+    "src_descriptions_supplied": _supplied_sql() + "SELECT column_key, s AS description FROM sup",
+    "src_descriptions_profiling": f"SELECT column_key, long AS description FROM ({_descriptions_sql()})",
+    "src_descriptions_merged": _supplied_sql() + f"""SELECT coalesce(sup.column_key, p.column_key) AS column_key,
+  CASE WHEN s IS NOT NULL AND long IS NOT NULL THEN s || ' ' || long ELSE coalesce(s, long) END AS description
+FROM sup FULL OUTER JOIN ({_descriptions_sql()}) p ON p.column_key = sup.column_key""",
     "src_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*)::BIGINT AS n_rows FROM {t}" for t in TABLES),
     "src_seed_join": """SELECT l_orderkey, l_linenumber, o_orderstatus, c_mktsegment, l_extendedprice
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
