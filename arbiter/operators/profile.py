@@ -32,7 +32,6 @@ CHAR_CLASS_PATTERNS = (
     ("alpha", r"^\p{L}+$"),
     ("alnum", r"^[\p{L}\p{N}]+$"),
 )
-TOP_BUCKETS = 64
 
 _SCALAR = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType,
@@ -194,10 +193,14 @@ def distinct_counts(counts: DataFrame) -> DataFrame:
 
 
 def top_n_per_group(
-    df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], n: int, buckets: int = TOP_BUCKETS,
+    df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], n: int, buckets: int | None = None,
     bucket_key: Column | None = None, rank_name: str = "rank",
 ) -> DataFrame:
-    """Exact top-n rows per group by ``order`` (a total order), in two bounded stages."""
+    """Exact top-n rows per group by ``order`` (a total order), in two bounded stages.
+
+    A group is cut into as many hash buckets as there are shuffle partitions.
+    """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = bucket_key if bucket_key is not None else F.xxhash64(*[F.col(c) for c in df.columns])
     staged = df.withColumn("_bucket", F.pmod(key, F.lit(buckets)))
     w1 = Window.partitionBy(*group_cols, "_bucket").orderBy(*order)
