@@ -171,6 +171,31 @@ def test_leaks_are_found(spark):
     assert decontaminate.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_every_leak_the_verdict_accepts_is_found(spark):
+    """Paraphrases of items of 8 to 88 words among words of the same benchmark, against the verdict over all windows."""
+    rng = random.Random(1)
+    often = [1 / (k + 3) for k in range(2000)]
+    line = lambda n: rng.choices([f"w{k}" for k in range(2000)], often, k=n)
+    parts = [line(8 + i % 81) for i in range(400)]
+    texts = []
+    for k in range(240):
+        part = parts[k]
+        kept = rng.sample(range(len(part)), -(-len(part) * (3 if k % 2 else 4) // (4 if k % 2 else 6)))
+        texts.append(" ".join(line(20 + k % 90) + [w if j in kept else line(1)[0] for j, w in enumerate(part)] + line(20 + k % 70)))
+    items = decontaminate.Items(list(range(400)), [" ".join(p) for p in parts])
+    terms, n = decontaminate.coded(texts)
+    want = set()
+    for i, (end, m) in enumerate(zip(np.cumsum(n).tolist(), n.tolist(), strict=True)):
+        for q, size in enumerate(items.size.tolist()):
+            for b in range(0, max(-(-m // decontaminate.STRIDE) * decontaminate.STRIDE - size, 0) + 1, decontaminate.STRIDE):
+                if decontaminate.verdict(items, q, terms[max(end - m + b - decontaminate.MARGIN, end - m) : min(end - m + b + size + decontaminate.MARGIN, end)]):
+                    want.add((texts[i], items.item[q]))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(parts)], "item_id long, text string"))
+    digests = {hashlib.md5(t.encode()).digest(): t for t in texts}
+    assert len(want) > 100 and {(digests[bytes(r.key)], r.item_id) for r in found.collect()} == want
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
