@@ -2,9 +2,14 @@
 
 Lines that begin with ``>`` marks are quotes, nested as deep as they have marks;
 a line that announces one ("On ... wrote:") goes with it.  Every quoted line,
-and the first-level quote as a whole, is normalised (lower case, single blanks)
-and hashed, and joined to the latest earlier message of the conversation that
-says the same in its own words.  A message replies to the one that its
+the first-level quote as a whole and every block (lines of one level in a row)
+is normalised (lower case, single blanks) and hashed, and joined to the latest
+earlier message of the conversation that says the same in its own words: as a
+line or as a whole, and a block also as a run of words, however its lines are
+wrapped.  Runs are compared by windows of a power of two of words, hashed by
+doubling: the longest that fits at the start and at the end of the block.  A
+block that is too short for lines and windows must be a whole message.  A
+message replies to the one that its
 outermost matching quotes take most characters from.  Replies are followed to
 the first message of their thread by pointer doubling, and the conversation is
 returned message by message, thread after thread, each reply after the message
@@ -32,8 +37,10 @@ from arbiter.llm.common import BLANKS, shuffle_width, written
 
 MARKS = r"^(?:[ \t]*>)+"
 ANNOUNCE = r"(?i)^[ \t]*(?:on|am|le|el) .{1,200}(?:wrote|schrieb|a écrit|escribió)[^:\n]{0,80}:[ \t\r]*$"
-#: Shorter normal lines say too little to link by.
+#: Shorter normal lines say too little to link by; a shorter block must be a whole message.
 MIN_CHARS = 8
+#: Windows are of so many words at least, 2 to this power; a block of fewer words must be a line or a whole message.
+MIN_POWER = 2
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -41,8 +48,24 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), _BLANK, " "))
 
 
+def word_windows(body: Column) -> Column:
+    """Array of (power, hashes): hashes of the windows of 2^power words of a normal text at each of its words, by doubling."""
+
+    def twice(acc: Column, power: Column) -> Column:
+        half = F.pow(F.lit(2), power - 1).cast("int")
+        longer = F.transform(F.sequence(F.lit(0), F.size(acc["now"]) - 1 - half), lambda i: F.xxhash64(F.get(acc["now"], i), F.get(acc["now"], i + half)))
+        return F.struct(longer.alias("now"), F.concat(acc["all"], F.array(F.struct(power.alias("power"), longer.alias("hashes")))).alias("all"))
+
+    words = F.split(body, " ")
+    none = F.array().cast("array<struct<power:int,hashes:array<bigint>>>")
+    start = F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("now"), none.alias("all"))
+    powers = F.sequence(F.lit(1), F.floor(F.log2(F.size(words))).cast("int"))
+    found = F.aggregate(powers, start, twice, lambda acc: acc["all"])
+    return F.when(F.size(words) > 1, F.filter(found, lambda x: x["power"] >= MIN_POWER)).otherwise(none)
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds mid (digest of the row), own (lines of its own), quotes (level, body) and content to (conv_id, turn, role, text)."""
+    """Adds mid (digest of the row), own (lines of its own), quotes (level, body), blocks (level, body) and content to (conv_id, turn, role, text)."""
 
     def line(x: Column) -> Column:
         marks = F.regexp_extract(x, MARKS, 0)
@@ -53,6 +76,13 @@ def parsed(messages: DataFrame) -> DataFrame:
     quoted = F.filter("lines", lambda x: x["level"] > 0)
     own = F.filter("lines", lambda x, i: (x["level"] == 0) & ~(x["announces"] & F.coalesce(F.get("lines", i + 1)["level"] > 0, F.lit(False))))
     found = found.withColumn("quotes", F.coalesce(quoted, F.array().cast("array<struct<level:int,body:string,announces:boolean>>")))
+    level = lambda i: F.coalesce(F.get("lines", i)["level"], F.lit(0))
+    place = F.sequence(F.lit(0), F.size("lines") - 1)
+    first = F.filter(place, lambda i: (level(i) > 0) & ((i == 0) | (level(i - 1) != level(i))))
+    last = F.filter(place, lambda i: (level(i) > 0) & (level(i + 1) != level(i)))
+    body = lambda a, b: F.array_join(F.transform(F.slice("lines", a + 1, b - a + 1), lambda x: x["body"]), " ")
+    blocks = F.zip_with(first, last, lambda a, b: F.struct(level(a).alias("level"), normal(body(a, b)).alias("body")))
+    found = found.withColumn("blocks", F.when(F.col("lines").isNotNull(), blocks))
     found = found.withColumn("own", F.when(F.col("lines").isNotNull(), F.transform(own, lambda x: x["body"])))
     content = F.btrim(F.array_join("own", "\n"), F.lit(BLANKS))
     return found.withColumn("content", F.when(F.col("own").isNull(), F.col("text")).otherwise(content)).drop("lines")
@@ -69,24 +99,54 @@ def latest_before(events: DataFrame, order: list[str], slot: str) -> DataFrame:
     return dealt.withColumn(slot, F.last(slot, ignorenulls=True).over(sweep)).join(carried, "part").withColumn(slot, F.coalesce(slot, "carried")).drop("part", "carried")
 
 
+def window_key(power: Column, hashed: Column) -> Column:
+    return F.concat_ws(" ", power.cast("string"), hashed.cast("string"))
+
+
+def whole_key(body: Column) -> Column:
+    return F.concat(F.lit("whole "), body)
+
+
 def reply_links(messages: DataFrame) -> DataFrame:
     """(mid, parent, parent_turn): the message that each quoting message answers; ``messages`` as from ``parsed``."""
     able = messages.where("conv_id is not null and turn is not null")
-    quoting = able.where(F.size("quotes") > 0).select("conv_id", "turn", "mid", "quotes")
+    quoting = able.where(F.size("quotes") > 0).select("conv_id", "turn", "mid", "quotes", "blocks")
     first_level = F.array_join(F.transform(F.filter("quotes", lambda x: x["level"] == 1), lambda x: x["body"]), " ")
-    pieces = F.concat(
-        F.transform("quotes", lambda x: F.struct(x["level"].alias("level"), normal(x["body"]).alias("body"))), F.array(F.struct(F.lit(1).alias("level"), normal(first_level).alias("body")))
+    piece = lambda level, hashed, size: F.struct(level.alias("level"), hashed.alias("hash"), size.alias("size"))
+    said_as = lambda level, body: piece(level, F.md5(body), F.length(body))
+    lines = F.concat(F.transform("quotes", lambda x: said_as(x["level"], normal(x["body"]))), F.array(said_as(F.lit(1), normal(first_level))))
+    blocks = F.transform("blocks", lambda x: said_as(x["level"], x["body"]))
+
+    def ends(x: Column) -> Column:
+        longest = F.element_at(word_windows(x["body"]), -1)
+        of = lambda h: piece(x["level"], window_key(longest["power"], h), F.length(x["body"]))
+        return F.when(F.size(F.split(x["body"], " ")) >= 2**MIN_POWER, F.array(of(F.get(longest["hashes"], F.lit(0))), of(F.element_at(longest["hashes"], -1))))
+
+    windows = F.flatten(F.filter(F.transform("blocks", ends), lambda x: x.isNotNull()))
+    short = F.transform(F.filter("blocks", lambda x: F.length(x["body"]).between(1, MIN_CHARS - 1)), lambda x: piece(x["level"], whole_key(x["body"]), F.length(x["body"])))
+    long = F.filter(F.concat(lines, blocks, windows), lambda x: x["size"] >= MIN_CHARS)
+    wanted = quoting.select("conv_id", "turn", "mid", F.explode(F.array_distinct(F.concat(long, short))).alias("p"))
+    wanted = wanted.select(
+        "conv_id", "p.hash", "turn", F.lit(0).alias("kind"), "mid", "p.level", "p.size", F.lit(None).cast("string").alias("source")
+    )
+    # Only conversations with quotes have originals to look for, and windows only of the sizes that are quoted.
+    sizes = F.transform("blocks", lambda x: F.floor(F.log2(F.size(F.split(x["body"], " ")))).cast("int"))
+    sizes = quoting.select("conv_id", F.explode(sizes).alias("power")).groupBy("conv_id").agg(F.collect_set("power").alias("powers"))
+    origin = able.join(sizes, "conv_id")
+    said = F.transform(F.coalesce("own", F.split("text", "\n", -1)), normal)
+    whole = normal(F.coalesce(F.array_join("own", " "), "text"))
+    windows = F.flatten(
+        F.transform(
+            F.filter(word_windows(F.col("whole")), lambda x: F.array_contains("powers", x["power"])),
+            lambda x: F.transform(x["hashes"], lambda h: window_key(x["power"], h)),
+        )
     )
-    wanted = quoting.select("conv_id", "turn", "mid", F.explode(F.array_distinct(pieces)).alias("p")).select(
-        "conv_id", F.md5("p.body").alias("hash"), "turn", F.lit(0).alias("kind"), "mid", F.col("p.level").alias("level"), F.length("p.body").alias("size"), F.lit(None).cast("string").alias("source")
-    ).where(F.col("size") >= MIN_CHARS)
-    # Only conversations with quotes have originals to look for.
-    origin = able.join(quoting.select("conv_id").distinct(), "conv_id", "left_semi")
-    said = F.coalesce("own", F.split("text", "\n", -1))
-    said = F.concat(F.transform(said, normal), F.array(normal(F.array_join(said, " "))))
-    known = origin.select("conv_id", "turn", "mid", F.explode(F.array_distinct(said)).alias("body")).where(F.length("body") >= MIN_CHARS)
+    lines = F.transform(F.filter(F.concat("said", F.array("whole")), lambda x: F.length(x) >= MIN_CHARS), lambda x: F.md5(x))
+    short = F.when(F.length("whole").between(1, MIN_CHARS - 1), F.array(whole_key(F.col("whole")))).otherwise(F.array().cast("array<string>"))
+    known = origin.where("text is not null").select("conv_id", "turn", "mid", "powers", said.alias("said"), whole.alias("whole"))
+    known = known.select("conv_id", "turn", "mid", F.explode(F.array_distinct(F.concat(lines, windows, short))).alias("hash"))
     # Of messages of one turn with the same words one is the source; quotes sort before it, so that a source is earlier.
-    known = known.groupBy("conv_id", F.md5("body").alias("hash"), "turn").agg(F.min("mid").alias("source"))
+    known = known.groupBy("conv_id", "hash", "turn").agg(F.min("mid").alias("source"))
     nothing = F.lit(None).cast("int")
     known = known.select("conv_id", "hash", "turn", F.lit(1).alias("kind"), F.col("source").alias("mid"), nothing.alias("level"), nothing.alias("size"), "source")
     slot = F.when(F.col("source").isNotNull(), F.struct("conv_id", "hash", "turn", "source"))

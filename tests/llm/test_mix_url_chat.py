@@ -151,3 +151,17 @@ def test_threads_against_the_oracle(spark, width):
         assert quote_threads.format_threads(spark.createDataFrame([], schema)).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_quotes_of_other_wrapping_and_short_quotes_are_linked(spark):
+    long = "First we looked at the old engine.\n\nThen Ada took the green valve apart, cleaned every ring of it\nand put it back without a leak.\n\nAt last we went home by train."
+    chat = [
+        (0, long), (1, "Yes."), (2, "Something else altogether, said at some length"),
+        (3, "> Then Ada took the green\n> valve apart, cleaned every ring\n> of it and put it back without a leak.\nWell done"),
+        (4, "> Yes.\nReally?"), (5, "> First we looked at\n> the old engine.\nWhy?\n> At last we went\n> home by train.\nWhen?"),
+        (6, "> > Something else\n> > altogether, said at\n> nobody wrote such a thing\nok"), (7, "> No.\nunknown"), (8, "> without a trace of any leak in it\nunknown"),
+    ]
+    rows = [(c, turn, "user", text) for c in (1, 2) for turn, text in chat if c == 1 or turn > 2]
+    got = quote_threads.format_threads(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert {r.turn: r.reply_to for r in got if r.conv_id == 1} == {0: None, 1: None, 2: None, 3: 0, 4: 1, 5: 0, 6: 2, 7: None, 8: None}
+    assert not any(r.reply_to is not None for r in got if r.conv_id == 2)
