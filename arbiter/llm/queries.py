@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbiter.llm import decontaminate, jaccard_join, line_crf, mixing, pii, quality_rules, quote_threads, suffix_dedup, token_align, token_count, url_filter
+from arbiter.llm import decontaminate, jaccard_join, line_crf, mixing, pii, quality_rules, quote_threads, suffix_dedup, token_align, token_count, topk_search, url_filter, whitening
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quote_threads": quote_threads.op9_quote_threads,
     "op10_pii": pii.op10_pii,
     "op11_token_align": token_align.op11_token_align,
+    "op12_whiten": whitening.op12_whiten,
+    "op13_topk_search": topk_search.op13_topk_search,
 }
 
 ORACLES = {
