@@ -46,7 +46,7 @@ from arbiter.llm.common import slices, written
 from arbiter.llm.token_count import SPACE, ragged
 
 #: Text bytes encoded at once, and text bytes that share a dictionary of pairs.
-PART_BYTES, GROUP_BYTES = 2 << 20, 16 << 20
+PART_BYTES, GROUP_BYTES = 1 << 20, 8 << 20
 #: Tokens of A after which a new lane may start; the largest window of a probe.
 STRIDE, WIDEST = 40, 64
 #: Words whose tokens a task remembers; longer words are encoded each time.
