@@ -39,10 +39,10 @@ from arbiter.llm.shingles import mix64
 LENGTH = 400
 #: Lengths of the substrings whose least hash deals out windows; a group that stays too large goes to the next.
 LEVELS = (128, 300, 400)
-#: Windows of the different segments of a group that one task may sort.
-HOT_WINDOWS = 1_500_000
-#: Bytes hashed, and bytes sorted, at once; and windows in one segment.
-PIECE_BYTES, SORT_BYTES, RUN = 2 << 20, 3 << 20, 1024
+#: Bytes of the different segments of a group that one task may sort together; a larger group goes to the next level.
+HOT_BYTES = 1 << 20
+#: Bytes hashed, and bytes sorted, at once (or one group, if that has more); and windows in one segment.
+PIECE_BYTES, SORT_BYTES, RUN = 1 << 20, 1 << 20, 1024
 _BASE = 0x9E3779B97F4A7C55
 
 
@@ -114,6 +114,31 @@ def pieces(bodies: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield out
 
 
+def sorted_suffixes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The places ``at`` ordered by the ``length`` bytes that begin there, eight bytes a round; only ties go on."""
+    padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
+    out, ties = at.astype(np.int64), [np.arange(len(at))]
+    group = np.zeros(len(at), np.int64)
+    for first in range(0, length, 8):
+        (own,) = ties
+        word = np.zeros(len(own), np.uint64)
+        for k in range(first, first + 8):
+            word <<= np.uint64(8)
+            if k < length:
+                word |= padded[out[own] + k]
+        order = np.lexsort((word, group))
+        out[own], word = out[own[order]], word[order]
+        # Places of equal groups and words stay together; those that are alone are done.
+        new = np.ones(len(own), bool)
+        new[1:] = (np.diff(group) != 0) | (word[1:] != word[:-1])
+        alone = new & np.append(new[1:], True)
+        group = np.cumsum(new)[~alone]
+        ties = [own[~alone]]
+        if not len(group):
+            break
+    return out
+
+
 def repeated_windows(bodies: list[bytes], copies: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each segment (bytes of at least ``length``) the places of windows that occur again in any of them; ``copies``: its own number."""
     n = np.array([len(b) for b in bodies], np.int64)
@@ -123,12 +148,12 @@ def repeated_windows(bodies: list[bytes], copies: np.ndarray, length: int = LENG
     inner = np.ones(len(text), bool)
     inner[start + n] = False
     text[inner] = np.frombuffer(b"".join(bodies), np.uint8) + np.uint8(1)
-    place = np.arange(len(text))
+    place = np.arange(len(text), dtype=np.int32)
     # Stage types: smaller than the successor (or the end of a segment), by the next differing byte.
     step = np.zeros(len(text), np.int16)
     step[:-1] = np.diff(text.astype(np.int16))
     step[-1] = -1
-    differs = np.where(step != 0, place, len(text))
+    differs = np.where(step != 0, place, np.int32(len(text)))
     step = step[np.minimum(np.minimum.accumulate(differs[::-1])[::-1], len(text) - 1)]
     small = (step > 0) | ~inner
     # Wanted: the windows, and what follows the last of them up to the next directly sorted suffix.
@@ -136,11 +161,10 @@ def repeated_windows(bodies: list[bytes], copies: np.ndarray, length: int = LENG
     np.add.at(windows, start, 1)
     np.add.at(windows, start + n - length + 1, -1)
     windows = np.cumsum(windows[:-1]) > 0
-    last_window = np.maximum.accumulate(np.where(windows, place, -1))
-    next_small = np.minimum.accumulate(np.where(small, place, len(text))[::-1])[::-1]
+    last_window = np.maximum.accumulate(np.where(windows, place, np.int32(-1)))
+    next_small = np.minimum.accumulate(np.where(small, place, np.int32(len(text)))[::-1])[::-1]
     wanted = windows | ((last_window >= 0) & (place <= next_small[np.maximum(last_window, 0)]))
-    raw = text.tobytes()
-    direct = np.array(sorted(np.flatnonzero(wanted & small).tolist(), key=lambda p: raw[p : p + length]), np.int64)
+    direct = sorted_suffixes(text, np.flatnonzero(wanted & small), length)
     of_byte = np.searchsorted(text[direct], np.arange(257))
     arrived: list[list[np.ndarray]] = [[] for _ in range(257)]
     order: list[np.ndarray] = []
@@ -228,7 +252,9 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size, whole, whole_size = 0, 0, 0  # of held rows; the rows and bytes of the groups that are complete
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "content", "body", "copies")), strict=True):
+        columns = [batch.column(c) for c in ("grp", "content", "body", "copies")]
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in columns)
             if held and held[-1][0] != row[0]:
                 whole, whole_size = len(held), size
             if whole and size + len(row[2]) > SORT_BYTES:
@@ -255,10 +281,10 @@ def repeated_runs(texts: DataFrame, levels: tuple[int, ...] = LEVELS) -> tuple[D
     live = flat.groupBy("grp").agg(F.sum("copies").alias("n"), F.bool_or("twice").alias("twice")).where("n > 1 or twice").select("grp")
     seen = written(flat.join(live, "grp"), "suffix-live")
     different = seen.groupBy("grp", "content").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "start")).alias("at"), F.first("windows").alias("windows"), F.first("twice").alias("twice"))
-    sizes = different.groupBy("grp").agg(F.count(F.lit(1)).alias("n_different"), F.sum("windows").alias("n_windows"))
+    sizes = different.groupBy("grp").agg(F.count(F.lit(1)).alias("n_different"), F.sum(F.col("windows") + (LENGTH - 1)).alias("n_bytes"))
     different = written(different.join(sizes, "grp"), "suffix-different")
     bodies = written(texts.join(seen.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body")), "suffix-bodies")
-    hot = F.lit(False) if last_level else F.col("n_windows") > HOT_WINDOWS
+    hot = F.lit(False) if last_level else F.col("n_bytes") > HOT_BYTES
     # A group of one segment without repeats inside is decided by its count; of the others each different segment is cut out of one text.
     spots = different.where("n_different > 1 or twice").select(
         F.col("at.key").alias("key"), F.struct("grp", "content", "copies", F.col("at.start").alias("start"), "windows", hot.alias("hot")).alias("s")

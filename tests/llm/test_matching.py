@@ -117,19 +117,37 @@ def brute_dedup(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 50])
+@pytest.mark.parametrize("hot", [None, 2000])
 def test_removed_bytes_against_brute_force(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(suffix_dedup, "HOT_WINDOWS", hot)
+        monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+        monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 50_000)
     passage, short = prose(70, 110), prose(71, 60)[:300]
-    texts = [r[1] for r in rows() if len(r[1] or "") < 20000] + [f"{prose(80 + i, 40)} {passage} {prose(90 + i, 40)} {short}é {prose(95 + i, 90)}" for i in range(5)]
-    texts += ["ab" * 700, passage * 3, prose(99, 300) + "\n" + prose(99, 300)]
+    texts = [r[1] for r in rows()] + [f"{prose(80 + i, 40)} {passage} {prose(90 + i, 40)} {short}é {prose(95 + i, 90)}" for i in range(5)]
+    texts += ["ab" * 700, passage * 3, prose(99, 300) + "\n" + prose(99, 300), rows()[9][1][5000:25_000]]
+    # One window of 400 bytes, each time among other words: segments of a single window.
+    texts += [f"{prose(120 + i, 30)}{passage[:400]}{prose(160 + i, 30)}" for i in range(30)]
     docs = spark.createDataFrame([(i, t, "row", "key") for i, t in enumerate(texts)], "doc_id long, text string, row string, key string")
     got = suffix_dedup.dedup_texts(docs).collect()
     want = brute_dedup(texts)
     assert {r.row.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got} == dict(enumerate(want))
 
 
+def test_suffix_dedup_of_an_empty_table(spark):
+    assert suffix_dedup.dedup_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_suffixes_sort_as_their_bytes():
+    rng = np.random.default_rng(1)
+    for letters, length in ((2, 400), (4, 13), (200, 8), (1, 20)):
+        text = rng.integers(0, letters, 3000).astype(np.uint8)
+        at = np.sort(rng.choice(3000, 900, replace=False))
+        raw = text.tobytes() + bytes(length)
+        got = suffix_dedup.sorted_suffixes(text, at, length)
+        assert [raw[p : p + length] for p in got] == sorted(raw[p : p + length] for p in at)
+        assert sorted(got.tolist()) == at.tolist()
+
+
 def test_long_texts_are_cut_without_losing_windows(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 1000)
     body = bytes(random.Random(1).choice(b"abcd") for _ in range(5000))
