@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import audit as G
 from arbiter.operators import catalog as C
 from arbiter.operators import runs as M
-from arbiter.plans.schema import DB, FKS, STAR_SCHEMA
+from arbiter.plans.schema import DB, EXPECTED_FKS, STAR_SCHEMA, found_keys
 from arbiter.plans.sqlviews import V_RESULTS, V_RUNS, with_views
 from arbiter.sources import fixtures as fx
 from arbiter.sources.tables import TABLES, Tables
@@ -160,13 +160,13 @@ def _shapes(spark, sf_dir, side):
 
 def _tags(spark, sf_dir):
     o = Tables(spark, sf_dir).orders
-    # Every db declares the same FK edges.
+    # Every db has the FK edges that are found in the data.
     pair_vals = F.array(*[F.when(F.expr(cond), F.struct(F.expr(a).alias("a"), F.expr(b).alias("b"))) for a, b, cond in PAIRS])
     pairs = o.select(
         F.col("o_orderkey").alias("query_id"), _db().alias("db_id"),
         F.inline(F.filter(pair_vals, lambda x: x.isNotNull())),
     )
-    edges = spark.createDataFrame([(f"db{k}", a, d) for k in range(N_DBS) for a, _, _, d in FKS], "db_id string, a string, b string")
+    edges = found_keys(spark, sf_dir).select(F.explode(F.array(*[F.lit(f"db{k}") for k in range(N_DBS)])).alias("db_id"), F.col("child").alias("a"), F.col("parent").alias("b"))
     spurious = G.spurious_joins(pairs, edges)
     return G.categorize(_shapes(spark, sf_dir, "g"), _shapes(spark, sf_dir, "c"), spurious)
 
@@ -333,7 +333,7 @@ def _shape_sql(side: str) -> str:
     return f"{side}s AS (SELECT o_orderkey AS question_id, {cols} FROM orders)"
 
 
-_EDGES = "edges(a, b) AS (VALUES " + ", ".join(f"('{a}', '{d}')" for a, _, _, d in FKS) + ")"
+_EDGES = "edges(a, b) AS (VALUES " + ", ".join(f"('{a}', '{d}')" for a, _, _, d in EXPECTED_FKS) + ")"
 _PAIRS = "pairs AS (" + " UNION ALL ".join(
     f"SELECT o_orderkey AS query_id, {a} AS a, {b} AS b FROM orders WHERE {c}" for a, b, c in PAIRS) + ")"
 _SPUR = """spur AS (SELECT DISTINCT query_id FROM pairs p WHERE NOT EXISTS (

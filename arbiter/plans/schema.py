@@ -7,9 +7,11 @@ plus one derived question per customer, so the work grows with the data.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arbiter.operators import catalog as C
+from arbiter.operators import keys as K
 from arbiter.operators import voting as V
 from arbiter.sources.fixtures import stable
 from arbiter.sources.tables import TABLES, Tables
@@ -20,8 +22,8 @@ BUDGET = 512
 BUDGETS = (256, 512, 1024, 2048, 4096)
 GATE_BUDGET = 2048
 
-# The declared foreign keys of the test-data schema (child table, column -> parent).
-FKS = (
+# Fixed values, for the oracles only: the foreign keys that key discovery has to find (child table, ordinal, column, parent).
+EXPECTED_FKS = (
     ("customer", 1, "c_nationkey", "nation"),
     ("labels", 1, "doc_id", "documents"),
     ("lineitem", 1, "l_orderkey", "orders"),
@@ -62,10 +64,22 @@ def _frames(spark, sf_dir):
     return {name: getattr(t, name) for name in TABLES}
 
 
-def _fks(spark):
-    return spark.createDataFrame(
-        [(DB, a, b, c, d) for a, b, c, d in FKS],
-        "db_id string, table_name string, fk_ordinal int, local_col string, referred_table string",
+_KEYS: dict = {}
+
+
+def found_keys(spark, sf_dir):
+    """The foreign keys found in the data, once per (application, data folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEYS:
+        _KEYS[key] = stable(K.foreign_keys(K.inclusions(_frames(spark, sf_dir))))
+    return _KEYS[key]
+
+
+def _fks(spark, sf_dir):
+    ordinal = F.row_number().over(Window.partitionBy("child").orderBy("child_ordinal", "parent"))
+    return found_keys(spark, sf_dir).select(
+        F.lit(DB).alias("db_id"), F.col("child").alias("table_name"), ordinal.cast("int").alias("fk_ordinal"),
+        F.col("child_col").alias("local_col"), F.col("parent").alias("referred_table"),
     )
 
 
@@ -97,7 +111,7 @@ def _index(spark, sf_dir):
     if key not in _INDEX:
         frames = _frames(spark, sf_dir)
         catalog = C.catalog_from_frames(spark, DB, frames)
-        _INDEX[key] = (catalog, stable(C.sample_values(DB, frames)), _fks(spark))
+        _INDEX[key] = (catalog, stable(C.sample_values(DB, frames)), _fks(spark, sf_dir))
     return _INDEX[key]
 
 
@@ -293,7 +307,7 @@ def _catalog_values() -> str:
 
 
 def _fk_values() -> str:
-    rows = [f"('{DB}', '{a}', {b}, '{c}', '{d}')" for a, b, c, d in FKS]
+    rows = [f"('{DB}', '{a}', {b}, '{c}', '{d}')" for a, b, c, d in EXPECTED_FKS]
     return "fks(db_id, table_name, fk_ordinal, local_col, referred_table) AS (VALUES " + ", ".join(rows) + ")"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import catalog as C
 from arbiter.operators import compare as R
+from arbiter.operators import keys as K
 from arbiter.operators import runs as M
 from arbiter.plans import schema as S
 from arbiter.plans import slices as KS
@@ -21,8 +22,6 @@ from arbiter.sources.tables import TABLES, Tables
 
 DB = S.DB
 SAMPLED = [t for t in TABLES if t != "embeddings"]
-# Declared edges with an implicit parent column (resolved from the data).
-DECLARED = [(child, col, parent) for child, _, col, parent in S.FKS]
 VERIFIED = ["sql_pq01_filtered_count", "sql_pq03_top1", "sql_pq04_sum_two_filters", "sql_pq05_error_events",
             "sql_pq06_point_lookup_join", "sql_pq07_group_sum_order", "sql_pq08_group_top1", "sql_pq09_filtered_sum"]
 
@@ -50,21 +49,20 @@ def src_slice_filter(spark, sf_dir):
     return FS.slice_filter(spark, path, KS.questions(spark, sf_dir))
 
 
-def _declared(spark):
-    return spark.createDataFrame([(c, col, p, None) for c, col, p in DECLARED],
-                                 "child string, child_col string, parent string, parent_col string")
+def src_foreign_keys(spark, sf_dir):
+    """The foreign keys, found in the data."""
+    return S.found_keys(spark, sf_dir).select("child", "child_col", "parent", "parent_col")
 
 
-def src_foreign_keys(spark, sf_dir):
-    parents = sorted({p for _, _, p in DECLARED})
-    pks = IO.primary_keys(spark, _frames(spark, sf_dir, parents))
-    return IO.foreign_keys(_declared(spark), pks)
+def src_key_inclusions(spark, sf_dir):
+    """Every column whose values all stand in a key column, of any table."""
+    return K.inclusions(_frames(spark, sf_dir))
 
 
 def src_fk_validation(spark, sf_dir):
-    frames = _frames(spark, sf_dir)
-    edges = [(c, col, p, frames[p].columns[0]) for c, col, p in DECLARED]
-    return IO.validate_foreign_keys(edges, frames)
+    """The found edges, confirmed by anti-joins on the values themselves (as many as the schema has edges)."""
+    edges = [tuple(r) for r in src_foreign_keys(spark, sf_dir).collect()]
+    return IO.validate_foreign_keys(edges, _frames(spark, sf_dir))
 
 
 def src_sample_rows(spark, sf_dir):
@@ -195,6 +193,7 @@ QUERIES = {
     "src_slice_filter": src_slice_filter,
     "src_foreign_keys": src_foreign_keys,
     "src_fk_validation": src_fk_validation,
+    "src_key_inclusions": src_key_inclusions,
     "src_sample_rows": src_sample_rows,
     "src_join_paths": src_join_paths,
     "src_schema_text": src_schema_text,
@@ -213,19 +212,33 @@ QUERIES = {
 # ---------------------------------------------------------------- oracle SQL
 
 
+def _inclusion_ctes() -> str:
+    """Every column against every key column of its family by an anti-join of their values."""
+    kinds = {"BIGINT": "integer", "INT": "integer", "STRING": "text", "TIMESTAMP_NTZ": "timestamp_ntz"}
+    columns = [(t, c, i, kinds[k]) for t in sorted(S.STAR_SCHEMA) for i, (c, k) in enumerate(S.STAR_SCHEMA[t], start=1) if k in kinds]
+    vals = " UNION ALL ".join(f"SELECT DISTINCT {n} AS id, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL" for n, (t, c, _, _) in enumerate(columns))
+    facts = " UNION ALL ".join(
+        f"SELECT {n} AS id, '{t}' AS t, '{c}' AS c, {i} AS o, '{fam}' AS fam, count(DISTINCT {c})::BIGINT AS d, "
+        f"count(*) = count(DISTINCT {c}) AS is_key FROM {t}" for n, (t, c, i, fam) in enumerate(columns))
+    return f"""vals AS MATERIALIZED ({vals}), facts AS MATERIALIZED ({facts}),
+pairs AS (SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.fam = b.fam AND a.id <> b.id WHERE b.is_key AND a.d > 0 AND a.d <= b.d),
+missing AS (SELECT DISTINCT p.a, p.b FROM pairs p JOIN vals x ON x.id = p.a
+            WHERE NOT EXISTS (SELECT 1 FROM vals y WHERE y.id = p.b AND y.v = x.v)),
+inc AS (SELECT ca.t AS child, ca.c AS child_col, ca.o::INT AS child_ordinal, pa.t AS parent, pa.c AS parent_col, ca.d AS n_values, pa.d AS n_parent_values
+        FROM pairs p JOIN facts ca ON ca.id = p.a JOIN facts pa ON pa.id = p.b
+        WHERE NOT EXISTS (SELECT 1 FROM missing m WHERE m.a = p.a AND m.b = p.b)),
+named AS (SELECT *, EXISTS (SELECT 1 FROM inc r WHERE r.child = i.parent AND r.child_col = i.parent_col AND r.parent = i.child AND r.parent_col = i.child_col) AS back
+          FROM inc i WHERE child <> parent AND regexp_replace(lower(child_col), '^[a-z]{{1,2}}_', '') = regexp_replace(lower(parent_col), '^[a-z]{{1,2}}_', '')),
+fks AS (SELECT child, child_col, parent, parent_col FROM named WHERE NOT back OR child > parent)"""
+
+
 def _fk_sql() -> str:
-    parents = sorted({p for _, _, p in DECLARED})
-    pk = " UNION ALL ".join(
-        f"SELECT '{p}' AS parent, '{S.STAR_SCHEMA[p][0][0]}' AS pk_col WHERE (SELECT count({S.STAR_SCHEMA[p][0][0]}) = count(*) "
-        f"AND count(DISTINCT {S.STAR_SCHEMA[p][0][0]}) = count(*) FROM {p})" for p in parents)
-    decl = " UNION ALL ".join(f"SELECT '{c}' AS child, '{col}' AS child_col, '{p}' AS parent" for c, col, p in DECLARED)
-    return f"""WITH pk AS ({pk}), d AS ({decl})
-SELECT DISTINCT d.child, d.child_col, d.parent, coalesce(pk.pk_col, '(pk)') AS parent_col FROM d LEFT JOIN pk ON pk.parent = d.parent"""
+    return f"WITH {_inclusion_ctes()} SELECT * FROM fks"
 
 
 def _fkv_sql() -> str:
     parts = []
-    for c, col, p in DECLARED:
+    for c, _, col, p in S.EXPECTED_FKS:
         pc = S.STAR_SCHEMA[p][0][0]
         parts.append(f"SELECT '{c}' AS child, '{col}' AS child_col, '{p}' AS parent, '{pc}' AS parent_col, "
                      f"count(*)::BIGINT AS orphans, count(*) = 0 AS holds FROM {c} WHERE {col} IS NOT NULL "
@@ -276,6 +289,7 @@ ORACLES = {
     + "\nSELECT q.question_id, q.db_id, q.difficulty FROM q WHERE q.question_id IN (SELECT question_id FROM small)",
     "src_foreign_keys": _fk_sql(),
     "src_fk_validation": _fkv_sql(),
+    "src_key_inclusions": f"WITH {_inclusion_ctes()} SELECT * FROM inc",
     "src_sample_rows": "SELECT table_name, row_no, row_text FROM (" + _sample_sql() + ")",
     "src_join_paths": f"""WITH s AS ({_sample_sql()}), fk AS ({_fk_sql()}),
 pt AS (SELECT table_name, '  ' || table_name || ' (' || columns || '):' || chr(10)

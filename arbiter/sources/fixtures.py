@@ -8,6 +8,8 @@ derivations as SQL for the DuckDB oracle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,14 +38,15 @@ def v_gold(t: Tables) -> DataFrame:
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Materialize once into the cluster checkpoint folder and cut the lineage.
+    """Written once as Parquet under the cluster's checkpoint folder, and reread.
 
-    Used for a derived table that several branches of one plan read: the
-    range sort behind its positions runs once, and a lost executor re-reads the
-    checkpoint instead of recomputing positions.
+    For a derived table that several branches of one plan read: the work
+    behind it runs once, a lost executor re-reads the files, and each reader's
+    columns and filters reach the scan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _GOLD: dict = {}
