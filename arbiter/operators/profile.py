@@ -1,32 +1,44 @@
-"""Column profiling: every column of a table in one scan plus one stacked shuffle.
-
-* ``column_stats`` -- one aggregate over the wide table holds, per column,
-  counts, typed extremes, length range, char-class flags and the min/max text
-  (whose common prefix is the prefix of every value).  All partial
-  aggregates: map-side combine, no skew.
-* ``value_counts`` -- columns of one type unpivoted together in their native
-  type and counted: one shuffle per type keyed by the value itself, which
-  spreads a hot column over the cluster; only distinct values are formatted
-  as text.  Distinct counts and top-k come from it.
+"""Column profiling: every column of every table in one scan a table and one shuffle in all.
+
+* ``Profiles`` unpivots the cells of all tables into one stream of (column, a
+  slot per kind of value) and counts equal ones by one hash aggregate with
+  map-side combine.  Texts over ``DIGEST_OVER`` characters take part as a
+  prefix and a 128-bit digest, so no long text is a shuffle key.  Row, null and
+  distinct counts and the top values come from these counts.
+* Typed extremes, length ranges, char-class flags and the least and greatest
+  text (whose common prefix is the prefix of every value) are observed while
+  the same scan runs.  They are minima, maxima and conjunctions only: a task
+  that runs again after a lost executor changes nothing.
+* The top values of long texts are ranked by their prefixes; only the
+  candidates' digests go back to the table to fetch and order whole texts.
 * ``top_n_per_group`` -- exact top-n in two stages (per hash bucket, then per
   group over at most n x buckets survivors), so no group's values meet in one
   task.
 
 The reference derives length range, char class and prefix from a 200-value
 sample; here they are exact over the whole column (documented divergence).
+Doubles and floats print in plain decimal form, negative zero as 0.0.
 """
 
 from __future__ import annotations
 
+import os.path
+import uuid
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbiter.session import stable
+
 # Fixed values.
 DEFAULT_TOP_K = 5
+MAX_LISTED = 5
 DEFAULT_SAMPLE_LIMIT = 200
+#: Texts of more characters are counted by their first characters and a digest.
+DIGEST_OVER = 64
 CHAR_CLASS_PATTERNS = (
     ("digits", r"^[0-9]+$"),
     ("alpha", r"^\p{L}+$"),
@@ -44,73 +56,13 @@ def _is_scalar(dt: T.DataType) -> bool:
     return isinstance(dt, _SCALAR)
 
 
-def _text(c: Column) -> Column:
-    return c.cast("string")
-
-
-def common_prefix(a: Column, b: Column) -> Column:
-    """Longest common prefix of two strings (first differing position by a filter)."""
-    n = F.least(F.length(a), F.length(b))
-    diffs = F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, i, 1) != F.substring(b, i, 1)
-    )
-    first = F.when(n == 0, F.lit(1)).otherwise(F.coalesce(F.try_element_at(diffs, F.lit(1)), n + 1))
-    return F.when(a.isNull() | b.isNull(), F.lit("")).otherwise(a.substr(F.lit(1), first - 1))
-
-
-def column_stats(df: DataFrame, table_name: str, redact: Iterable[str] = ()) -> DataFrame:
-    """One row per column with every scalar statistic (one scan of ``df``)."""
-    redact = {c.casefold() for c in redact}
-    fields = list(df.schema.fields)
-    exprs: list[Column] = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        exprs.append(F.count(c).alias(f"nn_{i}"))
-        if not _is_scalar(f.dataType):
-            continue
-        t = _text(c)
-        exprs += [
-            F.min(c).cast("string").alias(f"min_{i}"),
-            F.max(c).cast("string").alias(f"max_{i}"),
-            F.min(F.length(t)).alias(f"minlen_{i}"),
-            F.max(F.length(t)).alias(f"maxlen_{i}"),
-            F.min(t).alias(f"mint_{i}"),
-            F.max(t).alias(f"maxt_{i}"),
-        ]
-        for name, pat in CHAR_CLASS_PATTERNS:
-            exprs.append(F.bool_and(t.rlike(pat)).alias(f"{name}_{i}"))
-    wide = df.agg(*exprs)
-    rows = []
-    for i, f in enumerate(fields):
-        scalar = _is_scalar(f.dataType)
-        hidden = f"{table_name}.{f.name}".casefold() in redact
-        g = lambda k: F.col(f"{k}_{i}") if scalar else F.lit(None)
-        cls = (
-            F.when(F.col(f"nn_{i}") == 0, F.lit("empty"))
-            .when(g("digits"), F.lit("digits"))
-            .when(g("alpha"), F.lit("alpha"))
-            .when(g("alnum"), F.lit("alnum"))
-            .otherwise(F.lit("mixed"))
-        ) if scalar else F.lit("empty")
-        prefix = common_prefix(g("mint"), g("maxt")) if scalar else F.lit("")
-        rows.append(
-            F.struct(
-                F.lit(table_name).alias("table_name"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(i + 1).alias("ordinal"),
-                F.lit(f.dataType.simpleString()).alias("declared_type"),
-                F.col("__rows").alias("row_count"),
-                F.col(f"nn_{i}").alias("non_null_count"),
-                (F.lit(None) if hidden else g("min")).cast("string").alias("min_value"),
-                (F.lit(None) if hidden else g("max")).cast("string").alias("max_value"),
-                g("minlen").cast("int").alias("min_len"),
-                g("maxlen").cast("int").alias("max_len"),
-                cls.alias("char_class"),
-                (F.lit("") if hidden else prefix).alias("common_prefix"),
-                F.lit(hidden).alias("redacted"),
-            )
-        )
-    return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+def plain_text(c: Column, dtype: T.DataType | None = None) -> Column:
+    """A cell as text; fractions in plain decimal form, without a sign of zero."""
+    if not isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return c.cast("string")
+    text = (c + F.lit(0).cast(dtype)).cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,18)").cast("string"), r"0+$", "")
+    return F.when(F.contains(text, F.lit("E")), F.coalesce(F.regexp_replace(plain, r"\.$", ".0"), text)).otherwise(text)
 
 
 def _order_keys(c: Column, dt: T.DataType) -> tuple[Column, Column, Column]:
@@ -132,7 +84,7 @@ _NATIVE_ORDER = ("num_key", "exact_key", "str_key")
 
 
 def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None = None,
-                    max_len: int | None = None, counts: bool = False) -> DataFrame:
+                    max_len: int | None = None) -> DataFrame:
     """(table_name, column_name, value, num_key, exact_key, str_key): each column's distinct non-null values.
 
     Columns of the same exact type (across all given tables) are unpivoted
@@ -140,8 +92,6 @@ def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None
     map-side combine; only distinct values are then formatted as text.  One
     shuffle per type, not per column.
     """
-    from functools import reduce
-
     frames = df if isinstance(df, dict) else {table_name: df}
     by_type: dict[str, list[DataFrame]] = {}
     types: dict[str, T.DataType] = {}
@@ -165,33 +115,18 @@ def distinct_values(df: DataFrame | dict[str, DataFrame], table_name: str | None
     parts = []
     for key, frs in by_type.items():
         u = reduce(DataFrame.unionByName, frs)
-        if counts:
-            d = u.groupBy("table_name", "column_name", "_v").agg(F.count(F.lit(1)).alias("n"))
-        else:
-            d = u.distinct()
         num, exact, s = _order_keys(F.col("_v"), types[key])
-        extra = [F.col("n")] if counts else []
-        part = d.select("table_name", "column_name", _text(F.col("_v")).alias("value"), num.alias("num_key"),
-                        exact.alias("exact_key"), s.alias("str_key"),
-                        *extra)
+        part = u.distinct().select("table_name", "column_name", plain_text(F.col("_v"), types[key]).alias("value"), num.alias("num_key"),
+                                   exact.alias("exact_key"), s.alias("str_key"))
         if max_len is not None:
             part = part.where(F.length("value") <= max_len)
         parts.append(part)
     if not parts:  # no scalar column at all
         spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame([], _VALUES + (", n long" if counts else ""))
+        return spark.createDataFrame([], _VALUES)
     return reduce(DataFrame.unionByName, parts)
 
 
-def value_counts(df: DataFrame, table_name: str) -> DataFrame:
-    """(table_name, column_name, value, num_key, exact_key, str_key, n): counted per native value, one shuffle per type."""
-    return distinct_values(df, table_name, counts=True)
-
-
-def distinct_counts(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-
-
 def top_n_per_group(
     df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], n: int, buckets: int | None = None,
     bucket_key: Column | None = None, rank_name: str = "rank",
@@ -209,43 +144,149 @@ def top_n_per_group(
     return survivors.withColumn(rank_name, F.row_number().over(w2)).filter(F.col(rank_name) <= n)
 
 
-def top_values(counts: DataFrame, k: int = DEFAULT_TOP_K) -> DataFrame:
-    """(table_name, column_name, rank, value, n): count desc, native value asc."""
-    order = [F.desc("n"), *(F.asc_nulls_last(k) for k in _NATIVE_ORDER), F.asc("value")]
-    top = top_n_per_group(counts, ["table_name", "column_name"], order, k,
-                          bucket_key=F.xxhash64("value"))
-    return top.select("table_name", "column_name", F.col("rank").cast("int").alias("rank"), "value", F.col("n").cast("long").alias("n"))
+_SLOTS = ("i", "x", "e", "t", "g")
+
+
+def _slots(c: Column, dt: T.DataType) -> dict[str, Column]:
+    """What a cell is counted by: whole numbers, fractions, decimals, texts (or their beginnings), digests of long texts."""
+    if isinstance(dt, (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return {"i": c.cast("long")}
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
+        return {"x": c.cast("double")}
+    if isinstance(dt, T.DecimalType):
+        return {"e": c.try_cast("decimal(38,18)"), "t": c.cast("string")}
+    if isinstance(dt, T.StringType):
+        return {"t": F.substring(c, 1, DIGEST_OVER), "g": F.when(F.length(c) > DIGEST_OVER, F.unhex(F.md5(c)))}
+    return {"t": c.cast("string")} if _is_scalar(dt) else {}
+
+
+def _observed(i: int, c: Column, dt: T.DataType) -> list[Column]:
+    """Minima, maxima and conjunctions over a column's cells."""
+    if not _is_scalar(dt):
+        return []
+    t = plain_text(c, dt)
+    out = [
+        plain_text(F.min(c), dt).alias(f"min_{i}"), plain_text(F.max(c), dt).alias(f"max_{i}"),
+        F.min(F.length(t)).alias(f"minlen_{i}"), F.max(F.length(t)).alias(f"maxlen_{i}"),
+        F.min(t).alias(f"mint_{i}"), F.max(t).alias(f"maxt_{i}"),
+    ]
+    return out + [F.bool_and(t.rlike(pat)).alias(f"{name}_{i}") for name, pat in CHAR_CLASS_PATTERNS]
+
+
+class Profiles:
+    """The profiles of several tables; building one reads every table once.
+
+    Columns that are not scalar are counted, not compared: what is not
+    computed is NULL.
+    """
+
+    def __init__(self, frames: dict[str, DataFrame], redact: Iterable[str] = ()):
+        self.frames = dict(sorted(frames.items()))
+        self.redact = {c.casefold() for c in redact}
+        self.fields = [(t, i, f) for t, df in self.frames.items() for i, f in enumerate(df.schema.fields)]
+        self.spark = next(iter(self.frames.values())).sparkSession
+        kinds = {"i": "long", "x": "double", "e": "decimal(38,18)", "t": "string", "g": "binary"}
+        parts, watched = [], {}
+        for table, df in self.frames.items():
+            own = [(n, i, f) for n, (t, i, f) in enumerate(self.fields) if t == table]
+            metrics = [m for _, i, f in own for m in _observed(i, F.col(f"`{f.name}`"), f.dataType)]
+            if metrics:
+                watched[table] = Observation(f"profile-{uuid.uuid4().hex}")
+                df = df.observe(watched[table], *metrics)
+            cells = []
+            for n, _, f in own:
+                slots = _slots(F.col(f"`{f.name}`"), f.dataType)
+                cells.append(F.struct(
+                    F.lit(n).alias("column"), F.col(f"`{f.name}`").isNotNull().alias("filled"),
+                    *(slots.get(k, F.lit(None)).cast(kinds[k]).alias(k) for k in _SLOTS),
+                ))
+            parts.append(df.select(F.inline(F.array(*cells))))
+        cells = reduce(DataFrame.unionByName, parts)
+        self.counts = stable(cells.groupBy("column", "filled", *_SLOTS).agg(F.count(F.lit(1)).alias("n")))
+        self.seen = {t: o.get for t, o in watched.items()}
+
+    def _hidden(self, table: str, column: str) -> bool:
+        return f"{table}.{column}".casefold() in self.redact
+
+    def columns(self) -> DataFrame:
+        """One row per column."""
+        rows = []
+        for n, (table, i, f) in enumerate(self.fields):
+            scalar, seen = _is_scalar(f.dataType), self.seen.get(table, {})
+            at = lambda k: seen.get(f"{k}_{i}")  # noqa: B023, E731
+            cls = next((name for name, _ in CHAR_CLASS_PATTERNS if at(name)), "mixed")
+            prefix = os.path.commonprefix([at("mint"), at("maxt")]) if at("mint") is not None else ""
+            hidden = self._hidden(table, f.name)
+            rows.append((
+                n, table, f.name, i + 1, f.dataType.simpleString(), scalar, None if hidden else at("min"), None if hidden else at("max"),
+                at("minlen"), at("maxlen"), cls if scalar else None, "" if hidden else prefix, hidden,
+            ))
+        known = self.spark.createDataFrame(
+            rows, "column int, table_name string, column_name string, ordinal int, declared_type string, scalar boolean, min_value string, "
+            "max_value string, min_len int, max_len int, char_class string, common_prefix string, redacted boolean")
+        totals = self.counts.groupBy("column").agg(
+            F.sum("n").alias("row_count"), F.sum(F.when(F.col("filled"), F.col("n"))).alias("non_null_count"), F.count_if("filled").alias("distinct_count"))
+        none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+        j = known.join(totals, "column", "left").select(*known.columns, *(none(c).alias(c) for c in ("row_count", "non_null_count", "distinct_count")))
+        null_count = F.col("row_count") - F.col("non_null_count")
+        distinct = F.when(F.col("scalar"), F.col("distinct_count"))
+        return j.select(
+            "table_name", "column_name", "ordinal", "declared_type", "row_count", "non_null_count", distinct.alias("distinct_count"),
+            null_count.alias("null_count"), F.when(F.col("row_count") > 0, null_count / F.col("row_count")).otherwise(F.lit(0.0)).alias("null_fraction"),
+            ((F.col("non_null_count") > 0) & (distinct == F.col("non_null_count"))).alias("is_unique"),
+            "min_value", "max_value", "min_len", "max_len", (F.col("min_len").isNotNull() & (F.col("min_len") == F.col("max_len"))).alias("is_constant_length"),
+            F.when((F.col("non_null_count") == 0) & F.col("scalar"), F.lit("empty")).otherwise(F.col("char_class")).alias("char_class"),
+            "common_prefix", "redacted",
+        )
+
+    def _long_columns(self) -> list[tuple[int, str, T.StructField]]:
+        """The columns that hold texts counted by digest."""
+        return [(n, t, f) for n, (t, i, f) in enumerate(self.fields)
+                if isinstance(f.dataType, T.StringType) and (self.seen.get(t, {}).get(f"maxlen_{i}") or 0) > DIGEST_OVER]
+
+    def _whole_texts(self, wanted: DataFrame) -> DataFrame:
+        """(column, g, whole): the texts behind digests, read again from their columns only."""
+        parts = [self.frames[t].select(F.lit(n).alias("column"), F.col(f"`{f.name}`").alias("whole")).where(F.length("whole") > DIGEST_OVER) for n, t, f in self._long_columns()]
+        if not parts:
+            return self.spark.createDataFrame([], "column int, g binary, whole string")
+        cells = reduce(DataFrame.unionByName, parts).withColumn("g", F.unhex(F.md5("whole")))
+        return cells.join(wanted.select("column", "g"), ["column", "g"], "left_semi").groupBy("column", "g").agg(F.first("whole").alias("whole"))
+
+    def top(self, k: int = DEFAULT_TOP_K) -> DataFrame:
+        """P8 (and P10): (table_name, column_name, rank, value, n): count desc, native value asc; redacted columns list none."""
+        shown = [n for n, (t, _, f) in enumerate(self.fields) if _is_scalar(f.dataType) and not self._hidden(t, f.name)]
+        names = self.spark.createDataFrame([(n, t, f.name) for n, (t, _, f) in enumerate(self.fields)], "column int, table_name string, column_name string")
+        held = self.counts.where(F.col("filled") & F.col("column").isin(shown))
+        # Ranked with ties, since long texts may share their beginnings.
+        order = [F.desc("n"), *(F.asc_nulls_first(c) for c in ("i", "x", "e", "t"))]
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        staged = held.withColumn("_b", F.pmod(F.xxhash64(*_SLOTS), F.lit(buckets)))
+        staged = staged.withColumn("_r", F.rank().over(Window.partitionBy("column", "_b").orderBy(*order))).where(F.col("_r") <= k)
+        best = staged.withColumn("_r", F.rank().over(Window.partitionBy("column").orderBy(*order))).where(F.col("_r") <= k).drop("_r", "_b", "filled")
+        if self._long_columns():
+            best = stable(best)
+            best = best.join(self._whole_texts(best.where(F.col("g").isNotNull())), ["column", "g"], "left")
+        else:
+            best = best.withColumn("whole", F.lit(None).cast("string"))
+        of = lambda *kinds: F.col("column").isin([n for n, (_, _, f) in enumerate(self.fields) if isinstance(f.dataType, kinds)])
+        value = (
+            F.when(of(T.BooleanType), F.col("i").cast("boolean").cast("string")).when(F.col("i").isNotNull(), F.col("i").cast("string"))
+            .when(of(T.FloatType), plain_text(F.col("x").cast("float"), T.FloatType())).when(of(T.DoubleType), plain_text(F.col("x"), T.DoubleType()))
+            .otherwise(F.coalesce("whole", "t"))
+        )
+        last = Window.partitionBy("column").orderBy(*order, F.asc_nulls_first("whole"))
+        ranked = best.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
+        return ranked.join(names, "column").select("table_name", "column_name", F.col("rank").cast("int").alias("rank"), value.alias("value"), F.col("n").cast("long").alias("n"))
 
 
 def profile_table(df: DataFrame, table_name: str, redact: Iterable[str] = ()) -> DataFrame:
-    """Scalar profile per column plus exact distinct counts and derived flags."""
-    stats = column_stats(df, table_name, redact)
-    dist = distinct_counts(value_counts(df, table_name))
-    # Columns that are not scalar are counted, not compared: what is not computed is NULL.
-    scalar = F.col("column_name").isin([f.name for f in df.schema.fields if _is_scalar(f.dataType)])
-    j = stats.join(dist, ["table_name", "column_name"], "left").withColumn(
-        "distinct_count", F.when(scalar, F.coalesce(F.col("distinct_count"), F.lit(0))).cast("long")
-    ).withColumn("char_class", F.when(scalar, F.col("char_class")))
-    null_count = F.col("row_count") - F.col("non_null_count")
-    return j.select(
-        "table_name", "column_name", "ordinal", "declared_type",
-        F.col("row_count").cast("long").alias("row_count"),
-        F.col("non_null_count").cast("long").alias("non_null_count"),
-        "distinct_count",
-        null_count.cast("long").alias("null_count"),
-        F.when(F.col("row_count") > 0, null_count / F.col("row_count")).otherwise(F.lit(0.0)).alias("null_fraction"),
-        ((F.col("non_null_count") > 0) & (F.col("distinct_count") == F.col("non_null_count"))).alias("is_unique"),
-        "min_value", "max_value", "min_len", "max_len",
-        (F.col("min_len").isNotNull() & (F.col("min_len") == F.col("max_len"))).alias("is_constant_length"),
-        "char_class", "common_prefix", "redacted",
-    )
+    """P1-P6, P10 of one table."""
+    return Profiles({table_name: df}, redact).columns()
 
 
 def profile_top_values(df: DataFrame, table_name: str, k: int = DEFAULT_TOP_K, redact: Iterable[str] = ()) -> DataFrame:
-    """P8 (and P10): top-k values per column; redacted columns list none."""
-    hidden = [c.split(".", 1)[1] for c in {r.casefold() for r in redact} if c.startswith(table_name.casefold() + ".")]
-    keep = [f.name for f in df.schema.fields if f.name.casefold() not in hidden]
-    return top_values(value_counts(df.select(*[F.col(f"`{c}`") for c in keep]), table_name), k)
+    """P8 (and P10) of one table."""
+    return Profiles({table_name: df}, redact).top(k)
 
 
 def distinct_sample(df: DataFrame, table_name: str, limit: int = DEFAULT_SAMPLE_LIMIT) -> DataFrame:
@@ -260,17 +301,21 @@ _CLASS_PHRASE = {"digits": "all digits", "alpha": "all letters", "alnum": "alpha
 
 
 def render_column_english(profile: DataFrame, top: DataFrame | None = None) -> DataFrame:
-    """One English paragraph per column, clauses in a fixed order, omitted when empty."""
+    """One English paragraph per column, clauses in a fixed order, omitted when empty.
+
+    ``top`` may list more values than are shown: the list then ends in an ellipsis.
+    """
     p = profile
     if top is not None:
-        listed = top.filter(F.col("rank") <= 5).groupBy("table_name", "column_name").agg(
-            F.array_join(
+        more = F.max("rank") > MAX_LISTED
+        listed = top.groupBy("table_name", "column_name").agg(
+            F.concat(F.array_join(
                 F.transform(
-                    F.array_sort(F.collect_list(F.struct("rank", "value", "n"))),
+                    F.slice(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))), 1, MAX_LISTED),
                     lambda s: F.format_string('"%s" (%d)', s["value"], s["n"]),
                 ),
                 ", ",
-            ).alias("_top"),
+            ), F.when(more, F.lit(", …")).otherwise(F.lit(""))).alias("_top"),
             F.count(F.lit(1)).alias("_ntop"),
         )
         p = p.join(listed, ["table_name", "column_name"], "left")
@@ -290,14 +335,14 @@ def render_column_english(profile: DataFrame, top: DataFrame | None = None) -> D
         F.when(F.col("null_count") == 0, F.format_string("No NULLs across %d rows.", F.col("row_count")))
         .otherwise(F.format_string("%d of %d rows are NULL (%d%%).", F.col("null_count"), F.col("row_count"), pct)),
         F.when(F.col("is_unique"), F.format_string("All %d non-NULL values are distinct (unique).", F.col("distinct_count")))
-        .otherwise(F.format_string("%d distinct values.", F.col("distinct_count"))),
+        .when(F.col("distinct_count").isNotNull(), F.format_string("%d distinct values.", F.col("distinct_count"))),
         F.when(shape != "", F.concat(F.lit("Values are "), shape, F.lit("."))),
         F.when(F.col("min_value").isNotNull() & F.col("max_value").isNotNull(),
                F.when(F.col("min_value") == F.col("max_value"), F.concat(F.lit("The only value is "), q(F.col("min_value")), F.lit(".")))
                .otherwise(F.concat(F.lit("Ranges from "), q(F.col("min_value")), F.lit(" to "), q(F.col("max_value")), F.lit(".")))),
         F.when(F.col("_top").isNotNull() & ~F.col("is_unique"), F.concat(F.lit("Most common: "), F.col("_top"), F.lit("."))),
     )
-    head = F.format_string('Column "%s" (declared type %s).', F.col("column_name"), F.col("declared_type"))
+    head = F.format_string('Column "%s" (declared type %s).', F.col("column_name"), F.when(F.col("declared_type") != "", F.col("declared_type")).otherwise(F.lit("?")))
     text = (
         F.when(F.col("row_count") == 0, F.concat(head, F.lit(" The table is empty.")))
         .when(F.col("non_null_count") == 0, F.concat(head, F.format_string(" All %d rows are NULL.", F.col("row_count"))))
@@ -307,8 +352,13 @@ def render_column_english(profile: DataFrame, top: DataFrame | None = None) -> D
 
 
 def profile_db(frames: dict[str, DataFrame], redact: Iterable[str] = ()) -> DataFrame:
-    """Every column of every table, tables in name order (one scan per table, stacked)."""
-    from functools import reduce
+    """Every column of every table, tables in name order."""
+    return Profiles(frames, redact).columns()
 
-    parts = [profile_table(frames[name], name, redact) for name in sorted(frames)]
-    return reduce(DataFrame.unionByName, parts)
+
+def render_table_english(profile: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """(table_name, english): a header with the row count, then one line per column in their order."""
+    lines = render_column_english(profile, top).join(profile.select("table_name", "column_name", "row_count"), ["table_name", "column_name"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "english"))), lambda x: F.concat(F.lit("- "), x["english"]))
+    return lines.groupBy("table_name").agg(F.max("row_count").alias("n"), listed.alias("lines")).select(
+        "table_name", F.concat(F.format_string('Table "%s" (%d rows):\n', "table_name", "n"), F.array_join("lines", "\n")).alias("english"))

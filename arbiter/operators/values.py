@@ -2,8 +2,13 @@
 
 The index maps each normalized value to the ``table.column`` keys that hold
 it: every distinct value of every column, since a literal that is not in the
-index is taken not to occur.  It grows with the data, so the literal checks
-meet it in equi-joins on the value, and adaptive execution picks their kind.
+index is taken not to occur.  Values over ``DIGEST_OVER`` characters are kept
+as their digest.
+
+``ValueIndex`` keeps it on disk by table and by a hash of the value: a table
+can be added or replaced alone, and a lookup reads the hash partitions of its
+literals only and drops other values before anything is shuffled, so what it
+moves follows the literals, not the data.
 """
 
 from __future__ import annotations
@@ -12,11 +17,16 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbiter.operators.profile import distinct_values
 
 # Fixed values.
 WHITESPACE_EDGES = r"^\s+|\s+$"
+#: Normalized values of more characters are indexed by their digest.
+DIGEST_OVER = 64
+#: Hash partitions of a table's values, and hash buckets of literals that a lookup may broadcast.
+PARTS, BUCKETS = 16, 1 << 20
 
 
 def normalize_value(v: Column) -> Column:
@@ -24,43 +34,74 @@ def normalize_value(v: Column) -> Column:
     return F.lower(F.regexp_replace(v.cast("string"), WHITESPACE_EDGES, ""))
 
 
+def index_key(v: Column) -> Column:
+    """What a value is indexed and looked up by."""
+    norm = normalize_value(v)
+    return F.when(F.length(norm) > DIGEST_OVER, F.concat(F.lit("sha256:"), F.sha2(norm, 256))).otherwise(norm)
+
+
 def column_key(table: Column, column: Column) -> Column:
     return F.concat(F.lower(table), F.lit("."), F.lower(column))
 
 
-def build_value_index(
-    frames: dict[str, DataFrame],
-    redact: Iterable[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """L2: (value_index(value_norm, column_key), indexed_columns(column_key)).
-
-    All distinct non-null values of each column; PII columns are skipped
-    entirely (D4).
-    """
-    hidden = {r.casefold() for r in redact}
-    spark = next(iter(frames.values())).sparkSession
-    keys, kept = [], {}
-    for name in sorted(frames):
-        df = frames[name]
-        cols = [f.name for f in df.schema.fields if f"{name}.{f.name}".casefold() not in hidden]
-        keys += [(f"{name}.{c}".casefold(),) for c in cols]
-        if cols:
-            kept[name] = df.select(*[F.col(f"`{c}`") for c in cols])
-    vals = distinct_values(kept).select("table_name", "column_name", "value")
-    index = vals.select(
-        normalize_value(F.col("value")).alias("value_norm"),
-        column_key(F.col("table_name"), F.col("column_name")).alias("column_key"),
-    ).distinct()
-    indexed = spark.createDataFrame(keys, "column_key string")
-    return index, indexed
-
-
-def columns_containing(index: DataFrame, lookups: DataFrame, value_col: str = "value") -> DataFrame:
+class ValueIndex:
+    """L2: the index under ``path``, partitioned by table and hash of the value; rows (value_norm, holders) per table."""
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def add(self, frames: dict[str, DataFrame], redact: Iterable[str] = ()) -> ValueIndex:
+        """Add tables, or replace them; other tables' files are not touched.  PII columns are skipped entirely."""
+        hidden = {r.casefold() for r in redact}
+        kept = {}
+        for name, df in frames.items():
+            cols = [f for f in df.schema.fields if f"{name}.{f.name}".casefold() not in hidden]
+            if cols:
+                # Texts become what they are indexed by before anything is shuffled.
+                kept[name] = df.select(*[(index_key(c) if isinstance(f.dataType, T.StringType) else c).alias(f.name) for f in cols for c in [F.col(f"`{f.name}`")]])
+        values = distinct_values(kept)
+        norm = F.when(F.length("value") > DIGEST_OVER, F.col("value")).otherwise(normalize_value(F.col("value")))
+        held = values.select(F.lower("table_name").alias("table_name"), norm.alias("value_norm"), column_key(F.col("table_name"), F.col("column_name")).alias("k"))
+        rows = held.groupBy("table_name", "value_norm").agg(F.array_sort(F.collect_set("k")).alias("holders")).withColumn("part", self._part())
+        rows.repartition("table_name", "part").sortWithinPartitions("table_name", "part", "value_norm").write.partitionBy("table_name", "part").option(
+            "partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/values")
+        keys = self.spark.createDataFrame([(n.casefold(), f"{n}.{c}".casefold()) for n, df in kept.items() for c in df.columns], "table_name string, column_key string")
+        keys.coalesce(1).write.partitionBy("table_name").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{self.path}/columns")
+        return self
+
+    @staticmethod
+    def _part() -> Column:
+        return F.pmod(F.xxhash64("value_norm"), F.lit(PARTS)).cast("int")
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema("value_norm string, holders array<string>, table_name string, part int").parquet(f"{self.path}/values")
+
+    def pairs(self) -> DataFrame:
+        """(value_norm, column_key)."""
+        return self.rows().select("value_norm", F.explode("holders").alias("column_key"))
+
+    def columns(self) -> DataFrame:
+        """(column_key) of every indexed column."""
+        return self.spark.read.schema("column_key string, table_name string").parquet(f"{self.path}/columns").select("column_key")
+
+    def holders(self, values: DataFrame) -> DataFrame:
+        """(value_norm, holders) of the values asked, those that occur; ``values`` has the column value_norm.
+
+        At most ``PARTS`` numbers reach the driver and ``BUCKETS`` the tasks,
+        whatever the literals.
+        """
+        asked = values.select("value_norm").where(F.col("value_norm").isNotNull()).distinct()
+        parts = [r.part for r in asked.select(self._part().alias("part")).distinct().collect()]
+        bucket = F.pmod(F.xxhash64("value_norm"), F.lit(BUCKETS))
+        maybe = self.rows().where(F.col("part").isin(parts)).select("value_norm", "holders", bucket.alias("b"))
+        few = maybe.join(F.broadcast(asked.select(bucket.alias("b")).distinct()), "b", "left_semi")
+        return few.join(asked, "value_norm", "left_semi").groupBy("value_norm").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders"))
+
+
+def columns_containing(index: ValueIndex, lookups: DataFrame, value_col: str = "value") -> DataFrame:
     """L3: for each lookup row, the sorted keys of the columns that hold the value."""
-    probe = lookups.withColumn("_v", normalize_value(F.col(value_col)))
-    # Only the values looked up are gathered; a value has at most one key per column.
-    wanted = index.join(probe.select(F.col("_v").alias("value_norm")).distinct(), "value_norm", "left_semi")
-    holders = wanted.groupBy("value_norm").agg(F.array_sort(F.collect_set("column_key")).alias("holders"))
+    probe = lookups.withColumn("_v", index_key(F.col(value_col)))
+    holders = index.holders(probe.select(F.col("_v").alias("value_norm")))
     return probe.join(holders, probe["_v"] == holders["value_norm"], "left").drop("_v", "value_norm").withColumn(
         "holders", F.coalesce(F.col("holders"), F.array().cast("array<string>"))
     )
@@ -94,22 +135,17 @@ def resolve_bindings(bindings: DataFrame, aliases: DataFrame, query_tables: Data
     )
 
 
-def check_literals(resolved: DataFrame, index: DataFrame) -> DataFrame:
+def check_literals(resolved: DataFrame, index: ValueIndex) -> DataFrame:
     """(query_id, literal, constrained_column, candidate_columns) for off-column literals.
 
     Fires iff the bound column is indexed, none of its keys holds the literal,
     and another column does; deduplicated on (query, written column, literal).
+    Only the distinct literals meet the index; a literal without holders never fires.
     """
-    r = resolved.withColumn("_v", normalize_value(F.col("literal")))
-    on_key = r.join(index, (r["_v"] == index["value_norm"]) & (r["key"] == index["column_key"]), "left_semi").select(
-        "query_id", "binding_id"
-    ).distinct()
+    r = resolved.withColumn("_v", index_key(F.col("literal")))
     keys = r.groupBy("query_id", "binding_id", "written", "literal", "_v").agg(F.collect_set("key").alias("keys"))
-    off = keys.join(on_key, ["query_id", "binding_id"], "left_anti")
-    # A literal that many queries share meets its holders once, before the queries are joined back.
-    wanted = index.join(off.select(F.col("_v").alias("value_norm")).distinct(), "value_norm", "left_semi")
-    holders = wanted.groupBy("value_norm").agg(F.collect_set("column_key").alias("holders"))
-    j = off.join(holders, off["_v"] == holders["value_norm"])
+    holders = index.holders(r.select(F.col("_v").alias("value_norm")))
+    j = keys.join(holders, keys["_v"] == holders["value_norm"]).where(~F.arrays_overlap("keys", "holders"))
     cands = F.array_sort(F.array_except(F.col("holders"), F.col("keys")))
     found = j.select(
         "query_id", "binding_id", "literal", F.col("written").alias("constrained_column"), cands.alias("candidate_columns")

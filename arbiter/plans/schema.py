@@ -96,6 +96,18 @@ def questions(spark, sf_dir):
     return bench.unionByName(cust)
 
 
+_PROFILE: dict = {}
+
+
+def whole_profile(spark, sf_dir):
+    """The profile of every column of every table, once per (application, data folder)."""
+    from arbiter.plans.profile import whole_db
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PROFILE:
+        _PROFILE[key] = stable(whole_db(spark, sf_dir).columns())
+    return _PROFILE[key]
+
+
 _INDEX: dict = {}
 
 
@@ -246,13 +258,13 @@ def schema_convergence(spark, sf_dir):
     return C.budget_convergence(_budgets(spark, sf_dir))
 
 
-def schema_field_order(spark, sf_dir):
-    """V6 over the profiled catalog of the star tables (one stats scan per table)."""
-    from arbiter.operators import profile as P
-    from arbiter.plans.profile import PROFILED, _frame
-    prof = P.profile_db({t: _frame(spark, sf_dir, t) for t in PROFILED})
-    catalog = prof.select(F.lit(DB).alias("db_id"), "table_name", "column_name", "ordinal", "distinct_count")
-    return V.shuffle_field_order(catalog, 7).select("table_name", "column_name", "ordinal", "shuffled_ordinal", "distinct_count")
+def _field_order(seed):
+    def q(spark, sf_dir):
+        """V6 over the profiled catalog of every table."""
+        prof = whole_profile(spark, sf_dir)
+        catalog = prof.select(F.lit(DB).alias("db_id"), "table_name", "column_name", "ordinal", "distinct_count")
+        return V.shuffle_field_order(catalog, seed).select("table_name", "column_name", "ordinal", "shuffled_ordinal", "distinct_count")
+    return q
 
 
 def link_refs(spark, sf_dir):
@@ -286,7 +298,8 @@ QUERIES = {
     "schema_footprint": schema_footprint,
     "schema_divergence": schema_divergence,
     "schema_convergence": schema_convergence,
-    "schema_field_order": schema_field_order,
+    "schema_field_order": _field_order(7),
+    "schema_field_order_default": _field_order(0),
 }
 
 
@@ -440,15 +453,15 @@ div AS (SELECT rs.budget, count(*) FILTER (WHERE rs.s <> ns.s) / count(*) AS div
         JOIN wanted w ON w.question_id = rs.question_id AND w.budget = rs.budget GROUP BY rs.budget)
 """
 
-def _field_order_sql() -> str:
-    from arbiter.plans.profile import PROFILED
+def _field_order_sql(seed: int) -> str:
     parts = []
-    for t, cols in PROFILED.items():
-        for i, (c, _) in enumerate(cols, start=1):
+    for t, cols in STAR_SCHEMA.items():
+        for i, (c, kind) in enumerate(cols, start=1):
             parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, {i} AS ordinal, "
-                         f"(SELECT count(DISTINCT {c}) FROM {t})::BIGINT AS distinct_count")
+                         + ("NULL::BIGINT AS distinct_count" if kind.startswith("ARRAY") else f"(SELECT count(DISTINCT {c}) FROM {t})::BIGINT AS distinct_count"))
     return ("WITH cat AS (" + " UNION ALL ".join(parts) + ")\nSELECT table_name, column_name, ordinal, "
-            "row_number() OVER (PARTITION BY table_name ORDER BY md5('7' || '|' || table_name || '|' || column_name), ordinal) "
+            + ("row_number() OVER (PARTITION BY table_name ORDER BY ordinal) " if seed == 0 else
+               f"row_number() OVER (PARTITION BY table_name ORDER BY md5('{seed}' || '|' || table_name || '|' || column_name), ordinal) ") +
             "AS shuffled_ordinal, distinct_count FROM cat")
 
 
@@ -487,5 +500,6 @@ FROM (SELECT 'naive' AS mode, tokens FROM naive UNION ALL SELECT 'always', token
     "schema_convergence": _BASE.rstrip() + _DIVERGENCE
     + "SELECT min(budget) FILTER (WHERE divergence = 0) AS convergence_budget, arg_max(budget, (ranked_accuracy - naive_accuracy, -budget)) AS peak_budget, "
     + "round(max(ranked_accuracy - naive_accuracy), 9) AS peak_gap FROM div",
-    "schema_field_order": _field_order_sql(),
+    "schema_field_order": _field_order_sql(7),
+    "schema_field_order_default": _field_order_sql(0),
 }

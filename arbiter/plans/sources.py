@@ -21,7 +21,6 @@ from arbiter.sources import fixtures as fx
 from arbiter.sources.tables import TABLES, Tables
 
 DB = S.DB
-SAMPLED = [t for t in TABLES if t != "embeddings"]
 VERIFIED = ["sql_pq01_filtered_count", "sql_pq03_top1", "sql_pq04_sum_two_filters", "sql_pq05_error_events",
             "sql_pq06_point_lookup_join", "sql_pq07_group_sum_order", "sql_pq08_group_top1", "sql_pq09_filtered_sum"]
 
@@ -66,12 +65,12 @@ def src_fk_validation(spark, sf_dir):
 
 
 def src_sample_rows(spark, sf_dir):
-    return IO.sample_rows(_frames(spark, sf_dir, SAMPLED)).select("table_name", "row_no", "row_text")
+    return IO.sample_rows(_frames(spark, sf_dir)).select("table_name", "row_no", "row_text")
 
 
 def src_join_paths(spark, sf_dir):
     fks = src_foreign_keys(spark, sf_dir)
-    return IO.join_path_text(DB, fks, IO.sample_rows(_frames(spark, sf_dir, SAMPLED)))
+    return IO.join_path_text(DB, fks, IO.sample_rows(_frames(spark, sf_dir)))
 
 
 def src_schema_text(spark, sf_dir):
@@ -92,12 +91,9 @@ def _supplied(spark, sf_dir):
 
 def _profiled_descriptions(spark, sf_dir):
     """Descriptions drawn from the column profiles: short = char class, long = distinct count."""
-    from arbiter.operators import profile as P
-    from arbiter.plans.profile import PROFILED, _frame
-    prof = P.profile_db({t: _frame(spark, sf_dir, t) for t in PROFILED})
-    return prof.select(F.lit(DB).alias("db_id"), F.concat(F.col("table_name"), F.lit("."), F.col("column_name")).alias("column_key"),
+    return S.whole_profile(spark, sf_dir).select(F.lit(DB).alias("db_id"), F.concat(F.col("table_name"), F.lit("."), F.col("column_name")).alias("column_key"),
                        F.col("char_class").alias("short"),
-                       F.concat(F.col("distinct_count").cast("string"), F.lit(" distinct values")).alias("long"))
+                       F.concat(F.col("distinct_count").cast("string"), F.lit(" distinct values")).alias("long")).where(F.col("long").isNotNull())
 
 
 def src_descriptions_roundtrip(spark, sf_dir):
@@ -107,11 +103,11 @@ def src_descriptions_roundtrip(spark, sf_dir):
 
 
 def src_descriptions_fused(spark, sf_dir):
-    """Supplied (DDL comments) fused with profiling English for customer."""
+    """Supplied (DDL comments) fused with the profiling English of every column."""
     from arbiter.operators import profile as P
-    from arbiter.plans.profile import _frame
-    df = _frame(spark, sf_dir, "customer")
-    eng = P.render_column_english(P.profile_table(df, "customer"), P.profile_top_values(df, "customer"))
+    from arbiter.plans.profile import whole_db
+    both = whole_db(spark, sf_dir)
+    eng = P.render_column_english(both.columns(), both.top(P.MAX_LISTED + 1))
     prof = eng.select(F.concat(F.col("table_name"), F.lit("."), F.col("column_name")).alias("column_key"), F.col("english").alias("text"))
     sup = _supplied(spark, sf_dir).select("column_key", F.col("long").alias("text"))
     return IO.merge_descriptions(sup, prof, "fused")
@@ -124,6 +120,13 @@ def _merged(source):
     return q
 
 
+def src_descriptions_supplied(spark, sf_dir):
+    """S10, supplied only, for the columns that hold more than one value."""
+    varied = S.whole_profile(spark, sf_dir).where(F.col("distinct_count") > 1).select(F.concat_ws(".", "table_name", "column_name").alias("column_key"))
+    sup = _supplied(spark, sf_dir).select("column_key", F.col("long").alias("text")).join(varied, "column_key", "left_semi")
+    return IO.merge_descriptions(sup, sup.limit(0), "supplied")
+
+
 def src_row_counts(spark, sf_dir):
     """Row count of every table."""
     t = Tables(spark, sf_dir)
@@ -199,7 +202,7 @@ QUERIES = {
     "src_schema_text": src_schema_text,
     "src_descriptions_roundtrip": src_descriptions_roundtrip,
     "src_descriptions_fused": src_descriptions_fused,
-    "src_descriptions_supplied": _merged("supplied"),
+    "src_descriptions_supplied": src_descriptions_supplied,
     "src_descriptions_profiling": _merged("profiling"),
     "src_descriptions_merged": _merged("fused"),
     "src_row_counts": src_row_counts,
@@ -248,11 +251,17 @@ def _fkv_sql() -> str:
 
 def _sample_sql() -> str:
     parts = []
-    for t in SAMPLED:
+    from arbiter.plans.profile import _txt
+
+    def shown(c, kind):
+        if kind.startswith("ARRAY"):
+            return f"'[' || array_to_string(list_transform({c}, lambda x: {_txt('x', kind[6:-1].lower())}), ', ') || ']'"
+        return _txt(c, kind.lower())
+
+    for t in TABLES:
         cols = [c for c, _ in S.STAR_SCHEMA[t]]
         cells = " || ', ' || ".join(
-            f"coalesce(CASE WHEN length(CAST({c} AS VARCHAR)) <= 40 THEN CAST({c} AS VARCHAR) "
-            f"ELSE substr(CAST({c} AS VARCHAR), 1, 40) || '…' END, 'None')" for c in cols)
+            f"coalesce(CASE WHEN length({x}) <= 40 THEN {x} ELSE substr({x}, 1, 40) || '…' END, 'None')" for x in (shown(c, k) for c, k in S.STAR_SCHEMA[t]))
         order = ", ".join(f"{c} ASC NULLS FIRST" for c in cols)
         parts.append(f"(SELECT '{t}' AS table_name, '{', '.join(cols)}' AS columns, "
                      f"row_number() OVER (ORDER BY {order}) AS row_no, '(' || {cells} || ')' AS row_text "
@@ -279,8 +288,16 @@ def _supplied_sql() -> str:
 def _descriptions_sql() -> str:
     from arbiter.plans.profile import PROFILED, _profile_sql
     prof = "\nUNION ALL".join(_profile_sql(t) for t in PROFILED)
+    # The same columns that have a long description have a short one.
     return (f"SELECT '{DB}' AS db_id, table_name || '.' || column_name AS column_key, char_class AS short, "
-            f"CAST(distinct_count AS VARCHAR) || ' distinct values' AS long FROM ({prof})")
+            f"CAST(distinct_count AS VARCHAR) || ' distinct values' AS long FROM ({prof}) WHERE distinct_count IS NOT NULL")
+
+
+def _fused_sql() -> str:
+    from arbiter.plans.profile import PROFILED, _english_sql
+    return _english_sql(PROFILED).replace("WITH p AS", _supplied_sql().strip() + ", p AS", 1) + """SELECT coalesce(sup.column_key, e.column_key) AS column_key,
+  CASE WHEN s IS NOT NULL AND english IS NOT NULL THEN s || ' ' || english ELSE coalesce(s, english) END AS description
+FROM sup FULL OUTER JOIN (SELECT table_name || '.' || column_name AS column_key, english FROM english) e ON e.column_key = sup.column_key"""
 
 
 ORACLES = {
@@ -301,7 +318,8 @@ SELECT '{DB}' AS db_id, '-- Foreign-key relationships (join paths):' || chr(10)
   || (SELECT string_agg(t, chr(10) ORDER BY table_name) FROM pt) AS text""",
     "src_schema_text": S._BASE + "SELECT db_id, string_agg(block, chr(10) || chr(10) ORDER BY table_ordinal) AS schema_text FROM blocks GROUP BY db_id",
     "src_descriptions_roundtrip": _descriptions_sql(),
-    "src_descriptions_supplied": _supplied_sql() + "SELECT column_key, s AS description FROM sup",
+    "src_descriptions_fused": _fused_sql(),
+    "src_descriptions_supplied": _supplied_sql() + f"SELECT column_key, s AS description FROM sup WHERE column_key IN (SELECT column_key FROM ({_descriptions_sql()}) WHERE NOT starts_with(long, '1 ') AND NOT starts_with(long, '0 '))",
     "src_descriptions_profiling": f"SELECT column_key, long AS description FROM ({_descriptions_sql()})",
     "src_descriptions_merged": _supplied_sql() + f"""SELECT coalesce(sup.column_key, p.column_key) AS column_key,
   CASE WHEN s IS NOT NULL AND long IS NOT NULL THEN s || ' ' || long ELSE coalesce(s, long) END AS description

@@ -1,68 +1,58 @@
-"""value_*: value index over the star tables and literal steering."""
+"""value_*: value index over every table, and literal steering."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from arbiter.operators import values as L
 from arbiter.sources import fixtures as fx
-from arbiter.sources.fixtures import stable
-from arbiter.sources.tables import Tables
+from arbiter.plans.profile import PROFILED, _txt
+from arbiter.session import ensure_checkpoint_dir
+from arbiter.sources.tables import TABLES, Tables
 
-INDEXED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 PII = ("customer.c_name",)
 
-# Spark -> DuckDB column lists for the oracle (all columns of the indexed tables).
-COLUMNS = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    "region": ["r_regionkey", "r_name"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"],
-}
-
 
 _INDEX: dict = {}
 
 
 def _index(spark, sf_dir, redact=()):
-    """The value index, built once per (application, data folder, policy) into the checkpoint folder."""
+    """The value index of every table, built once per (application, data folder, policy) in the checkpoint folder."""
     key = (spark.sparkContext.applicationId, sf_dir, tuple(redact))
     if key not in _INDEX:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/value-index-{uuid.uuid4().hex}"
         t = Tables(spark, sf_dir)
-        idx, indexed = L.build_value_index({n: getattr(t, n) for n in INDEXED}, redact=redact)
-        _INDEX[key] = (stable(idx), indexed)
+        _INDEX[key] = L.ValueIndex(spark, path).add({n: getattr(t, n) for n in TABLES}, redact)
     return _INDEX[key]
 
 
 def value_index(spark, sf_dir):
-    return _index(spark, sf_dir)[0]
+    return _index(spark, sf_dir).pairs()
 
 
 def value_index_redacted(spark, sf_dir):
-    idx, _ = _index(spark, sf_dir, PII)
-    return idx.groupBy("column_key").agg(F.count(F.lit(1)).cast("long").alias("n_values"))
+    return _index(spark, sf_dir, PII).pairs().groupBy("column_key").agg(F.count(F.lit(1)).cast("long").alias("n_values"))
 
 
 def value_indexed_columns(spark, sf_dir):
     """Every indexed column key with the number of normalized values it contributed."""
-    idx, indexed = _index(spark, sf_dir)
-    n = idx.groupBy("column_key").agg(F.count(F.lit(1)).alias("n_values"))
-    return indexed.join(n, "column_key", "left").select("column_key", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"))
+    index = _index(spark, sf_dir)
+    n = index.pairs().groupBy("column_key").agg(F.count(F.lit(1)).alias("n_values"))
+    return index.columns().join(n, "column_key", "left").select("column_key", F.coalesce("n_values", F.lit(0)).cast("long").alias("n_values"))
 
 
 def value_lookup(spark, sf_dir):
-    idx, _ = _index(spark, sf_dir)
+    idx = _index(spark, sf_dir)
     look = Tables(spark, sf_dir).nation.select("n_nationkey", F.col("n_name").alias("value"))
     return L.columns_containing(idx, look).select("n_nationkey", "value", F.array_join("holders", ",").alias("holders"))
 
 
 def _resolved(spark, sf_dir):
-    idx, indexed = _index(spark, sf_dir)
+    idx = _index(spark, sf_dir)
     b, a, qt = fx.v_bindings(Tables(spark, sf_dir))
-    return L.resolve_bindings(b, a, qt, indexed), idx
+    return L.resolve_bindings(b, a, qt, idx.columns()), idx
 
 
 def value_resolve(spark, sf_dir):
@@ -95,23 +85,25 @@ QUERIES = {
 def _vals_sql(redact=()) -> str:
     hidden = {r.casefold() for r in redact}
     parts = []
-    for t, cols in COLUMNS.items():
-        for c in cols:
-            if f"{t}.{c}" in hidden:
-                continue
-            parts.append(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL")
+    for t, cols in PROFILED.items():
+        for c, kind in cols:
+            if f"{t}.{c}" not in hidden and not kind.startswith("array"):
+                parts.append(f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {_txt(c, kind)} AS v FROM {t} WHERE {c} IS NOT NULL")
     return " UNION ALL ".join(parts)
 
 
+_NORM = "lower(regexp_replace(v, '^\\s+|\\s+$', '', 'g'))"
+
+
 def _idx_sql(redact=()) -> str:
     return f"""idx AS (
-  SELECT DISTINCT lower(regexp_replace(v, '^\\s+|\\s+$', '', 'g')) AS value_norm, lower(t) || '.' || lower(c) AS column_key
+  SELECT DISTINCT CASE WHEN length({_NORM}) > 64 THEN 'sha256:' || sha256({_NORM}) ELSE {_NORM} END AS value_norm, lower(t) || '.' || lower(c) AS column_key
   FROM ({_vals_sql(redact)}))"""
 
 
 def _keys_sql(redact=()) -> str:
     hidden = {r.casefold() for r in redact}
-    rows = [f"('{t}.{c}')" for t, cols in sorted(COLUMNS.items()) for c in cols if f"{t}.{c}" not in hidden]
+    rows = [f"('{t}.{c}')" for t, cols in sorted(PROFILED.items()) for c, _ in cols if f"{t}.{c}" not in hidden]
     return "indexed(column_key) AS (VALUES " + ", ".join(rows) + ")"
 
 

@@ -12,6 +12,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from arbiter.operators.profile import plain_text
 
 # Fixed values.
 SAMPLE_ROWS = 3
@@ -34,7 +37,7 @@ def primary_keys(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame
 
 def foreign_keys(declared: DataFrame, pks: DataFrame) -> DataFrame:
     """Distinct (child, child_col, parent, parent_col); an implicit parent column becomes the parent's key."""
-    j = declared.join(F.broadcast(pks.withColumnRenamed("table_name", "parent")), "parent", "left")
+    j = declared.join(pks.withColumnRenamed("table_name", "parent"), "parent", "left")
     return j.select(
         "child", "child_col", "parent",
         F.coalesce(F.col("parent_col"), F.col("pk_col"), F.lit("(pk)")).alias("parent_col"),
@@ -54,8 +57,11 @@ def validate_foreign_keys(fks: list[tuple[str, str, str, str]], frames: dict[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def truncate_cell(c) -> F.Column:
-    s = c.cast("string")
+def truncate_cell(c, dtype) -> F.Column:
+    if isinstance(dtype, T.ArrayType):
+        s = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: plain_text(x, dtype.elementType)), ", "), F.lit("]"))
+    else:
+        s = plain_text(c, dtype)
     return F.when(F.length(s) <= MAX_CELL, s).otherwise(F.concat(F.substring(s, 1, MAX_CELL), F.lit(ELLIPSIS)))
 
 
@@ -64,7 +70,7 @@ def sample_rows(frames: dict[str, DataFrame], n: int = SAMPLE_ROWS) -> DataFrame
     parts = []
     for name, df in frames.items():
         order = [F.col(f"`{c}`").asc_nulls_first() for c in df.columns]
-        cells = F.array(*[F.coalesce(truncate_cell(F.col(f"`{c}`")), F.lit("None")) for c in df.columns])
+        cells = F.array(*[F.coalesce(truncate_cell(F.col(f"`{c}`"), df.schema[c].dataType), F.lit("None")) for c in df.columns])
         top = df.orderBy(*order).limit(n)
         # The window spans at most n rows (after the limit).
         parts.append(top.select(

@@ -8,13 +8,11 @@ derivations as SQL for the DuckDB oracle.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbiter.operators.order import dense_position
-from arbiter.session import ensure_checkpoint_dir
+from arbiter.session import stable
 from arbiter.sources.tables import Tables
 
 # Fixed values of the derivations.
@@ -37,18 +35,6 @@ def v_gold(t: Tables) -> DataFrame:
     return pos.select("question_id", "row_pos", "c0", "c1", "c2")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Written once as Parquet under the cluster's checkpoint folder, and reread.
-
-    For a derived table that several branches of one plan read: the work
-    behind it runs once, a lost executor re-reads the files, and each reader's
-    columns and filters reach the scan.
-    """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stable-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _GOLD: dict = {}
 
 

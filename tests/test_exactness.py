@@ -48,14 +48,14 @@ def test_votes_see_where_the_null_stands(spark):
     assert (got.selected_index, got.agreement, got.n_groups) == (0, 2, 2)
 
 
-def test_literals_beyond_any_sample_are_on_column(spark):
+def test_literals_beyond_any_sample_are_on_column(spark, tmp_path):
     orders = spark.range(9500).select(F.col("id").alias("k"))
     part = spark.range(9000, 9003).select(F.col("id").alias("p"))
-    index, indexed = L.build_value_index({"orders": orders, "part": part})
+    index = L.ValueIndex(spark, str(tmp_path)).add({"orders": orders, "part": part})
     b = spark.createDataFrame([(1, 1, None, "k", "9001"), (2, 1, None, "k", "9600"), (3, 1, None, "p", "17")], "query_id long, binding_id int, qualifier string, column_name string, literal string")
     tables = spark.createDataFrame([(1, "orders"), (2, "orders"), (3, "part")], "query_id long, table_name string")
     none = spark.createDataFrame([], "query_id long, alias string, table_name string")
-    found = L.check_literals(L.resolve_bindings(b, none, tables, indexed), index).collect()
+    found = L.check_literals(L.resolve_bindings(b, none, tables, index.columns()), index).collect()
     assert [(r.query_id, r.candidate_columns) for r in found] == [(3, ["orders.k"])]
 
 

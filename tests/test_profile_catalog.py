@@ -75,16 +75,16 @@ def test_fit_budget_keeps_first_table(spark):
     assert kept == ["orders"]
 
 
-def test_literal_steering(spark):
+def test_literal_steering(spark, tmp_path):
     frames = {"schools": spark.createDataFrame([(1, "Fresno", "Clovis"), (2, "Kern", "Delano")],
                                                "id long, CountyName string, District string")}
-    idx, indexed = L.build_value_index(frames)
+    idx = L.ValueIndex(spark, str(tmp_path)).add(frames)
     b = spark.createDataFrame([(1, 1, None, "District", "fresno "), (2, 1, None, "CountyName", "Fresno"),
                                (3, 1, None, "Nowhere", "Fresno")],
                               "query_id long, binding_id int, qualifier string, column_name string, literal string")
     a = spark.createDataFrame([], "query_id long, alias string, table_name string")
     qt = spark.createDataFrame([(1, "schools"), (2, "schools"), (3, "schools")], "query_id long, table_name string")
-    f = L.check_literals(L.resolve_bindings(b, a, qt, indexed), idx).collect()
+    f = L.check_literals(L.resolve_bindings(b, a, qt, idx.columns()), idx).collect()
     assert [(r["query_id"], r["candidate_columns"]) for r in f] == [(1, ["schools.countyname"])]
 
 
