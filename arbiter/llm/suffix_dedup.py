@@ -40,7 +40,7 @@ LENGTH = 400
 #: Lengths of the substrings whose least hash deals out windows; a group that stays too large goes to the next.
 LEVELS = (128, 300, 400)
 #: Bytes of the different segments of a group that one task may sort together; a larger group goes to the next level.
-HOT_BYTES = 1 << 20
+HOT_BYTES = 8 << 20
 #: Bytes hashed, and bytes sorted, at once (or one group, if that has more); and windows in one segment.
 PIECE_BYTES, SORT_BYTES, RUN = 1 << 20, 1 << 20, 1024
 _BASE = 0x9E3779B97F4A7C55
@@ -117,23 +117,23 @@ def pieces(bodies: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
 def sorted_suffixes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """The places ``at`` ordered by the ``length`` bytes that begin there, eight bytes a round; only ties go on."""
     padded = np.concatenate([text, np.zeros(length + 8, np.uint8)])
-    out, ties = at.astype(np.int64), [np.arange(len(at))]
-    group = np.zeros(len(at), np.int64)
+    out, own = at.astype(np.int32), np.arange(len(at), dtype=np.int32)
+    group = np.zeros(len(at), np.int32)
     for first in range(0, length, 8):
-        (own,) = ties
         word = np.zeros(len(own), np.uint64)
         for k in range(first, first + 8):
             word <<= np.uint64(8)
             if k < length:
                 word |= padded[out[own] + k]
-        order = np.lexsort((word, group))
-        out[own], word = out[own[order]], word[order]
+        order = np.lexsort((word, group)).astype(np.int32)
+        word = word[order]
+        out[own] = out[own[order]]
         # Places of equal groups and words stay together; those that are alone are done.
         new = np.ones(len(own), bool)
         new[1:] = (np.diff(group) != 0) | (word[1:] != word[:-1])
         alone = new & np.append(new[1:], True)
-        group = np.cumsum(new)[~alone]
-        ties = [own[~alone]]
+        group = np.cumsum(new, dtype=np.int32)[~alone]
+        own = own[~alone]
         if not len(group):
             break
     return out
@@ -154,8 +154,8 @@ def repeated_windows(bodies: list[bytes], copies: np.ndarray, length: int = LENG
     step[:-1] = np.diff(text.astype(np.int16))
     step[-1] = -1
     differs = np.where(step != 0, place, np.int32(len(text)))
-    step = step[np.minimum(np.minimum.accumulate(differs[::-1])[::-1], len(text) - 1)]
-    small = (step > 0) | ~inner
+    small = (step > 0)[np.minimum(np.minimum.accumulate(differs[::-1])[::-1], len(text) - 1)] | ~inner
+    del step, differs, inner
     # Wanted: the windows, and what follows the last of them up to the next directly sorted suffix.
     windows = np.zeros(len(text) + 1, np.int32)
     np.add.at(windows, start, 1)
@@ -164,6 +164,7 @@ def repeated_windows(bodies: list[bytes], copies: np.ndarray, length: int = LENG
     last_window = np.maximum.accumulate(np.where(windows, place, np.int32(-1)))
     next_small = np.minimum.accumulate(np.where(small, place, np.int32(len(text)))[::-1])[::-1]
     wanted = windows | ((last_window >= 0) & (place <= next_small[np.maximum(last_window, 0)]))
+    del place, last_window, next_small
     direct = sorted_suffixes(text, np.flatnonzero(wanted & small), length)
     of_byte = np.searchsorted(text[direct], np.arange(257))
     arrived: list[list[np.ndarray]] = [[] for _ in range(257)]
