@@ -1,14 +1,14 @@
 """Schema catalog, lexical retrieval and token-budget policy.
 
 Catalog tables:
-  catalog_columns(db_id, table_name, table_ordinal, column_name, column_ordinal, type, description)
+  catalog_columns(db_id, table_name, table_ordinal, column_name, column_ordinal, type, description, table_description)
   catalog_fks(db_id, table_name, fk_ordinal, local_col, referred_table)
   samples(db_id, table_name, column_name, rank, value)
 
 Retrieval scores every (question, table) of the question's db through an
 inverted index: question tokens join table tokens on (db_id, token) and a
-sum of weights per pair gives the score.  Per-question windows span one
-schema's tables (a bounded size); nothing spans all questions.
+sum of weights per pair gives the score.  Selections (top-k, budgets, gates)
+need no such pairs: ``operators/retrieval.py`` folds them from posting lists.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from arbiter.operators.profile import distinct_values, top_n_per_group
 
 # Fixed values.
 DEFAULT_SAMPLE_VALUES = 5
-SAMPLE_OVERSAMPLE = 4
 MAX_SAMPLE_LEN = 40
 DEFAULT_MAX_TABLES = 8
 NAME_WEIGHT = 3
@@ -41,15 +40,30 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / F.lit(CHARS_PER_TOKEN)).cast("long")
 
 
-def catalog_from_frames(spark, db_id: str, frames: dict[str, DataFrame]) -> DataFrame:
-    """C3 (schema part): one row per column from the frames' schemas; tables in name order."""
+def catalog_from_frames(
+    spark, db_id: str, frames: dict[str, DataFrame], table_descriptions: DataFrame | None = None, column_descriptions: DataFrame | None = None,
+) -> DataFrame:
+    """One row per column from the frames' schemas; tables in name order.
+
+    ``table_descriptions`` (table_name, description) and ``column_descriptions``
+    (column_key, description; keys ``table.column`` in lower case, as S10 merges
+    them) are joined where given; an empty description is none.
+    """
     rows = []
     for t_ord, name in enumerate(sorted(frames), start=1):
         for c_ord, f in enumerate(frames[name].schema.fields, start=1):
             rows.append((db_id, name, t_ord, f.name, c_ord, f.dataType.simpleString().upper()))
-    return spark.createDataFrame(
-        rows, "db_id string, table_name string, table_ordinal int, column_name string, column_ordinal int, type string"
-    ).withColumn("description", F.lit(None).cast("string"))
+    found = spark.createDataFrame(rows, "db_id string, table_name string, table_ordinal int, column_name string, column_ordinal int, type string")
+    none = F.lit(None).cast("string")
+    given = lambda df, key, name: df.where(F.col("description") != "").select(F.col(key), F.col("description").alias(name))
+    if column_descriptions is not None:
+        key = F.concat_ws(".", F.lower("table_name"), F.lower("column_name"))
+        found = found.withColumn("column_key", key).join(given(column_descriptions, "column_key", "description"), "column_key", "left").drop("column_key")
+    else:
+        found = found.withColumn("description", none)
+    if table_descriptions is not None:
+        return found.join(given(table_descriptions, "table_name", "table_description"), "table_name", "left")
+    return found.withColumn("table_description", none)
 
 
 def sample_values(db_id: str, frames: dict[str, DataFrame], limit: int = DEFAULT_SAMPLE_VALUES) -> DataFrame:
@@ -60,11 +74,11 @@ def sample_values(db_id: str, frames: dict[str, DataFrame], limit: int = DEFAULT
 
 
 def table_tokens(catalog: DataFrame, samples: DataFrame) -> DataFrame:
-    """C4: (db_id, table_name, kind, token): name tokens (table, columns, description) and sample tokens."""
+    """C4: (db_id, table_name, kind, token): name tokens (table, its description, its columns' names) and sample tokens."""
     names = catalog.select(
         "db_id", "table_name",
         F.explode(F.array_union(F.array_union(tokens(F.col("table_name")), tokens(F.col("column_name"))),
-                                tokens(F.col("description")))).alias("token"),
+                                tokens(F.col("table_description")))).alias("token"),
     ).withColumn("kind", F.lit("name"))
     samp = samples.select("db_id", "table_name", F.explode(tokens(F.col("value"))).alias("token")).withColumn(
         "kind", F.lit("sample")
@@ -100,60 +114,6 @@ def ranked_names(scores: DataFrame) -> DataFrame:
     return scores.withColumn("priority", F.row_number().over(w))
 
 
-def relevant_tables(
-    scores: DataFrame,
-    fks: DataFrame,
-    catalog: DataFrame,
-    max_tables: int = DEFAULT_MAX_TABLES,
-    expand_fks: bool = True,
-    floor: Column | int = 0,
-) -> DataFrame:
-    """(question_id, table_name, table_ordinal) selected for each question.
-
-    Top ``max_tables`` with score > 0 (ties by name), then outgoing FK
-    neighbours of the picks in pick order, cut to ``max_tables``, then padded
-    to ``floor`` in declaration order.  No hit and floor <= 0: every table.
-
-    A question's candidates are the tables of its own schema (a bounded
-    list), so they are gathered into one array per question and the whole
-    selection runs as higher-order functions: one shuffle, no self-joins.
-    """
-    floor_col = floor if isinstance(floor, Column) else F.lit(floor)
-    outgoing = fks.groupBy("db_id", "table_name").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("fk_ordinal", "referred_table"))), lambda x: x["referred_table"]).alias("fkl")
-    )
-    rows = scores.join(outgoing, ["db_id", "table_name"], "left").select(
-        "question_id", F.struct(
-            (-F.col("score")).alias("neg"), "table_name", "table_ordinal",
-            F.coalesce(F.col("fkl"), F.array().cast("array<string>")).alias("fkl"),
-        ).alias("t"),
-    )
-    per_q = rows.groupBy("question_id").agg(F.collect_list("t").alias("ts")).withColumn("floor", floor_col)
-    ranked = F.sort_array(F.filter("ts", lambda x: x["neg"] < 0))  # score desc, then name
-    picks = F.transform(F.slice(ranked, 1, max_tables), lambda x: x["table_name"])
-    names = F.transform("ts", lambda x: x["table_name"])
-    if expand_fks:
-        nbrs = F.array_distinct(F.filter(
-            F.flatten(F.transform(F.slice(ranked, 1, max_tables), lambda x: x["fkl"])),
-            lambda n: F.array_contains(names, n) & ~F.array_contains(picks, n),
-        ))
-        selected = F.slice(F.concat(picks, nbrs), 1, max_tables)
-    else:
-        selected = picks
-    by_ord = F.transform(F.sort_array(F.transform("ts", lambda x: F.struct(x["table_ordinal"], x["table_name"]))),
-                         lambda x: x["table_name"])
-    step = per_q.select("question_id", "ts", "floor", selected.alias("sel"), by_ord.alias("by_ord"), F.size(picks).alias("n_hits"))
-    rest = F.filter("by_ord", lambda n: ~F.array_contains(F.col("sel"), n))
-    pad_n = F.greatest(F.col("floor") - F.size("sel"), F.lit(0))
-    final = F.when((F.col("n_hits") == 0) & (F.col("floor") <= 0), F.col("by_ord")).otherwise(
-        F.concat("sel", F.slice(rest, 1, pad_n)))
-    chosen = step.select("question_id", "ts", F.explode(final).alias("table_name"))
-    return chosen.select(
-        "question_id", "table_name",
-        F.try_element_at(F.filter("ts", lambda x: x["table_name"] == F.col("table_name")), F.lit(1))["table_ordinal"].alias("table_ordinal"),
-    )
-
-
 def widened_questions(attempts: DataFrame) -> DataFrame:
     """The query of a re-retrieval is the question and the name that was missing, if any.
 
@@ -168,12 +128,12 @@ def widening_floor(n_retries: Column, max_tables: int = DEFAULT_MAX_TABLES) -> C
 
 
 def render_blocks(catalog: DataFrame, fks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Prompt-ready text block per table (columns with glosses, FK lines, samples) and C9 cost."""
+    """Prompt-ready text block per table (its description, columns with glosses, FK lines, samples) and C9 cost."""
     col_line = F.concat(
         F.when(F.col("description").isNotNull(), F.concat(F.lit("  -- "), F.col("description"), F.lit("\n"))).otherwise(F.lit("")),
         F.rtrim(F.concat(F.lit("  "), F.col("column_name"), F.lit(" "), F.col("type"))),
     )
-    cols = catalog.groupBy("db_id", "table_name", "table_ordinal").agg(
+    cols = catalog.groupBy("db_id", "table_name", "table_ordinal", "table_description").agg(
         F.array_sort(F.collect_list(F.struct(F.col("column_ordinal").cast("int").alias("k"), col_line.alias("line")))).alias("cl")
     )
     fk_lines = fks.groupBy("db_id", "table_name").agg(
@@ -193,62 +153,13 @@ def render_blocks(catalog: DataFrame, fks: DataFrame, samples: DataFrame) -> Dat
     )
     j = cols.join(fk_lines, ["db_id", "table_name"], "left").join(samp_lines, ["db_id", "table_name"], "left")
     lines = F.transform(F.concat(F.col("cl"), F.coalesce(F.col("fl"), F.array().cast("array<struct<k:int,line:string>>"))), lambda s: s["line"])
-    block = F.concat(F.lit("CREATE TABLE "), F.col("table_name"), F.lit(" (\n"), F.array_join(lines, ",\n"), F.lit("\n);"))
+    about = F.when(F.col("table_description").isNotNull(), F.concat(F.lit("-- "), F.col("table_description"), F.lit("\n"))).otherwise(F.lit(""))
+    block = F.concat(about, F.lit("CREATE TABLE "), F.col("table_name"), F.lit(" (\n"), F.array_join(lines, ",\n"), F.lit("\n);"))
     samples_txt = F.when(F.col("sl").isNotNull(), F.concat(F.lit("\n-- sample values:\n"), F.array_join(F.transform("sl", lambda s: s["line"]), "\n"))).otherwise(F.lit(""))
     text = F.concat(block, samples_txt)
     return j.select("db_id", "table_name", "table_ordinal", text.alias("block")).withColumn("cost", estimate_tokens(F.col("block")))
 
 
-def fit_budget(ordered: DataFrame, blocks: DataFrame, budget: Column | int) -> DataFrame:
-    """Greedy priority prefix within the budget; the first table is always kept.
-
-    ``ordered``: (question_id, db_id, table_name, priority); without ``db_id``
-    all questions are of one database.  Costs are >= 0 so the running sum is
-    monotone and ``rn = 1 or running <= budget`` is the prefix.
-    """
-    b = budget if isinstance(budget, Column) else F.lit(budget)
-    w = Window.partitionBy("question_id").orderBy("priority").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = _table_keys(ordered)
-    j = ordered.join(blocks.select(*keys, "cost", "table_ordinal"), keys)
-    run = j.withColumn("_run", F.sum("cost").over(w)).withColumn("_rn", F.row_number().over(Window.partitionBy("question_id").orderBy("priority")))
-    return run.filter((F.col("_rn") == 1) | (F.col("_run") <= b)).drop("_run", "_rn")
-
-
-def _table_keys(rows: DataFrame) -> list[str]:
-    """What names a table: its database too, where the rows carry one."""
-    return [c for c in ("db_id", "table_name") if c in rows.columns]
-
-
-def _rendered_tokens() -> Column:
-    """C9 of blocks joined by a blank line, from their lengths alone."""
-    return F.ceil((F.sum(F.length("block")) + 2 * (F.count(F.lit(1)) - 1)) / F.lit(CHARS_PER_TOKEN)).cast("long").alias("tokens")
-
-
-def selection_cost(selected: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(question_id, n_tables, tokens) of the rendered selection; no text leaves the blocks."""
-    keys = _table_keys(selected)
-    sizes = blocks.select(*keys, "block")
-    return selected.select("question_id", *keys).join(sizes, keys).groupBy("question_id").agg(F.count(F.lit(1)).alias("n_tables"), _rendered_tokens())
-
-
-def whole_schemas(blocks: DataFrame) -> DataFrame:
-    """(db_id, all_tables, all_tokens): the cost of each database's whole schema."""
-    return blocks.groupBy("db_id").agg(F.count(F.lit(1)).alias("all_tables"), _rendered_tokens().alias("all_tokens"))
-
-
-def gate(questions: DataFrame, blocks: DataFrame, ranked: DataFrame, budget: int) -> DataFrame:
-    """C11: (question_id, mode, n_tables, tokens): the question's own whole schema when it fits the budget, else ranked and fitted."""
-    own = questions.select("question_id", "db_id").join(whole_schemas(blocks), "db_id")
-    fits = F.col("all_tokens") <= budget
-    narrow = own.where(~fits).select("question_id", "db_id")
-    picked = selection_cost(fit_budget(ranked.select("question_id", "db_id", "table_name", "priority").join(narrow, ["question_id", "db_id"], "left_semi"), blocks, budget), blocks)
-    return own.join(picked, "question_id", "left").select(
-        "question_id", F.when(fits, F.lit("full")).otherwise(F.lit("rag")).alias("mode"),
-        F.when(fits, F.col("all_tables")).otherwise(F.coalesce("n_tables", F.lit(0))).cast("long").alias("n_tables"),
-        F.when(fits, F.col("all_tokens")).otherwise(F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens"),
-    )
-
-
 def budget_convergence(per_budget: DataFrame) -> DataFrame:
     """From (budget, divergence, ranked_accuracy, naive_accuracy): the least budget without divergence, and the budget of the largest accuracy gap."""
     gap = F.col("ranked_accuracy") - F.col("naive_accuracy")
@@ -259,16 +170,6 @@ def budget_convergence(per_budget: DataFrame) -> DataFrame:
     )
 
 
-def selection_text(selected: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rendered schema per question: blocks of the selected tables in declaration order, blank-line joined."""
-    keys = _table_keys(selected)
-    j = selected.select("question_id", *keys).join(blocks.select(*keys, "table_ordinal", "block", "cost"), keys)
-    return j.groupBy("question_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_ordinal", "block"))), lambda s: s["block"]), "\n\n").alias("schema_text"),
-        F.count(F.lit(1)).alias("n_tables"),
-    ).withColumn("tokens", estimate_tokens(F.col("schema_text")))
-
-
 def link_tables(refs: DataFrame, catalog: DataFrame, fallback: DataFrame) -> DataFrame:
     """C17: union of the tables named across a question's variants, kept only when they are
     catalog tables (case-insensitive), in declaration order; no linked table -> the fallback selection.

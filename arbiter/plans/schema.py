@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import catalog as C
 from arbiter.operators import keys as K
+from arbiter.operators import retrieval as RT
 from arbiter.operators import voting as V
 from arbiter.sources.fixtures import stable
 from arbiter.sources.tables import TABLES, Tables
@@ -127,6 +128,42 @@ def _index(spark, sf_dir):
     return _INDEX[key]
 
 
+_POSTINGS: dict = {}
+
+
+def _postings(spark, sf_dir, described=False):
+    """(posting lists, schemas) of the index, written once like the index itself."""
+    key = (spark.sparkContext.applicationId, sf_dir, described)
+    if key not in _POSTINGS:
+        catalog, samples, fks = _described(spark, sf_dir) if described else _index(spark, sf_dir)
+        blocks = C.render_blocks(catalog, fks, samples)
+        _POSTINGS[key] = (stable(RT.posting_lists(catalog, samples)), stable(RT.schemas(catalog, fks, blocks)))
+    return _POSTINGS[key]
+
+
+def _hits(spark, sf_dir, asked=None, described=False):
+    return RT.question_hits(questions(spark, sf_dir) if asked is None else asked, *_postings(spark, sf_dir, described))
+
+
+_DESCRIBED: dict = {}
+
+
+def _described(spark, sf_dir):
+    """The index with descriptions: of tables their rows and what they refer to, of columns what their profile says."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DESCRIBED:
+        _, samples, fks = _index(spark, sf_dir)
+        prof = whole_profile(spark, sf_dir)
+        refs = fks.groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_set("referred_table")), " and ").alias("refs"))
+        about = prof.groupBy("table_name").agg(F.max("row_count").alias("n")).join(refs, "table_name", "left").select(
+            "table_name", F.concat(F.col("n").cast("string"), F.lit(" rows"), F.coalesce(F.concat(F.lit(" of "), "refs"), F.lit(""))).alias("description"))
+        glosses = prof.where(F.col("distinct_count").isNotNull()).select(
+            F.concat_ws(".", F.lower("table_name"), F.lower("column_name")).alias("column_key"), F.concat(F.col("distinct_count").cast("string"), F.lit(" distinct values")).alias("description"))
+        catalog = C.catalog_from_frames(spark, DB, _frames(spark, sf_dir), about, glosses)
+        _DESCRIBED[key] = (stable(catalog), samples, fks)
+    return _DESCRIBED[key]
+
+
 def _scores(spark, sf_dir):
     catalog, samples, fks = _index(spark, sf_dir)
     return C.score(questions(spark, sf_dir), catalog, samples), catalog, samples, fks
@@ -150,18 +187,16 @@ def schema_ranked(spark, sf_dir):
 
 def _relevant(floor):
     def q(spark, sf_dir):
-        scores, catalog, _, fks = _scores(spark, sf_dir)
-        return C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, floor).select("question_id", "table_name", "table_ordinal")
+        return RT.relevant_tables(_hits(spark, sf_dir), MAX_TABLES, True, floor)
     return q
 
 
 def schema_widening(spark, sf_dir):
     """0 to 2 re-retrievals per question; every fifth question missed the name ``nation``.  Re-retrievals always go by C6."""
-    catalog, samples, fks = _index(spark, sf_dir)
     retries = F.col("question_id") % 3
     attempts = questions(spark, sf_dir).withColumn("n_retries", retries).withColumn("missing", F.when(F.col("question_id") % 5 == 0, F.lit("nation")))
-    scores = C.score(C.widened_questions(attempts), catalog, samples)
-    return C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, C.widening_floor(retries, MAX_TABLES)).select("question_id", "table_name", "table_ordinal")
+    hits = _hits(spark, sf_dir, C.widened_questions(attempts))
+    return RT.relevant_tables(hits, MAX_TABLES, True, C.widening_floor(retries, MAX_TABLES))
 
 
 def schema_blocks(spark, sf_dir):
@@ -169,20 +204,23 @@ def schema_blocks(spark, sf_dir):
     return C.render_blocks(catalog, fks, samples).select("table_name", "table_ordinal", "cost", "block")
 
 
-def _ranked(scores):
-    return C.ranked_names(scores).select("question_id", "db_id", "table_name", "priority")
+def schema_described_blocks(spark, sf_dir):
+    """C8 with table descriptions and column glosses."""
+    catalog, samples, fks = _described(spark, sf_dir)
+    return C.render_blocks(catalog, fks, samples).select("table_name", "table_ordinal", "cost", "block")
+
+
+def schema_described_relevant(spark, sf_dir):
+    """C4-C6 where the words of a table's description count like its name."""
+    return RT.relevant_tables(_hits(spark, sf_dir, described=True), 3, False, 0)
 
 
 def schema_fit_budget(spark, sf_dir):
-    scores, catalog, samples, fks = _scores(spark, sf_dir)
-    blocks = C.render_blocks(catalog, fks, samples)
-    return C.fit_budget(_ranked(scores), blocks, BUDGET).select("question_id", "table_name")
+    return RT.fit_budget(_hits(spark, sf_dir), BUDGET).select("question_id", "table_name")
 
 
 def _gate(spark, sf_dir, budget):
-    scores, catalog, samples, fks = _scores(spark, sf_dir)
-    blocks = C.render_blocks(catalog, fks, samples)
-    return C.gate(questions(spark, sf_dir), blocks, _ranked(scores), budget)
+    return RT.gate(_hits(spark, sf_dir), budget)
 
 
 def schema_gate(spark, sf_dir):
@@ -202,48 +240,12 @@ def schema_gate_decisions(spark, sf_dir):
 
 def schema_footprint(spark, sf_dir):
     """C14: tokens of the whole schema, of always retrieving (C6) and of the adaptive gate."""
-    scores, catalog, samples, fks = _scores(spark, sf_dir)
-    blocks = C.render_blocks(catalog, fks, samples)
-    q = questions(spark, sf_dir)
-    naive = q.join(C.whole_schemas(blocks), "db_id").select(F.lit("naive").alias("mode"), F.col("all_tokens").alias("tokens"))
-    relevant = C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, 0).join(q.select("question_id", "db_id"), "question_id")
-    always = C.selection_cost(relevant, blocks).select(F.lit("always").alias("mode"), "tokens")
-    adaptive = C.gate(q, blocks, _ranked(scores), GATE_BUDGET).select(F.lit("adaptive").alias("mode"), "tokens")
-    return naive.unionByName(always).unionByName(adaptive).groupBy("mode").agg(
-        F.bround(F.avg("tokens"), 0).cast("long").alias("mean_tokens"),
-        F.max("tokens").alias("max_tokens"),
-        F.sum("tokens").cast("long").alias("total_tokens"),
-    )
+    return RT.footprint(_hits(spark, sf_dir), GATE_BUDGET, MAX_TABLES)
 
 
 def _budgets(spark, sf_dir):
-    """(budget, divergence, ranked_accuracy, naive_accuracy) per budget.
-
-    A question is answered when the tables it names are all in its selection;
-    questions that name none are not judged.
-    """
-    scores, catalog, samples, fks = _scores(spark, sf_dir)
-    blocks = C.render_blocks(catalog, fks, samples)
-    per_budget = C.ranked_names(scores).select("question_id", "db_id", "table_name", "table_ordinal", "priority",
-                                               F.explode(F.array(*[F.lit(b) for b in BUDGETS])).alias("budget"))
-    named = link_refs(spark, sf_dir).select("question_id", F.lower("table_name").alias("t")).distinct()
-    keyed = per_budget.join(named, (per_budget["question_id"] == named["question_id"]) & (F.lower(per_budget["table_name"]) == named["t"]), "left").select(
-        F.struct(per_budget["question_id"], "budget").alias("question_id"), "db_id", "table_name", "table_ordinal", "priority", F.col("t").isNotNull().alias("gold"))
-    sides = []
-    for p, order in (("ranked", "priority"), ("naive", "table_ordinal")):
-        fitted = C.fit_budget(keyed.select("question_id", "db_id", "table_name", "gold", F.col(order).alias("priority")), blocks, F.col("question_id.budget"))
-        sides.append(fitted.groupBy("question_id").agg(F.sort_array(F.collect_set("table_name")).alias(f"{p}_set"), F.count_if("gold").alias(f"{p}_gold")))
-    wanted = keyed.groupBy("question_id").agg(F.count_if("gold").alias("n_gold"))
-    j = sides[0].join(sides[1], "question_id").join(wanted, "question_id")
-    judged = F.col("n_gold") > 0
-
-    def accuracy(p):
-        hit = F.count_if(judged & (F.col(f"{p}_gold") == F.col("n_gold"))) / F.when(F.count_if(judged) > 0, F.count_if(judged))
-        return F.coalesce(hit, F.lit(0.0)).alias(f"{p}_accuracy")
-
-    return j.groupBy(F.col("question_id.budget").alias("budget")).agg(
-        (F.count_if(F.col("ranked_set") != F.col("naive_set")) / F.count(F.lit(1))).alias("divergence"), accuracy("ranked"), accuracy("naive"),
-    )
+    """(budget, divergence, ranked_accuracy, naive_accuracy) per budget."""
+    return RT.budget_report(_hits(spark, sf_dir), BUDGETS)
 
 
 def schema_divergence(spark, sf_dir):
@@ -275,8 +277,8 @@ def link_refs(spark, sf_dir):
 
 
 def schema_link(spark, sf_dir):
-    scores, catalog, _, fks = _scores(spark, sf_dir)
-    fallback = C.relevant_tables(scores, fks, catalog, MAX_TABLES, True, 0)
+    catalog = _index(spark, sf_dir)[0]
+    fallback = RT.relevant_tables(_hits(spark, sf_dir), MAX_TABLES, True, 0)
     return C.link_tables(link_refs(spark, sf_dir), catalog, fallback)
 
 
@@ -291,6 +293,8 @@ QUERIES = {
     "schema_blocks": schema_blocks,
     "schema_widening": schema_widening,
     "schema_fit_budget": schema_fit_budget,
+    "schema_described_blocks": schema_described_blocks,
+    "schema_described_relevant": schema_described_relevant,
     "schema_gate": schema_gate,
     "schema_gate_roomy": schema_gate_roomy,
     "schema_accuracy": schema_accuracy,
@@ -381,6 +385,25 @@ _BASE = "WITH " + ",\n".join([
 ]) + "\n"
 
 
+def _described_sql() -> str:
+    """The base with glosses on columns, and descriptions on tables that count as names."""
+    counts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in STAR_SCHEMA)
+    glosses = " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) || ' distinct values' AS gloss FROM {t}"
+        for t, cols in STAR_SCHEMA.items() for c, kind in cols if not kind.startswith("ARRAY"))
+    about = f"""about AS (SELECT n.table_name, n.n || ' rows' || coalesce(' of ' || r.refs, '') AS d FROM ({counts}) n
+  LEFT JOIN (SELECT table_name, string_agg(DISTINCT referred_table, ' and ' ORDER BY referred_table) AS refs FROM fks GROUP BY 1) r ON r.table_name = n.table_name),
+gl AS ({glosses}),
+"""
+    base = _BASE.replace("samples AS (", about + "samples AS (", 1)
+    base = base.replace(f"unnest(list_distinct(list_concat({tok_sql('table_name')}, {tok_sql('column_name')}))) AS token FROM catalog",
+                        f"unnest(list_distinct(list_concat(list_concat({tok_sql('table_name')}, {tok_sql('column_name')}), {tok_sql('d')}))) AS token FROM catalog JOIN about USING (table_name)")
+    base = base.replace("string_agg('  ' || column_name || ' ' || type,", "string_agg(coalesce('  -- ' || gloss || chr(10), '') || '  ' || column_name || ' ' || type,")
+    base = base.replace("AS cols\n           FROM catalog GROUP BY ALL)", "AS cols\n           FROM catalog LEFT JOIN gl USING (table_name, column_name) GROUP BY ALL)")
+    base = base.replace("'CREATE TABLE ' || t.table_name", "'-- ' || ab.d || chr(10) || 'CREATE TABLE ' || t.table_name")
+    return base.replace("JOIN cl ON cl.table_name = t.table_name", "JOIN cl ON cl.table_name = t.table_name JOIN about ab ON ab.table_name = t.table_name")
+
+
 def _relevant_sql(floor: int | str) -> str:
     return _relevant_ctes(floor) + "\nSELECT question_id, table_name, table_ordinal FROM rel"
 
@@ -484,6 +507,11 @@ WHERE question_id NOT IN (SELECT question_id FROM linked)""",
     "schema_widening": _BASE.replace(tok_sql("question"), tok_sql("question || CASE WHEN question_id % 5 = 0 THEN ' nation' ELSE '' END")).rstrip()
     + _relevant_sql(f"({MAX_TABLES} * (1 << CAST(n.question_id % 3 AS INT)))"),
     "schema_blocks": _BASE + "SELECT b.table_name, b.table_ordinal, c.cost, b.block FROM blocks b JOIN costs c ON c.table_name = b.table_name",
+    "schema_described_blocks": _described_sql() + "SELECT b.table_name, b.table_ordinal, c.cost, b.block FROM blocks b JOIN costs c ON c.table_name = b.table_name",
+    "schema_described_relevant": _described_sql().rstrip() + """,
+best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, table_name) AS rk FROM scores WHERE score > 0)
+SELECT question_id, table_name, table_ordinal FROM best WHERE rk <= 3
+UNION ALL SELECT question_id, table_name, table_ordinal FROM scores WHERE question_id NOT IN (SELECT question_id FROM best)""",
     "schema_fit_budget": _BASE.rstrip() + ",\nrb AS (SELECT question_id, table_name, priority FROM ranked)\n"
     + f"SELECT question_id, table_name FROM {_fit_sql('priority', str(BUDGET))}",
     "schema_gate": _BASE.rstrip() + _GATE + "SELECT * FROM gate",

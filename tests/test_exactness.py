@@ -10,6 +10,7 @@ from arbiter.operators import audit as G
 from arbiter.operators import catalog as C
 from arbiter.operators import compare as R
 from arbiter.operators import profile as P
+from arbiter.operators import retrieval as RT
 from arbiter.operators import slices as K
 from arbiter.operators import values as L
 from arbiter.operators import voting as V
@@ -63,10 +64,13 @@ def test_databases_that_share_table_names_stay_apart(spark):
     blocks = spark.createDataFrame(
         [("a", "t", 1, "x" * 40, 10), ("b", "t", 1, "x" * 400, 100), ("b", "u", 2, "x" * 40, 10)], "db_id string, table_name string, table_ordinal int, block string, cost long"
     )
-    ranked = spark.createDataFrame([(1, "a", "t", 1), (2, "b", "t", 1), (2, "b", "u", 2)], "question_id long, db_id string, table_name string, priority int")
-    assert C.fit_budget(ranked, blocks, 50).count() == 2
-    q = spark.createDataFrame([(1, "a"), (2, "b")], "question_id long, db_id string")
-    got = {r.question_id: (r.mode, r.n_tables, r.tokens) for r in C.gate(q, blocks, ranked, 50).collect()}
+    catalog = blocks.selectExpr("db_id", "table_name", "table_ordinal", "'c' AS column_name", "1 AS column_ordinal")
+    fks = spark.createDataFrame([], "db_id string, table_name string, fk_ordinal int, local_col string, referred_table string")
+    postings = spark.createDataFrame([("a", "t", [(1, 3)]), ("b", "t", [(1, 3)])], "db_id string, token string, postings array<struct<ord:int,w:long>>")
+    q = spark.createDataFrame([(1, "a", "the t"), (2, "b", "the t")], "question_id long, db_id string, question string")
+    hits = RT.question_hits(q, postings, RT.schemas(catalog, fks, blocks))
+    assert RT.fit_budget(hits, 50).count() == 2
+    got = {r.question_id: (r.mode, r.n_tables, r.tokens) for r in RT.gate(hits, 50).collect()}
     assert got == {1: ("full", 1, 10), 2: ("rag", 1, 100)}
     refs = spark.createDataFrame([(1, "a", "u"), (2, "b", "u")], "query_id long, db_id string, table_name string")
     assert [r.query_id for r in G.table_scope(refs, blocks).collect()] == [1]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import catalog as C
 from arbiter.operators import profile as P
 from arbiter.operators import redact as D
+from arbiter.operators import retrieval as RT
 from arbiter.operators import values as L
 
 
@@ -57,8 +58,8 @@ def test_relevant_tables_expand_fks_and_fallback(spark):
     cat, samples, fks = store(spark)
     q = spark.createDataFrame([(1, "store", "total of orders"), (2, "store", "nothing matches here"),
                                (3, "store", "settled ones")], "question_id long, db_id string, question string")
-    sc = C.score(q, cat, samples)
-    sel = C.relevant_tables(sc, fks, cat, max_tables=8)
+    hits = RT.question_hits(q, RT.posting_lists(cat, samples), RT.schemas(cat, fks, C.render_blocks(cat, fks, samples)))
+    sel = RT.relevant_tables(hits, max_tables=8)
     got = {}
     for r in sel.collect():
         got.setdefault(r["question_id"], set()).add(r["table_name"])
@@ -69,9 +70,9 @@ def test_relevant_tables_expand_fks_and_fallback(spark):
 
 def test_fit_budget_keeps_first_table(spark):
     cat, samples, fks = store(spark)
-    blocks = C.render_blocks(cat, fks, samples)
-    ordered = spark.createDataFrame([(1, "orders", 1), (1, "customers", 2)], "question_id long, table_name string, priority int")
-    kept = [r["table_name"] for r in C.fit_budget(ordered, blocks, 1).collect()]
+    q = spark.createDataFrame([(1, "store", "orders of customer id")], "question_id long, db_id string, question string")
+    hits = RT.question_hits(q, RT.posting_lists(cat, samples), RT.schemas(cat, fks, C.render_blocks(cat, fks, samples)))
+    kept = [r["table_name"] for r in RT.fit_budget(hits, 1).collect()]
     assert kept == ["orders"]
 
 
