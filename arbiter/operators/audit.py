@@ -212,6 +212,20 @@ def join_fanout(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> Data
     )
 
 
+def failure_records(results: DataFrame, cases: DataFrame, tags: DataFrame) -> DataFrame:
+    """Every failed case with its question, both queries, what the comparator said, and its tags.
+
+    ``results``: (question_id, db_id, difficulty, correct, terminal_state,
+    candidate_sql, note); ``cases``: (question_id, question, gold_sql);
+    ``tags``: (question_id, tags).  A case without a tag row has no tags.
+    """
+    failed = results.where(~F.col("correct"))
+    return failed.join(cases.select("question_id", "question", "gold_sql"), "question_id").join(tags, "question_id", "left").select(
+        "question_id", "db_id", "difficulty", "terminal_state", "question", "gold_sql", "candidate_sql", F.col("note").alias("comparator_reason"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+    )
+
+
 def detector_mismatches(outcomes: DataFrame) -> DataFrame:
     """The outcomes whose verdict or rule is not the expected one, with the side that failed."""
     vmatch = F.col("actual_verdict") == F.col("expected_verdict")
@@ -222,10 +236,14 @@ def detector_mismatches(outcomes: DataFrame) -> DataFrame:
 def ab_lift(base: DataFrame, head: DataFrame) -> DataFrame:
     """Accuracy lift of ``head`` over ``base`` and the change of the join bucket; one row, whatever the batch sizes.
 
-    Both sides are (correct, tags) per case; the two batches are stacked and
-    folded by one global aggregate.  An empty batch has accuracy 0.
+    Both sides are (correct, tags) per case, and ``recall`` where tables were
+    retrieved; the two batches are stacked and folded by one global aggregate.
+    An empty batch has accuracy 0.  The recall of ``head`` is the mean over its
+    cases that have one, the missed recall the rest to 1; both NULL without any.
     """
-    both = base.select(F.lit("a").alias("p"), "correct", "tags").unionByName(head.select(F.lit("b").alias("p"), "correct", "tags"))
+    recall = F.col("recall").cast("double") if "recall" in head.columns else F.lit(None).cast("double")
+    both = base.select(F.lit("a").alias("p"), "correct", "tags", F.lit(None).cast("double").alias("recall")).unionByName(
+        head.select(F.lit("b").alias("p"), "correct", "tags", recall.alias("recall")))
     join_tags = F.array(*[F.lit(x) for x in JOIN_TAGS])
     counts = []
     for p in ("a", "b"):
@@ -239,12 +257,14 @@ def ab_lift(base: DataFrame, head: DataFrame) -> DataFrame:
         return F.when(F.col(f"{p}_total") > 0, F.col(f"{p}_correct") / F.col(f"{p}_total")).otherwise(F.lit(0.0))
 
     lift = rate("b") - rate("a")
+    counts += [F.count("recall").alias("n_with_recall"), F.avg("recall").alias("mean_recall")]
     return both.agg(*counts).select(
         "a_correct", "b_correct", F.round(lift, 9).alias("lift"),
         F.when(lift > 0, F.lit("lift")).when(lift >= -FLAT_LOSS, F.lit("flat")).otherwise(F.lit("regression")).alias("verdict"),
         "a_join_bucket", "b_join_bucket",
         F.when(F.col("b_join_bucket") < F.col("a_join_bucket"), F.lit("shrank"))
         .when(F.col("b_join_bucket") > F.col("a_join_bucket"), F.lit("grew")).otherwise(F.lit("held")).alias("bucket"),
+        "n_with_recall", F.round("mean_recall", 9).alias("recall"), F.round(1 - F.col("mean_recall"), 9).alias("missed_recall"),
     )
 
 

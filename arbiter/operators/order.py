@@ -13,7 +13,7 @@ all rows, so positions are assigned from one global range sort instead:
 4. subtract the global index of each group's first row (a partial aggregate per
    group, joined back on the group key).
 
-The tagged rows are checkpointed once: both uses must see the same tags.
+The tagged rows are written once: both uses must see the same tags.
 
 The order keys must form a total order for positions to be reproducible; that
 is the caller's contract, exactly as for the reference's ordered lists.
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbiter.session import ensure_checkpoint_dir
+from arbiter.session import stable
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -64,8 +64,7 @@ def dense_position(
     # executions (sampled range bounds, adaptive coalescing): materialize the
     # tagged rows once so the count table and the rows agree, and so a lost
     # executor re-reads them instead of re-tagging.
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = stable(tagged)
     if not groups:
         tagged = tagged.withColumn("_grp", F.lit(0))
         groups_k = ["_grp"]

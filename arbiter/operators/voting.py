@@ -5,7 +5,9 @@ multisets (default rules, order never significant).  Each candidate's rows
 reduce to an order-free fingerprint -- row count plus two independent 64-bit
 hash sums kept as DECIMAL(38,0) -- by a partial aggregate, so no candidate's
 rows ever meet in one task and no pairs of candidates are formed.  A
-collision needs both 64-bit sums and the count to agree by chance.
+collision needs both 64-bit sums and the count to agree by chance;
+``exact_classes`` rules it out: each member is compared row by row with its
+class's representative only, and what differs becomes a class of its own.
 """
 
 from __future__ import annotations
@@ -16,15 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbiter.operators.compare import DEFAULT_RULES, Side, apply_rules, _cells
+from arbiter.session import stable
 
 
-def candidate_fingerprints(
-    rows: DataFrame,
-    candidates: DataFrame,
-    values: Sequence[str],
-    rules: Sequence[str] = DEFAULT_RULES,
-) -> DataFrame:
-    """(question_id, idx, errored, fp) for every candidate; empty results get the empty fingerprint."""
+def _candidate_cells(rows: DataFrame, values: Sequence[str], rules: Sequence[str]) -> DataFrame:
+    """Canonical rows (question_id STRUCT<question_id, idx>, cells)."""
     side = Side(
         rows.select(
             F.struct("question_id", "idx").alias("question_id"),
@@ -34,7 +32,17 @@ def candidate_fingerprints(
         ),
         tuple(values),
     )
-    cells = _cells(apply_rules(side, rules))
+    return _cells(apply_rules(side, rules))
+
+
+def candidate_fingerprints(
+    rows: DataFrame,
+    candidates: DataFrame,
+    values: Sequence[str],
+    rules: Sequence[str] = DEFAULT_RULES,
+) -> DataFrame:
+    """(question_id, idx, errored, fp) for every candidate; empty results get the empty fingerprint."""
+    cells = _candidate_cells(rows, values, rules)
     # xxhash64 passes over NULL, so each field is hashed with a flag: (1, NULL) and (NULL, 1) stay apart.
     fields = [F.col(f"cells.{f.name}") for f in cells.schema["cells"].dataType.fields]
     flagged = [x for f in fields for x in (f.isNull(), f)]
@@ -60,6 +68,33 @@ def candidate_fingerprints(
     )
 
 
+def exact_classes(rows: DataFrame, fingerprints: DataFrame, values: Sequence[str], rules: Sequence[str] = DEFAULT_RULES) -> DataFrame:
+    """``fingerprints`` whose classes are equal row by row: a member that differs from its class's first one gets another fingerprint.
+
+    Rows are counted per (class, row, member), keyed by the whole row, so a hot
+    question spreads over the cluster; a group then holds one count per
+    candidate of the question.  Members that differ are compared among
+    themselves in another round; without a collision there is one round.
+    """
+    cells = _candidate_cells(rows, values, rules).select(F.col("question_id.question_id").alias("question_id"), F.col("question_id.idx").alias("idx"), "cells")
+    counted = stable(cells.groupBy("question_id", "idx", "cells").agg(F.count(F.lit(1)).alias("n")))
+    known, open_, round_ = fingerprints, fingerprints.where(~F.col("errored")), 0
+    while True:
+        first = open_.groupBy("question_id", "fp").agg(F.min("idx").alias("rep"), F.array_sort(F.collect_set("idx")).alias("everyone")).where("size(everyone) > 1")
+        members = open_.join(first, ["question_id", "fp"]).select("question_id", "idx", "fp", "rep", "everyone")
+        per_row = counted.join(members, ["question_id", "idx"]).groupBy("question_id", "fp", "rep", "everyone", "cells").agg(F.collect_list(F.struct("idx", "n")).alias("m"))
+        times = lambda who: f"coalesce(get(filter(m, x -> x.idx = {who}), 0).n, 0L)"
+        differ = F.expr(f"filter(everyone, i -> {times('i')} <> wanted)")
+        other = per_row.withColumn("wanted", F.expr(times("rep"))).select("question_id", F.explode(differ).alias("idx")).distinct()
+        split = stable(open_.join(other, ["question_id", "idx"], "left_semi"))
+        if split.isEmpty():
+            return known
+        round_ += 1
+        renamed = split.select("question_id", "idx", F.concat("fp", F.lit(f"#{round_}")).alias("other_fp"))
+        known = known.join(renamed, ["question_id", "idx"], "left").select("question_id", "idx", "errored", F.coalesce("other_fp", "fp").alias("fp"))
+        open_ = known.join(split, ["question_id", "idx"], "left_semi")
+
+
 def majority_vote(fingerprints: DataFrame) -> DataFrame:
     """One VoteOutcome row per question.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import audit as G
 from arbiter.operators import catalog as C
 from arbiter.operators import runs as M
+from arbiter.operators import sketches as SK
 from arbiter.plans.schema import DB, EXPECTED_FKS, STAR_SCHEMA, found_keys
 from arbiter.plans.sqlviews import V_RESULTS, V_RUNS, with_views
 from arbiter.sources import fixtures as fx
@@ -182,9 +183,31 @@ def audit_taxonomy(spark, sf_dir):
     return _tags(spark, sf_dir).select("question_id", F.array_join("tags", ",").alias("tags"))
 
 
+def _cases(t):
+    """One question and gold query per order."""
+    o = t.orders
+    k = F.col("o_orderkey").cast("string")
+    return o.select(
+        F.col("o_orderkey").alias("question_id"), F.concat(F.lit("What does customer "), F.col("o_custkey").cast("string"), F.lit(" owe for order "), k, F.lit("?")).alias("question"),
+        F.concat(F.lit("SELECT sum(o_totalprice) FROM orders WHERE o_orderkey = "), k).alias("gold_sql"),
+    )
+
+
+def _answers(t):
+    """The candidate query of every run, and what the comparator said of it."""
+    runs = fx.v_runs(t)
+    results = M.case_results(runs).withColumnRenamed("case_id", "question_id")
+    asked = t.orders.select(
+        F.col("o_orderkey").alias("question_id"),
+        F.when(F.col("o_orderkey") % 17 != 0, F.concat(F.lit("SELECT o_totalprice FROM orders WHERE o_custkey = "), F.col("o_custkey").cast("string"))).alias("candidate_sql"))
+    said = F.when(F.col("guard_rejected"), F.lit("rejected by the guard")).when(F.col("error").isNotNull(), F.col("error")).when(~F.col("correct"), F.lit("result sets differ"))
+    return results.join(asked, "question_id").withColumn("note", said)
+
+
 def audit_failure_records(spark, sf_dir):
-    return _failures(spark, sf_dir).select("question_id", "db_id", "difficulty", "terminal_state",
-                                           F.array_join("tags", ",").alias("tags"))
+    t = Tables(spark, sf_dir)
+    found = G.failure_records(_answers(t), _cases(t), _tags(spark, sf_dir))
+    return found.withColumn("tags", F.array_join("tags", ","))
 
 
 def audit_tag_counts(spark, sf_dir):
@@ -206,6 +229,26 @@ def audit_fanout(spark, sf_dir):
     return u.select("join_name", "join_rows", (F.col("join_rows") > 1_000_000).alias("over_budget"))
 
 
+# Joins whose size is bounded by sketches before any is counted.
+BUDGETED = (
+    ("lineitem-orders", "lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("orders-customer", "orders", "o_custkey", "customer", "c_custkey"),
+    ("customer-nation", "customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier-customer", "supplier", "s_nationkey", "customer", "c_nationkey"),
+    ("lineitem-self-part", "lineitem", "l_partkey", "lineitem", "l_partkey"),
+    ("orders-self-status", "orders", "o_orderstatus", "orders", "o_orderstatus"),
+)
+ROWS_BUDGET = 1_000_000
+
+
+def audit_join_budgets(spark, sf_dir):
+    """G11 over many joins: which are over the budget, counted exactly only where a sketch cannot rule it out."""
+    t = Tables(spark, sf_dir)
+    names = {x for _, a, _, c, _ in BUDGETED for x in (a, c)}
+    found = SK.join_budgets({n: getattr(t, n) for n in names}, BUDGETED, ROWS_BUDGET)
+    return found.select("join_name", F.when(F.col("over_budget"), F.col("join_rows")).alias("join_rows"), "over_budget")
+
+
 def _detected(spark, sf_dir):
     return G.guard(_features(spark, sf_dir), ["expected_verdict", "expected_rule"]).select(
         "query_id", "expected_verdict", "expected_rule", F.col("decision").alias("actual_verdict"),
@@ -235,7 +278,7 @@ def _lift_sides(spark, sf_dir):
     tags = _tags(spark, sf_dir)
 
     def side(r):
-        return r.select(F.col("case_id").alias("question_id"), "correct").join(tags, "question_id", "left")
+        return r.select(F.col("case_id").alias("question_id"), "correct", "recall").join(tags, "question_id", "left")
 
     return side(M.case_results(runs)), side(M.case_results(fx.v_head(runs)))
 
@@ -266,6 +309,7 @@ QUERIES = {
     "audit_tag_counts": audit_tag_counts,
     "audit_top_tags": audit_top_tags,
     "audit_fanout": audit_fanout,
+    "audit_join_budgets": audit_join_budgets,
     "audit_redteam": audit_redteam,
     "audit_redteam_mismatches": audit_redteam_mismatches,
     "audit_ab_lift_uneven": audit_ab_lift_uneven,
@@ -379,7 +423,7 @@ _LIFT_SIDE = """(SELECT count(*) AS total, count(*) FILTER (WHERE correct) AS co
  LEFT JOIN tags t ON t.question_id = r.case_id)"""
 
 def _lift_sql(head: str) -> str:
-    return with_views(V_RUNS).rstrip() + ",\n" + _TAX + f""",
+    return with_views(V_RUNS, V_RESULTS).rstrip() + ",\n" + _TAX + f""",
 a AS {_LIFT_SIDE.format(mg="matches_gold", of="true")},
 b AS {_LIFT_SIDE.format(mg="CASE WHEN case_id % 29 = 0 THEN NOT matches_gold ELSE matches_gold END", of=head)}
 SELECT a.correct::BIGINT AS a_correct, b.correct::BIGINT AS b_correct,
@@ -387,8 +431,9 @@ SELECT a.correct::BIGINT AS a_correct, b.correct::BIGINT AS b_correct,
        CASE WHEN b.correct / b.total - a.correct / a.total > 0 THEN 'lift'
             WHEN b.correct / b.total - a.correct / a.total >= -0.02 THEN 'flat' ELSE 'regression' END AS verdict,
        a.jb::BIGINT AS a_join_bucket, b.jb::BIGINT AS b_join_bucket,
-       CASE WHEN b.jb < a.jb THEN 'shrank' WHEN b.jb > a.jb THEN 'grew' ELSE 'held' END AS bucket
-FROM a, b"""
+       CASE WHEN b.jb < a.jb THEN 'shrank' WHEN b.jb > a.jb THEN 'grew' ELSE 'held' END AS bucket,
+       n_with_recall, round(mr, 9) AS recall, round(1 - mr, 9) AS missed_recall
+FROM a, b, (SELECT count(recall)::BIGINT AS n_with_recall, avg(recall) AS mr FROM v_results WHERE {head})"""
 
 
 ORACLES = {
@@ -414,12 +459,22 @@ JOIN (SELECT c_nationkey, max(c_acctbal) AS m FROM cn GROUP BY 1) x ON x.c_natio
     "audit_extreme_min": "SELECT p_partkey, p_size FROM part WHERE p_size = (SELECT min(p_size) FROM part)",
     "audit_first_extreme": "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey ASC LIMIT 1",
     "audit_taxonomy": f"WITH {_TAX} SELECT question_id, tags FROM tags",
-    "audit_failure_records": _FAIL + "SELECT question_id, db_id, difficulty, terminal_state, tags FROM fails",
+    "audit_failure_records": _FAIL.rstrip() + """,
+given AS (SELECT case_id, guard_rejected FROM v_runs)
+SELECT f.question_id, f.db_id, f.difficulty, f.terminal_state, f.tags,
+  'What does customer ' || o.o_custkey || ' owe for order ' || o.o_orderkey || '?' AS question,
+  'SELECT sum(o_totalprice) FROM orders WHERE o_orderkey = ' || o.o_orderkey AS gold_sql,
+  CASE WHEN o.o_orderkey % 17 <> 0 THEN 'SELECT o_totalprice FROM orders WHERE o_custkey = ' || o.o_custkey END AS candidate_sql,
+  CASE WHEN g.guard_rejected THEN 'rejected by the guard' WHEN f.error IS NOT NULL THEN f.error ELSE 'result sets differ' END AS comparator_reason
+FROM fails f JOIN orders o ON o.o_orderkey = f.question_id JOIN given g ON g.case_id = f.question_id""",
     "audit_tag_counts": _FAIL + """SELECT tag, count(*)::BIGINT AS n FROM (
   SELECT unnest(string_split(tags, ',')) AS tag FROM fails WHERE error IS NULL) GROUP BY tag""",
     "audit_top_tags": _FAIL + """SELECT tag, count(*)::BIGINT AS n FROM (
   SELECT unnest(string_split(tags, ',')) AS tag FROM fails WHERE error IS NULL) GROUP BY tag ORDER BY n DESC, tag LIMIT 5""",
     "audit_fanout": _FANOUT,
+    "audit_join_budgets": "SELECT join_name, CASE WHEN n > 1000000 THEN n END AS join_rows, n > 1000000 AS over_budget FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS join_name, (SELECT sum(a.n::HUGEINT * b.n) FROM (SELECT {b} k, count(*) n FROM {a} GROUP BY 1) a "
+        f"JOIN (SELECT {d} k, count(*) n FROM {c} GROUP BY 1) b ON a.k = b.k)::DECIMAL(38,0) AS n" for name, a, b, c, d in BUDGETED) + ")",
     "audit_redteam": f"""WITH {_F}, {_GUARD}
 SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE expected_verdict = 'reject')::BIGINT AS n_dangerous,
        count(*) FILTER (WHERE expected_verdict = 'reject' AND decision = 'reject')::BIGINT AS n_caught,

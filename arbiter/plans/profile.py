@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from arbiter.operators import profile as P
-from arbiter.plans.schema import STAR_SCHEMA
+from arbiter.operators import sketches as SK
+from arbiter.plans.schema import STAR_SCHEMA, whole_profile
+from arbiter.session import ensure_checkpoint_dir
 from arbiter.sources.tables import TABLES, Tables
 
 # Columns of each table with Spark type names.
@@ -60,6 +66,21 @@ def profile_top_all(spark, sf_dir):
     return whole_db(spark, sf_dir).top()
 
 
+def profile_sketches(spark, sf_dir):
+    """P1, opt-in: distinct counts merged from the sketches of two parts of every table, with the exact ones and whether they are close enough."""
+    store = SK.SketchStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/sketches-{uuid.uuid4().hex}")
+    t = Tables(spark, sf_dir)
+    for name in TABLES:
+        df = getattr(t, name)
+        half = F.pmod(F.xxhash64(*[c for c in df.columns if c != "embedding"]), F.lit(2))
+        for part in (0, 1):
+            store.add(name, f"half-{part}", df.where(half == part))
+    exact = whole_profile(spark, sf_dir).select("table_name", "column_name", "distinct_count")
+    both = store.profile().join(exact, ["table_name", "column_name"])
+    close = F.abs(F.col("approx_distinct") - F.col("distinct_count")) <= SK.relative_error() * F.col("distinct_count") + 1
+    return both.select("table_name", "column_name", "row_count", "non_null_count", "distinct_count", close.alias("within_bound"))
+
+
 def profile_db_small(spark, sf_dir):
     return P.profile_db({t: _frame(spark, sf_dir, t) for t in ("nation", "region", "part")})
 
@@ -80,6 +101,7 @@ QUERIES = {
     "profile_english_customer": profile_english_customer,
     "profile_english_tables": profile_english_tables,
     "profile_top_all": profile_top_all,
+    "profile_sketches": profile_sketches,
 }
 
 
@@ -180,6 +202,8 @@ english AS (SELECT table_name, column_name, ordinal, row_count, 'Column "' || co
 
 
 ORACLES = {
+    "profile_sketches": "SELECT table_name, column_name, row_count, non_null_count, distinct_count, true AS within_bound FROM ("
+    + "\nUNION ALL".join(_profile_sql(t) for t in PROFILED) + ") WHERE distinct_count IS NOT NULL",
     "profile_db_all": "\nUNION ALL".join(_profile_sql(t) for t in PROFILED),
     "profile_top_all": "\nUNION ALL".join(_top_sql(t) for t in PROFILED),
     "profile_english_customer": _english_sql(["customer"]) + "SELECT table_name, column_name, ordinal, english FROM english",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arbiter.operators import text as X
 from arbiter.sources.tables import Tables
-from arbiter.streaming.stagelog import run_stream, windowed_stage_counts
+from arbiter.streaming.stagelog import run_span_stream, run_stream, windowed_stage_counts
 
 NL = "\n"
 
@@ -84,9 +84,8 @@ def text_summary_parse(spark, sf_dir):
     return c.select("conv_id", "turn", p["short"].alias("short"), p["long"].alias("long"))
 
 
-def stage_events(spark, sf_dir):
-    """Start/end stage events derived from ``events`` (every tenth event never ends)."""
-    e = Tables(spark, sf_dir).events
+def stage_sides(e):
+    """(start events, end events) derived from ``events`` (every tenth event never ends)."""
     start = e.select(F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("event_id").alias("attempt"),
                      F.lit("start").alias("kind"), "ts", F.lit(None).cast("string").alias("error_class"),
                      F.lit(None).cast("int").alias("n_items"))
@@ -97,6 +96,11 @@ def stage_events(spark, sf_dir):
         F.when(F.col("event_type") == "error", F.lit("ExecutionError")).alias("error_class"),
         F.get_json_object("props", "$.k").cast("int").alias("n_items"),
     )
+    return start, end
+
+
+def stage_events(spark, sf_dir):
+    start, end = stage_sides(Tables(spark, sf_dir).events)
     return start.unionByName(end)
 
 
@@ -104,6 +108,11 @@ def log_stage_rollup(spark, sf_dir):
     return X.stage_rollup(X.pair_spans(stage_events(spark, sf_dir)))
 
 
+def log_span_stream(spark, sf_dir):
+    """The spans paired while the events stream in."""
+    return run_span_stream(spark, f"{sf_dir}/events.parquet", stage_sides)
+
+
 def log_stage_latency(spark, sf_dir):
     return X.stage_latency(X.pair_spans(stage_events(spark, sf_dir)))
 
@@ -126,6 +135,7 @@ QUERIES = {
     "log_stage_latency": log_stage_latency,
     "log_stage_windows": log_stage_windows,
     "log_stage_stream": log_stage_stream,
+    "log_span_stream": log_span_stream,
 }
 
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -266,3 +276,8 @@ FROM ev GROUP BY stage""",
 FROM events GROUP BY ALL""",
 }
 ORACLES["log_stage_stream"] = ORACLES["log_stage_windows"]
+ORACLES["log_span_stream"] = f"WITH {_EVENTS} SELECT *, (epoch_us(end_ts) - epoch_us(start_ts)) / 1000.0 AS duration_ms FROM ev"
+# Up to its accuracy (10,000 rows of a stage) the sketch gives the value of the rank itself.
+ORACLES["log_stage_latency"] = f"""WITH {_EVENTS}, d AS (SELECT stage, (epoch_us(end_ts) - epoch_us(start_ts)) / 1000.0 AS ms FROM ev),
+r AS (SELECT stage, ms, row_number() OVER (PARTITION BY stage ORDER BY ms) AS rk, count(*) OVER (PARTITION BY stage) AS n FROM d WHERE ms IS NOT NULL)
+SELECT stage, min(ms) FILTER (WHERE rk >= 0.5 * n) AS p50_ms, min(ms) FILTER (WHERE rk >= 0.95 * n) AS p95_ms FROM r GROUP BY stage"""

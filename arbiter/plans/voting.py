@@ -25,6 +25,14 @@ def vote_outcome(spark, sf_dir):
     return _outcomes(spark, sf_dir)[3]
 
 
+def vote_outcome_exact(spark, sf_dir):
+    """V1 without trust in hashes: the classes of the vote, compared row by row with their representatives."""
+    gold = fx.v_gold_stable(Tables(spark, sf_dir))
+    cands, rows = fx.v_candidate_rows(gold, fx.v_cand(gold))
+    fps = V.candidate_fingerprints(rows, cands, VALUES)
+    return V.majority_vote(V.exact_classes(rows, fps, VALUES))
+
+
 def vote_distribution(spark, sf_dir):
     return V.agreement_distribution(_outcomes(spark, sf_dir)[3])
 
@@ -58,6 +66,7 @@ def vote_null_places(spark, sf_dir):
 
 QUERIES = {
     "vote_null_places": vote_null_places,
+    "vote_outcome_exact": vote_outcome_exact,
     "vote_outcome": vote_outcome,
     "vote_distribution": vote_distribution,
     "vote_selected_score": vote_selected_score,
@@ -103,3 +112,4 @@ FROM outcome o JOIN v_gold_q q ON q.question_id = o.question_id
 LEFT JOIN om ON om.question_id = o.question_id LEFT JOIN mm ON mm.question_id = o.question_id""",
     "vote_k": _BASE + "SELECT question_id, count(*)::BIGINT AS k, count(*) >= 1 AS valid FROM cands GROUP BY 1",
 }
+ORACLES["vote_outcome_exact"] = ORACLES["vote_outcome"]

@@ -92,3 +92,23 @@ def test_empty_batch_accuracy_zero(spark):
     empty = runs(spark).filter("false")
     m = M.batch_metrics(empty).collect()[0]
     assert m["total"] == 0 and m["accuracy"] == 0.0
+
+
+def test_a_forced_collision_is_separated(spark):
+    """Every candidate gets one fingerprint; classes must still come out as the rows say."""
+    results = {0: [1, 1, 2], 1: [2, 1, 1], 2: [1, 2, 2], 3: [1], 4: [], 5: [2, 2, 1], 6: [None, 1, 2], 7: []}
+    rows = spark.createDataFrame([(0, i, p, v) for i, vs in results.items() for p, v in enumerate(vs)], "question_id long, idx int, row_pos long, v long")
+    same = spark.createDataFrame([(0, i, False, "x") for i in results] + [(0, 8, True, "x"), (1, 0, False, "x")], "question_id long, idx int, errored boolean, fp string")
+    got = {}
+    for r in V.exact_classes(rows, same, ["v"]).where("question_id = 0 and not errored").collect():
+        got.setdefault(r.fp, set()).add(r.idx)
+    assert sorted(map(sorted, got.values())) == [[0, 1], [2, 5], [3], [4, 7], [6]]
+    o = V.majority_vote(V.exact_classes(rows, same, ["v"])).where("question_id = 0").first()
+    assert (o.selected_index, o.agreement, o.n_groups, o.tie, o.n_votable) == (0, 2, 5, True, 8)
+
+
+def test_exact_classes_change_nothing_without_collisions(spark):
+    rows = spark.createDataFrame([(q, i, 0, q + i // 2) for q in range(5) for i in range(4)], "question_id long, idx int, row_pos long, v long")
+    cands = spark.createDataFrame([(q, i, False) for q in range(5) for i in range(4)], "question_id long, idx int, errored boolean")
+    fps = V.candidate_fingerprints(rows, cands, ["v"])
+    assert sorted(V.exact_classes(rows, fps, ["v"]).collect()) == sorted(fps.collect())
