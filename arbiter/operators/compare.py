@@ -20,12 +20,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbiter.functions.cells import cell_text, comparable_cells, is_cells, number_text, rounded, tagged
 from arbiter.operators.order import dense_position
+from arbiter.session import stable
 
 # Reasons and rule presets (fixed values).
 REASON_EMPTY = "both result sets empty"
@@ -159,6 +160,15 @@ def _cells(side: Side, targets: Sequence[str] | None = None) -> DataFrame:
     formatting every cell; a position whose sides disagree in type compares
     as canonical text (numbers printed so that 1 and 1.0 agree).
     """
+    return side.df.select(
+        "question_id",
+        F.col("row_pos").cast("long").alias("row_pos"),
+        _cell_struct(side, targets).alias("cells"),
+        F.lit(side.dedupe).alias("dedupe"),
+    )
+
+
+def _cell_struct(side: Side, targets: Sequence[str] | None = None) -> Column:
     types = {f.name: f.dataType for f in side.df.schema.fields}
     targets = list(targets) if targets is not None else [_kind(types[c]) for c in side.values]
     fields = []
@@ -177,12 +187,7 @@ def _cells(side: Side, targets: Sequence[str] | None = None) -> DataFrame:
         else:
             e = col
         fields.append(e.alias(f"f{i}"))
-    return side.df.select(
-        "question_id",
-        F.col("row_pos").cast("long").alias("row_pos"),
-        F.struct(*fields).alias("cells"),
-        F.lit(side.dedupe).alias("dedupe"),
-    )
+    return F.struct(*fields)
 
 
 def _text_cells(side: Side) -> DataFrame:
@@ -292,6 +297,35 @@ def compare_results(
     return questions.select("question_id").join(per_q, "question_id", "left").select("question_id", *_verdict_columns(rules))
 
 
+def compare_strict_and_lenient(
+    gold: DataFrame, cand: DataFrame, questions: DataFrame, *, gold_values: Sequence[str] | None = None, cand_values: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(strict, lenient): the verdicts under DEFAULT_RULES and LENIENT_RULES (R11) from one shuffle of the rows.
+
+    A row carries its cells as they are and rounded.  Equal cells stay equal
+    when rounded, so rows dealt by (question, rounded cells) meet for both:
+    the strict counts go by position and rounded cells, the lenient presence
+    by the cells as they are.  Both read the same exchange.
+    """
+    given = [_prepare(df, values, questions, "question_id", "row_pos", True) for df, values in ((gold, gold_values), (cand, cand_values))]
+    if len(given[0].values) != len(given[1].values):
+        return tuple(compare_results(gold, cand, questions, rules, gold_values=gold_values, cand_values=cand_values) for rules in (DEFAULT_RULES, LENIENT_RULES))
+    kinds = [{f.name: _kind(f.dataType) for f in g.df.schema.fields} for g in given]
+    targets = [_unify(kinds[0][a], kinds[1][b]) for a, b in zip(given[0].values, given[1].values, strict=True)]
+    parts = []
+    for n, side in enumerate(given):
+        raw = side.df.withColumn("raw", _cell_struct(side, targets))
+        rounded_side = apply_rules(Side(raw, side.values), DEFAULT_RULES)
+        rows = rounded_side.df.select("question_id", F.col("row_pos").cast("long").alias("row_pos"), _cell_struct(rounded_side, targets).alias("cells"), "raw")
+        parts.append(rows.withColumn("g", F.lit(1 - n)).withColumn("c", F.lit(n)))
+    both = lambda df, *keys: df.groupBy("question_id", *keys).agg(F.sum("g").alias("g"), F.sum("c").alias("c"))
+    counted = both(parts[0].unionByName(parts[1]).repartition("question_id", "cells"), "cells", "row_pos", "raw")
+    strict = both(counted, "cells", "row_pos").groupBy("question_id").agg(F.max(F.col("g") != F.col("c")).alias("s"), F.sum("g").alias("n_gold_rows"), F.sum("c").alias("n_cand_rows"))
+    lenient = both(counted, "cells", "raw").groupBy("question_id").agg(F.max((F.col("g") > 0) != (F.col("c") > 0)).alias("l"))
+    verdicts = stable(questions.select("question_id").join(strict, "question_id", "left").join(lenient, "question_id", "left"))
+    return tuple(verdicts.withColumn("_mis", F.col(kind)).select("question_id", *_verdict_columns(rules)) for kind, rules in (("s", DEFAULT_RULES), ("l", LENIENT_RULES)))
+
+
 def compare_frames(
     gold: DataFrame,
     cand: DataFrame,

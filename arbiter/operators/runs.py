@@ -156,6 +156,27 @@ def pass_at_1_by(results: DataFrame, attrs: Sequence[str]) -> DataFrame:
     return results.sparkSession.sql(sql)
 
 
+def summary(results: DataFrame) -> DataFrame:
+    """(metric, key, value): pass@1, recall, the terminal states that occur and pass@1 by difficulty; one scan by grouping sets."""
+    if "retrieval_recall" not in results.columns:
+        results = results.withColumn("retrieval_recall", F.lit(None).cast("double"))
+    sets = results.groupingSets([["terminal_state"], ["difficulty"], []], "terminal_state", "difficulty").agg(
+        F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("correct")).alias("ok"),
+        F.count("retrieval_recall").alias("with_recall"), F.avg("retrieval_recall").alias("recall"))
+
+    def row(when: Column, metric: str, key: Column, value: Column) -> Column:
+        return F.when(when, F.struct(F.lit(metric).alias("metric"), key.cast("string").alias("key"), value.cast("double").alias("value")))
+
+    whole, accuracy = F.col("g") == 3, _ratio(F.col("ok"), F.col("n"))
+    rows = F.array(
+        row(whole, "pass@1", F.lit(None), accuracy),
+        row(whole & F.col("recall").isNotNull(), "retrieval_recall", F.col("with_recall"), F.round("recall", 6)),
+        row(F.col("g") == 1, "terminal_state", F.col("terminal_state"), F.col("n")),
+        row(F.col("g") == 2, "pass@1_by_difficulty", F.coalesce("difficulty", F.lit("None")), accuracy),
+    )
+    return sets.select(F.inline(F.filter(rows, lambda x: x.isNotNull())))
+
+
 def derive_pass1(results: DataFrame) -> DataFrame:
     """pass@1 view of a pass@k run.
 

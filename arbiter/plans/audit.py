@@ -278,7 +278,7 @@ def _lift_sides(spark, sf_dir):
     tags = _tags(spark, sf_dir)
 
     def side(r):
-        return r.select(F.col("case_id").alias("question_id"), "correct", "recall").join(tags, "question_id", "left")
+        return r.select(F.col("case_id").alias("question_id"), "correct", F.col("retrieval_recall").alias("recall")).join(tags, "question_id", "left")
 
     return side(M.case_results(runs)), side(M.case_results(fx.v_head(runs)))
 
@@ -433,7 +433,7 @@ SELECT a.correct::BIGINT AS a_correct, b.correct::BIGINT AS b_correct,
        a.jb::BIGINT AS a_join_bucket, b.jb::BIGINT AS b_join_bucket,
        CASE WHEN b.jb < a.jb THEN 'shrank' WHEN b.jb > a.jb THEN 'grew' ELSE 'held' END AS bucket,
        n_with_recall, round(mr, 9) AS recall, round(1 - mr, 9) AS missed_recall
-FROM a, b, (SELECT count(recall)::BIGINT AS n_with_recall, avg(recall) AS mr FROM v_results WHERE {head})"""
+FROM a, b, (SELECT count(retrieval_recall)::BIGINT AS n_with_recall, avg(retrieval_recall) AS mr FROM v_results WHERE {head})"""
 
 
 ORACLES = {

@@ -36,9 +36,7 @@ def cmp_ordered(spark, sf_dir):
 
 def cmp_rescore(spark, sf_dir):
     gold, cand, q = _inputs(spark, sf_dir)
-    strict = R.compare_results(gold, cand, q, R.DEFAULT_RULES)
-    lenient = R.compare_results(gold, cand, q, R.LENIENT_RULES)
-    return R.rescore(strict, lenient)
+    return R.rescore(*R.compare_strict_and_lenient(gold, cand, q))
 
 
 def cmp_gold_verify(spark, sf_dir):

@@ -55,18 +55,7 @@ def runs_pass_by(spark, sf_dir):
 
 def runs_summary(spark, sf_dir):
     """pass@1, recall, non-zero terminal states and pass@1 by difficulty as one long table."""
-    r = _results(spark, sf_dir)
-    m = M.batch_metrics(r)
-    head = m.select(F.lit("pass@1").alias("metric"), F.lit(None).cast("string").alias("key"), F.col("accuracy").alias("value"))
-    rec = m.filter(F.col("mean_retrieval_recall").isNotNull()).select(
-        F.lit("retrieval_recall").alias("metric"), F.col("n_with_recall").cast("string").alias("key"),
-        F.col("mean_retrieval_recall").alias("value"))
-    states = M.terminal_counts(r).filter(F.col("n") > 0).select(
-        F.lit("terminal_state").alias("metric"), F.col("terminal_state").alias("key"), F.col("n").cast("double").alias("value"))
-    diff = M.pass_at_1_by(r, ["difficulty"]).filter(F.col("attribute") == "difficulty").select(
-        F.lit("pass@1_by_difficulty").alias("metric"), F.coalesce(F.col("key"), F.lit("None")).alias("key"),
-        F.col("accuracy").alias("value"))
-    return head.unionByName(rec).unionByName(states).unionByName(diff)
+    return M.summary(_results(spark, sf_dir))
 
 
 def runs_pass1_derived(spark, sf_dir):

@@ -113,3 +113,21 @@ def test_partition_count_invariance(spark):
 def test_text_never_equals_number(spark):
     assert not verdict(spark, [("1",)], [(1,)], "x string", "x long")[0]
     assert verdict(spark, [(None,)], [(None,)], "x string", "x long")[0]
+
+
+def test_both_rule_sets_in_one_pass(spark):
+    """Strict and lenient verdicts together equal the two comparisons apart."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(q, p, rng.choice([0.1, 0.1 + 1e-9, 2.0, None]), rng.choice("ab")) for q in range(30) for p in range(rng.randrange(4))]
+    schema = "question_id long, row_pos long, x double, s string"
+    gold = spark.createDataFrame(rows, schema)
+    cand = spark.createDataFrame([(q, p, x if rng.random() < 0.8 else 0.1, s) for q, p, x, s in rows if rng.random() < 0.9] + rows[:5], schema)
+    q = spark.range(32).select(F.col("id").alias("question_id"), (F.col("id") % 3 == 0).alias("order_significant"))
+    strict, lenient = R.compare_strict_and_lenient(gold, cand, q)
+    for got, rules in ((strict, R.DEFAULT_RULES), (lenient, R.LENIENT_RULES)):
+        assert sorted(got.collect()) == sorted(R.compare_results(gold, cand, q, rules).collect())
+    narrow = gold.drop("s")
+    for got, rules in zip(R.compare_strict_and_lenient(gold, narrow, q), (R.DEFAULT_RULES, R.LENIENT_RULES), strict=True):
+        assert sorted(got.collect()) == sorted(R.compare_results(gold, narrow, q, rules).collect())
