@@ -11,6 +11,7 @@ from arbiter.operators import catalog as C
 from arbiter.operators import compare as R
 from arbiter.operators import keys as K
 from arbiter.operators import runs as M
+from arbiter.operators.order import dense_position
 from arbiter.plans import schema as S
 from arbiter.plans import slices as KS
 from arbiter.plans.sql import SQL, _register
@@ -21,8 +22,12 @@ from arbiter.sources import fixtures as fx
 from arbiter.sources.tables import TABLES, Tables
 
 DB = S.DB
-VERIFIED = ["sql_pq01_filtered_count", "sql_pq03_top1", "sql_pq04_sum_two_filters", "sql_pq05_error_events",
-            "sql_pq06_point_lookup_join", "sql_pq07_group_sum_order", "sql_pq08_group_top1", "sql_pq09_filtered_sum"]
+# The verified questions, with the order that their ORDER BY gives the rows (none: a multiset).
+VERIFIED = {
+    "sql_pq01_filtered_count": (), "sql_pq02_filter_project_order": ("s_name",), "sql_pq03_top1": ("o_totalprice DESC", "o_orderkey"),
+    "sql_pq04_sum_two_filters": (), "sql_pq05_error_events": (), "sql_pq06_point_lookup_join": (), "sql_pq07_group_sum_order": ("total DESC",),
+    "sql_pq08_group_top1": ("total DESC", "o_custkey"), "sql_pq09_filtered_sum": (), "sql_pq10_latest_by_id": (),
+}
 
 
 def _frames(spark, sf_dir, names=TABLES):
@@ -163,32 +168,38 @@ def src_report_roundtrip(spark, sf_dir):
     return FS.read_json(spark, path, FS.REPORT_SCHEMA)
 
 
+def _answer(spark, name):
+    """The rows of a verified question with their positions, where its order counts."""
+    res = spark.sql(SQL[name][0])
+    order = [F.col(c.split()[0]).desc() if c.endswith(" DESC") else F.col(c).asc() for c in VERIFIED[name]]
+    return dense_position(res, [], order) if order else res.withColumn("row_pos", F.lit(None).cast("long"))
+
+
 def src_verified_questions(spark, sf_dir):
-    """S14 + R12: gold results of bounded questions stored as nested JSON, re-run and verified."""
+    """S14 + R12: gold results stored row by row with order and types, run again and verified; a spoilt copy must not verify.
+
+    The spoilt copy has its rows in reverse order where order counts and there
+    are several, else one row twice.
+    """
     _register(spark, sf_dir)
-    qs = []
-    for name in VERIFIED:
-        res = spark.sql(SQL[name][0])
-        rows = res.select(F.array(*[F.col(c).cast("string") for c in res.columns]).alias("cells"))
-        qs.append(rows.agg(F.struct(
-            F.lit(name).alias("id"), F.lit(name.replace("_", " ")).alias("question"), F.lit(SQL[name][0]).alias("gold_sql"),
-            F.array().cast("array<string>").alias("gold_tables"), F.lit(None).cast("string").alias("difficulty"),
-            F.struct(F.array(*[F.lit(c) for c in res.columns]).alias("columns"), F.collect_list("cells").alias("rows")).alias("gold_result"),
-        ).alias("q")))
-    doc = reduce(DataFrame.unionByName, qs).agg(F.lit(DB).alias("db_id"), F.sort_array(F.collect_list("q")).alias("questions"))
-    path = FS.write_json(doc, FS.scratch_path(spark, "verified"))
-    cases, gold = FS.load_verified_questions(spark, path)
-    actual = []
-    for name in VERIFIED:
-        res = spark.sql(SQL[name][0])
-        pos = res.select(F.lit(name).alias("question_id"), F.array(*[F.col(c).cast("string") for c in res.columns]).alias("cells"))
-        actual.append(pos)
-    act = reduce(DataFrame.unionByName, actual)
-    # Each stored result is small by construction (aggregates and top rows); compare as multisets of rows.
-    questions = cases.select("question_id")
-    v = R.compare_results(gold.select("question_id", "row_pos", "cells"), act.withColumn("row_pos", F.lit(None).cast("long")),
-                          questions, R.DEFAULT_RULES, gold_values=["cells"], cand_values=["cells"])
-    return v.select("question_id", F.col("n_gold_rows").alias("n_rows"), F.col("correct").alias("verified"))
+    path = FS.scratch_path(spark, "verified")
+    out = []
+    for name, order in VERIFIED.items():
+        FS.save_gold_rows(name, _answer(spark, name), path)
+        again = _answer(spark, name)
+        values = [c for c in again.columns if c != "row_pos"]
+        ddl = ", ".join(f"`{c}` {again.schema[c].dataType.simpleString()}" for c in values)
+        gold = FS.load_gold_rows(spark, path, name, ddl)
+        n = gold.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+        turned = gold.withColumn("row_pos", n + 1 - F.col("row_pos"))
+        twice = gold.unionByName(gold.limit(1))
+        spoilt = turned.where(n > 1).unionByName(twice.where(n <= 1)) if order else twice
+        asked = spark.range(1).select(F.lit(name).alias("question_id"), F.lit(bool(order)).alias("order_significant"))
+        sides = [d.withColumn("question_id", F.lit(name)).select("question_id", "row_pos", *values) for d in (gold, spoilt, again)]
+        true, false = (R.compare_results(g, sides[2], asked, R.DEFAULT_RULES) for g in sides[:2])
+        out.append(true.select("question_id", F.col("n_gold_rows").alias("n_rows"), F.col("correct").alias("verified")).join(
+            false.select("question_id", F.col("correct").alias("spoilt_verified")), "question_id"))
+    return reduce(DataFrame.unionByName, out)
 
 
 QUERIES = {
@@ -335,6 +346,6 @@ ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT 5
 FROM orders""",
     "src_report_roundtrip": _REPORT,
     "src_verified_questions": " UNION ALL ".join(
-        f"SELECT '{n}' AS question_id, (SELECT count(*) FROM ({SQL[n][1] or SQL[n][0]}) x)::BIGINT AS n_rows, true AS verified"
-        for n in VERIFIED),
+        f"SELECT '{n}' AS question_id, c.n_rows, true AS verified, c.n_rows = 0 AS spoilt_verified "
+        f"FROM (SELECT count(*)::BIGINT AS n_rows FROM ({SQL[n][1] or SQL[n][0]}) x) c" for n in VERIFIED),
 }

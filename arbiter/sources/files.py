@@ -87,3 +87,23 @@ def load_verified_questions(spark: SparkSession, path: str) -> tuple[DataFrame,
     rows = v.select(F.col("q.id").alias("question_id"), F.posexplode("q.gold_result.rows").alias("row_pos", "cells")).withColumn(
         "row_pos", F.col("row_pos") + 1)
     return cases, rows
+
+
+def save_gold_rows(question_id: str, result: DataFrame, path: str, pos_col: str = "row_pos") -> str:
+    """S14 sink: a gold result as JSON lines, one per row, with its position, column names and types; a result of any size."""
+    values = [f for f in result.schema.fields if f.name != pos_col]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values)
+    result.select(
+        F.lit(question_id).alias("question_id"), F.col(pos_col).alias("row_pos"), F.array(*[F.lit(f.name) for f in values]).alias("columns"),
+        F.lit(ddl).alias("types"), F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in values]), {"ignoreNullFields": "false"}).alias("row"),
+    ).write.mode("append").json(path)
+    return path
+
+
+GOLD_ROWS_SCHEMA = "question_id string, row_pos long, columns array<string>, types string, row string"
+
+
+def load_gold_rows(spark: SparkSession, path: str, question_id: str, types: str) -> DataFrame:
+    """S14 scan: (row_pos, typed columns) of one question; rows stored with other columns or types are not the question's and give nothing."""
+    rows = spark.read.schema(GOLD_ROWS_SCHEMA).json(path).where((F.col("question_id") == question_id) & (F.col("types") == types))
+    return rows.select("row_pos", F.from_json("row", types).alias("r")).select("row_pos", "r.*")
