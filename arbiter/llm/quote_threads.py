@@ -6,10 +6,12 @@ the first-level quote as a whole and every block (lines of one level in a row)
 is normalised (lower case, single blanks) and hashed, and joined to the latest
 earlier message of the conversation that says the same in its own words: as a
 line or as a whole, and a block also as a run of words, however its lines are
-wrapped.  Runs are compared by windows of a power of two of words, hashed by
-doubling: the longest that fits at the start and at the end of the block.  A
-block that is too short for lines and windows must be a whole message.  A
-message replies to the one that its
+wrapped.  Runs are hashed from windows of a power of two of words, made by
+doubling: the longest that fits at the start and the one at the end of the
+block, at their distance, cover all its words and make one key.  So a block
+links only to a message that says the whole of it.  A message is looked up by
+the lengths of blocks that its conversation quotes.  A block that is too short for lines and
+windows must be a whole message.  A message replies to the one that its
 outermost matching quotes take most characters from.  Replies are followed to
 the first message of their thread by pointer doubling, and the conversation is
 returned message by message, thread after thread, each reply after the message
@@ -64,6 +66,34 @@ def word_windows(body: Column) -> Column:
     return F.when(F.size(words) > 1, F.filter(found, lambda x: x["power"] >= MIN_POWER)).otherwise(none)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def n_words(body: Column) -> Column:
+    return F.size(F.split(body, " "))
+
+
+def run_keys(body: Column, lengths: Column) -> Column:
+    """Keys of every run of words of a normal text, for each of ``lengths`` (words, at least 2^MIN_POWER) that fits."""
+
+    def of(windows: Column) -> Column:
+        def runs(n: Column) -> Column:
+            power = F.floor(F.log2(n)).cast("int")
+            gap = n - F.pow(F.lit(2), power).cast("int")
+
+            def keys(h: Column) -> Column:
+                places = F.sequence(F.lit(0), F.size(h) - 1 - gap)
+                return F.transform(places, lambda i: F.concat_ws(" ", n.cast("string"), F.xxhash64(F.get(h, i), F.get(h, i + gap)).cast("string")))
+
+            return let(F.get(windows, power - MIN_POWER)["hashes"], keys)
+
+        return F.flatten(F.transform(F.filter(lengths, lambda n: (n >= 2**MIN_POWER) & (n <= n_words(body))), runs))
+
+    return let(word_windows(body), of)
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """Adds mid (digest of the row), own (lines of its own), quotes (level, body), blocks (level, body) and content to (conv_id, turn, role, text)."""
 
@@ -99,10 +129,6 @@ def latest_before(events: DataFrame, order: list[str], slot: str) -> DataFrame:
     return dealt.withColumn(slot, F.last(slot, ignorenulls=True).over(sweep)).join(carried, "part").withColumn(slot, F.coalesce(slot, "carried")).drop("part", "carried")
 
 
-def window_key(power: Column, hashed: Column) -> Column:
-    return F.concat_ws(" ", power.cast("string"), hashed.cast("string"))
-
-
 def whole_key(body: Column) -> Column:
     return F.concat(F.lit("whole "), body)
 
@@ -117,33 +143,24 @@ def reply_links(messages: DataFrame) -> DataFrame:
     lines = F.concat(F.transform("quotes", lambda x: said_as(x["level"], normal(x["body"]))), F.array(said_as(F.lit(1), normal(first_level))))
     blocks = F.transform("blocks", lambda x: said_as(x["level"], x["body"]))
 
-    def ends(x: Column) -> Column:
-        longest = F.element_at(word_windows(x["body"]), -1)
-        of = lambda h: piece(x["level"], window_key(longest["power"], h), F.length(x["body"]))
-        return F.when(F.size(F.split(x["body"], " ")) >= 2**MIN_POWER, F.array(of(F.get(longest["hashes"], F.lit(0))), of(F.element_at(longest["hashes"], -1))))
-
-    windows = F.flatten(F.filter(F.transform("blocks", ends), lambda x: x.isNotNull()))
+    runs = F.filter("blocks", lambda x: n_words(x["body"]) >= 2**MIN_POWER)
+    windows = F.transform(runs, lambda x: piece(x["level"], F.get(run_keys(x["body"], F.array(n_words(x["body"]))), F.lit(0)), F.length(x["body"])))
     short = F.transform(F.filter("blocks", lambda x: F.length(x["body"]).between(1, MIN_CHARS - 1)), lambda x: piece(x["level"], whole_key(x["body"]), F.length(x["body"])))
     long = F.filter(F.concat(lines, blocks, windows), lambda x: x["size"] >= MIN_CHARS)
     wanted = quoting.select("conv_id", "turn", "mid", F.explode(F.array_distinct(F.concat(long, short))).alias("p"))
     wanted = wanted.select(
         "conv_id", "p.hash", "turn", F.lit(0).alias("kind"), "mid", "p.level", "p.size", F.lit(None).cast("string").alias("source")
     )
-    # Only conversations with quotes have originals to look for, and windows only of the sizes that are quoted.
-    sizes = F.transform("blocks", lambda x: F.floor(F.log2(F.size(F.split(x["body"], " ")))).cast("int"))
-    sizes = quoting.select("conv_id", F.explode(sizes).alias("power")).groupBy("conv_id").agg(F.collect_set("power").alias("powers"))
+    # Only conversations with quotes have originals to look for, and runs only of the lengths that are quoted.
+    sizes = F.transform("blocks", lambda x: n_words(x["body"]))
+    sizes = quoting.select("conv_id", F.explode(sizes).alias("length")).groupBy("conv_id").agg(F.collect_set("length").alias("lengths"))
     origin = able.join(sizes, "conv_id")
     said = F.transform(F.coalesce("own", F.split("text", "\n", -1)), normal)
     whole = normal(F.coalesce(F.array_join("own", " "), "text"))
-    windows = F.flatten(
-        F.transform(
-            F.filter(word_windows(F.col("whole")), lambda x: F.array_contains("powers", x["power"])),
-            lambda x: F.transform(x["hashes"], lambda h: window_key(x["power"], h)),
-        )
-    )
+    windows = run_keys(F.col("whole"), F.col("lengths"))
     lines = F.transform(F.filter(F.concat("said", F.array("whole")), lambda x: F.length(x) >= MIN_CHARS), lambda x: F.md5(x))
     short = F.when(F.length("whole").between(1, MIN_CHARS - 1), F.array(whole_key(F.col("whole")))).otherwise(F.array().cast("array<string>"))
-    known = origin.where("text is not null").select("conv_id", "turn", "mid", "powers", said.alias("said"), whole.alias("whole"))
+    known = origin.where("text is not null").select("conv_id", "turn", "mid", "lengths", said.alias("said"), whole.alias("whole"))
     known = known.select("conv_id", "turn", "mid", F.explode(F.array_distinct(F.concat(lines, windows, short))).alias("hash"))
     # Of messages of one turn with the same words one is the source; quotes sort before it, so that a source is earlier.
     known = known.groupBy("conv_id", "hash", "turn").agg(F.min("mid").alias("source"))
@@ -214,20 +231,27 @@ contents AS (
     coalesce(string_agg(body, ' ' ORDER BY i) FILTER (own), '') AS whole,
     coalesce(string_agg(body, ' ' ORDER BY i) FILTER (level = 1), '') AS quoted
   FROM kinds GROUP BY rid),
+blocks AS (
+  SELECT rid, level, trim(regexp_replace(lower(string_agg(body, ' ' ORDER BY i)), '{_BLANK}', ' ', 'g')) AS body
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, level ORDER BY i) AS island FROM kinds WHERE level > 0) GROUP BY rid, level, island),
 pieces AS (
-  SELECT DISTINCT m.conv_id, m.turn, m.mid, p.level, p.body FROM msgs m JOIN (
-    SELECT rid, level, trim(regexp_replace(lower(body), '{_BLANK}', ' ', 'g')) AS body FROM kinds WHERE level > 0
-    UNION ALL SELECT rid, 1, trim(regexp_replace(lower(quoted), '{_BLANK}', ' ', 'g')) FROM contents WHERE n_quoted > 0) p USING (rid)
-  WHERE length(p.body) >= {MIN_CHARS}),
+  SELECT DISTINCT m.conv_id, m.turn, m.mid, p.level, p.body, p.how FROM msgs m JOIN (
+    SELECT rid, level, trim(regexp_replace(lower(body), '{_BLANK}', ' ', 'g')) AS body, 'same' AS how FROM kinds WHERE level > 0
+    UNION ALL SELECT rid, 1, trim(regexp_replace(lower(quoted), '{_BLANK}', ' ', 'g')), 'same' FROM contents WHERE n_quoted > 0
+    UNION ALL SELECT rid, level, body, 'same' FROM blocks
+    UNION ALL SELECT rid, level, body, 'run' FROM blocks WHERE len(string_split(body, ' ')) >= {2**MIN_POWER}
+    UNION ALL SELECT rid, level, body, 'short' FROM blocks) p USING (rid)
+  WHERE CASE WHEN p.how = 'short' THEN length(p.body) BETWEEN 1 AND {MIN_CHARS - 1} ELSE length(p.body) >= {MIN_CHARS} END),
 known AS (
-  SELECT conv_id, turn, body, min(mid) AS mid FROM msgs JOIN (
-    SELECT rid, trim(regexp_replace(lower(body), '{_BLANK}', ' ', 'g')) AS body FROM kinds WHERE own
-    UNION ALL SELECT rid, trim(regexp_replace(lower(whole), '{_BLANK}', ' ', 'g')) FROM contents) USING (rid)
-  WHERE length(body) >= {MIN_CHARS} GROUP BY conv_id, turn, body),
+  SELECT conv_id, turn, body, is_whole, min(mid) AS mid FROM msgs JOIN (
+    SELECT rid, trim(regexp_replace(lower(body), '{_BLANK}', ' ', 'g')) AS body, FALSE AS is_whole FROM kinds WHERE own
+    UNION ALL SELECT rid, trim(regexp_replace(lower(whole), '{_BLANK}', ' ', 'g')), TRUE FROM contents) USING (rid)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn, body, is_whole),
 met AS (
   SELECT p.mid, p.level, length(p.body) AS size, k.mid AS parent, k.turn AS parent_turn,
-    row_number() OVER (PARTITION BY p.mid, p.level, p.body ORDER BY k.turn DESC) AS r
-  FROM pieces p JOIN known k ON p.conv_id = k.conv_id AND p.body = k.body AND k.turn < p.turn),
+    row_number() OVER (PARTITION BY p.mid, p.level, p.body, p.how ORDER BY k.turn DESC, k.mid) AS r
+  FROM pieces p JOIN known k ON p.conv_id = k.conv_id AND k.turn < p.turn AND CASE p.how WHEN 'same' THEN p.body = k.body
+    WHEN 'short' THEN k.is_whole AND p.body = k.body ELSE k.is_whole AND contains(' ' || k.body || ' ', ' ' || p.body || ' ') END),
 votes AS (SELECT mid, level, parent, parent_turn, sum(size) AS chars FROM met WHERE r = 1 GROUP BY ALL),
 links AS (
   SELECT mid, parent, parent_turn FROM (

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -165,3 +167,49 @@ def test_quotes_of_other_wrapping_and_short_quotes_are_linked(spark):
     got = quote_threads.format_threads(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     assert {r.turn: r.reply_to for r in got if r.conv_id == 1} == {0: None, 1: None, 2: None, 3: 0, 4: 1, 5: 0, 6: 2, 7: None, 8: None}
     assert not any(r.reply_to is not None for r in got if r.conv_id == 2)
+
+
+def test_a_block_links_to_the_message_that_says_all_of_it(spark):
+    rows = [
+        (1, 1, "user", "I think that the moon is bright tonight"), (1, 2, "assistant", "I think that the sun is hot today"), (1, 3, "user", "> I think that the moon is\nyes"),
+        (2, 1, "user", "one two three four five six seven"), (2, 2, "user", "one two three four nine five six seven"), (2, 3, "user", "> one two three four\n> five six seven"),
+        (3, 1, "user", "a long way to go home now"), (3, 2, "user", "home now a long way"), (3, 3, "user", "> a long way to go home"),
+    ]
+    got = quote_threads.format_threads(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert {r.conv_id: r.reply_to for r in got if r.turn == 3} == {1: 1, 2: 1, 3: 1}
+
+
+def test_generated_chats_against_every_block_and_message(spark):
+    """Random quotes (runs of words, other wrapping, deeper levels, changed words) against all earlier messages in SQL."""
+    rng = random.Random(12)
+    words = ["alpha", "beta", "gamma", "delta", "so", "we", "go", "on"]
+    rows = []
+    for conv in range(14):
+        said = []
+        for turn in range(1, 9):
+            lines = []
+            if said and rng.random() < 0.7:
+                for _ in range(rng.randrange(1, 3)):
+                    source = rng.choice(said).split()
+                    a = rng.randrange(len(source))
+                    run = source[a : a + rng.randrange(1, 12)]
+                    if rng.random() < 0.3:
+                        run[rng.randrange(len(run))] = "changed"
+                    width, marks = rng.randrange(1, 6), ">" * rng.randrange(1, 3)
+                    lines += [f"{marks} {' '.join(run[i : i + width])}" for i in range(0, len(run), width)]
+                    lines += [rng.choice(["", "I see"])]
+            own = " ".join(rng.choices(words, k=rng.randrange(1, 14)))
+            lines.append(own)
+            said.append(own)
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), "\n".join(lines)))
+    rows += [(None, 1, "user", "> alpha beta gamma delta"), (0, None, "user", "> so we go on"), (99, 1, "user", None), (99, 2, "user", ">")]
+    schema = "conv_id long, turn int, role string, text string"
+    got = quote_threads.format_threads(spark.createDataFrame(rows, schema))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn INT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    cur = con.execute(quote_threads.ORACLE)
+    names = [c[0] for c in cur.description]
+    found = [tuple(r[c] for c in names) for r in got.collect()]
+    assert sorted(found, key=repr) == sorted(cur.fetchall(), key=repr)
+    assert got.where("reply_to is not null").count() > 20
