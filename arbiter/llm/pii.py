@@ -27,18 +27,23 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KEY = "arbiter-public-test-key"
+#: Characters of a token that are permuted together.
+PIECE = 256
 DIGITS, HEX = string.digits, "0123456789abcdef"
 #: One 400-year cycle of the calendar: 146097 = 189 * 773 days from 1800-01-01.
 DAY_ZERO, DAY_RADICES = "1800-01-01", (189, 773)
 
 _L, _R = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
+#: Names whose assigned values are secrets, and the signs of an assignment.
+_NAMES = "(?:password|passwd|secret|token|api_key)"
+_SIGN = "(?: ?[=:] ?)"
 _LABEL = r"[A-Za-z0-9-]{1,63}+"
 #: Kind: (pattern before, pattern of the value, pattern after), in order of precedence.
 KINDS: dict[str, tuple[str, str, str]] = {
     "email": (r"(?<![A-Za-z0-9._%+-])", rf"[A-Za-z0-9._%+-]{{1,128}}+@{_LABEL}(?:\.{_LABEL}){{1,8}}+", ""),
     "access_key": (_L, r"(?:AKIA|ASIA)[A-Z0-9]{16}", _R),
-    "secret": (r"(?<=(?:password|passwd|secret|token|api_key)=)", r"[A-Za-z0-9]{8,256}+", ""),
-    "hex_token": (_L, r"[0-9a-f]{32,128}", _R),
+    "secret": (rf"(?:(?<={_NAMES}=)|(?<={_NAMES}{_SIGN})(?=[A-Za-z]*[0-9]))", r"[A-Za-z0-9]{8,}+", ""),
+    "hex_token": (_L, r"[0-9a-f]{32,}+", _R),
     "iban": (_L, r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", _R),
     "ip": (r"(?<![0-9.])", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"(?![0-9]|\.[0-9])"),
     "date": (r"(?<![0-9/.-])", r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})", r"(?![0-9/-]|\.[0-9])"),
@@ -246,18 +251,25 @@ def _email(m: Column, key: str, decrypt: bool) -> Column:
     return permute_chars(m, lambda c, i: F.when(i >= top - 1, "").otherwise(by_class(c)), "email", key, decrypt)
 
 
-def pseudonym(m: Column, key: str = KEY, decrypt: bool = False) -> Column:
-    """(kind, value) of a candidate; ``value`` is null where it is not valid."""
+def _in_pieces(m: Column, alphabets: Callable[[Column, Column], Column], tweak: str, key: str, decrypt: bool) -> Column:
+    """``permute_chars`` of a token of any length, ``PIECE`` characters at a time."""
+    starts = F.sequence(F.lit(0), F.floor((F.length(m) - 1) / PIECE).cast("int"))
+    return F.array_join(F.transform(starts, lambda i: permute_chars(F.substring(m, i * PIECE + 1, F.lit(PIECE)), alphabets, tweak, key, decrypt)), "")
+
+
+def pseudonym(m: Column, key: str = KEY, decrypt: bool = False, assigned: Column | None = None) -> Column:
+    """(kind, value) of a candidate; ``value`` is null where it is not valid; ``assigned``: it is the value of a secret's name."""
     makers = {
         "email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone,
         "access_key": lambda m, k, d: permute_chars(m, lambda c, i: F.when(i < 4, "").otherwise(by_class(c)), "access_key", k, d),
-        "secret": lambda m, k, d: permute_chars(m, lambda c, _: by_class(c), "secret", k, d),
-        "hex_token": lambda m, k, d: permute_chars(m, lambda c, _: F.lit(HEX), "hex_token", k, d),
+        "secret": lambda m, k, d: _in_pieces(m, lambda c, _: by_class(c), "secret", k, d),
+        "hex_token": lambda m, k, d: _in_pieces(m, lambda c, _: F.lit(HEX), "hex_token", k, d),
     }
     kind = F.lit(None).cast("string")
     value = F.lit(None).cast("string")
+    given = (F.lit(False) if assigned is None else assigned) & m.rlike("^[A-Za-z0-9]+$")
     for name in reversed([k for k in KINDS if k != "secret"]):
-        fits = m.rlike(f"^(?:{KINDS[name][1]})$")
+        fits = m.rlike(f"^(?:{KINDS[name][1]})$") & (F.lit(name == "access_key") | ~given)
         kind = F.when(fits, F.lit(name)).otherwise(kind)
         value = F.when(fits, makers[name](m, key, decrypt)).otherwise(value)
     # Only the text before it makes a value a secret, so what fits no other kind is one.
@@ -273,7 +285,7 @@ def pseudonymize(docs: DataFrame, text_col: str = "text", payload: Column | None
     rows = rows.withColumn("found", found)
     some = F.size("found") > 0
     rows = rows.withColumn("between", F.when(some, F.split("text", CANDIDATE, -1))).withColumn(
-        "changed", F.when(some, F.transform("found", lambda m: pseudonym(m, key, decrypt)))
+        "changed", F.when(some, F.zip_with("found", F.slice("between", F.lit(1), F.size("found")), lambda m, b: pseudonym(m, key, decrypt, b.rlike(f"{_NAMES}{_SIGN}$"))))
     )
     # Materialised by a generator, so that the network runs once for a value although it is used twice.
     rows = rows.withColumn("changed", F.explode(F.array("changed")))

@@ -1,4 +1,5 @@
 import itertools
+import re
 import zlib
 from collections import Counter
 
@@ -145,6 +146,28 @@ def test_pseudonyms_keep_format_and_come_back(spark):
     assert {r.row.id: r.text for r in back} == dict(enumerate(PRIVATE))
 
 
+def test_no_assigned_secret_stays(spark):
+    """Secrets of every shape and length change, keep their format and come back; prose after a colon stays."""
+    hexes, long = "0123456789abcdef" * 20, "Ab3" * 400
+    secrets = ["4111111111111112", "4111111111111111", "GB82WEST12345698765432", "abcdefgh", "12345678", long, hexes, "A1" * 128, "A1" * 128 + "b"]
+    texts = [f"password={x} end" for x in secrets] + [f"api_key: {x}9, token = {x}9" for x in secrets] + [f"see {hexes} and {'0f' * 16}"]
+    stay = ["the password: elephants live here", "token = something", "secret:", "password=short", "a token 12345678 b"]
+    docs = spark.createDataFrame(list(enumerate(texts + stay)), "id long, text string")
+    there = pii.pseudonymize(docs)
+    got = {r.row.id: r for r in there.collect()}
+    for i, t in enumerate(texts):
+        old, new = (re.findall("[A-Za-z0-9]+", x) for x in (t, got[i].text))
+        assert len(new) == len(old) and re.sub("[A-Za-z0-9]", "", t) == re.sub("[A-Za-z0-9]", "", got[i].text)
+        for a, b in zip(old, new, strict=True):
+            assert [c.isdigit() for c in a] == [c.isdigit() for c in b] or len(a) in (32, 320)
+            assert len(a) == len(b) and ((a != b) == (len(a) > 7 and a != "password")), (a[:30], b[:30])
+            for k in range(0, len(a) - 255, 256):  # no piece of a long value stays
+                assert len(a) < 256 or a[k : k + 256] != b[k : k + 256]
+    assert [got[len(texts) + i].text for i in range(len(stay))] == stay
+    back = pii.pseudonymize(there.select(F.col("row.id").alias("id"), "text"), decrypt=True).collect()
+    assert {r.row.id: r.text for r in back} == dict(enumerate(texts + stay))
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
