@@ -24,8 +24,8 @@ VALUE_TAG = "V"
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
-# Doubles in between have a plain decimal form of at most 38 digits.
-_LEAST_PLAIN, _MOST_PLAIN = 1e-6, 1e19
+# Whole doubles below have a plain decimal form of at most 38 digits.
+_MOST_PLAIN = 1e38
 _EXACT = T.DecimalType(38, 18)
 #: One cell of a result of any width: a kind and one slot per way to compare.
 CELL_FIELDS = ("kind", "dec", "dbl", "txt")
@@ -49,10 +49,11 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
         return _stripped(c.cast("string"))
     x = c.cast("double")
     size = F.abs(x)
-    whole = (x == F.rint(x)) & (size < F.lit(1e38))
-    plain = F.when(whole & (size < F.lit(_MOST_PLAIN)), x.cast("decimal(38,0)").cast("string"))
-    plain = plain.when((size >= F.lit(_LEAST_PLAIN)) & (size < F.lit(_MOST_PLAIN)), _stripped(x.cast("string").try_cast(_EXACT).cast("string")))
-    return F.coalesce(plain, x.cast("string"))
+    whole = F.when((x == F.rint(x)) & (size < F.lit(_MOST_PLAIN)), x.cast("decimal(38,0)").cast("string"))
+    # A fraction prints plain where 18 places hold all its digits.
+    exact = x.cast("string").try_cast(_EXACT)
+    fraction = F.when(exact.cast("double") == x, _stripped(exact.cast("string")))
+    return F.coalesce(whole, fraction, x.cast("string"))
 
 
 def rounded(c: Column, dtype: T.DataType) -> Column:

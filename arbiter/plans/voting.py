@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arbiter.operators import compare as R
 from arbiter.operators import voting as V
 from arbiter.plans.sqlviews import V_CAND, V_CAND_ROWS, V_CANDS, V_GOLD, V_GOLD_Q, V_VOTE, with_views
+from arbiter.session import stable
 from arbiter.sources import fixtures as fx
 from arbiter.sources.tables import Tables
 
@@ -38,7 +39,8 @@ def vote_distribution(spark, sf_dir):
 
 
 def vote_selected_score(spark, sf_dir):
-    gold, cands, rows, outcomes = _outcomes(spark, sf_dir)
+    gold, _, rows, outcomes = _outcomes(spark, sf_dir)
+    outcomes = stable(outcomes)  # one row a question; the vote runs once for the pick and the result
     picked = V.select_by_vote(outcomes, rows)
     verdict = R.compare_results(gold, picked, fx.v_gold_questions(gold), R.DEFAULT_RULES)
     return outcomes.select("question_id", "selected_index").join(verdict, "question_id").select(

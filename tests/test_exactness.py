@@ -30,6 +30,9 @@ def _one(spark, value, kind):
     (0.3, "double", Decimal("0.30"), "decimal(3,2)", True),
     (1234.5, "double", Decimal("1234.500001"), "decimal(10,6)", False),
     (-0.0, "double", 0, "int", True),
+    (Decimal("20000000000000000000"), "decimal(38,0)", 2e19, "double", True),
+    (Decimal("20000000000000000001"), "decimal(38,0)", 2e19, "double", False),
+    (Decimal("123456789000000000000000000000"), "decimal(38,0)", 1.23456789e29, "double", True),
     ("1", "string", 1, "long", False),
     ([0.1 + 0.2], "array<double>", [0.3], "array<double>", True),
 ])
@@ -100,3 +103,15 @@ def test_ineligible_base_fails(spark):
     assert K.require_eligible(q.where("question_id = 1"), q, counts, 0, 5).first().n_base == 1
     with pytest.raises(Exception, match="not eligible"):
         K.require_eligible(q, q, counts, 0, 5).collect()
+
+
+@pytest.mark.parametrize("a, ka, b, same", [
+    (Decimal("0.0000005"), "decimal(10,7)", 5e-7, True),
+    (Decimal("0.0000005"), "decimal(10,7)", 5.0000001e-7, False),
+    (Decimal("0.000000000000000005"), "decimal(18,18)", 5e-18, True),
+    (Decimal("0.000000000000000000"), "decimal(18,18)", 4e-19, False),
+    (Decimal("0.001234567890123457"), "decimal(18,18)", 0.0012345678901234567, False),
+])
+def test_small_fractions_compare_by_exact_value(spark, a, ka, b, same):
+    q = spark.createDataFrame([(0,)], "question_id long")
+    assert R.compare_results(_one(spark, a, ka), _one(spark, b, "double"), q, ("column_position", "exact")).first().correct is same
