@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbiter.operators.profile import distinct_values
+from arbiter.session import stable
 
 # Fixed values.
 WHITESPACE_EDGES = r"^\s+|\s+$"
@@ -143,8 +144,8 @@ def check_literals(resolved: DataFrame, index: ValueIndex) -> DataFrame:
     Only the distinct literals meet the index; a literal without holders never fires.
     """
     r = resolved.withColumn("_v", index_key(F.col("literal")))
-    keys = r.groupBy("query_id", "binding_id", "written", "literal", "_v").agg(F.collect_set("key").alias("keys"))
-    holders = index.holders(r.select(F.col("_v").alias("value_norm")))
+    keys = stable(r.groupBy("query_id", "binding_id", "written", "literal", "_v").agg(F.collect_set("key").alias("keys")))
+    holders = index.holders(keys.select(F.col("_v").alias("value_norm")))
     j = keys.join(holders, keys["_v"] == holders["value_norm"]).where(~F.arrays_overlap("keys", "holders"))
     cands = F.array_sort(F.array_except(F.col("holders"), F.col("keys")))
     found = j.select(
