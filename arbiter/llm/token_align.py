@@ -77,22 +77,21 @@ def longest_word(text: str) -> int:
 
 
 class ByteLevel:
-    """Side A: a byte-level vocabulary file of the ``tokenizers`` library.
+    """Side A: the text of a byte-level vocabulary file of the ``tokenizers`` library.
 
     Where ids are merge ranks and the file asks for nothing else (as in the
     given one), the faster rank encoder gives the same ids; otherwise, and for
     very long words, the library itself encodes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_str(text)
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+        file = json.loads(text)
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(hidden)}
@@ -352,20 +351,12 @@ def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sides(docs: DataFrame, a_path: str, b_path: str) -> Callable[[], Encoder]:
     """Loads the encoder in a task; the two vocabulary files travel as a broadcast (their size does not depend on the data)."""
-    with open(a_path, "rb") as fa, open(b_path, "rb") as fb:
+    with open(a_path, encoding="utf-8") as fa, open(b_path, "rb") as fb:
         sent = docs.sparkSession.sparkContext.broadcast((fa.read(), fb.read()))
 
     def load() -> Encoder:
-        import os
-        import tempfile
-
         a, b = sent.value
-        with tempfile.NamedTemporaryFile(suffix=".json", delete=False) as f:
-            f.write(a)
-        try:
-            return Encoder(ByteLevel(f.name), Pieces(b))
-        finally:
-            os.unlink(f.name)
+        return Encoder(ByteLevel(a), Pieces(b))
 
     return load
 

@@ -21,8 +21,8 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def encoder():
-    with open(B_PATH, "rb") as f:
-        return token_align.Encoder(token_align.ByteLevel(A_PATH), token_align.Pieces(f.read()))
+    with open(A_PATH, encoding="utf-8") as a, open(B_PATH, "rb") as b:
+        return token_align.Encoder(token_align.ByteLevel(a.read()), token_align.Pieces(b.read()))
 
 
 @pytest.fixture(scope="module")
