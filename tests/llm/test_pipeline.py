@@ -20,7 +20,7 @@ def test_registered():
 
     names = [*queries.QUERIES, "pipeline"]
     assert set(names) <= set(__spark_entry__.queries()) and set(queries.ORACLES) <= set(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark):
