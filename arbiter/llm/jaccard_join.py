@@ -43,8 +43,8 @@ STEP = 32
 TOLERANCE = 1e-6
 #: Texts in a block, and shingles in a block of very long texts.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
-#: Texts whose shingles one incidence table holds.
-TABLE = 128
+#: Texts whose shingles one incidence table holds on a side, and its shingles.
+TABLE, COLUMNS = 128, 1 << 14
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -140,9 +140,9 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
         width = int((count > 1).sum())
         total = np.zeros((len(a), len(b)), np.float32)
         of_a, of_b = np.searchsorted(members, a), np.searchsorted(members, b)
-        for first in range(0, width, 1 << 16):
-            inside = (column >= first) & (column < first + (1 << 16))
-            table = np.zeros((len(members), min(1 << 16, width - first)), np.float32)
+        for first in range(0, width, COLUMNS):
+            inside = (column >= first) & (column < first + COLUMNS)
+            table = np.zeros((len(members), min(COLUMNS, width - first)), np.float32)
             table[owner[several][inside], column[inside] - first] = 1
             total += table[of_a] @ table[of_b].T
         out[pairs] = total[ai, bi].astype(np.int64)
