@@ -8,7 +8,7 @@ are left out; this is relative, so a passage that very many documents hold, and
 whose words are common therefore, is searched for like any other.
 
 1. A randomised SVD, summed over tasks, of the benchmark's passages and those of
-   about ``FIT_DOCUMENTS`` documents gives ``RANK`` latent directions.
+   all documents gives ``RANK`` latent directions.
 2. Every window of every document is projected: blocks of ``STRIDE`` words are
    summed once and windows are sums of blocks.  A benchmark passage whose latent
    cosine reaches a share of its cosine with itself is a candidate.  So is one
@@ -50,10 +50,10 @@ MIN_ITEM_WORDS = 8
 #: A word is left out where its squared weight is below this share of the mean in every benchmark passage that has it.
 LIGHT = 0.25
 RANK, OVERSAMPLE = 128, 10
-#: The latent directions are fitted on about so many documents, chosen by a hash of their text, beside the benchmark.
-FIT_DOCUMENTS = 1000
-#: Tasks of the fit, each of which sends one partial sum (terms x RANK) to the driver's tree.
-FIT_TASKS = 8
+#: Tasks of a product of the fit at most, each of which sends one partial sum (terms x RANK) to the driver's tree.
+FIT_TASKS = 32
+#: Windows of the fit that are multiplied at once.
+FIT_WINDOWS = 512
 #: Text bytes handled at once: their arrays fit a processor's cache.
 PART_BYTES = 1 << 19
 #: Scores computed at once.
@@ -222,27 +222,62 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+def fit_windows(rows: DataFrame, items: Items) -> DataFrame:
+    """(n, row, place, times): the windows that the latent directions are fitted on, all of every document.
+
+    Up to ``FIT_WINDOWS`` windows are one row: each word of the vocabulary that
+    a window holds as the window's number, the word's place and how often, as
+    16, 32 and 16 bit integers in order of the windows.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(items.vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        for batch in batches:
+            for part in slices(batch, "text", PART_BYTES):
+                terms, n = coded(part.column("text").to_pylist())
+                per_text = -(-n // SIZES[-1])
+                first = np.cumsum(per_text) - per_text
+                window = np.repeat(first, n) + (np.arange(len(terms)) - np.repeat(np.cumsum(n) - n, n)) // SIZES[-1]
+                place = places(vocabulary, terms)
+                pair, times = np.unique((window * len(vocabulary) + place)[place >= 0], return_counts=True)
+                window, place = pair // len(vocabulary), pair % len(vocabulary)
+                starts = np.arange(0, int(per_text.sum()), FIT_WINDOWS)
+                cut = np.append(np.searchsorted(window, starts), len(window)).tolist()
+                sizes = np.minimum(FIT_WINDOWS, int(per_text.sum()) - starts)
+                kinds = ((window % FIT_WINDOWS, np.uint16), (place, np.int32), (times, np.uint16))
+                columns = [pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x, kind in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), *columns], ["n", "row", "place", "times"])
+
+    return rows.select("text").mapInArrow(run, "n long, row binary, place binary, times binary")
+
+
+def multiplied(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, block: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Gram matrix of X @ block, for the sparse X (n windows; its entries in order of rows); X.T @ X @ block is added to ``back``."""
+    if not len(row):
+        return np.zeros((block.shape[1],) * 2)
+    image = np.zeros((n, block.shape[1]))
+    some, first = np.unique(row, return_index=True)
+    image[some] = np.add.reduceat(block[place] * value[:, None], first, axis=0)
+    by = np.argsort(place, kind="stable")
+    some, first = np.unique(place[by], return_index=True)
+    back[some] += np.add.reduceat(image[row[by]] * value[by, None], first, axis=0)
+    return image.T @ image
+
+
 def latent_basis(rows: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
-    """Terms x RANK: leading right singular vectors of benchmark passages and those of sampled documents.
+    """Terms x RANK: leading right singular vectors of the passages of the benchmark and of all documents.
 
     Randomised: a random block is multiplied by the Gram matrix, part by part,
     orthonormalised, and the small matrix in its range is decomposed.
     """
-    one_in = max(1, rows.count() // FIT_DOCUMENTS)
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
-    sample = written(sample.repartition(FIT_TASKS), "latent-sample")  # read three times; its parts bound what reaches the driver
+    windows = written(fit_windows(rows, items), "fit-windows")  # read three times
+    windows = windows.coalesce(FIT_TASKS)  # bounds what reaches the driver
     width = min(RANK + OVERSAMPLE, len(items.vocabulary))
-    own = items.rows(items.terms)
+    row, place, weight, norm = items.rows(items.terms)
+    own = row, place, weight / np.maximum(norm[row], 1e-9), len(items.terms)
     context = rows.sparkSession.sparkContext
-    sent = context.broadcast(items)
-
-    def multiply(rows: tuple, n: int, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, place, value, norm = rows
-        value = value / np.maximum(norm[row], 1e-9)
-        image, back = np.zeros((n, block.shape[1])), np.zeros(block.shape)
-        np.add.at(image, row, block[place] * value[:, None])
-        np.add.at(back, place, image[row] * value[:, None])
-        return back, image.T @ image
+    sent = context.broadcast(items.weight)
 
     def total(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         now = context.broadcast(block)
@@ -250,25 +285,24 @@ def latent_basis(rows: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back, gram, n = np.zeros(now.value.shape), np.zeros((now.value.shape[1],) * 2), 0
             for batch in batches:
-                for part in slices(batch, "text", PART_BYTES):
-                    terms, lengths = coded(part.column("text").to_pylist())
-                    ends = np.cumsum(lengths).tolist()
-                    windows = [terms[at : min(at + SIZES[-1], e)] for e, m in zip(ends, lengths.tolist(), strict=True) for at in range(e - m, e, SIZES[-1])]
-                    for at in range(0, len(windows), 512):
-                        few = windows[at : at + 512]
-                        b, g = multiply(sent.value.rows(few), len(few), now.value)
-                        back, gram, n = back + b, gram + g, n + len(few)
+                for size, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    row, place, times = (np.frombuffer(x, kind) for x, kind in zip(parts, (np.uint16, np.int32, np.uint16), strict=True))
+                    value = times * sent.value[place]
+                    norm = np.sqrt(np.bincount(row, value * value, size))
+                    gram += multiplied(row, place, value / np.maximum(norm[row], 1e-9), size, now.value, back)
+                    n += size
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (back, gram)] + [pa.array([n], pa.int64())], ["back", "gram", "n"])
 
-        parts = sample.mapInArrow(run, "back binary, gram binary, n long").rdd
+        parts = windows.mapInArrow(run, "back binary, gram binary, n long").rdd
         parts = parts.map(lambda r: (np.frombuffer(r[0]).reshape(-1, width), np.frombuffer(r[1]).reshape(-1, width), r[2]))
         zero = (np.zeros(block.shape), np.zeros((width, width)), 0)
         add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
         far = parts.treeAggregate(zero, add, add)
-        near = multiply(own, len(items.terms), block)
-        # The benchmark's rows weigh as much as the sample's, since its directions are searched for.
+        near = np.zeros(block.shape)
+        near_gram = multiplied(*own, block, near)
+        # The benchmark's rows weigh as much as the documents', since its directions are searched for.
         weight = max(1.0, far[2] / max(len(items.terms), 1))
-        return far[0] + weight * near[0], far[1] + weight * near[1]
+        return far[0] + weight * near, far[1] + weight * near_gram
 
     block = np.random.default_rng(seed).standard_normal((len(items.vocabulary), width))
     for _ in range(2):

@@ -214,6 +214,34 @@ def test_every_leak_the_verdict_accepts_is_found(spark):
     assert len(want) > 100 and {(digests[bytes(r.key)], r.item_id) for r in found.collect()} == want
 
 
+def test_latent_directions_are_fitted_on_all_documents(spark):
+    """More documents than a sample would hold: every window of each takes part, and the directions are those of all."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choices(words + ["other"], k=rng.choice([0, 3, 64, 65, 150]))) for _ in range(2500)] + [None]
+    items = decontaminate.Items([0, 1], [" ".join(words[:40]), " ".join(words[30:])])
+    items.weigh(items.vocabulary, np.linspace(1, 2, len(items.vocabulary)))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    held = decontaminate.fit_windows(docs, items).collect()
+    windows = []
+    for text in texts:
+        terms = decontaminate.coded([text])[0]
+        windows += [terms[a : a + decontaminate.SIZES[-1]] for a in range(0, len(terms), decontaminate.SIZES[-1])]
+    assert sum(r.n for r in held) == len(windows)
+    row, place, weight, norm = items.rows(windows)
+    assert sum(np.frombuffer(r.times, np.uint16).sum() for r in held) == round((weight / items.weight[place]).sum())
+    dense = np.zeros((len(windows), len(items.vocabulary)))
+    dense[row, place] = weight / norm[row]
+    block = np.random.default_rng(0).standard_normal((dense.shape[1], 5))
+    back, gram = np.zeros(block.shape), np.zeros((5, 5))
+    for r in held:
+        at, to, times = (np.frombuffer(x, kind) for x, kind in ((r.row, np.uint16), (r.place, np.int32), (r.times, np.uint16)))
+        value = times * items.weight[to]
+        value = value / np.sqrt(np.bincount(at, value * value, r.n))[at]
+        gram += decontaminate.multiplied(at, to, value, r.n, block, back)
+    assert np.allclose(back, dense.T @ dense @ block) and np.allclose(gram, block.T @ dense.T @ dense @ block)
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
