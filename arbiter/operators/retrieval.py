@@ -2,8 +2,8 @@
 
 A database's schema is one row (its tables in declaration order: name, cost,
 length, tables referred to), and its inverted index one posting list per token.
-A question's tokens meet the posting lists; one shuffle by question gathers
-the tables they hit.  Tables without a hit appear only as numbers inside an
+Questions are dealt out by id once; where they lie, their tokens meet the
+posting lists and the tables that they hit are gathered.  Tables without a hit appear only as numbers inside an
 expression, where a floor pads or a budget reaches beyond the hits: no rows of
 questions x tables are built.
 
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.operators.catalog import CHARS_PER_TOKEN, DEFAULT_MAX_TABLES, NAME_WEIGHT, SAMPLE_WEIGHT, catalog_tables, table_tokens, tokens
+from arbiter.operators.catalog import CHARS_PER_TOKEN, DEFAULT_MAX_TABLES, NAME_WEIGHT, SAMPLE_WEIGHT, catalog_tables, spread, table_tokens, tokens
 
 _ALL = "transform(tables, t -> t.ord)"
 
@@ -48,7 +48,7 @@ def schemas(catalog: DataFrame, fks: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def question_hits(questions: DataFrame, postings: DataFrame, schema: DataFrame) -> DataFrame:
     """(question_id, db_id, tokens, hits, tables): the tables (ord, score > 0) that a question's tokens hit, and its schema."""
-    asked = questions.select("question_id", "db_id", F.explode_outer(tokens(F.col("question"))).alias("token"))
+    asked = spread(questions).select("question_id", "db_id", F.explode_outer(tokens(F.col("question"))).alias("token"))
     met = asked.join(postings, ["db_id", "token"], "left").groupBy("question_id", "db_id").agg(
         F.collect_set("token").alias("tokens"), F.flatten(F.collect_list("postings")).alias("p"))
     hits = F.expr("transform(array_distinct(transform(p, x -> x.ord)), o -> struct(o AS ord, aggregate(filter(p, x -> x.ord = o), 0L, (a, x) -> a + x.w) AS score))")
