@@ -52,6 +52,35 @@ def test_questions_are_dealt_out_before_their_tokens(spark):
     assert shuffles(hits) == 1 and plan(hits).index("Generate") < plan(hits).index("Exchange hashpartitioning")
 
 
+def test_tasks_grow_in_number_with_the_questions(spark, monkeypatch):
+    """Parts of questions stay as large as they are, and scores, ranks and links are made where they were dealt out."""
+    monkeypatch.setattr(C, "QUESTIONS_PER_TASK", 10)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = spark.range(10 * width + 391).select(F.col("id").alias("question_id"), F.lit("d").alias("db_id"), F.concat(F.lit("alpha of t"), F.col("id") % 3).alias("question"))
+    assert C.spread(q).rdd.getNumPartitions() == width + 40 and C.spread(q.limit(3)).rdd.getNumPartitions() == width
+    catalog = spark.createDataFrame([("d", "t0", 1, "alpha", 1, None), ("d", "t1", 2, "b", 1, None)], "db_id string, table_name string, table_ordinal int, column_name string, column_ordinal int, table_description string")
+    none = spark.createDataFrame([], "db_id string, table_name string, column_name string, rank int, value string")
+    ranked = C.ranked_names(C.score(q, catalog, none))
+    dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(question_id[^,]*, (\d+)\)", plan(ranked))]
+    assert dealt == [width + 40]
+    linked = C.link_tables(C.spread(q).select("question_id", "db_id", F.explode(C.tokens(F.col("question"))).alias("table_name")), catalog, C.spread(q).select("question_id", F.lit("t0").alias("table_name"), F.lit(1).alias("table_ordinal")))
+    assert set(re.findall(r"Exchange hashpartitioning\(question_id[^,]*, (\d+)\)", plan(linked))) == {str(width + 40)}
+    assert linked.where("source = 'link'").count() + linked.where("source = 'fallback'").count() == q.count()
+
+
+def test_scores_of_ids_that_come_twice_or_are_null(spark):
+    """Each row is scored by the tokens of all rows of its id; a null id scores nothing, a null db has no tables."""
+    q = spark.createDataFrame([(1, "d", "alpha"), (1, "d", "beta alpha"), (2, "e", "alpha"), (2, "d", "nothing"), (None, "d", "alpha"), (None, "d", None), (3, None, "alpha"), (4, "d", None)],
+                              "question_id long, db_id string, question string")
+    catalog = spark.createDataFrame([("d", "alpha", 1, "x", 1, None), ("d", "beta", 2, "alpha", 1, None), ("e", "alpha", 1, "y", 1, None)],
+                                    "db_id string, table_name string, table_ordinal int, column_name string, column_ordinal int, table_description string")
+    samples = spark.createDataFrame([("d", "alpha", "x", 1, "alpha")], "db_id string, table_name string, column_name string, rank int, value string")
+    got = sorted(map(tuple, C.score(q, catalog, samples).collect()), key=str)
+    want = [(1, "d", "alpha", 1, 4), (1, "d", "beta", 2, 6)] * 2 + [(2, "d", "alpha", 1, 3), (2, "d", "beta", 2, 0), (2, "e", "alpha", 1, 3)]
+    want += [(i, "d", t, o, 0) for i in (None, None, 4) for t, o in (("alpha", 1), ("beta", 2))]
+    assert got == sorted(want, key=str)
+
+
 def test_columns_are_read_by_tasks_of_their_own(spark, tmp_path):
     frames = {"t": spark.createDataFrame([(1, "a", 2), (2, " A ", 1)], "x long, y string, z int")}
     masks, words = K.column_masks(frames)
