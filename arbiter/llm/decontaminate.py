@@ -52,8 +52,8 @@ LIGHT = 0.25
 RANK, OVERSAMPLE = 128, 10
 #: Tasks of a product of the fit at most, each of which sends one partial sum (terms x RANK) to the driver's tree.
 FIT_TASKS = 32
-#: Windows of the fit that are multiplied at once.
-FIT_WINDOWS = 512
+#: Windows of the fit that are multiplied at once: few, as the terms that they hold among them are the columns of a dense matrix.
+FIT_WINDOWS = 64
 #: Text bytes handled at once: their arrays fit a processor's cache.
 PART_BYTES = 1 << 19
 #: Scores computed at once.
@@ -253,15 +253,15 @@ def fit_windows(rows: DataFrame, items: Items) -> DataFrame:
 
 
 def multiplied(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, block: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Gram matrix of X @ block, for the sparse X (n windows; its entries in order of rows); X.T @ X @ block is added to ``back``."""
-    if not len(row):
-        return np.zeros((block.shape[1],) * 2)
-    image = np.zeros((n, block.shape[1]))
-    some, first = np.unique(row, return_index=True)
-    image[some] = np.add.reduceat(block[place] * value[:, None], first, axis=0)
-    by = np.argsort(place, kind="stable")
-    some, first = np.unique(place[by], return_index=True)
-    back[some] += np.add.reduceat(image[row[by]] * value[by, None], first, axis=0)
+    """Gram matrix of X @ block, for the sparse X (n windows; each of its entries once); X.T @ X @ block is added to ``back``.
+
+    A few windows hold few of the terms, so that X is multiplied as a dense matrix of those.
+    """
+    some, column = np.unique(place, return_inverse=True)
+    dense = np.zeros((n, len(some)), block.dtype)
+    dense[row, column] = value
+    image = dense @ block[some]
+    back[some] += dense.T @ image
     return image.T @ image
 
 
@@ -274,13 +274,11 @@ def latent_basis(rows: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
     windows = written(fit_windows(rows, items), "fit-windows")  # read three times
     windows = windows.coalesce(FIT_TASKS)  # bounds what reaches the driver
     width = min(RANK + OVERSAMPLE, len(items.vocabulary))
-    row, place, weight, norm = items.rows(items.terms)
-    own = row, place, weight / np.maximum(norm[row], 1e-9), len(items.terms)
     context = rows.sparkSession.sparkContext
     sent = context.broadcast(items.weight)
 
     def total(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        now = context.broadcast(block)
+        now = context.broadcast(block.astype(np.float32))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             back, gram, n = np.zeros(now.value.shape), np.zeros((now.value.shape[1],) * 2), 0
@@ -298,8 +296,10 @@ def latent_basis(rows: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
         zero = (np.zeros(block.shape), np.zeros((width, width)), 0)
         add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
         far = parts.treeAggregate(zero, add, add)
-        near = np.zeros(block.shape)
-        near_gram = multiplied(*own, block, near)
+        near, near_gram = np.zeros(block.shape), np.zeros((width, width))
+        for a in range(0, len(items.terms), FIT_WINDOWS):
+            row, place, weight, norm = items.rows(items.terms[a : a + FIT_WINDOWS])
+            near_gram += multiplied(row, place, weight / np.maximum(norm[row], 1e-9), len(norm), block, near)
         # The benchmark's rows weigh as much as the documents', since its directions are searched for.
         weight = max(1.0, far[2] / max(len(items.terms), 1))
         return far[0] + weight * near, far[1] + weight * near_gram
@@ -365,7 +365,7 @@ def holding(items: Items, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     tile, word = both // len(items.sought), both % len(items.sought)
     held = items.held[word]
     at = np.repeat(items.first[word] - np.cumsum(held) + held, held) + np.arange(held.sum())
-    pair, of = np.unique(np.repeat(tile, held) * len(items.terms) + items.holders[at], return_inverse=True)
+    of, pair = pd.factorize(np.repeat(tile, held) * len(items.terms) + items.holders[at])
     total = np.bincount(of, items.often[at], len(pair))
     pair = pair[total >= items.least[pair % len(items.terms)]]
     tile, query = pair // len(items.terms), pair % len(items.terms)
@@ -396,24 +396,19 @@ def candidates(items: Items, basis: np.ndarray, queries: np.ndarray, need: np.nd
             more = held > k
             sums[some[more]] += scaled[place[edge[more] + k]]
     last = (first_block + blocks)[owner]
-    pairs = []
+    pairs, long = [], 1
     for size in sorted(set(items.size.tolist())):
-        long = size // STRIDE
+        while long < size // STRIDE:  # sums of twice as many blocks, as far as the text goes
+            inside = np.flatnonzero(np.arange(len(owner)) + long < last)
+            sums[inside], square[inside] = sums[inside] + sums[inside + long], square[inside] + square[inside + long]
+            long *= 2
         of = np.flatnonzero(items.size == size)
         # A text of fewer blocks is one window.
         at = np.flatnonzero(np.arange(len(owner)) <= np.maximum(last - long, first_block[owner]))
         step = max(1, SCORES // max(len(of), basis.shape[1]))
         for a in range(0, len(at), step):
             here = at[a : a + step]
-            norm = square[here].copy()
-            for j in range(1, long):
-                inside = here + j < last[here]
-                norm[inside] += square[here[inside] + j]
-            vector = sums[here]
-            for j in range(1, long):
-                inside = here + j < last[here]
-                vector[inside] += sums[here[inside] + j]
-            good = vector @ queries[of].T >= need[of][None, :] * np.sqrt(np.maximum(norm, 1e-9))[:, None]
+            good = sums[here] @ queries[of].T >= need[of][None, :] * np.sqrt(np.maximum(square[here], 1e-9))[:, None]
             w, q = np.nonzero(good)
             pairs.append(here[w] * len(items.size) + of[q])
     # Every window of which ``verdict`` reads from that tile on.

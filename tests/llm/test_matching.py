@@ -242,6 +242,31 @@ def test_latent_directions_are_fitted_on_all_documents(spark):
     assert np.allclose(back, dense.T @ dense @ block) and np.allclose(gram, block.T @ dense.T @ dense @ block)
 
 
+def test_products_of_the_fit_hold_few_columns_at_once():
+    """A part of a product is a dense matrix of its own terms: no row of the block is copied for each entry, and none without an entry is touched."""
+    rng = np.random.default_rng(3)
+    seen = []
+
+    class Block(np.ndarray):
+        def __getitem__(self, key):
+            seen.append(np.size(key))
+            return np.asarray(self)[key]
+
+    block = rng.standard_normal((5000, 6)).astype(np.float32)
+    entry = np.unique(rng.integers(0, 64 * 5000, 900))
+    row, place = entry // 5000, entry % 5000 // 20 * 20
+    pair, value = np.unique(row * 5000 + place, return_counts=True)
+    row, place = pair // 5000, pair % 5000
+    dense = np.zeros((64, 5000))
+    dense[row, place] = value
+    back = np.zeros((5000, 6))
+    gram = decontaminate.multiplied(row, place, value.astype(float), 64, block.view(Block), back)
+    assert sum(seen) == len(np.unique(place)) < len(place)
+    assert np.allclose(back, dense.T @ dense @ block, rtol=1e-4, atol=1e-3) and np.allclose(gram, block.T @ dense.T @ dense @ block, rtol=1e-4, atol=1e-2)
+    assert decontaminate.FIT_WINDOWS <= 64
+    assert not decontaminate.multiplied(row[:0], place[:0], value[:0], 3, block, back).any()
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
