@@ -7,6 +7,8 @@ documents.  Words that weigh little in every benchmark passage that has them
 are left out; this is relative, so a passage that very many documents hold, and
 whose words are common therefore, is searched for like any other.
 
+0. Texts are cut into words once: every word of the benchmark's vocabulary is
+   written as its place there, any other word as one place beyond it.
 1. A randomised SVD, summed over tasks, of the benchmark's passages and those of
    all documents gives ``RANK`` latent directions.
 2. Every window of every document is projected: blocks of ``STRIDE`` words are
@@ -37,6 +39,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from arbiter.llm.common import slices, without, written
 from arbiter.llm.shingles import mix64
@@ -54,8 +57,8 @@ RANK, OVERSAMPLE = 128, 10
 FIT_TASKS = 32
 #: Windows of the fit that are multiplied at once: few, as the terms that they hold among them are the columns of a dense matrix.
 FIT_WINDOWS = 64
-#: Text bytes handled at once: their arrays fit a processor's cache.
-PART_BYTES = 1 << 19
+#: Text bytes, and words, handled at once: their arrays fit a processor's cache.
+PART_BYTES, PART_WORDS = 1 << 19, 1 << 16
 #: Scores computed at once.
 SCORES = 1 << 22
 #: Least cosine of a candidate, as a share of the passage's latent cosine with itself.
@@ -70,38 +73,55 @@ _WIDE = "…“”‘’„«»¡¿—–"
 _KIND = np.full(256, 2, np.uint8)
 _KIND[np.frombuffer(b".,;:!?\"'()[]{}<>|*#&%$-_`~", np.uint8)] = 1
 _KIND[np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)] = 0
-_LETTERS = np.random.default_rng(7).integers(0, 1 << 64, 64 * 256, dtype=np.uint64)
+_KINDS = _KIND.tobytes()
+_LETTERS = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C55
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse, modulo 2^64."""
+    out = np.empty((2, n), np.uint64)
+    out[:] = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+    out[:, 0] = 1
+    return tuple(np.multiply.accumulate(out, axis=1, out=out))
+
+
+_POWERS = _powers(PART_BYTES + (PART_BYTES >> 2))
 
 
 def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(terms, lengths): the 64-bit hashes of the normal words of each text, end to end.
 
-    A hash is the sum of a random number for each byte at its place in the word.
+    A hash is a polynomial of a random number for each byte, the difference of two sums over all bytes.
     """
     bodies = []
     for text in texts:
         low = (text or "").lower()
-        for c in _WIDE:
-            if c in low:
-                low = low.replace(c, " ")
+        if not low.isascii():
+            for c in _WIDE:
+                if c in low:
+                    low = low.replace(c, " ")
         bodies.append(low.encode() + b" ")
-    raw = np.frombuffer(b"".join(bodies), np.uint8)
-    kind = _KIND[raw]
-    full = kind > 0
-    begins = full.copy()
-    begins[1:] &= ~full[:-1]
-    place = np.flatnonzero(kind == 2)
-    if not len(place):
+    body = b"".join(bodies)
+    raw, kind = np.frombuffer(body, np.uint8), np.frombuffer(body.translate(_KINDS), np.uint8)
+    inside = np.zeros(len(raw) + 1, bool)
+    np.equal(kind, 2, out=inside[1:])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    if not len(edge):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    edge = np.flatnonzero(np.diff(np.cumsum(begins, dtype=np.int32)[place], prepend=0))
-    first, last = place[edge], place[np.append(edge[1:], len(place)) - 1]
-    size = last - first + 1
-    offset = np.cumsum(size) - size
-    spot = np.arange(offset[-1] + size[-1]) - np.repeat(offset, size)
-    value = _LETTERS[raw[np.repeat(first, size) + spot].astype(np.int64) + ((spot & 63) << 8)]
-    if size.max() > 64:
-        value = value * (2 * (spot >> 6) + 1).astype(np.uint64)
-    terms = mix64(np.add.reduceat(value, offset) + size.astype(np.uint64))
+    first, end = edge[::2], edge[1::2]
+    # Punctuation inside a word: what stands on both sides of it is one word if no blank is between.
+    apart = kind[end[:-1]] == 0
+    near = np.flatnonzero(~apart)
+    if len(near):
+        apart[near] = np.minimum.reduceat(kind, np.stack([end[near], first[near + 1]], axis=1).ravel())[::2] == 0
+        first, end = first[np.append(True, apart)], end[np.append(apart, True)]
+    power, inverse = _POWERS if len(raw) <= len(_POWERS[0]) else _powers(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.take(_LETTERS, raw, out=total[1:], mode="clip")
+    total[1:] *= power[: len(raw)]
+    np.cumsum(total, out=total)
+    terms = mix64((total[end] - total[first]) * inverse[first] + (end - first).astype(np.uint64))
     ends = np.cumsum([len(b) for b in bodies])
     return terms, np.diff(np.searchsorted(first, ends), prepend=0)
 
@@ -112,28 +132,63 @@ def places(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == terms, at, -1)
 
 
-def document_frequencies(rows: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """Documents that hold each term of the vocabulary, over all rows of (text), and documents with words."""
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def place_kind(vocabulary: np.ndarray) -> np.dtype:
+    """The integers that places in the vocabulary are written as; its length stands for other words."""
+    return np.min_scalar_type(len(vocabulary))
+
+
+def word_places(rows: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """``rows`` with the places of the text's words, in order, instead of ``text``."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    others = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, docs = sent.value, 0
-        count = np.zeros(len(vocabulary), np.int64)
+        vocabulary = sent.value
+        kind = place_kind(vocabulary)
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
                 terms, n = coded(part.column("text").to_pylist())
                 place = places(vocabulary, terms)
-                pairs = (np.repeat(np.arange(len(n)), n) * len(vocabulary) + place)[place >= 0]
-                count += np.bincount(pd.unique(pairs) % len(vocabulary), minlength=len(vocabulary))
+                place[place < 0] = len(vocabulary)
+                held, ends = place.astype(kind).tobytes(), (np.cumsum(n) * kind.itemsize).tolist()
+                held = pa.array([held[a:b] for a, b in zip([0, *ends], ends)], pa.binary())  # noqa: B905
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), held], [*(f.name for f in others), "place"])
+
+    return rows.mapInArrow(run, StructType([*others, StructField("place", BinaryType())]))
+
+
+def held_places(batch: pa.RecordBatch, kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(part, places, lengths): parts of about ``PART_WORDS`` words, with the places of their texts' words, end to end."""
+    for part in slices(batch, "place", PART_WORDS * kind.itemsize):
+        held = part.column("place").to_pylist()
+        yield part, np.frombuffer(b"".join(held), kind), np.array([len(x) for x in held], np.int64) // kind.itemsize
+
+
+def document_frequencies(words: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents that hold each term of the vocabulary, over all rows of (place), and documents with words."""
+    size, kind = len(vocabulary), place_kind(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, count = 0, np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for _, place, n in held_places(batch, kind):
+                pairs = np.repeat(np.arange(len(n)) * (size + 1), n) + place
+                count += np.bincount(pd.unique(pairs) % (size + 1), minlength=size + 1)
                 docs += int((n > 0).sum())
+        count[size] = docs
         some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(count[some], docs))], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["place", "n"])
 
-    total = rows.mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    place, n = total.column("place").to_numpy(), total.column("n").to_numpy()
-    out = np.zeros(len(vocabulary), np.int64)
-    out[place[place >= 0]] = n[place >= 0]
-    return out, int(n[place < 0].sum())
+    total = words.select("place").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, np.int64)
+    out[total.column("place").to_numpy()] = total.column("n").to_numpy()
+    return out[:size], int(out[size])
 
 
 class Items:
@@ -164,9 +219,9 @@ class Items:
             square = weight[at] ** 2
             heavy[at[square >= LIGHT * square.mean()]] = True
         self.vocabulary, self.weight = self.vocabulary[heavy], weight[heavy]
-        # Both vocabularies are looked up at once; the last of each is for other words.
-        self.known = np.union1d(self.vocabulary, self.sought)
-        self.as_heavy, self.as_sought = (np.append(places(v, self.known), -1) for v in (self.vocabulary, self.sought))
+        # Of each place in the whole vocabulary; the last is for other words.
+        self.whole = vocabulary
+        self.as_heavy, self.as_sought = (np.append(places(v, vocabulary), -1) for v in (self.vocabulary, self.sought))
 
     def seek(self, weight: np.ndarray) -> None:
         """Choose the rarest words of each passage: what ``verdict`` accepts holds ``least`` of their places or more.
@@ -188,7 +243,7 @@ class Items:
         self.n_chosen, self.times = np.bincount(query, minlength=len(self.terms)), often
         by = np.argsort(word, kind="stable")
         some, self.first, self.held = np.unique(word[by], return_index=True, return_counts=True)
-        self.sought, self.holders, self.often, self.chosen = self.vocabulary[some], query[by], often[by], np.searchsorted(some, word)
+        self.sought, self.holders, self.often, self.chosen = self.vocabulary[some], query[by], often[by].astype(float), np.searchsorted(some, word)
 
     def rows(self, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, weight) of the nonzero weights and the norm of each window."""
@@ -225,35 +280,38 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 def fit_windows(rows: DataFrame, items: Items) -> DataFrame:
     """(n, row, place, times): the windows that the latent directions are fitted on, all of every document.
 
-    Up to ``FIT_WINDOWS`` windows are one row: each word of the vocabulary that
-    a window holds as the window's number, the word's place and how often, as
-    16, 32 and 16 bit integers in order of the windows.
+    ``rows`` has texts, or the places of their words.  Up to ``FIT_WINDOWS``
+    windows are one row: each word of the vocabulary that a window holds as the
+    window's number, the word's place and how often, as 16, 32 and 16 bit
+    integers in order of the windows.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(items.vocabulary)
+    words = rows if "place" in rows.columns else word_places(rows, items.whole)
+    sent, size, kind = rows.sparkSession.sparkContext.broadcast(items.as_heavy), len(items.vocabulary), place_kind(items.whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = sent.value
+        as_heavy = sent.value
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                terms, n = coded(part.column("text").to_pylist())
+            for _, place, n in held_places(batch, kind):
+                place = as_heavy[place]
+                spot = np.flatnonzero(place >= 0)
                 per_text = -(-n // SIZES[-1])
                 first = np.cumsum(per_text) - per_text
-                window = np.repeat(first, n) + (np.arange(len(terms)) - np.repeat(np.cumsum(n) - n, n)) // SIZES[-1]
-                place = places(vocabulary, terms)
-                pair, times = np.unique((window * len(vocabulary) + place)[place >= 0], return_counts=True)
-                window, place = pair // len(vocabulary), pair % len(vocabulary)
+                text = np.searchsorted(np.cumsum(n), spot, "right")
+                window = first[text] + (spot - (np.cumsum(n) - n)[text]) // SIZES[-1]
+                pair, times = np.unique(window * size + place[spot], return_counts=True)
+                window, place = pair // size, pair % size
                 starts = np.arange(0, int(per_text.sum()), FIT_WINDOWS)
                 cut = np.append(np.searchsorted(window, starts), len(window)).tolist()
                 sizes = np.minimum(FIT_WINDOWS, int(per_text.sum()) - starts)
-                kinds = ((window % FIT_WINDOWS, np.uint16), (place, np.int32), (times, np.uint16))
-                columns = [pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x, kind in kinds]
+                parts = (window % FIT_WINDOWS).astype(np.uint16), place.astype(np.int32), times.astype(np.uint16)
+                columns = [pa.array([x[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()) for x in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), *columns], ["n", "row", "place", "times"])
 
-    return rows.select("text").mapInArrow(run, "n long, row binary, place binary, times binary")
+    return words.select("place").mapInArrow(run, "n long, row binary, place binary, times binary")
 
 
-def multiplied(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, block: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """Gram matrix of X @ block, for the sparse X (n windows; each of its entries once); X.T @ X @ block is added to ``back``.
+def multiplied(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, block: np.ndarray, back: np.ndarray | None) -> np.ndarray:
+    """Gram matrix of X @ block, for the sparse X (n windows; each of its entries once); X.T @ X @ block is added to ``back``, if that is wanted.
 
     A few windows hold few of the terms, so that X is multiplied as a dense matrix of those.
     """
@@ -261,45 +319,47 @@ def multiplied(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, bl
     dense = np.zeros((n, len(some)), block.dtype)
     dense[row, column] = value
     image = dense @ block[some]
-    back[some] += dense.T @ image
+    if back is not None:
+        back[some] += dense.T @ image
     return image.T @ image
 
 
-def latent_basis(rows: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
+def latent_basis(words: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
     """Terms x RANK: leading right singular vectors of the passages of the benchmark and of all documents.
 
     Randomised: a random block is multiplied by the Gram matrix, part by part,
     orthonormalised, and the small matrix in its range is decomposed.
     """
-    windows = written(fit_windows(rows, items), "fit-windows")  # read three times
+    windows = written(fit_windows(words, items), "fit-windows")  # read three times
     windows = windows.coalesce(FIT_TASKS)  # bounds what reaches the driver
     width = min(RANK + OVERSAMPLE, len(items.vocabulary))
-    context = rows.sparkSession.sparkContext
+    context = words.sparkSession.sparkContext
     sent = context.broadcast(items.weight)
 
-    def total(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        now = context.broadcast(block.astype(np.float32))
+    def total(block: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The Gram matrix of all windows times the block (left out at last), and the block's image's own."""
+        now, shape = context.broadcast(block.astype(np.float32)), (0 if last else len(block), width)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            back, gram, n = np.zeros(now.value.shape), np.zeros((now.value.shape[1],) * 2), 0
+            back, gram, n = np.zeros(shape), np.zeros((width, width)), 0
             for batch in batches:
                 for size, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     row, place, times = (np.frombuffer(x, kind) for x, kind in zip(parts, (np.uint16, np.int32, np.uint16), strict=True))
                     value = times * sent.value[place]
                     norm = np.sqrt(np.bincount(row, value * value, size))
-                    gram += multiplied(row, place, value / np.maximum(norm[row], 1e-9), size, now.value, back)
+                    gram += multiplied(row, place, value / np.maximum(norm[row], 1e-9), size, now.value, None if last else back)
                     n += size
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (back, gram)] + [pa.array([n], pa.int64())], ["back", "gram", "n"])
 
         parts = windows.mapInArrow(run, "back binary, gram binary, n long").rdd
         parts = parts.map(lambda r: (np.frombuffer(r[0]).reshape(-1, width), np.frombuffer(r[1]).reshape(-1, width), r[2]))
-        zero = (np.zeros(block.shape), np.zeros((width, width)), 0)
+        zero = (np.zeros(shape), np.zeros((width, width)), 0)
         add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
         far = parts.treeAggregate(zero, add, add)
-        near, near_gram = np.zeros(block.shape), np.zeros((width, width))
+        near, near_gram = np.zeros(shape), np.zeros((width, width))
         for a in range(0, len(items.terms), FIT_WINDOWS):
             row, place, weight, norm = items.rows(items.terms[a : a + FIT_WINDOWS])
-            near_gram += multiplied(row, place, weight / np.maximum(norm[row], 1e-9), len(norm), block, near)
+            near_gram += multiplied(row, place, weight / np.maximum(norm[row], 1e-9), len(norm), block, None if last else near)
         # The benchmark's rows weigh as much as the documents', since its directions are searched for.
         weight = max(1.0, far[2] / max(len(items.terms), 1))
         return far[0] + weight * near, far[1] + weight * near_gram
@@ -307,7 +367,7 @@ def latent_basis(rows: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
     block = np.random.default_rng(seed).standard_normal((len(items.vocabulary), width))
     for _ in range(2):
         block = np.linalg.qr(total(block)[0])[0]
-    values, vectors = np.linalg.eigh(total(block)[1])
+    values, vectors = np.linalg.eigh(total(block, last=True)[1])
     return (block @ vectors[:, np.argsort(values)[::-1][:RANK]]).astype(np.float32)
 
 
@@ -323,12 +383,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     blocks = [b for b in blocks if b.terms]
     found = empty
     if blocks:
-        vocabulary = np.unique(np.concatenate([b.vocabulary for b in blocks]))
-        frequency, n_docs = document_frequencies(rows.select("text"), vocabulary)
+        # An answer may be cut into other words than the passage that it ends.
+        vocabulary = np.unique(np.concatenate([x for b in blocks for x in (b.vocabulary, *b.answer)]))
+        words = written(word_places(rows, vocabulary), "word-places")  # read by all that follows
+        frequency, n_docs = document_frequencies(words, vocabulary)
         idf = np.log((1 + n_docs) / (1 + frequency)) + 0.1
         for items in blocks:
             items.weigh(vocabulary, idf)
-            found = found.union(_search(rows, items, id_type))
+            found = found.union(_search(words, items, id_type))
     return found.groupBy("key", "item_id").agg(F.max("share").alias("share"))
 
 
@@ -359,32 +421,35 @@ def holding(items: Items, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     spot = np.flatnonzero(place >= 0)
     text = np.repeat(np.arange(len(n)), n)[spot]
     tile = (last - tiles)[text] + (spot - (np.cumsum(n) - n)[text]) // TILE
-    here = pd.unique(tile * len(items.sought) + place[spot])
+    here = distinct(tile * len(items.sought) + place[spot])
     before = here[(here // len(items.sought)) > (last - tiles)[np.searchsorted(last, here // len(items.sought), "right")]] - len(items.sought)
-    both = pd.unique(np.concatenate([here, before]))
+    both = distinct(np.concatenate([here, before]))
     tile, word = both // len(items.sought), both % len(items.sought)
-    held = items.held[word]
-    at = np.repeat(items.first[word] - np.cumsum(held) + held, held) + np.arange(held.sum())
-    of, pair = pd.factorize(np.repeat(tile, held) * len(items.terms) + items.holders[at])
-    total = np.bincount(of, items.often[at], len(pair))
-    pair = pair[total >= items.least[pair % len(items.terms)]]
-    tile, query = pair // len(items.terms), pair % len(items.terms)
+    found, step = [], max(1, SCORES // len(items.terms))
+    for a in range(0, int(last[-1]), step):
+        some = slice(*np.searchsorted(tile, (a, a + step)))
+        held = items.held[word[some]]
+        at = np.repeat(items.first[word[some]] - np.cumsum(held) + held, held) + np.arange(held.sum())
+        pair = np.repeat((tile[some] - a) * len(items.terms), held) + items.holders[at]
+        total = np.bincount(pair, items.often[at], min(step, int(last[-1]) - a) * len(items.terms)).reshape(-1, len(items.terms))
+        t, q = np.divmod(np.flatnonzero(total >= items.least), len(items.terms))  # ``least`` is 1 at least
+        found.append((t + a, q))
+    tile, query = (np.concatenate(x) for x in zip(*found, strict=True))
     text = np.searchsorted(last, tile, "right")
     return text, tile - (last - tiles)[text], query
 
 
-def candidates(items: Items, basis: np.ndarray, queries: np.ndarray, need: np.ndarray, terms: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(text, query, first, end): windows, as places in ``terms``, whose latent cosine with a query reaches its need, or that hold its rarest words."""
+def candidates(items: Items, basis: np.ndarray, queries: np.ndarray, need: np.ndarray, words: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, query, first, end): windows, as stretches of ``words`` (places in the whole vocabulary), whose latent cosine with a query reaches its need, or that hold its rarest words."""
     start = np.cumsum(n) - n
     blocks = -(-n // STRIDE)
     first_block = np.cumsum(blocks) - blocks
     owner = np.repeat(np.arange(len(n)), blocks)
     begin = start[owner] + (np.arange(len(owner)) - first_block[owner]) * STRIDE
-    block_of = np.repeat(first_block, n) + (np.arange(len(terms)) - np.repeat(start, n)) // STRIDE
-    at_known = places(items.known, terms)
-    place = items.as_heavy[at_known]
+    place = items.as_heavy[words]
     known = np.flatnonzero(place >= 0)
-    block_of, place = block_of[known], place[known]
+    text = np.searchsorted(start + n, known, "right")
+    block_of, place = first_block[text] + (known - start[text]) // STRIDE, place[known]
     weight = items.weight[place]
     square = np.bincount(block_of, weight * weight, len(owner)).astype(np.float32)
     sums = np.zeros((len(owner), basis.shape[1]), np.float32)
@@ -409,10 +474,10 @@ def candidates(items: Items, basis: np.ndarray, queries: np.ndarray, need: np.nd
         for a in range(0, len(at), step):
             here = at[a : a + step]
             good = sums[here] @ queries[of].T >= need[of][None, :] * np.sqrt(np.maximum(square[here], 1e-9))[:, None]
-            w, q = np.nonzero(good)
+            w, q = np.divmod(np.flatnonzero(good), len(of))
             pairs.append(here[w] * len(items.size) + of[q])
     # Every window of which ``verdict`` reads from that tile on.
-    place = items.as_sought[at_known]
+    place = items.as_sought[words]
     text, tile, query = holding(items, place, n)
     final = np.maximum(blocks[text] - items.size[query] // STRIDE, 0)
     a = first_block[text] + np.where(tile > 0, -(-(tile * TILE + MARGIN) // STRIDE), 0)
@@ -441,29 +506,31 @@ def verdict(items: Items, query: int, text: np.ndarray) -> float:
     return share if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answered) else 0.0
 
 
-def _search(rows: DataFrame, items: Items, id_type: str) -> DataFrame:
-    basis = latent_basis(rows, items)
+def _search(words: DataFrame, items: Items, id_type: str) -> DataFrame:
+    basis = latent_basis(words, items)
     queries, norm = items.project(items.terms, basis)
     queries = queries / norm[:, None].astype(np.float32)
     need = MIN_COSINE * (queries**2).sum(axis=1)
-    sent = rows.sparkSession.sparkContext.broadcast((items, basis, queries, need))
+    sent, kind = words.sparkSession.sparkContext.broadcast((items, basis, queries, need)), place_kind(items.whole)
     schema = f"key binary, item_id {id_type}, share double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, basis, queries, need = sent.value
+        # Any other word is the least hash that no term of the vocabulary has.
+        other = np.setdiff1d(np.arange(len(items.whole) + 1, dtype=np.uint64), items.whole)[:1]
+        terms = np.append(items.whole, other)
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                terms, n = coded(part.column("text").to_pylist())
+            for part, place, n in held_places(batch, kind):
                 best: dict[tuple[int, object], float] = {}
-                if len(terms):
-                    for i, q, first, end in candidates(items, basis, queries, need, terms, n):
-                        if share := verdict(items, q, terms[first:end]):
+                if len(place):
+                    for i, q, first, end in candidates(items, basis, queries, need, place, n):
+                        if share := verdict(items, q, terms[place[first:end]]):
                             best[i, items.item[q]] = max(share, best.get((i, items.item[q]), 0.0))
                 if best:
                     keys = part.column("key").take(pa.array([i for i, _ in best]))
                     yield pa.RecordBatch.from_arrays([keys, pa.array([q for _, q in best]), pa.array(list(best.values()))], ["key", "item_id", "share"])
 
-    return rows.mapInArrow(run, schema)
+    return words.mapInArrow(run, schema)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -267,6 +268,73 @@ def test_products_of_the_fit_hold_few_columns_at_once():
     assert not decontaminate.multiplied(row[:0], place[:0], value[:0], 3, block, back).any()
 
 
+def test_texts_are_cut_into_words_once(spark, tmp_path):
+    """Frequencies, fit and search read the words that one pass wrote, not the texts."""
+    item = prose(210, 30)
+    docs = spark.createDataFrame([(i, f"{prose(820 + i, 70)} {item if i % 2 else ''}") for i in range(6)] + [(6, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.leaks(spark.read.parquet(f"{tmp_path}/docs"), benchmark)
+    assert found.count() == 3
+    assert not [f for f in found.inputFiles() if f"{tmp_path}/docs" in f]
+
+
+def test_words_by_their_definition_and_their_places(spark):
+    texts = [r[1] for r in rows()] + ["don't  “Stop”…it's 3.5% (a.b) . - x", "ÉCOLE straße—Ünï « q »", "y" * 700 + ".z", "y" * 700 + ".Z!", "", "...", "a\x0bb\x0cc"]
+    plain = []
+    for text in texts:
+        low = (text or "").lower()
+        for c in "…“”‘’„«»¡¿—–":
+            low = low.replace(c, " ")
+        plain.append([w for w in (x.strip(".,;:!?\"'()[]{}<>|*#&%$-_`~") for x in re.split("[ \t\n\r\x0b\x0c]+", low)) if w])
+    terms, n = decontaminate.coded(texts)
+    flat = [w for one in plain for w in one]
+    assert n.tolist() == [len(one) for one in plain]
+    assert len(set(zip(flat, terms.tolist(), strict=True))) == len(set(flat)) == len(set(terms.tolist()))
+    vocabulary = np.unique(terms)[::2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(3)
+    kind, end = decontaminate.place_kind(vocabulary), np.cumsum(n)
+    got = {r.key: np.frombuffer(r.place, kind) for r in decontaminate.word_places(docs, vocabulary).collect()}
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        own = terms[end[i] - n[i] : end[i]]
+        assert np.append(vocabulary, np.uint64(0))[got[i]].tolist() == np.where(np.isin(own, vocabulary), own, np.uint64(0)).tolist()
+
+
+def test_candidates_hold_what_plain_counts_of_rarest_words_say():
+    """Pairs of neighbouring tiles that hold a passage's rarest words, whatever number of tiles is counted at once."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(90)]
+    items = decontaminate.Items(list(range(12)), [" ".join(rng.choices(words, k=10 + i)) for i in range(12)])
+    items.weigh(items.vocabulary, np.random.default_rng(1).uniform(1, 2, len(items.vocabulary)))
+    terms, n = decontaminate.coded([" ".join(rng.choices(words, k=k)) for k in (0, 5, 112, 113, 400, 900)])
+    place = decontaminate.places(items.sought, terms)
+    want = set()
+    for t, (end, size) in enumerate(zip(np.cumsum(n).tolist(), n.tolist(), strict=True)):
+        own = place[end - size : end]
+        for k in range(-(-size // decontaminate.TILE)):
+            there = set(own[k * decontaminate.TILE : (k + 2) * decontaminate.TILE].tolist())
+            for q in range(12):
+                begin = int(items.n_chosen[:q].sum())
+                mine = range(begin, begin + int(items.n_chosen[q]))
+                if sum(int(items.times[c]) for c in mine if items.chosen[c] in there) >= items.least[q]:
+                    want.add((t, k, q))
+    for scores in (1 << 22, 30):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontaminate, "SCORES", scores)
+            assert set(zip(*(x.tolist() for x in decontaminate.holding(items, place, n)), strict=True)) == want
+    assert want
+
+
+def test_the_last_product_of_the_fit_leaves_out_what_is_not_read():
+    rng = np.random.default_rng(5)
+    entry = np.unique(rng.integers(0, 8 * 40, 60))
+    block, value = rng.standard_normal((40, 3)), rng.random(len(entry))
+    back = np.zeros((40, 3))
+    whole = decontaminate.multiplied(entry // 40, entry % 40, value, 8, block, back)
+    assert back.any() and np.array_equal(decontaminate.multiplied(entry // 40, entry % 40, value, 8, block, None), whole)
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
