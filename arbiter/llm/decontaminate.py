@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from arbiter.llm.common import slices, without, written
+from arbiter.llm.common import shuffle_width, slices, small_batches, without, written
 from arbiter.llm.shingles import mix64
 
 SIZES, STRIDE, MARGIN = (32, 64), 16, 24
@@ -53,14 +53,14 @@ MIN_ITEM_WORDS = 8
 #: A word is left out where its squared weight is below this share of the mean in every benchmark passage that has it.
 LIGHT = 0.25
 RANK, OVERSAMPLE = 128, 10
-#: Tasks of a product of the fit at most, each of which sends one partial sum (terms x RANK) to the driver's tree.
-FIT_TASKS = 32
+#: Tasks of a product of the fit at most, each of which makes one partial sum (terms x RANK), and rows of it that travel together.
+FIT_TASKS, SUM_ROWS = 32, 64
 #: Windows of the fit that are multiplied at once: few, as the terms that they hold among them are the columns of a dense matrix.
 FIT_WINDOWS = 64
 #: Text bytes, and words, handled at once: their arrays fit a processor's cache.
 PART_BYTES, PART_WORDS = 1 << 19, 1 << 16
 #: Scores computed at once.
-SCORES = 1 << 22
+SCORES = 1 << 20
 #: Least cosine of a candidate, as a share of the passage's latent cosine with itself.
 MIN_COSINE = 0.3
 #: A passage is also sought by its rarest words, which make up this share of the words a leak must hold.
@@ -324,6 +324,22 @@ def multiplied(row: np.ndarray, place: np.ndarray, value: np.ndarray, n: int, bl
     return image.T @ image
 
 
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, value): the sum of the doubles of each piece, from rows sorted by piece."""
+    piece, total = None, None
+    for batch in batches:
+        for p, value in zip(batch.column("piece"), batch.column("value"), strict=True):
+            now = np.frombuffer(value.as_buffer())
+            if p.as_py() == piece:
+                total += now
+                continue
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "value"])
+            piece, total = p.as_py(), now.copy()
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "value"])
+
+
 def latent_basis(words: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
     """Terms x RANK: leading right singular vectors of the passages of the benchmark and of all documents.
 
@@ -349,13 +365,15 @@ def latent_basis(words: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
                     norm = np.sqrt(np.bincount(row, value * value, size))
                     gram += multiplied(row, place, value / np.maximum(norm[row], 1e-9), size, now.value, None if last else back)
                     n += size
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (back, gram)] + [pa.array([n], pa.int64())], ["back", "gram", "n"])
-
-        parts = windows.mapInArrow(run, "back binary, gram binary, n long").rdd
-        parts = parts.map(lambda r: (np.frombuffer(r[0]).reshape(-1, width), np.frombuffer(r[1]).reshape(-1, width), r[2]))
-        zero = (np.zeros(shape), np.zeros((width, width)), 0)
-        add = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
-        far = parts.treeAggregate(zero, add, add)
+            pieces = [np.append(gram, n), *(back[a : a + SUM_ROWS] for a in range(0, shape[0], SUM_ROWS))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], ["piece", "value"])
+
+        sums = "piece int, value binary"
+        parts = windows.mapInArrow(run, sums).repartition(shuffle_width(words.sparkSession), "piece").sortWithinPartitions("piece").mapInArrow(added, sums).toArrow()
+        parts = dict(zip(parts.column("piece").to_pylist(), (np.frombuffer(x) for x in parts.column("value").to_pylist()), strict=True))
+        gram = parts.pop(0, np.zeros(width * width + 1))
+        back = np.concatenate([parts[k] for k in sorted(parts)]).reshape(shape) if parts else np.zeros(shape)
+        far = back, gram[:-1].reshape(width, width), gram[-1]
         near, near_gram = np.zeros(shape), np.zeros((width, width))
         for a in range(0, len(items.terms), FIT_WINDOWS):
             row, place, weight, norm = items.rows(items.terms[a : a + FIT_WINDOWS])
@@ -374,6 +392,7 @@ def latent_basis(words: DataFrame, items: Items, seed: int = 0) -> np.ndarray:
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, share): texts (by MD5, null as empty) that hold a benchmark item, and the share of it in common order."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     known = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null").orderBy("i", "t").collect()

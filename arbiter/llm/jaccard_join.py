@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbiter.llm.common import shuffle_width, slices, split_by_keys, written
+from arbiter.llm.common import shuffle_width, slices, small_batches, split_by_keys, written
 from arbiter.llm.shingles import connected, mix64, shingle_sets
 
 THRESHOLD = 0.8
@@ -43,8 +43,10 @@ STEP = 32
 TOLERANCE = 1e-6
 #: Texts in a block, and shingles in a block of very long texts.
 BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+#: Text bytes cut into shingles at once; their words are objects, of many times their size.
+PART_BYTES = 1 << 20
 #: Texts whose shingles one incidence table holds on a side, and its shingles.
-TABLE, COLUMNS = 128, 1 << 14
+TABLE, COLUMNS = 128, 1 << 12
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -98,8 +100,8 @@ def surviving(left: np.ndarray, right: np.ndarray, same: bool, threshold: float,
     n = equal[i, j].astype(np.int64)
     for first in range(STEP, HASHES, STEP):
         part = slice(first, first + STEP)
-        for at in range(0, len(i), 1 << 16):
-            own = slice(at, at + (1 << 16))
+        for at in range(0, len(i), 1 << 14):
+            own = slice(at, at + (1 << 14))
             n[own] += (left[i[own], part] == right[j[own], part]).sum(axis=1)
         keep = n >= need[first + STEP]
         i, j, n = i[keep], j[keep], n[keep]
@@ -160,7 +162,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 hashes, lengths = shingle_sets(part.column("text").to_pylist())
                 sig = signatures(hashes, lengths)
                 bands = pa.ListArray.from_arrays(np.arange(0, (len(sig) + 1) * BANDS, BANDS, dtype=np.int32), pa.array(band_keys(sig).ravel()))
@@ -252,7 +254,7 @@ def verified_links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, tex
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 hashes, lengths = shingle_sets(part.column("text").to_pylist())
                 ends = np.cumsum(lengths)
                 packed = [hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
@@ -300,6 +302,7 @@ def near_duplicates(
     ``group_key`` is the least key of the connected group, ``group_id`` its
     least id.
     """
+    small_batches(docs.sparkSession)
     classes = written(classes_of(docs, id_col, text_col), "jaccard-classes")
     clusters = written(connected(candidate_forest(classes, threshold, tolerance, block), "jaccard-candidates"), "jaccard-clusters")
     links = written(verified_links(docs, classes, clusters, text_col, threshold, tolerance, block), "jaccard-links")

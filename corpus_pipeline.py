@@ -35,7 +35,8 @@ def _with_text(found: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that lose too many words, or fail the base rule, go."""
-    return _with_text(clean_lines(docs).where("kept"), docs.columns, "cleaned")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_chars")]  # both are made anew, and the text goes to Python once
+    return _with_text(clean_lines(docs, payload=F.struct(*others)).where("kept"), docs.columns, "cleaned")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

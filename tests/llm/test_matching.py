@@ -335,6 +335,22 @@ def test_the_last_product_of_the_fit_leaves_out_what_is_not_read():
     assert back.any() and np.array_equal(decontaminate.multiplied(entry // 40, entry % 40, value, 8, block, None), whole)
 
 
+def test_sums_of_the_fit_are_made_by_the_workers_of_the_other_steps(spark, monkeypatch):
+    """An RDD's Python workers are others than a table's, and stay in an executor's memory beside them."""
+    frame_type = type(spark.range(0))
+    monkeypatch.setattr(frame_type, "rdd", property(lambda self: pytest.fail("workers of an RDD")))
+    monkeypatch.setattr(decontaminate, "SUM_ROWS", 3)
+    item = prose(70, 40)
+    docs = frame(spark, [(i, prose(i, 90) + (" " + item if i % 3 == 0 else ""), "en", "a", 9, "r", None, 7, i) for i in range(12)]).repartition(5)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r.key for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert len(found) == 4
+    parts = [(p, np.full(2, x).tobytes()) for p, x in ((0, 1.0), (0, 2.0), (1, 5.0), (0, 4.0), (1, 0.5))]
+    parts = spark.createDataFrame(parts, "piece int, value binary").repartition(3, "piece").sortWithinPartitions("piece")
+    total = {r.piece: np.frombuffer(r.value).tolist() for r in parts.mapInArrow(decontaminate.added, "piece int, value binary").collect()}
+    assert total == {0: [7.0, 7.0], 1: [5.5, 5.5]}
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)

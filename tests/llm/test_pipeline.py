@@ -4,10 +4,14 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 from arbiter.llm import queries
 from arbiter.llm.common import written
+from arbiter.llm.decontaminate import leaks
+from arbiter.llm.jaccard_join import near_duplicates
+from arbiter.llm.quality_rules import clean_lines
 
-from .messy import WORD, frame, similar
+from .messy import WORD, frame, prose, similar
 from .test_matching import groups_of
 from .test_mix_url_chat import brute_targets, sizes_of
 from .test_text_operators import brute_base
@@ -71,3 +75,24 @@ def test_odd_rows_pass_through_every_stage(spark):
             docs = frame(spark, some)
             assert stage(spark, docs, SF).columns == docs.columns
             stage(spark, docs, SF).collect()
+
+
+def test_rows_go_to_python_few_at_once_and_texts_once(spark):
+    """The JVM holds what it sends outside its heap, so that a batch counts twice in an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = frame(spark, [(i, prose(i % 7, 60), "en", "a", 9, "r", None, 7, i) for i in range(3000)]).coalesce(1)
+    few, benchmark = docs.limit(5), spark.createDataFrame([], "item_id long, text string")
+    many = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+    try:
+        for given, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            for stage in (lambda: clean_lines(docs), lambda: near_duplicates(few), lambda: leaks(few, benchmark)):
+                spark.conf.set(name, given)
+                stage()
+                sizes = [r.n for r in many.select("*").collect()]
+                assert sum(sizes) == 3000 and max(sizes) <= most
+        plan = corpus_pipeline.quality_rules(spark, docs, SF)._jdf.queryExecution().analyzed().toString()
+        packed = re.search(r"struct\(([^)]*)\) AS row#\d+, text#\d+ AS text#", plan)[1]
+        assert "doc_id#" in packed and "text#" not in packed
+    finally:
+        spark.conf.set(name, before)
